@@ -1,8 +1,9 @@
 """Exact duplicates by sorting contents.
 
 Texts are normalised (white space deleted), dealt by sampled splitters over the composite
-key (normalised bytes, longer original first, id) and sorted externally within each range.
-Equal texts are then neighbours: one pass compares each text with the one before it in full.
+key (first 64 normalised bytes, SHA-256 of all of them, longer original first, id) and sorted
+externally within each range. Splitters stay small however long the texts are, and equal texts
+are neighbours: one pass compares each text with the one before it in full.
 Because length and id belong to the key, a text that a third of all rows share is split over
 as many ranges as any other third. Runs that touch an end of their range are joined over
 ranges by a table of at most two rows a range; nothing else crosses ranges.
@@ -15,7 +16,6 @@ columns are read; others, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,31 +39,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _RUNS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
 
-    def rows(ids: list, lengths: list, text: bytes, edge: bool) -> pa.RecordBatch:
-        n, sha = len(ids), hashlib.sha256(text).hexdigest()
+    def rows(edge: bool) -> pa.RecordBatch:
+        n = len(ids)
         cols = [ids, [ids[0]] * n, [n] * n, [True] + [False] * (n - 1), [sha] * n, [part] * n, [edge] * n, lengths]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     ids: list = []
     lengths: list = []
     last: bytes | None = None
+    sha = ""
     held: list[pa.RecordBatch] = []
     first = True
     for b in batches:
-        for i, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        for i, n, t, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
             text = t.as_buffer().to_pybytes()
             if text != last:
                 if last is not None:
-                    held.append(rows(ids, lengths, last, first))
+                    held.append(rows(first))
                     first = False
                     if len(held) >= 2048:
                         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                         held = []
-                ids, lengths, last = [], [], text
+                ids, lengths, last, sha = [], [], text, digest
             ids.append(i)
             lengths.append(n)
     if last is not None:
-        held.append(rows(ids, lengths, last, True))
+        held.append(rows(True))
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -77,10 +78,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"),
         F.encode(normalised(F.col(text_col)), "UTF-8").alias("body"),
     )
+    d = d.withColumn("sha", F.sha2("body", 256)).withColumn("head", F.substring("body", 1, 64))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("body").asc(), F.col("n").desc(), F.col("id").asc_nulls_last()]
+    order = [F.col("head").asc(), F.col("sha").asc(), F.col("n").desc(), F.col("id").asc_nulls_last()]
     ranged = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    runs = cut(ranged.mapInArrow(_runs, _RUNS))
+    runs = cut(ranged.select("id", "n", "body", "sha").mapInArrow(_runs, _RUNS))
     # At most the first and the last run of each range can go on in another one.
     ends = (
         runs.where("edge and first")
