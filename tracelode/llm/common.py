@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like cut(), for larger data: written as Parquet, which is compressed and read by column. Also its path, for drop_table()."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def drop_table(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_limits(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches of this session, so that a batch of long texts fits in memory.
 
