@@ -7,9 +7,12 @@ n-grams of its prefix. Two classes can reach the threshold only if they share a
 of the pairs that do, one goes on if
 
 - length: the smaller set is at least threshold times the larger;
-- position: what follows the shared n-gram in both sets suffices for the overlap needed;
-- suffix: splitting both sets at fixed hash pivots, the sum of size differences between parts
-  (a lower bound of their symmetric difference) leaves that overlap possible.
+- position: what follows the shared n-gram in both sets suffices for the overlap needed, with
+  d more n-grams to spare, and d + 1 posted n-grams are shared that satisfy this (d is as large
+  as both prefixes allow, 4 at most: two sets that reach the threshold always do share them);
+- suffix: splitting both sets into fixed parts of the hash space, the sum of size differences
+  between 8 parts, and the number of 256 parts whose sizes differ in parity, leave that overlap
+  possible (both are lower bounds of the symmetric difference).
 
 What is left is made distinct and verified once, on whole sets.
 
@@ -27,7 +30,7 @@ An empty table gives an empty result. Columns other than the named ones are igno
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -43,8 +46,14 @@ from .graphs import components
 #: Hashed counters of n-grams (4 bytes each); fixed, so the broadcast is 4 MB at any size of input.
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
-#: Bits of the filter that keeps texts out of the verifying join which belong to no pair (by 3 bytes of the signature); 2 MB.
+#: Most n-grams to spare in the positional filter.
+SPARE = 4
+#: Bits of the filter (by id) that keeps texts out of the verifying pass which belong to no pair; 2 MB.
 FILTER_BITS = 1 << 24
+#: What the suffix filter needs to know of a set: sizes of 8 parts, 4 in a number, and parities of 256.
+_PARTS = ("p1", "p2")
+_PARITY = ("b0", "b1", "b2", "b3")
+_FIRST = "id long, n int, sig binary, p1 long, p2 long, b0 long, b1 long, b2 long, b3 long, chunk int, counts binary"
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -77,23 +86,29 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _first_pass(n: int) -> Callable:
-    names, kinds = ["id", "n", "sig", "chunk", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in _FIRST.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts = _WordHashes(), np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            sizes, sigs = [], []
-            for t in b.column(1).to_pylist():
+            k = b.num_rows
+            sizes, sigs = np.zeros(k, np.int32), []
+            parts, parity = np.zeros((k, 8), np.int64), np.zeros((k, 256), np.uint8)
+            for i, t in enumerate(b.column(1).to_pylist()):
                 s = ngram_set(t or b"", n, seen)
-                sizes.append(len(s))
+                sizes[i] = len(s)
                 sigs.append(_signature(s))
                 np.add.at(counts, s & (COUNTERS - 1), np.uint32(1))
-            none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([b.column(0), sizes, sigs, none, none], kinds, strict=True)], names)
-        parts = [c for c in range(COUNTERS // _CHUNK) if counts[c * _CHUNK : (c + 1) * _CHUNK].any()]
-        none = [None] * len(parts)
-        raw = [counts[c * _CHUNK : (c + 1) * _CHUNK].tobytes() for c in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([none, none, none, parts, raw], kinds, strict=True)], names)
+                parts[i] = np.bincount((s >> np.int64(61)) + 4, minlength=8)
+                parity[i] = np.bincount(s & 255, minlength=256) & 1
+            packed = np.bitwise_or.reduce(np.minimum(parts, 0x7FFF).reshape(k, 2, 4) << np.array([0, 16, 32, 48]), axis=2)
+            bits = np.packbits(parity, axis=1).view(np.int64)
+            cols = [b.column(0), sizes, sigs, *packed.T, *bits.T, [None] * k, [None] * k]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        chunks = [c for c in range(COUNTERS // _CHUNK) if counts[c * _CHUNK : (c + 1) * _CHUNK].any()]
+        raw = [zlib.compress(counts[c * _CHUNK : (c + 1) * _CHUNK].tobytes(), 1) for c in chunks]
+        cols = [[None] * len(chunks)] * (len(schema) - 2) + [chunks, raw]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
@@ -103,7 +118,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             own = total.setdefault(c, np.zeros(_CHUNK, np.uint64))
-            own += np.frombuffer(raw, np.uint32)
+            own += np.frombuffer(zlib.decompress(raw), np.uint32)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
 
@@ -112,13 +127,13 @@ def _overlap_needed(t: Fraction, a: int, b: int) -> int:
 
 
 def _postings(n: int, t: Fraction, counts) -> Callable:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    names = ["gram", "sig", "n", "pos", "p1", "p2"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    names = ["gram", "sig", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, frequency, done = _WordHashes(), counts.value, set()
         for b in batches:
-            grams, sigs, sizes, lengths, halves = [], [], [], [], []
+            grams, sigs, sizes, lengths = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = ngram_set(text or b"", n, seen)
                 if not len(s):
@@ -134,58 +149,58 @@ def _postings(n: int, t: Fraction, counts) -> Callable:
                 sigs.append(sig)
                 sizes.append(len(s))
                 lengths.append(prefix)
-                halves.append(np.minimum(np.bincount((s >> np.int64(61)) + 4, minlength=8), 0x7FFF))
             if not sigs:
                 continue
             k = np.array(lengths)
             at = np.repeat(np.arange(len(k)), k)
             pos = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
-            parts = np.array(halves, np.int64).reshape(-1, 2, 4) << np.array([0, 16, 32, 48])
-            packed = np.bitwise_or.reduce(parts, axis=2)
-            cols = [np.concatenate(grams), None, np.array(sizes)[at], pos, packed[at, 0], packed[at, 1]]
+            cols = [np.concatenate(grams), None, np.array(sizes)[at], pos]
             arrays = [pa.array(sigs, pa.binary()).take(pa.array(at)) if c is None else pa.array(c.astype(np.int64)).cast(kind) for c, kind in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def _slot(sig: bytes) -> int:
-    return int.from_bytes(sig[:3], "big")
-
-
 def _sets(n: int, bits) -> Callable:
+    """Sets of the rows whose id is in the filter, or null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kept = _WordHashes(), bits.value
-        done: set[bytes] = set()
         for b in batches:
-            sigs, sets = [], []
-            for text in b.column(0).to_pylist():
-                s = ngram_set(text or b"", n, seen)
-                sig = _signature(s)
-                k = _slot(sig)
-                if len(s) and kept[k >> 3] >> (k & 7) & 1 and sig not in done:
-                    if len(done) < 200_000:
-                        done.add(sig)
-                    sigs.append(sig)
-                    sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["sig", "grams"])
+            ids = b.column(0)
+            slot = np.mod(ids.fill_null(0).to_numpy(), FILTER_BITS)
+            found = (kept[slot >> 3] >> (slot & 7) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
+            sets = [ngram_set(t or b"", n, seen) for t in b.column(1).filter(pa.array(found)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["sig", "grams"])
 
     return run
 
 
+def _spare(t: Fraction, x: str, y: str) -> tuple[Column, Column]:
+    """The overlap that a pair needs, and how many n-grams more both prefixes hold than it takes to see one shared."""
+    p, q = t.numerator, t.denominator
+    nx, ny = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
+    need = F.floor(((nx + ny) * p + (p + q - 1)) / F.lit(p + q))
+    most = F.floor((F.greatest(nx, ny) * p + (q - 1)) / F.lit(q))
+    return need, F.greatest(F.least(F.lit(SPARE), need - most), F.lit(0))
+
+
 def _may_reach(t: Fraction, x: str, y: str) -> Column:
     """The three filters for a pair of postings of one n-gram."""
     p, q = t.numerator, t.denominator
     nx, ny = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
-    need = F.floor(((nx + ny) * p + (p + q - 1)) / F.lit(p + q))
+    need, spare = _spare(t, x, y)
     length = (nx * p <= ny * q) & (ny * p <= nx * q)
     rest = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
     apart = F.lit(0)
-    for c in ("p1", "p2"):
+    for c in _PARTS:
         for shift in (0, 16, 32, 48):
             part = [F.shiftright(F.col(f"{s}.{c}"), shift).bitwiseAND(F.lit(0xFFFF)) for s in (x, y)]
             apart = apart + F.abs(part[0] - part[1])
-    return length & (rest >= need) & (nx + ny - 2 * need >= apart)
+    odd = F.lit(0)
+    for c in _PARITY:
+        odd = odd + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    return length & (rest + spare >= need) & (nx + ny - 2 * need >= F.greatest(apart, odd))
 
 
 class _Join:
@@ -196,30 +211,40 @@ class _Join:
         arrow_limits(spark)
         self.n, self.t = n, Fraction(threshold).limit_denominator(1000)
         body = F.encode(F.col(text_col), "UTF-8").alias("body")
-        self.texts = docs.select(body)
-        own = docs.select(F.col(id_col).cast("long").alias("id"), body)
-        first = cut(own.mapInArrow(_first_pass(n), "id long, n int, sig binary, chunk int, counts binary"))
+        own = self.texts = docs.select(F.col(id_col).cast("long").alias("id"), body)
+        first = cut(own.mapInArrow(_first_pass(n), _FIRST))
         self.rows = first.where("chunk is null").select("id", "n", "sig")
+        self.classes = self.rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
         chunks = first.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
         counts = np.zeros(COUNTERS, np.uint64)
         for r in chunks.collect():  # COUNTERS numbers, whatever the input
             counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] += np.frombuffer(r.counts, np.uint64)
         shared = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
-        posted = self.texts.mapInArrow(_postings(n, self.t, shared), "gram long, sig binary, n int, pos int, p1 long, p2 long")
+        posted = self.texts.select("body").mapInArrow(_postings(n, self.t, shared), "gram long, sig binary, n int, pos int")
         posted, at = cut_table(posted)
         # N-grams of one class only join nothing: what is left after them is small.
         own = F.xxhash64("sig")
         met = posted.groupBy("gram").agg(F.min(own).alias("s0"), F.max(own).alias("s1")).where("s0 <> s1").select("gram")
-        rest = posted.join(met, "gram").groupBy("gram", "sig").agg(*[F.first(c).alias(c) for c in ("n", "pos", "p1", "p2")])
-        self.posted = cut(rest)
+        rest = posted.join(met, "gram").groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+        rest = rest.join(first.where("n > 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in (*_PARTS, *_PARITY)]), "sig")
+        self.posted, self.at = cut_table(rest)
         drop_table(spark, at)
 
     def pairs_with_leaders(self) -> DataFrame:
         """Each class with the leader of each of its n-grams, if the filters let the pair pass."""
-        lead = self.posted.groupBy("gram").agg(F.min(F.struct("pos", "sig", "n", "p1", "p2")).alias("y"))
-        both = self.posted.join(lead, "gram").select(F.struct("sig", "n", "pos", "p1", "p2").alias("x"), "y")
+        lead = self.posted.groupBy("gram").agg(F.min(F.struct("pos", "sig", "n", *_PARTS, *_PARITY)).alias("y"))
+        both = self.posted.join(lead, "gram").select(F.struct("sig", "n", "pos", *_PARTS, *_PARITY).alias("x"), "y")
         both = both.where(F.col("x.sig") != F.col("y.sig")).where(_may_reach(self.t, "x", "y"))
-        return both.select(F.greatest("x.sig", "y.sig").alias("a"), F.least("x.sig", "y.sig").alias("b"))
+        # A class may share its n-grams with several leaders, so two will do; the last pass is the exact one.
+        return self._counted(both, F.lit(2))
+
+    def _counted(self, both: DataFrame, most: Column) -> DataFrame:
+        """The pairs of rows x, y that come up often enough: a, b."""
+        spare = _spare(self.t, "x", "y")[1]
+        a = F.when(F.col("x.sig") > F.col("y.sig"), F.col("x.sig")).otherwise(F.col("y.sig"))
+        b = F.when(F.col("x.sig") > F.col("y.sig"), F.col("y.sig")).otherwise(F.col("x.sig"))
+        seen = both.select(a.alias("a"), b.alias("b"), F.least(spare + 1, most).alias("least")).groupBy("a", "b")
+        return seen.agg(F.count("*").alias("k"), F.max("least").alias("least")).where("k >= least").select("a", "b")
 
     def pairs_between(self, label: DataFrame | None) -> DataFrame:
         """All pairs of postings that pass the filters; with labels, only those of different components."""
@@ -229,17 +254,19 @@ class _Join:
         else:
             p = p.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig")).drop("root")
             # An n-gram whose classes are all in one component is done.
-            open_ = p.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram")
-            p = cut(p.join(open_, "gram"))
+            own = F.xxhash64("c")
+            open_ = p.groupBy("gram").agg(F.min(own).alias("c0"), F.max(own).alias("c1")).where("c0 <> c1").select("gram")
+            p = p.join(open_, "gram")
         on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sig") > F.col("y.sig")) & (F.col("x.c") != F.col("y.c"))
-        return p.alias("x").join(p.alias("y"), on & _may_reach(self.t, "x", "y")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+        return self._counted(p.alias("x").join(p.alias("y"), on & _may_reach(self.t, "x", "y")), F.lit(SPARE + 1))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The distinct pairs whose sets reach the threshold: a, b, overlap, n_union."""
-        pairs = cut(pairs.distinct())
+        pairs = cut(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(self.classes, "sig").where("id is not null")
+        slot = F.pmod("id", F.lit(FILTER_BITS))
         words = (
-            pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-            .select(F.conv(F.hex(F.substring("sig", 1, 3)), 16, 10).cast("long").alias("k"))
+            ids.select(slot.alias("k"))
             .groupBy(F.shiftright("k", 5).alias("at"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 31 AS int))")).alias("bits"))
         )
@@ -247,8 +274,9 @@ class _Join:
         flat = np.zeros(FILTER_BITS // 32, np.uint32)
         flat[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
         shared = self.spark.sparkContext.broadcast(flat.view(np.uint8))
-        sets = self.texts.mapInArrow(_sets(self.n, shared), "sig binary, grams array<bigint>")
-        sets = cut(sets.groupBy("sig").agg(F.first("grams").alias("grams")))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        sets = self.texts.mapInArrow(_sets(self.n, shared), "sig binary, grams array<bigint>").join(wanted, "sig", "left_semi")
+        sets = sets.groupBy("sig").agg(F.first("grams").alias("grams"))
         both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a").join(
             sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b"
         )
@@ -263,8 +291,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents with equal sets are one class; class_members() has them.
     """
     j = _Join(docs, id_col, text_col, n, threshold)
-    names = j.rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
-    links = j.verified(j.pairs_between(None))
+    names = j.classes
+    links = cut(j.verified(j.pairs_between(None)))
+    drop_table(j.spark, j.at)
     return (
         links.join(names.select(F.col("sig").alias("a"), F.col("id").alias("id_a")), "a")
         .join(names.select(F.col("sig").alias("b"), F.col("id").alias("id_b")), "b")
@@ -276,7 +305,7 @@ def class_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, class_id (least id with the same set): the membership that goes with jaccard_links."""
     arrow_limits(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("body"))
-    rows = cut(own.mapInArrow(_first_pass(n), "id long, n int, sig binary, chunk int, counts binary")).where("chunk is null and n > 0")
+    rows = cut(own.mapInArrow(_first_pass(n), _FIRST)).where("chunk is null and n > 0")
     return rows.join(rows.groupBy("sig").agg(F.min("id").alias("class_id")), "sig").select("id", "class_id")
 
 
@@ -285,14 +314,14 @@ def jaccard_components(
 ) -> DataFrame:
     """Per row of docs: id, n_shingles (size of its set), component_id (least id that links reach)."""
     j = _Join(docs, id_col, text_col, n, threshold)
-    links = j.verified(j.pairs_with_leaders()).select("a", "b")
+    links = cut(j.verified(j.pairs_with_leaders()).select("a", "b"))
     label = cut(components(links, "a", "b"))
-    rest = j.verified(j.pairs_between(label)).select("a", "b")
+    rest = cut(j.verified(j.pairs_between(label)).select("a", "b"))
+    drop_table(j.spark, j.at)
     if not rest.isEmpty():
         star = label.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         label = cut(components(star.union(rest), "a", "b"))
-    classes = j.rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
-    classes = classes.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    classes = j.classes.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     names = classes.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).where("k > 1")
     classes = classes.join(names, "root", "left").select("sig", F.coalesce("component_id", "id").alias("component_id"))
     return j.rows.join(classes, "sig", "left").select(
