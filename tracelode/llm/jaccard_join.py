@@ -37,7 +37,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, cut, cut_table, drop_table
@@ -226,6 +226,11 @@ class _Join:
         own = F.xxhash64("sig")
         met = posted.groupBy("gram").agg(F.min(own).alias("s0"), F.max(own).alias("s1")).where("s0 <> s1").select("gram")
         rest = posted.join(met, "gram").groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+        # Only rows whose neighbour by size passes the length filter have any partner.
+        by_size = Window.partitionBy("gram").orderBy("n", "sig")
+        rest = rest.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+        p, q = self.t.numerator, self.t.denominator
+        rest = rest.where((F.col("below") * q >= F.col("n") * p) | (F.col("n") * q >= F.col("above") * p)).drop("below", "above")
         rest = rest.join(first.where("n > 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in (*_PARTS, *_PARITY)]), "sig")
         self.posted, self.at = cut_table(rest)
         drop_table(spark, at)
