@@ -17,6 +17,21 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode_column
+
+    found = encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",")
+    return found.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), "round_trip")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    found = token_counts(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -39,9 +54,19 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op5_token_counts": op5_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_quality_classifier": op10_quality_classifier,
     }
