@@ -59,6 +59,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    found = round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -95,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_token_counts": op5_token_counts,
+        "op7_warc": op7_warc,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
