@@ -59,6 +59,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -102,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_token_counts": op5_token_counts,
+        "op6_html_text": op6_html_text,
         "op7_warc": op7_warc,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
