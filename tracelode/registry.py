@@ -1,15 +1,298 @@
-"""The queries of this library over the driver's tables, and their SQL."""
+"""The queries of this library over the driver's tables, and their SQL.
+
+``conversations`` stands for message logs (conv_id is the recording, turn the order), ``events``
+for step logs (user_id is the run, ts and event_id the order, event_type the step), ``documents``
+and ``pages`` for text bodies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import align, compare, graph, link, search, stats, trace
+
+ORDER = ["ts", "event_id"]
+KINDS = ["signup", "view", "purchase", "error", "click"]
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LINE = "concat_ws(chr(31), role, text)"
+
+
+@_query(f"""SELECT conv_id, turn, sha256(coalesce(string_agg({_LINE}, chr(30)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS prefix_hash FROM conversations""")
+def prefix_hash(spark, d):
+    return trace.prefix_hashes(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "prefix_hash")
+
+
+@_query(f"""SELECT conv_id, turn, sha256(coalesce(string_agg({_LINE}, chr(30)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS prefix_hash FROM conversations WHERE role <> 'system'""")
+def prefix_hash_last2(spark, d):
+    return trace.prefix_hashes(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text", last=2, skip_system=True).select("conv_id", "turn", "prefix_hash")
+
+
+@_query("""SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_error FROM events""")
+def running_context(spark, d):
+    e = _t(spark, d, "events")
+    return trace.running_last(e, "user_id", ORDER, F.when(F.col("event_type") == "error", F.col("value")), "last_error").select("event_id", "last_error")
+
+
+@_query("""SELECT user_id, count(*) AS n_entries, """ + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in KINDS) + """, round(sum(coalesce(value, 0)), 4) AS cost, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id""")
+def run_stats(spark, d):
+    return stats.run_stats(_t(spark, d, "events"), "user_id", "event_type", KINDS, "value")
+
+
+@_query("""SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS chars, round(length(coalesce(text, '')) / 4.0)::BIGINT AS tokens FROM conversations ORDER BY chars DESC, conv_id, turn LIMIT 15""")
+def context_topk(spark, d):
+    return stats.context_hogs(_t(spark, d, "conversations"), "text", ["conv_id", "turn"])
+
+
+@_query("""SELECT role AS tool, count(*) AS calls, sum(length(coalesce(text, '')))::BIGINT AS chars, round(sum(length(coalesce(text, ''))) / 4.0)::BIGINT AS tokens FROM conversations GROUP BY role""")
+def tool_weights(spark, d):
+    return stats.tool_weights(_t(spark, d, "conversations"), "role", "text")
+
+
+def _outcomes(spark, d):
+    e = _t(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    kind = F.col("event_type")
+    return stats.outcomes(e, ["user_id", "day"], ORDER, kind == "error", kind == "purchase", F.col("value") < 10)
+
+
+_OUTCOME = """SELECT user_id, day, CASE WHEN n_verified > 0 AND verified_bad THEN 'failed' WHEN n_verified > 0 THEN 'success' WHEN n_errors > 0 AND NOT last_bad THEN 'unknown' WHEN n_errors > 0 THEN 'failed' ELSE 'unknown' END AS status, n_errors, n_verified
+FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(value < 10, (ts, event_id)) FILTER (event_type = 'purchase') AS verified_bad, count(*) FILTER (event_type = 'purchase') AS n_verified, count(*) FILTER (event_type = 'error') AS n_errors, arg_max(event_type = 'error', (ts, event_id)) AS last_bad FROM events GROUP BY 1, 2)"""
+
+
+@_query(_OUTCOME)
+def outcome(spark, d):
+    return _outcomes(spark, d)
+
+
+@_query(f"""SELECT day, count(*) AS runs, CASE WHEN count(*) FILTER (status = 'failed') = count(*) THEN 'failed' WHEN count(*) FILTER (status = 'success') = count(*) THEN 'success' WHEN count(*) FILTER (status IN ('failed', 'success')) > 0 THEN 'mixed' ELSE 'unknown' END AS status FROM ({_OUTCOME}) GROUP BY day""")
+def outcome_combined(spark, d):
+    return stats.combined_outcome(_outcomes(spark, d), ["day"])
+
+
+@_query("""WITH f AS (SELECT conv_id, turn, md5(role || ':text:' || coalesce(text, '')) AS fp FROM conversations),
+p AS (SELECT DISTINCT conv_id AS l, conv_id + 1 AS r FROM conversations WHERE conv_id + 1 IN (SELECT conv_id FROM conversations)),
+b AS (SELECT coalesce(x.l, y.l) AS l, coalesce(x.r, y.r) AS r, coalesce(x.pos, y.pos) AS pos, fa, fb FROM
+ (SELECT l, r, turn AS pos, fp AS fa FROM p JOIN f ON conv_id = l) x FULL JOIN (SELECT l, r, turn AS pos, fp AS fb FROM p JOIN f ON conv_id = r) y ON x.l = y.l AND x.r = y.r AND x.pos = y.pos)
+SELECT l, r, coalesce(min(pos) FILTER (fa IS DISTINCT FROM fb), max(pos) + 1) AS common_prefix,
+ coalesce(arg_min(CASE WHEN fb IS NULL THEN 'left-only' WHEN fa IS NULL THEN 'right-only' ELSE 'content' END, pos) FILTER (fa IS DISTINCT FROM fb), 'identical') AS reason FROM b GROUP BY l, r""")
+def positional_diff(spark, d):
+    c = _t(spark, d, "conversations")
+    fp = c.select(F.col("conv_id").alias("rec"), F.col("turn").alias("pos"), trace.fingerprint(F.col("role"), F.coalesce("text", F.lit(""))).alias("fp"))
+    ids = c.select("conv_id").distinct()
+    pairs = ids.select(F.col("conv_id").alias("l"), (F.col("conv_id") + 1).alias("r")).join(ids.withColumnRenamed("conv_id", "r"), "r", "left_semi")
+    return compare.positional_diff(pairs, fp, fp)
+
+
+@_query(r"""SELECT conv_id, turn, CASE WHEN before = text THEN 'identical' WHEN trim(regexp_replace(before, '\s+', ' ', 'g')) = trim(regexp_replace(text, '\s+', ' ', 'g')) THEN 'wording' ELSE 'text' END AS kind
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'assistant') WHERE before IS NOT NULL""")
+def answer_divergence(spark, d):
+    return compare.answer_divergence(_t(spark, d, "conversations").where("role = 'assistant'"), "conv_id", "turn", "text")
+
+
+@_query("SELECT conv_id, turn, md5(role || ':text:' || text) AS fingerprint FROM conversations")
+def fingerprint(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", trace.fingerprint(F.col("role"), F.col("text")).alias("fingerprint"))
+
+
+def _tree(spark, d):
+    """Each event's parent is the event before it of the same user, or the one two before where event_id % 7 = 0."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(*ORDER)
+    two = F.lag("event_id", 2).over(w)
+    parent = F.when((F.col("event_id") % 7 == 0) & two.isNotNull(), two).otherwise(F.lag("event_id", 1).over(w))
+    return _t(spark, d, "events").select("user_id", F.col("event_id").alias("node"), parent.alias("parent"))
+
+
+_TREE = """SELECT user_id, event_id AS node, CASE WHEN event_id % 7 = 0 AND lag(event_id, 2) OVER w IS NOT NULL THEN lag(event_id, 2) OVER w ELSE lag(event_id) OVER w END AS parent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@_query(f"WITH t AS ({_TREE}) SELECT user_id, node FROM t WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.user_id = t.user_id AND c.parent = t.node)")
+def leaves(spark, d):
+    return trace.leaves(_tree(spark, d), "user_id", "node", "parent").select("user_id", "node")
+
+
+@_query(f"WITH t AS ({_TREE}) SELECT user_id, parent AS node, count(*) AS children FROM t WHERE parent IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def branch_points(spark, d):
+    return trace.branch_points(_tree(spark, d), "user_id", "parent")
+
+
+@_query(f"WITH RECURSIVE t AS MATERIALIZED ({_TREE}), r AS (SELECT user_id, node, 0::BIGINT AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.user_id, t.node, depth + 1 FROM r JOIN t ON t.user_id = r.user_id AND t.parent = r.node) SELECT * FROM r")
+def ancestor_path(spark, d):
+    return trace.depths(_tree(spark, d), "user_id", "node", "parent")
+
+
+@_query("SELECT md5(text) AS digest, min(doc_id) AS first_seen, count(*) AS refs, length(text)::BIGINT AS chars, (count(*) - 1) * length(text) AS saved FROM documents WHERE length(text) >= 256 GROUP BY text")
+def string_pool(spark, d):
+    return stats.string_pool(_t(spark, d, "documents"), "text", "doc_id")
+
+
+@_query("SELECT count(*) AS strings, sum((refs - 1) * chars)::BIGINT AS saved FROM (SELECT count(*) AS refs, length(text) AS chars FROM documents WHERE length(text) >= 256 GROUP BY text)")
+def pool_savings(spark, d):
+    return string_pool(spark, d).agg(F.count("*").alias("strings"), F.sum("saved").alias("saved"))
+
+
+@_query("""WITH o AS (SELECT doc_id // 2 AS k, md5(text) AS was FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id // 2 AS k, md5(text) AS now FROM documents WHERE doc_id % 2 = 1)
+SELECT * FROM (SELECT coalesce(o.k, n.k) AS k, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN was <> now THEN 'changed' END AS state FROM o FULL JOIN n ON o.k = n.k) WHERE state IS NOT NULL""")
+def digest_delta(spark, d):
+    """Two snapshots: the even and the odd documents, by half their id."""
+    t = _t(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("k"), F.md5("text").alias("digest"), (F.col("doc_id") % 2).alias("odd"))
+    return compare.digest_delta(t.where("odd = 0"), t.where("odd = 1"), "k", "digest")
+
+
+def _duck(rule: str) -> str:
+    """A rule in the other engine's dialect."""
+    return rule.replace(r"(?s:.*?)", r"[\s\S]*?").replace("'", "''")
+
+
+def _duck_redacted(c: str) -> str:
+    for label, rule in T.SECRET_RULES + [T.PROSE_RULE]:
+        c = f"regexp_replace({c}, '{_duck(rule)}', '\\1[redacted]{'@' if label == 'url_credentials' else ''}', 'g')"
+    return c
+
+
+@_query(f"SELECT doc_id, md5({_duck_redacted('text')}) AS digest, {_duck_redacted('text')} <> text AS changed FROM documents")
+def redact_docs(spark, d):
+    r = T.redacted(F.col("text"), aggressive=True)
+    return _t(spark, d, "documents").select("doc_id", F.md5(r).alias("digest"), (r != F.col("text")).alias("changed"))
+
+
+@_query("SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '{_duck(r)}') THEN '{n}'" for n, r in T.SECRET_RULES + [T.PROSE_RULE]) + " END AS label FROM documents")
+def secret_labels(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.secret_label(F.col("text"), aggressive=True).alias("label"))
+
+
+@_query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches({'lower(url)' if w == 'path' else chr(114) + 'egexp_extract(lower(url), ' + chr(39) + '([^/]*)$' + chr(39) + ', 1)'}, '{r}') THEN '{k}'" for k, w, r in T.FILE_KINDS) + " ELSE 'other' END AS kind FROM pages")
+def file_category(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.file_kind(F.col("url")).alias("kind"))
+
+
+@_query(r"SELECT page_id, NOT regexp_matches(regexp_replace(url, '^https?://[^/]*', ''), '^(\.\./|/|~/|[A-Za-z]:[\\/])') AS portable FROM pages")
+def portable_paths(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.is_portable_path(F.regexp_replace("url", "^https?://[^/]*", "")).alias("portable"))
+
+
+@_query("SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64) AS slug FROM part")
+def slug(spark, d):
+    return _t(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
+
+
+@_query(r"""SELECT source, doc_id, tokens, used::BIGINT AS used FROM (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS rank FROM (SELECT source, doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE used <= 1200 OR rank = 1""")
+def tokens_budget(spark, d):
+    r = search.within_budget(_t(spark, d, "documents").select("source", "doc_id", "text"), "source", ["doc_id"], "text", 1200)
+    return r.select("source", "doc_id", "tokens", F.col("used"))
+
+
+_TERMS = r"list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda x: length(x) > 1)"
+_TF = f"tf AS MATERIALIZED (SELECT doc_id AS doc, lower(term) AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc) AS n FROM tf), idf AS MATERIALIZED (SELECT term, count(*) AS df, ln((any_value(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term)"
+
+
+@_query(f"WITH {_TF} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def term_df(spark, d):
+    return search.term_statistics(_t(spark, d, "documents"), "doc_id", "text")
+
+
+@_query(f"""WITH {_TF}, s AS (SELECT doc, sum(tf * idf * idf) FILTER (term IN ('token', 'license', 'public')) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm, count(*) FILTER (term IN ('token', 'license', 'public')) AS matched FROM tf JOIN idf USING (term) GROUP BY doc),
+k AS (SELECT sum(idf * idf) AS q, count(*) AS k FROM idf WHERE term IN ('token', 'license', 'public'))
+SELECT doc, round(least(1.0, dot / (norm * sqrt(q + (3 - k) * 0.25))), 4) AS score, matched FROM s, k WHERE matched > 0 ORDER BY score DESC, doc LIMIT 20""")
+def tfidf_search(spark, d):
+    return search.search(_t(spark, d, "documents"), "doc_id", "text", ["token", "license", "public"], 20)
+
+
+@_query("""WITH t AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), e AS (SELECT s, d, count(*) * 0.5 AS w FROM t WHERE d IS NOT NULL GROUP BY s, d)
+SELECT s AS node, sum(w)::DOUBLE AS degree FROM (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e) GROUP BY s""")
+def degree(spark, d):
+    r = graph.degrees(graph.transitions(_t(spark, d, "events"), "user_id", ORDER, "event_type"))
+    return r.select("node", F.col("degree").cast("double").alias("degree"))
+
+
+@_query("""WITH t AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), h AS (SELECT s, d, count(*) * 0.5 AS w FROM t WHERE d IS NOT NULL GROUP BY s, d),
+e AS (SELECT s, d, sum(w)::DOUBLE AS w FROM (SELECT s, d, w FROM h UNION ALL SELECT d, s, w FROM h) GROUP BY s, d), m AS (SELECT sum(w) AS m2 FROM e),
+c AS (SELECT CASE WHEN s IN ('error', 'click') THEN 0 ELSE 1 END AS cs, CASE WHEN d IN ('error', 'click') THEN 0 ELSE 1 END AS cd, w FROM e)
+SELECT round(sum(own / m2 - (deg / m2) ** 2), 6) AS q FROM (SELECT cs, sum(CASE WHEN cs = cd THEN w ELSE 0 END) AS own, sum(w) AS deg FROM c GROUP BY cs), m""")
+def modularity_given(spark, d):
+    e = graph.transitions(_t(spark, d, "events"), "user_id", ORDER, "event_type").select("s", "d", F.col("w").cast("double").alias("w"))
+    nodes = e.select(F.col("s").alias("node")).distinct().withColumn("community", F.when(F.col("node").isin("error", "click"), 0).otherwise(1))
+    return graph.modularity(e, nodes)
+
+
+@_query("""SELECT user_id, event_id AS requirement, first_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS provider FROM events QUALIFY event_type = 'purchase'""")
+def link_gaps(spark, d):
+    kind = F.col("event_type")
+    return link.link_requirements(_t(spark, d, "events"), "user_id", ORDER, kind == "signup", kind == "purchase", "event_id")
+
+
+@_query("""SELECT s.user_id, s.event_id AS provision FROM events s WHERE s.event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = s.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) > (s.ts, s.event_id))""")
+def link_leftover(spark, d):
+    kind = F.col("event_type")
+    return link.unconsumed(_t(spark, d, "events"), "user_id", ORDER, kind == "signup", kind == "purchase", "event_id")
+
+
+@_query("""SELECT event_id, CASE WHEN coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'skipped' WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status FROM events""")
+def status_fold(spark, d):
+    return link.status_fold(_t(spark, d, "events"), "user_id", ORDER, F.col("event_type") == "error").select("event_id", "status")
+
+
+@_query("""WITH n AS (SELECT user_id, event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events), k AS (SELECT count(DISTINCT user_id) AS k FROM events)
+SELECT key, nth, count(*) AS runs, round(count(*) / any_value(k), 6) AS support FROM n, k GROUP BY key, nth HAVING count(*) >= 0.6 * any_value(k)""")
+def step_support(spark, d):
+    return align.step_support(_t(spark, d, "events"), "user_id", ORDER, "event_type")
+
+
+@_query("""WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS keys FROM events GROUP BY user_id), p AS (SELECT a.user_id AS run, a.keys AS x, b.keys AS y FROM s a JOIN s b ON b.user_id = a.user_id + 1)
+SELECT run, list_reduce(list_transform(x, lambda v: [v]), lambda above, v: list_reduce(list_transform(range(1, len(y) + 1), lambda j: [j::VARCHAR]), lambda done, j: list_append(done, CASE WHEN y[j[1]::INT] = v[1] THEN (above[j[1]::INT]::INT + 1)::VARCHAR ELSE greatest(above[j[1]::INT + 1]::INT, done[-1]::INT)::VARCHAR END), ['0']), list_transform(range(0, len(y) + 1), lambda z: '0'))[-1]::INT AS lcs FROM p""")
+def lcs_neighbours(spark, d):
+    """Alignment length of each run with the next one."""
+    s = align.sequences(_t(spark, d, "events"), "user_id", ORDER, "event_type")
+    p = s.alias("a").join(s.select((F.col("user_id") - 1).alias("run"), F.col("keys").alias("y")), F.col("a.user_id") == F.col("run"))
+    return p.select("run", align.lcs_length(F.col("keys"), F.col("y")).alias("lcs"))
+
+
+@_query("""SELECT count(DISTINCT n_nationkey) AS n_a, count(DISTINCT n_name) AS n_b, count(DISTINCT (n_nationkey, n_name)) AS n_ab, count(*) AS n, true AS together FROM nation""")
+def covary(spark, d):
+    return stats.covary(_t(spark, d, "nation"), "n_nationkey", "n_name")
+
+
+@_query("""SELECT count(DISTINCT l_returnflag) AS n_a, count(DISTINCT l_linestatus) AS n_b, count(DISTINCT (l_returnflag, l_linestatus)) AS n_ab, count(*) AS n, count(DISTINCT l_returnflag) = count(DISTINCT l_linestatus) AND count(DISTINCT l_returnflag) = count(DISTINCT (l_returnflag, l_linestatus)) AS together FROM lineitem""")
+def covary_flags(spark, d):
+    return stats.covary(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: messages, characters, and the hash of the whole message sequence."""
+    c = _t(spark, sf_dir, "conversations")
+    line = F.struct("turn", F.concat_ws(trace.UNIT, "role", "text").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return c.groupBy("conv_id").agg(
+        F.count("*").alias("n_messages"), F.sum(F.length("text")).cast("long").alias("chars"), F.sha2(F.array_join(lines, trace.RECORD), 256).alias("sequence_hash")
+    )
+
+
+@_query("SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS chars, sha256(string_agg(concat_ws(chr(31), role, text), chr(30) ORDER BY turn)) AS sequence_hash FROM conversations GROUP BY conv_id")
+def sequence_hash(spark, d):
+    return flagship(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
