@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut as cut
+from ..plans.lineage import shared_dir as shared_dir
+
 #: Rows in one Arrow batch sent to Python; texts may be long, so far fewer than the default.
 ARROW_ROWS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting and the context have none (a local session in tests), a temporary
-    folder is set; on a cluster without one this raises instead of using a local disk.
-    """
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tracelode-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder; what follows doesn't depend on an executor's disk."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cut_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Like cut(), for larger data: written as Parquet, which is compressed and read by column. Also its path, for drop_table()."""
     spark = df.sparkSession
