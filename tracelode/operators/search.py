@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, terms
 
+#: Weight of a term that no document has.
+UNKNOWN_IDF = 0.5
+
+
+def _document_frequency(docs: DataFrame, text: str) -> DataFrame:
+    """term, df, idf. Each document sends a term once, and partial counts shrink them before the shuffle."""
+    own = docs.select(F.array_distinct(terms(F.col(text))).alias("terms"))
+    n = own.where(F.size("terms") > 0).count()
+    df = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1)
+
 
-def term_statistics(docs: DataFrame, doc: str, text: str) -> DataFrame:
+def term_statistics(docs: DataFrame, text: str) -> DataFrame:
     """Per term: df and idf = ln((N + 1) / (df + 1)) + 1, N the documents that have a term."""
-    tf = docs.select(F.col(doc).alias("doc"), F.explode(terms(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    n = tf.agg(F.count_distinct("doc").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return _document_frequency(docs, text).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int = 10) -> DataFrame:
-    """Documents by cosine of TF-IDF with the query's terms, rounded to 4 places; ties by document."""
-    tf = docs.select(F.col(doc).alias("doc"), F.explode(terms(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    n = tf.agg(F.count_distinct("doc").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    idf = df.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    """Documents by cosine of TF-IDF with the query's terms, rounded to 4 places; ties by document.
+
+    Only documents that have a term of the query are split into weights.
+    """
+    idf = _document_frequency(docs, text).select("term", "idf")
+    found = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
+    found = found.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in query])))
+    tf = found.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     wanted = F.col("term").isin(*query)
     weight = F.col("tf") * F.col("idf")
     scored = tf.join(idf, "term").groupBy("doc").agg(
         F.sum(F.when(wanted, weight * F.col("idf"))).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"), F.count_if(wanted).cast("long").alias("matched")
     )
-    known = idf.where(wanted).agg(F.sum(F.col("idf") * F.col("idf")).alias("q"), F.count("*").alias("k"))
-    scored = scored.where("matched > 0").join(F.broadcast(known))
-    q = F.sqrt(F.col("q") + (len(query) - F.col("k")) * 0.25)
+    known = [r.idf for r in idf.where(wanted).collect()]  # at most the query's terms
+    q = math.sqrt(sum(x * x for x in known) + (len(query) - len(known)) * UNKNOWN_IDF**2)
     d = scored.select("doc", F.round(F.least(F.lit(1.0), F.col("dot") / (F.col("norm") * q)), 4).alias("score"), "matched")
     return d.orderBy(F.desc("score"), "doc").limit(limit)
 

@@ -170,8 +170,8 @@ def _duck_redacted(c: str) -> str:
 
 @_query(f"SELECT doc_id, md5({_duck_redacted('text')}) AS digest, {_duck_redacted('text')} <> text AS changed FROM documents")
 def redact_docs(spark, d):
-    r = T.redacted(F.col("text"), aggressive=True)
-    return _t(spark, d, "documents").select("doc_id", F.md5(r).alias("digest"), (r != F.col("text")).alias("changed"))
+    r = _t(spark, d, "documents").select("doc_id", "text", T.redacted(F.col("text"), aggressive=True).alias("clean"))
+    return r.select("doc_id", F.md5("clean").alias("digest"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
 @_query("SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '{_duck(r)}') THEN '{n}'" for n, r in T.SECRET_RULES + [T.PROSE_RULE]) + " END AS label FROM documents")
@@ -206,7 +206,7 @@ _TF = f"tf AS MATERIALIZED (SELECT doc_id AS doc, lower(term) AS term, count(*)
 
 @_query(f"WITH {_TF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def term_df(spark, d):
-    return search.term_statistics(_t(spark, d, "documents"), "doc_id", "text")
+    return search.term_statistics(_t(spark, d, "documents"), "text")
 
 
 @_query(f"""WITH {_TF}, s AS (SELECT doc, sum(tf * idf * idf) FILTER (term IN ('token', 'license', 'public')) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm, count(*) FILTER (term IN ('token', 'license', 'public')) AS matched FROM tf JOIN idf USING (term) GROUP BY doc),
@@ -262,6 +262,7 @@ def lcs_neighbours(spark, d):
     """Alignment length of each run with the next one."""
     s = align.sequences(_t(spark, d, "events"), "user_id", ORDER, "event_type")
     p = s.alias("a").join(s.select((F.col("user_id") - 1).alias("run"), F.col("keys").alias("y")), F.col("a.user_id") == F.col("run"))
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run")
     return p.select("run", align.lcs_length(F.col("keys"), F.col("y")).alias("lcs"))
 
 
