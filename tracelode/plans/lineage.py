@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once into the shared folder; what follows doesn't depend on an executor's disk."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def python_path(spark: SparkSession) -> None:
+    """Tell Python workers where this package is, where their path lacks it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, compare, graph, link, search, stats, trace
+from .operators import align, compare, graph, link, procedure, replay, search, stats, trace
 
 ORDER = ["ts", "event_id"]
 KINDS = ["signup", "view", "purchase", "error", "click"]
@@ -276,6 +276,58 @@ def covary_flags(spark, d):
     return stats.covary(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
+def _requests(spark, d):
+    """Answers of the recordings, and requests whose history has each conversation's second message changed where conv_id is odd."""
+    c = _t(spark, d, "conversations")
+    changed = F.when((F.col("turn") == 1) & (F.col("conv_id") % 2 == 1), F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))
+    hashed = lambda t: trace.prefix_hashes(t, "conv_id", "turn", "role", "text").where("role = 'assistant'")
+    answers = hashed(c).select(F.col("conv_id").alias("rec"), F.col("turn").alias("seq"), F.col("prefix_hash").alias("hash"))
+    requests = hashed(c.withColumn("text", changed)).select(F.col("conv_id").alias("rec"), F.col("turn").alias("req"), F.col("prefix_hash").alias("hash"))
+    return requests, answers
+
+
+@_query("""SELECT conv_id AS rec, turn AS req, turn AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'cursor' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
+def replay_serve(spark, d):
+    return replay.replay(*_requests(spark, d))
+
+
+@_query("""SELECT conv_id AS rec, turn AS req, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN NULL ELSE turn END AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'miss' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
+def replay_fork(spark, d):
+    return replay.replay(*_requests(spark, d), fall_back=False)
+
+
+@_query("""SELECT event_id, event_type IN ('view', 'click') AND coalesce(max((event_type NOT IN ('view', 'click'))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
+AND row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS reconnects FROM events""")
+def reconnect_horizon(spark, d):
+    e = _t(spark, d, "events")
+    return replay.reconnect(e, "user_id", ORDER, "event_type", "props", F.col("event_type").isin("view", "click")).select("event_id", "reconnects")
+
+
+@_query("""SELECT c_custkey, replace(replace('ship to {{name}} in {{nation}} by {{date}}', '{{name}}', c_name), '{{nation}}', n_name) AS step, 'date' AS missing FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def instantiate(spark, d):
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    step = procedure.fill(F.lit("ship to {{name}} in {{nation}} by {{date}}"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("nation"), F.col("n_name")))
+    return c.select("c_custkey", step.alias("step")).withColumn("missing", F.array_join(procedure.missing_names(F.col("step")), ","))
+
+
+@_query("""SELECT nation, name, scope FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY p, name) AS nth FROM (SELECT s_nationkey AS nation, s_name AS name, 'project' AS scope, 0 AS p FROM supplier UNION ALL SELECT c_nationkey, c_name, 'global', 1 FROM customer)) WHERE nth = 1""")
+def shadow_precedence(spark, d):
+    s = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.lit("project").alias("scope"), F.lit(0).alias("p"))
+    c = _t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.lit("global").alias("scope"), F.lit(1).alias("p"))
+    return procedure.first_by_priority(s.unionByName(c), "nation", "p", "name").drop("p")
+
+
+@_query("""WITH c AS (SELECT o_custkey AS proc, o_orderkey % 40 + 1 AS b, o_orderkey % 40 + 1 + o_orderkey % 5 AS e FROM orders), x AS (SELECT * FROM c UNION ALL SELECT DISTINCT proc, 51, 51 FROM c),
+r AS (SELECT *, coalesce(max(e) OVER (PARTITION BY proc ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM x)
+SELECT proc, reach + 1 AS "begin", b - 1 AS "end" FROM r WHERE b > reach + 1""")
+def segment_ranges(spark, d):
+    """Cuts of 50-step procedures made of order keys; the ranges that none covers."""
+    b = F.col("o_orderkey") % 40 + 1
+    cuts = _t(spark, d, "orders").select(F.col("o_custkey").alias("proc"), b.alias("b"), (b + F.col("o_orderkey") % 5).alias("e"))
+    last = cuts.select("proc").distinct().withColumn("last_step", F.lit(50).cast("long"))
+    return procedure.uncovered(cuts, "proc", "b", "e", last)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: messages, characters, and the hash of the whole message sequence."""
     c = _t(spark, sf_dir, "conversations")
