@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut as cut
+from ..plans.lineage import python_path
 from ..plans.lineage import shared_dir as shared_dir
 
 #: Rows in one Arrow batch sent to Python; texts may be long, so far fewer than the default.
@@ -33,7 +33,7 @@ def arrow_limits(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
     Python workers also get this package's place, where their path lacks it.
     """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    python_path(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
