@@ -56,3 +56,18 @@ def test_shell_shapes(spark):
 
 def test_serve_uses_each_answer_once():
     assert replay.serve(1, [(0, "a"), (1, "a"), (2, "z"), (3, "z")], [(10, "b"), (11, "a")]) == [(1, 0, "hash", 11), (1, 1, "cursor", 10), (1, 2, "miss", None), (1, 3, "miss", None)]
+
+
+def test_stream_goes_on_where_it_was(spark, tmp_path):
+    from tracelode.streaming.replay import serve_stream
+
+    answers = spark.createDataFrame([(1, 10, "a"), (1, 11, "a"), (1, 12, "b")], "rec long, seq long, hash string")
+    schema = "rec long, req long, hash string"
+    got = []
+    for batch in ([(1, 0, "a"), (2, 0, "a")], [(1, 1, "a"), (1, 2, "z"), (1, 3, "a")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        served = serve_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), answers)
+        q = served.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 0, "hash", 10), (1, 1, "hash", 11), (1, 2, "cursor", 12), (1, 3, "miss", None), (2, 0, "miss", None)]

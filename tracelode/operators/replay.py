@@ -11,18 +11,19 @@ from ..plans.lineage import python_path
 SERVED = "rec long, req long, via string, seq long"
 
 
-def serve(rec: str, requests: list[tuple[int, str]], answers: list[tuple[int, str]], fall_back: bool = True) -> list[tuple]:
+def serve(rec: int, requests: list[tuple[int, str]], answers: list[tuple[int, str]], fall_back: bool = True, used: set[int] | None = None) -> list[tuple]:
     """Requests (number, hash) of one recording against its answers (seq, hash), each answer once.
 
     The first unused answer of the request's hash; else, where falling back, the first unused answer
     ('cursor', counted as a miss of the hash); else 'miss'. In order, as each use changes what is left.
+    used holds the places of answers that are gone, and gets those that go now.
     """
     by_hash: dict[str, list[int]] = {}
     for k, (_, h) in enumerate(answers):
         by_hash.setdefault(h, []).append(k)
     for own in by_hash.values():
         own.reverse()
-    used, cursor, out = set(), 0, []
+    used, cursor, out = set() if used is None else used, 0, []
     for number, h in requests:
         own = by_hash.get(h, [])
         while own and own[-1] in used:

@@ -7,6 +7,7 @@ and ``pages`` for text bodies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import align, compare, graph, link, procedure, replay, search, stats, trace
+from .plans.lineage import shared_dir
+from .streaming import replay as stream
 
 ORDER = ["ts", "event_id"]
 KINDS = ["signup", "view", "purchase", "error", "click"]
@@ -296,6 +299,18 @@ def replay_fork(spark, d):
     return replay.replay(*_requests(spark, d), fall_back=False)
 
 
+@_query("""SELECT conv_id AS rec, turn AS req, turn AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'cursor' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
+def stream_replay(spark, d):
+    """The requests of replay_serve as a stream of files, served statefully; the rows that the stream has written."""
+    requests, answers = _requests(spark, d)
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    requests.write.parquet(f"{at}/in")
+    served = stream.serve_stream(spark.readStream.schema(requests.schema).parquet(f"{at}/in"), answers)
+    out = served.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    out.outputMode("append").start().awaitTermination()
+    return spark.read.schema(served.schema).parquet(f"{at}/out")
+
+
 @_query("""SELECT event_id, event_type IN ('view', 'click') AND coalesce(max((event_type NOT IN ('view', 'click'))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
 AND row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS reconnects FROM events""")
 def reconnect_horizon(spark, d):
