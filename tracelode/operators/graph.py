@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, python_path
+
 
 def transitions(steps: DataFrame, run: str, order: list[str], key: str) -> DataFrame:
     """Undirected weighted edges s, d, w between keys that follow each other; both directions are rows, a self-edge counts twice."""
@@ -25,3 +28,69 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     inside = e.groupBy("cs").agg(F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("own"), F.sum("w").alias("deg"))
     q = inside.join(F.broadcast(total)).agg(F.sum(F.col("own") / F.col("m2") - F.pow(F.col("deg") / F.col("m2"), F.lit(2.0))).alias("q"))
     return q.select(F.round("q", 6).alias("q"))
+
+
+def page_rank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, epsilon: float = 1e-6, nodes: DataFrame | None = None) -> DataFrame:
+    """node, score. Nodes (default: the ends of edges) without edges spread their mass over all.
+
+    Stops when the scores change by less than n * epsilon in sum, or after the given rounds. The
+    state of a round is a row for each node; it is cut, so the plan doesn't grow.
+    """
+    nodes = cut((edges.select(F.col("s").alias("node")) if nodes is None else nodes.select("node")).distinct())
+    n = nodes.count()
+    e = cut(edges.join(degrees(edges).withColumnRenamed("node", "s"), "s").where("degree > 0").select("s", "d", (F.col("w") / F.col("degree")).alias("share")))
+    loose = nodes.join(e.select(F.col("s").alias("node")).distinct(), "node", "left_anti")
+    r = nodes.withColumn("score", F.lit(1.0 / n if n else 0.0))
+    for _ in range(rounds):
+        spread = r.join(loose, "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0
+        got = r.withColumnRenamed("node", "s").join(e, "s").groupBy(F.col("d").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        new = r.join(got, "node", "left").select("node", (F.lit((1 - alpha + alpha * spread) / max(n, 1)) + alpha * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was"))
+        new = cut(new)
+        change = new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
+        r = new.drop("was")
+        if change < n * epsilon:
+            break
+    return r
+
+
+def communities(edges: DataFrame, passes: int = 40, most_nodes: int = 100_000) -> DataFrame:
+    """node, community by greedy single-level modularity.
+
+    Nodes move one after the other, in order of their names, so this is sequential by nature and runs
+    in one task; graphs of more nodes than the bound are refused.
+    """
+    if edges.select("s").distinct().count() > most_nodes:
+        raise ValueError("the graph is too large for the sequential method")
+    python_path(edges.sparkSession)
+    kind = dict(edges.dtypes)["s"]
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for s, d, w in e[["s", "d", "w"]].itertuples(index=False):
+            near.setdefault(s, {})[d] = near.setdefault(s, {}).get(d, 0.0) + float(w)
+        ids = sorted(near)
+        degree = {i: sum(near[i].values()) for i in ids}
+        m2 = sum(degree.values())
+        own = {i: k for k, i in enumerate(ids)}
+        total = {k: degree[i] for i, k in own.items()}
+        for _ in range(passes if m2 else 0):
+            moved = False
+            for i in ids:
+                into: dict[int, float] = {}
+                for j in sorted(near[i]):
+                    into[own[j]] = into.get(own[j], 0.0) + near[i][j]
+                gain = lambda c, i=i, into=into: into.get(c, 0.0) / m2 - total[c] * degree[i] * 2 / (m2 * m2)
+                best, top = own[i], gain(own[i])
+                for c in into:
+                    if gain(c) > top:
+                        best, top = c, gain(c)
+                if best != own[i]:
+                    total[own[i]] -= degree[i]
+                    total[best] += degree[i]
+                    own[i], moved = best, True
+            if not moved:
+                break
+        number: dict[int, int] = {}
+        return pd.DataFrame({"node": ids, "community": [number.setdefault(own[i], len(number)) for i in ids]})
+
+    return edges.groupBy().applyInPandas(run, f"node {kind}, community long")

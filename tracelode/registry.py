@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, compare, graph, link, procedure, replay, search, stats, trace
+from .operators import align, compare, freshness, graph, link, procedure, replay, search, stats, trace
 from .plans.lineage import shared_dir
 from .streaming import replay as stream
 
@@ -279,6 +279,34 @@ def covary_flags(spark, d):
     return stats.covary(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
+@_query("""WITH RECURSIVE e AS MATERIALIZED (SELECT s, d, sum(w) AS w FROM (SELECT 'p' || l_partkey AS s, 's' || l_suppkey AS d, 1.0::DOUBLE AS w FROM lineitem UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, 1.0 FROM lineitem) GROUP BY s, d),
+g AS MATERIALIZED (SELECT s, sum(w) AS deg FROM e GROUP BY s), n AS MATERIALIZED (SELECT count(*) AS n FROM g),
+r AS (SELECT s AS node, 1.0::DOUBLE / n AS score, 0 AS i FROM g, n UNION ALL
+ SELECT e.d, any_value(0.15 / n.n) + 0.85 * sum(r.score * e.w / g.deg), any_value(r.i) + 1 FROM r JOIN e ON e.s = r.node JOIN g ON g.s = r.node, n WHERE r.i < 5 GROUP BY e.d)
+SELECT node, round(score, 6) AS score FROM r WHERE i = 5""")
+def hub_steps(spark, d):
+    """Centrality in the graph of parts and their suppliers after five rounds."""
+    e = _t(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("s"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("d"))
+    e = e.union(e.select("d", "s")).groupBy("s", "d").agg(F.count("*").cast("double").alias("w"))
+    return graph.page_rank(e, rounds=5, epsilon=0).select("node", F.round("score", 6).alias("score"))
+
+
+@_query()
+def communities(spark, d):
+    return graph.communities(graph.transitions(_t(spark, d, "events"), "user_id", ORDER, "event_type").select("s", "d", F.col("w").cast("double").alias("w")))
+
+
+@_query("""WITH p AS (SELECT c_custkey AS k, c_custkey % 60 AS age FROM customer), v AS (SELECT o_custkey AS k, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN 127 ELSE 0 END ELSE 1 END AS code FROM orders),
+n AS (SELECT k, count(*) AS n, count(*) FILTER (code = 1) AS stale, count(*) FILTER (code = 127) AS unknown FROM v GROUP BY k)
+SELECT p.k, CASE WHEN n IS NULL THEN CASE WHEN age > 30 THEN 'unknown' ELSE 'unchecked' END WHEN stale > 0 THEN 'stale' WHEN unknown = n OR (age > 30 AND unknown > 0) THEN 'unknown' ELSE 'fresh' END AS status FROM p LEFT JOIN n ON n.k = p.k""")
+def freshness_fold(spark, d):
+    """Customers as procedures, orders as validator results."""
+    p = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 60).alias("age_days"))
+    code = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 3 == 0, 127).otherwise(0)).otherwise(1)
+    v = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), code.alias("exit_code"), F.lit("").alias("stderr"))
+    return freshness.freshness(p, v, "k")
+
+
 def _requests(spark, d):
     """Answers of the recordings, and requests whose history has each conversation's second message changed where conv_id is odd."""
     c = _t(spark, d, "conversations")
