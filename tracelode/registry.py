@@ -307,6 +307,70 @@ def freshness_fold(spark, d):
     return freshness.freshness(p, v, "k")
 
 
+_PAIRS = """WITH s AS (SELECT user_id // 5 AS family, user_id AS run, list(event_type ORDER BY ts, event_id) AS keys FROM events GROUP BY 1, 2),
+q AS (SELECT a.family, a.run AS a, b.run AS b, a.keys AS x, b.keys AS y FROM s a JOIN s b ON a.family = b.family AND a.run < b.run),
+p AS MATERIALIZED (SELECT family, a, b, len(x) AS n_a, len(y) AS n_b, list_reduce(list_transform(x, lambda v: [v]), lambda above, v: list_reduce(list_transform(range(1, len(y) + 1), lambda j: [j::VARCHAR]), lambda done, j: list_append(done, CASE WHEN y[j[1]::INT] = v[1] THEN (above[j[1]::INT]::INT + 1)::VARCHAR ELSE greatest(above[j[1]::INT + 1]::INT, done[-1]::INT)::VARCHAR END), ['0']), list_transform(range(0, len(y) + 1), lambda z: '0'))[-1]::BIGINT AS lcs FROM q)"""
+
+
+def _pairs(spark, d):
+    """Families of five neighbouring users."""
+    s = align.sequences(_t(spark, d, "events"), "user_id", ORDER, "event_type")
+    return align.family_pairs(s.withColumn("family", F.floor(F.col("user_id") / 5)), "family", "user_id", "keys")
+
+
+@_query(_PAIRS + """, t AS (SELECT family, run, sum(lcs)::BIGINT AS total FROM (SELECT family, a AS run, lcs FROM p UNION ALL SELECT family, b, lcs FROM p) GROUP BY 1, 2)
+SELECT family, run, total FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY total DESC, run) AS nth FROM t) WHERE nth = 1""")
+def medoid(spark, d):
+    return align.medoids(_pairs(spark, d))
+
+
+@_query(_PAIRS + " SELECT family, round(avg(lcs / least(n_a, n_b)), 6) AS orthogonality FROM p GROUP BY family")
+def orthogonality(spark, d):
+    return align.orthogonality(_pairs(spark, d))
+
+
+@_query("""WITH w AS (SELECT string_split(p_type, ' ') AS w FROM part), x AS (SELECT w[1] AS verb, len(w) AS n_words, unnest(range(0, len(w))) AS place, unnest(w) AS word FROM w)
+SELECT verb, n_words, place, count(DISTINCT word) AS n_values, count(DISTINCT word) > 1 AS slot FROM x GROUP BY 1, 2, 3""")
+def anti_unify(spark, d):
+    return align.varying_words(_t(spark, d, "part"), "p_type")
+
+
+@_query("""WITH r AS (SELECT o_orderkey AS run, o_orderpriority AS variant, {'status': o_orderstatus, 'priority': o_orderpriority} AS s FROM orders),
+v AS (SELECT run, variant, unnest([{'slot': 'o_orderstatus', 'value': s.status}, {'slot': 'o_orderpriority', 'value': s.priority}], recursive := true) FROM r),
+t AS (SELECT slot, value, count(*) AS n_all FROM v GROUP BY 1, 2), n AS (SELECT slot, count(*) AS n_runs FROM v GROUP BY 1), i AS (SELECT variant, slot, value, count(*) AS n_in FROM v GROUP BY 1, 2, 3)
+SELECT variant, slot, count(*) = 1 AND sum(n_in) = sum(n_all) AND sum(n_in) < any_value(n_runs) AS is_condition FROM i JOIN t USING (slot, value) JOIN n USING (slot) GROUP BY 1, 2""")
+def discriminating_condition(spark, d):
+    """Orders as runs, their priority as the variant step, status and priority as slots."""
+    return align.discriminating(_t(spark, d, "orders"), "o_orderkey", "o_orderpriority", ["o_orderstatus", "o_orderpriority"])
+
+
+@_query("SELECT event_type AS key, count(DISTINCT user_id) AS runs, md5(string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR)) AS digest FROM events GROUP BY 1")
+def step_usage(spark, d):
+    """Which runs have each step: their number and a digest of the sorted list."""
+    e = _t(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("u")).distinct()
+    return e.groupBy("key").agg(F.count("*").alias("runs"), F.md5(F.array_join(F.array_sort(F.collect_list("u")), ",")).alias("digest"))
+
+
+@_query("SELECT user_id, md5(string_agg(event_type, ',' ORDER BY ts, event_id)) AS digest FROM events GROUP BY 1")
+def tool_sequence(spark, d):
+    s = align.sequences(_t(spark, d, "events"), "user_id", ORDER, "event_type")
+    return s.select("user_id", F.md5(F.array_join("keys", ",")).alias("digest"))
+
+
+@_query(r"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'assistant')
+SELECT conv_id, count(*) FILTER (before = text) AS identical, count(*) FILTER (before <> text AND trim(regexp_replace(before, '\s+', ' ', 'g')) = trim(regexp_replace(text, '\s+', ' ', 'g'))) AS wording, count(*) FILTER (trim(regexp_replace(before, '\s+', ' ', 'g')) <> trim(regexp_replace(text, '\s+', ' ', 'g'))) AS structural FROM a WHERE before IS NOT NULL GROUP BY conv_id""")
+def regression_summary(spark, d):
+    kinds = answer_divergence(spark, d)
+    n = lambda k: F.count_if(F.col("kind") == k)
+    return kinds.groupBy("conv_id").agg(n("identical").alias("identical"), n("wording").alias("wording"), n("text").alias("structural"))
+
+
+@_query("""SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS digest FROM events""")
+def canonical_props(spark, d):
+    """Digest of the canonical form (sorted keys, no spaces) of a JSON column."""
+    return _t(spark, d, "events").select("event_id", F.sha2(F.to_json(F.parse_json("props")), 256).alias("digest"))
+
+
 def _requests(spark, d):
     """Answers of the recordings, and requests whose history has each conversation's second message changed where conv_id is odd."""
     c = _t(spark, d, "conversations")
