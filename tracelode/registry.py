@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, procedure, replay, search, stats, trace
+from .operators import align, compare, freshness, graph, link, procedure, replay, search, skeleton, stats, trace
 from .plans.lineage import shared_dir
 from .streaming import replay as stream
 
@@ -371,6 +371,23 @@ def canonical_props(spark, d):
     return _t(spark, d, "events").select("event_id", F.sha2(F.to_json(F.parse_json("props")), 256).alias("digest"))
 
 
+@_query()
+def shared_skeleton(spark, d):
+    """Steps that at least 60 % of a family of five neighbouring users share, aligned to its medoid."""
+    s = align.sequences(_t(spark, d, "events"), "user_id", ORDER, "event_type").withColumn("family", F.floor(F.col("user_id") / 5))
+    return skeleton.skeletons(s, "family", "user_id", "keys")
+
+
+@_query("""WITH v AS (SELECT n_nationkey AS run, unnest(['key', 'name', 'region']) AS slot, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS value FROM nation),
+p AS (SELECT a.slot AS a, b.slot AS b, count(DISTINCT a.run) AS n, count(DISTINCT a.value) AS nx, count(DISTINCT b.value) AS ny, count(DISTINCT (a.value, b.value)) AS nxy FROM v a JOIN v b ON a.run = b.run GROUP BY 1, 2)
+SELECT a AS slot, min(b) AS parameter, max(nx) AS variants FROM p WHERE n >= 2 AND nx >= 2 AND nx = ny AND nx = nxy GROUP BY a""")
+def parameter_groups(spark, d):
+    n = _t(spark, d, "nation")
+    slots = [("key", "n_nationkey"), ("name", "n_name"), ("region", "n_regionkey")]
+    v = n.select(F.col("n_nationkey").alias("run"), F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.col(c).cast("string").alias("value")) for k, c in slots])).alias("x")).select("run", "x.*")
+    return skeleton.parameter_groups(v, "run", "slot", "value")
+
+
 def _requests(spark, d):
     """Answers of the recordings, and requests whose history has each conversation's second message changed where conv_id is odd."""
     c = _t(spark, d, "conversations")
