@@ -212,9 +212,10 @@ def term_df(spark, d):
     return search.term_statistics(_t(spark, d, "documents"), "text")
 
 
-@_query(f"""WITH {_TF}, s AS (SELECT doc, sum(tf * idf * idf) FILTER (term IN ('token', 'license', 'public')) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm, count(*) FILTER (term IN ('token', 'license', 'public')) AS matched FROM tf JOIN idf USING (term) GROUP BY doc),
+@_query(f"""WITH {_TF}, s AS (SELECT doc, coalesce(sum(tf * idf * idf) FILTER (term IN ('token', 'license', 'public')), 0) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm, count(*) FILTER (term IN ('token', 'license', 'public')) AS matched,
+ max((contains(term, 'token'))::INT) + max((contains(term, 'license'))::INT) + max((contains(term, 'public'))::INT) AS inside FROM tf JOIN idf USING (term) GROUP BY doc),
 k AS (SELECT sum(idf * idf) AS q, count(*) AS k FROM idf WHERE term IN ('token', 'license', 'public'))
-SELECT doc, round(least(1.0, dot / (norm * sqrt(q + (3 - k) * 0.25))), 4) AS score, matched FROM s, k WHERE matched > 0 ORDER BY score DESC, doc LIMIT 20""")
+SELECT doc, round(least(1.0::DOUBLE, dot / (norm * sqrt(q + (3 - k) * 0.25)) + inside * 0.3::DOUBLE / (inside * 0.3::DOUBLE + 1)), 4) AS score, matched FROM s, k WHERE inside > 0 ORDER BY score DESC, doc LIMIT 20""")
 def tfidf_search(spark, d):
     return search.search(_t(spark, d, "documents"), "doc_id", "text", ["token", "license", "public"], 20)
 
