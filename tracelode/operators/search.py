@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, terms
+from ..plans.lineage import cut
 
 #: Weight of a term that no document has.
 UNKNOWN_IDF = 0.5
@@ -16,11 +17,16 @@ BONUS = 0.3
 
 
 def _document_frequency(docs: DataFrame, text: str) -> DataFrame:
-    """term, df, idf. Each document sends a term once, and partial counts shrink them before the shuffle."""
+    """term, df, idf. Each document sends a term once, and an empty one to be counted itself; partial counts shrink them before the shuffle.
+
+    Texts are read once: the table, as large as the vocabulary, is cut.
+    """
     own = docs.select(F.array_distinct(terms(F.col(text))).alias("terms"))
-    n = own.where(F.size("terms") > 0).count()
-    df = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1)
+    own = own.select(F.explode(F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(""))))).alias("term"))
+    df = cut(own.groupBy("term").agg(F.count("*").alias("df")))
+    whole = df.where("term = ''").first()
+    n = whole.df if whole else 0
+    return df.where("term <> ''").withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1)
 
 
 def term_statistics(docs: DataFrame, text: str) -> DataFrame:
