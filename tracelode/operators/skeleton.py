@@ -28,15 +28,21 @@ def alignment(a: list, b: list) -> list[tuple[int, int]]:
     return pairs
 
 
+def aligned_to_medoid(runs: list[list[str]]) -> tuple[int, list[list[tuple[int, int]]]]:
+    """The run with the largest summed alignment to the others (ties: the first), and its alignment with each run."""
+    aligned = [[alignment(a, b) if a is not b else [(i, i) for i in range(len(a))] for b in runs] for a in runs]
+    total = [sum(len(p) for k, p in enumerate(row) if k != m) for m, row in enumerate(aligned)]
+    m = total.index(max(total))
+    return m, aligned[m]
+
+
 def shared_steps(runs: list[list[str]], least: float = 0.6) -> list[tuple[int, str, float]]:
     """(index in the medoid, key, support) of the medoid's steps that enough runs have, itself included."""
     if not runs:
         return []
-    aligned = [[alignment(a, b) if a is not b else [(i, i) for i in range(len(a))] for b in runs] for a in runs]
-    total = [sum(len(p) for k, p in enumerate(row) if k != m) for m, row in enumerate(aligned)]
-    m = total.index(max(total))
+    m, aligned = aligned_to_medoid(runs)
     count = [0] * len(runs[m])
-    for pairs in aligned[m]:
+    for pairs in aligned:
         for i, _ in pairs:
             count[i] += 1
     return [(i, key, n / len(runs)) for i, (key, n) in enumerate(zip(runs[m], count, strict=True)) if n >= least * len(runs)]

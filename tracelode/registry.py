@@ -10,11 +10,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import templates
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, procedure, replay, search, skeleton, stats, trace
+from .operators import align, compare, freshness, graph, link, procedure, procedures, replay, search, skeleton, stats, trace
 from .plans.lineage import shared_dir
 from .streaming import replay as stream
 
@@ -453,6 +454,31 @@ def segment_ranges(spark, d):
     return procedure.uncovered(cuts, "proc", "b", "e", last)
 
 
+@_query("""SELECT c_custkey, 'bash::systemctl restart <*> --port <*>' AS key, 'systemctl restart {{service}} --port {{port}}' AS template, lower(c_mktsegment) || ':free,' || (8000 + c_custkey % 1000) || ':env' AS slots FROM customer""")
+def step_templates(spark, d):
+    """Commands made of customers as templates with their slots."""
+    command = F.concat(F.lit("systemctl restart "), F.lower("c_mktsegment"), F.lit(" --port "), (8000 + F.col("c_custkey") % 1000).cast("string"))
+    c = _t(spark, d, "customer").select("c_custkey", templates.step_of(F.lit("bash"), F.to_json(F.struct(command.alias("command")))).alias("s"))
+    return c.select("c_custkey", "s.key", "s.template", F.array_join(F.transform("s.slots", lambda x: F.concat_ws(":", x["value"], x["kind"])), ",").alias("slots"))
+
+
+def _task_steps(spark, d):
+    """Events as steps of families of five neighbouring users: the type is the command, its property k a slot."""
+    slot = F.array(F.struct(F.lit("k").alias("name"), F.get_json_object("props", "$.k").alias("value"), F.lit("free").alias("kind")))
+    e = _t(spark, d, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)))
+    return e.select(
+        F.floor(F.col("user_id") / 5).alias("family"), F.col("user_id").alias("run"), F.lit(None).cast("string").alias("outcome"), "seq", F.col("event_type").alias("key"),
+        F.col("event_type").alias("verb"), F.lit("other").alias("kind"), F.concat("event_type", F.lit(" {{k}}")).alias("template"), F.lit(False).alias("noise"), slot.alias("slots"),
+    )
+
+
+@_query()
+def task_procedures(spark, d):
+    """The procedure of each family of runs: its sizes, and its steps as one text."""
+    p = procedures.procedures(_task_steps(spark, d))
+    return p.select("name", "observations", F.size("steps").alias("n_steps"), F.size("slots").alias("n_slots"), F.size("parameters").alias("n_parameters"), F.size("optional").alias("n_optional"), F.array_join(F.transform("steps", lambda s: s["template"]), "; ").alias("steps"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: messages, characters, and the hash of the whole message sequence."""
     c = _t(spark, sf_dir, "conversations")
