@@ -454,10 +454,10 @@ def segment_ranges(spark, d):
     return procedure.uncovered(cuts, "proc", "b", "e", last)
 
 
-@_query("""SELECT c_custkey, 'bash::systemctl restart <*> --port <*>' AS key, 'systemctl restart {{service}} --port {{port}}' AS template, lower(c_mktsegment) || ':free,' || (8000 + c_custkey % 1000) || ':env' AS slots FROM customer""")
+@_query("""SELECT c_custkey, 'bash::npm run <*> --port <*>' AS key, 'npm run {{script}} --port {{port}}' AS template, lower(c_mktsegment) || ':free,' || (8000 + c_custkey % 1000) || ':env' AS slots FROM customer""")
 def step_templates(spark, d):
     """Commands made of customers as templates with their slots."""
-    command = F.concat(F.lit("systemctl restart "), F.lower("c_mktsegment"), F.lit(" --port "), (8000 + F.col("c_custkey") % 1000).cast("string"))
+    command = F.concat(F.lit("npm run "), F.lower("c_mktsegment"), F.lit(" --port "), (8000 + F.col("c_custkey") % 1000).cast("string"))
     c = _t(spark, d, "customer").select("c_custkey", templates.step_of(F.lit("bash"), F.to_json(F.struct(command.alias("command")))).alias("s"))
     return c.select("c_custkey", "s.key", "s.template", F.array_join(F.transform("s.slots", lambda x: F.concat_ws(":", x["value"], x["kind"])), ",").alias("slots"))
 
