@@ -15,7 +15,8 @@ def test_conditions():
     assert short("npm install") == {("req", "command", "npm"), ("req", "file", "package.json")}
     assert short("npm install --prefix w vue@3 pinia") == {("req", "command", "npm"), ("pro", "dependency", "vue"), ("pro", "dependency", "pinia")}
     assert short("pip install flask==2 && python -m venv .venv") == {("req", "command", "pip"), ("pro", "dependency", "flask"), ("req", "command", "python"), ("pro", "dir", ".venv")}
-    assert short("sudo docker build -t img .") == {("req", "file", "Dockerfile"), ("req", "command", "docker"), ("pro", "image", "img")}
+    assert short("edit src/a.py") == {("req", "file", "src/a.py"), ("pro", "file", "src/a.py")} and short("glob *.py") == set()
+    assert short("sudo docker build -t img .") == {("req", "command", "sudo"), ("req", "file", "Dockerfile"), ("req", "command", "docker"), ("pro", "image", "img")}
     assert short("docker run -p 80:80 img sh") == {("req", "image", "img"), ("req", "command", "docker")}
     assert short("kubectl apply -f ./k.yml") == {("req", "file", "k.yml"), ("req", "command", "kubectl")}
     assert short("/usr/bin/foo x; ls") == {("req", "command", "foo")}

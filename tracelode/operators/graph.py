@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, python_path
+from .align import lcs_length
 
 
 def transitions(steps: DataFrame, run: str, order: list[str], key: str) -> DataFrame:
@@ -16,6 +17,54 @@ def transitions(steps: DataFrame, run: str, order: list[str], key: str) -> DataF
     return e.union(e.select(F.col("d").alias("s"), F.col("s").alias("d"), "w")).groupBy("s", "d").agg(F.sum("w").alias("w"))
 
 
+def alike(sequences: DataFrame, least: float = 0.3) -> DataFrame:
+    """a, b, share of sequences (name, keys) whose alignment is at least that share of the shorter one.
+
+    A pair must have so many keys in common, so one of the shorter's rarest n - least * n + 1 keys is
+    in the longer: only these meet. The n-th time that a key occurs is a key of its own.
+    """
+    s = sequences.where(F.size("keys") > 0).select("name", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "key"))
+    s = s.withColumn("nth", F.row_number().over(Window.partitionBy("name", "key").orderBy("at")))
+    s = s.join(s.groupBy("key", "nth").agg(F.count("*").alias("df")), ["key", "nth"])
+    rare = s.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("df", "key", "nth"))).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    x = rare.select("key", "nth", F.col("name").alias("x"), F.col("n").alias("nx"))
+    y = s.select("key", "nth", F.col("name").alias("y"), F.col("n").alias("ny"))
+    p = x.join(y, ["key", "nth"]).where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    keys = sequences.select("name", "keys")
+    p = p.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
+    return p.select("a", "b", (lcs_length(F.col("ka"), F.col("kb")) / F.least(F.size("ka"), F.size("kb"))).alias("share")).where(F.col("share") >= least)
+
+
+def procedure_graph(procs: DataFrame, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of procedures (name, steps, parameters): procedures, steps and parameters as nodes.
+
+    Weights: a procedure and its step 1 for each time, steps that follow each other 0.5, a procedure
+    and its parameter 2, a parameter and the step of each member 1, procedures that align 4 * share.
+    Edges are undirected: both directions are rows, and weights add up.
+    """
+    one = F.concat(F.lit("procedure:"), "name")
+    at = procs.select(one.alias("p"), F.posexplode("steps").alias("at", "s")).select("p", "at", F.concat(F.lit("step:"), "s.key").alias("step"), F.col("s.verb").alias("verb"))
+    q = procs.select(one.alias("p"), "name", F.explode("parameters").alias("q"))
+    q = q.select("p", F.col("q.name").alias("label"), F.col("q.members").alias("members"), F.concat_ws("#", F.concat(F.lit("slot:"), "name"), F.get("q.members", F.lit(0))["step"].cast("string"), F.get("q.members", F.lit(0))["slot"]).alias("slot"))
+    follows = at.select("step", F.lead("step").over(Window.partitionBy("p").orderBy("at")).alias("d")).where("step <> d")
+    members = q.select("p", "slot", F.explode("members").alias("m")).join(at, ["p"]).where(F.col("at") == F.col("m.step"))
+    near = alike(procs.select("name", F.transform("steps", lambda s: s["key"]).alias("keys")), least)
+    pieces = [
+        at.select(F.col("p").alias("s"), F.col("step").alias("d"), F.lit(1.0).alias("w")),
+        follows.select(F.col("step").alias("s"), "d", F.lit(0.5).alias("w")),
+        q.select(F.col("p").alias("s"), F.col("slot").alias("d"), F.lit(2.0).alias("w")),
+        members.select(F.col("slot").alias("s"), F.col("step").alias("d"), F.lit(1.0).alias("w")),
+        near.select(F.concat(F.lit("procedure:"), "a").alias("s"), F.concat(F.lit("procedure:"), "b").alias("d"), (F.col("share") * 4).alias("w")),
+    ]
+    edges = pieces[0]
+    for piece in pieces[1:]:
+        edges = edges.unionByName(piece)
+    edges = edges.unionByName(edges.select(F.col("d").alias("s"), F.col("s").alias("d"), "w")).groupBy("s", "d").agg(F.sum("w").alias("w"))
+    nodes = procs.select(one.alias("node"), F.lit("procedure").alias("kind"), F.col("name").alias("label"))
+    nodes = nodes.unionByName(at.groupBy(F.col("step").alias("node")).agg(F.min("verb").alias("label")).withColumn("kind", F.lit("step")))
+    return nodes.unionByName(q.select(F.col("slot").alias("node"), F.lit("slot").alias("kind"), "label").dropDuplicates(["node"])), edges
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("s").alias("node")).agg(F.sum("w").alias("degree"))
 

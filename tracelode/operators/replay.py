@@ -11,16 +11,17 @@ from ..plans.lineage import python_path
 SERVED = "rec long, req long, via string, seq long"
 
 
-def serve(rec: int, requests: list[tuple[int, str]], answers: list[tuple[int, str]], fall_back: bool = True, used: set[int] | None = None) -> list[tuple]:
-    """Requests (number, hash) of one recording against its answers (seq, hash), each answer once.
+def serve(rec: int, requests: list[tuple[int, str]], answers: list[tuple], fall_back: bool = True, used: set[int] | None = None) -> list[tuple]:
+    """Requests (number, hash) of one recording against its answers (seq, hash and, if there is one, another hash), each answer once.
 
     The first unused answer of the request's hash; else, where falling back, the first unused answer
     ('cursor', counted as a miss of the hash); else 'miss'. In order, as each use changes what is left.
     used holds the places of answers that are gone, and gets those that go now.
     """
     by_hash: dict[str, list[int]] = {}
-    for k, (_, h) in enumerate(answers):
-        by_hash.setdefault(h, []).append(k)
+    for k, (_, *hashes) in enumerate(answers):
+        for h in {h for h in hashes if h is not None}:
+            by_hash.setdefault(h, []).append(k)
     for own in by_hash.values():
         own.reverse()
     used, cursor, out = set() if used is None else used, 0, []
@@ -43,12 +44,13 @@ def serve(rec: int, requests: list[tuple[int, str]], answers: list[tuple[int, st
 def replay(requests: DataFrame, answers: DataFrame, fall_back: bool = True) -> DataFrame:
     """rec, req, via, seq for requests (rec, req, hash) and answers (rec, seq, hash); a recording is one group.
 
-    Consumption is order-dependent, so a recording is served in one place; recordings are independent.
+    A further column ``alt`` of answers is a second hash they go by, that of their history as a
+    compaction left it. Consumption is order-dependent, so a recording is served in one place; recordings are independent.
     """
 
     def run(key, req: pd.DataFrame, ans: pd.DataFrame) -> pd.DataFrame:
         req, ans = req.sort_values("req"), ans.sort_values("seq")
-        got = serve(key[0], list(zip(req.req.tolist(), req.hash.tolist(), strict=True)), list(zip(ans.seq.tolist(), ans.hash.tolist(), strict=True)), fall_back)
+        got = serve(key[0], list(zip(req.req.tolist(), req.hash.tolist(), strict=True)), list(ans[["seq", "hash", *(["alt"] if "alt" in ans else [])]].itertuples(index=False, name=None)), fall_back)
         out = pd.DataFrame(got, columns=["rec", "req", "via", "seq"])
         return out.astype({"seq": "Int64"})
 
@@ -56,6 +58,38 @@ def replay(requests: DataFrame, answers: DataFrame, fall_back: bool = True) -> D
     return requests.groupBy("rec").cogroup(answers.groupBy("rec")).applyInPandas(run, SERVED)
 
 
+def take_compactions(points: list[int], served: list[int]) -> list[int | None]:
+    """For requests that follow so many served answers: the number of the compaction each takes, or None.
+
+    Compactions (answers before each) are taken in order, each at its own point only.
+    """
+    out, nth = [], 0
+    for n in served:
+        hit = nth < len(points) and points[nth] == n
+        out.append(nth if hit else None)
+        nth += hit
+    return out
+
+
+def compactions_due(requests: DataFrame, points: DataFrame) -> DataFrame:
+    """rec, req, compaction for requests (rec, req, served) and points (rec, nth, answers_before)."""
+
+    def run(key, req: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        req, own = req.sort_values("req"), own.sort_values("nth")
+        got = take_compactions(own.answers_before.tolist(), req.served.tolist())
+        return pd.DataFrame({"rec": key[0], "req": req.req.tolist(), "compaction": pd.array([None if k is None else own.nth.iloc[k] for k in got], "Int64")})
+
+    python_path(requests.sparkSession)
+    return requests.groupBy("rec").cogroup(points.groupBy("rec")).applyInPandas(run, "rec long, req long, compaction long")
+
+
+def progress(served: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per recording: answers, consumed, misses (positional hits count as such) and whether all is used."""
+    s = served.groupBy("rec").agg(F.count("seq").alias("consumed"), F.count_if(F.col("via") != "hash").alias("misses"))
+    d = answers.groupBy("rec").agg(F.count("*").alias("answers")).join(s, "rec", "left").na.fill(0, ["consumed", "misses"])
+    return d.withColumn("finished", F.col("consumed") == F.col("answers"))
+
+
 def override(messages: DataFrame, overrides: DataFrame, keys: list[str], text: str) -> DataFrame:
     """messages with the text replaced where overrides (keys, new_text) has one."""
     return messages.join(overrides, keys, "left").withColumn(text, F.coalesce("new_text", text)).drop("new_text")

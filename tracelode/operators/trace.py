@@ -21,6 +21,45 @@ def prefix_hashes(messages: DataFrame, rec: str, seq: str, role: str, text: str,
     return d.withColumn("prefix_hash", F.sha2(F.array_join(F.collect_list(line).over(w), RECORD), 256))
 
 
+def prefix_digests(messages: DataFrame, rec: list[str], seq: str, role: str, text: str, block: int = 4096) -> DataFrame:
+    """messages with prefix_digest: equal prefixes (the messages before each, in order) have equal digests.
+
+    Each message is hashed with its position, and the hashes are added, so a prefix has a sum that is
+    found from the sums of blocks of ``seq`` (an integer) and those within a block. A recording of any
+    length is spread over tasks, at linear cost; four sums of 60 bits hold the digest.
+    """
+    d = messages.withColumn("__block", F.floor(F.col(seq) / block))
+    key = [*rec, "__block"]
+    within = Window.partitionBy(*key).orderBy(seq)
+    blocks = Window.partitionBy(*rec).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    first = d.groupBy(*key).agg(F.count("*").alias("__n")).withColumn("__at", F.coalesce(F.sum("__n").over(blocks), F.lit(0))).drop("__n")
+    d = d.join(first, key).withColumn("__at", F.col("__at") + F.row_number().over(within) - 1)
+    own = F.sha2(F.concat_ws(UNIT, F.col("__at").cast("string"), F.col(role), F.col(text)), 256)
+    parts = [f"__p{k}" for k in range(4)]
+    d = d.withColumn("__h", own).withColumns({p: F.conv(F.substring("__h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)") for k, p in enumerate(parts)})
+    none = F.lit(0).cast("decimal(30,0)")
+    whole = d.groupBy(*key).agg(*[F.sum(p).alias(p) for p in parts])
+    whole = whole.select(*key, *[F.coalesce(F.sum(p).over(blocks), none).alias(f"{p}b") for p in parts])
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({p: F.coalesce(F.sum(p).over(before), none) for p in parts}).join(whole, key)
+    total = [(F.col(p) + F.col(f"{p}b")).cast("decimal(38,0)").cast("string") for p in parts]
+    return d.select(*messages.columns, F.sha2(F.concat_ws(",", F.col("__at").cast("string"), *total), 256).alias("prefix_digest"))
+
+
+def compacted_views(messages: DataFrame, compactions: DataFrame, rec: str, seq: str, role: str, text: str) -> DataFrame:
+    """Per compaction the history as it reads from there on: rec, view, seq, role, text.
+
+    compactions: rec, at (its place), kept (place of the first kept message), summary. A view is the
+    summary, the kept messages and what follows up to the next compaction; a recording has few of them.
+    """
+    w = Window.partitionBy("rec").orderBy("at")
+    c = compactions.select(F.col("rec"), F.col("at").alias("view"), "kept", "summary", F.lead("at").over(w).alias("until"))
+    head = c.select("rec", "view", (F.col("kept") - 1).alias("seq"), F.lit("compactionSummary").alias("role"), F.trim("summary").alias("text"))
+    m = messages.select(F.col(rec).alias("rec"), F.col(seq).alias("seq"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rest = m.join(c, "rec").where((F.col("seq") >= F.col("kept")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))))
+    return head.unionByName(rest.select("rec", "view", "seq", "role", "text"))
+
+
 def running_last(rows: DataFrame, rec: str, order: list[str], value: Column, name: str) -> DataFrame:
     """rows with the latest value that is not null among the rows before each."""
     w = Window.partitionBy(rec).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

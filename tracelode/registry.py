@@ -394,7 +394,7 @@ def _requests(spark, d):
     """Answers of the recordings, and requests whose history has each conversation's second message changed where conv_id is odd."""
     c = _t(spark, d, "conversations")
     changed = F.when((F.col("turn") == 1) & (F.col("conv_id") % 2 == 1), F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))
-    hashed = lambda t: trace.prefix_hashes(t, "conv_id", "turn", "role", "text").where("role = 'assistant'")
+    hashed = lambda t: trace.prefix_digests(t, ["conv_id"], "turn", "role", "text").withColumnRenamed("prefix_digest", "prefix_hash").where("role = 'assistant'")
     answers = hashed(c).select(F.col("conv_id").alias("rec"), F.col("turn").alias("seq"), F.col("prefix_hash").alias("hash"))
     requests = hashed(c.withColumn("text", changed)).select(F.col("conv_id").alias("rec"), F.col("turn").alias("req"), F.col("prefix_hash").alias("hash"))
     return requests, answers
@@ -462,6 +462,15 @@ def step_templates(spark, d):
     return c.select("c_custkey", "s.key", "s.template", F.array_join(F.transform("s.slots", lambda x: F.concat_ws(":", x["value"], x["kind"])), ",").alias("slots"))
 
 
+@_query("""WITH p AS (SELECT conv_id, turn, concat_ws(chr(31), row_number() OVER w - 1, role, text) AS line FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+h AS (SELECT conv_id, turn, sha256(line) AS h FROM p), n AS (SELECT conv_id, turn, unnest([0, 1, 2, 3]) AS k, list_reduce(list_transform(string_split(substr(h, 15 * k + 1, 15), ''), lambda c: (instr('0123456789abcdef', c) - 1)::HUGEINT), lambda a, b: a * 16 + b) AS x FROM h),
+s AS (SELECT conv_id, turn, k, coalesce(sum(x) OVER w, 0)::HUGEINT::VARCHAR AS x, count(*) OVER w AS n_before FROM n WINDOW w AS (PARTITION BY conv_id, k ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, sha256(any_value(n_before) || ',' || string_agg(x, ',' ORDER BY k)) AS prefix_digest FROM s GROUP BY 1, 2""")
+def prefix_digest(spark, d):
+    """Digests of ordered prefixes at linear cost, blocks of four turns, so that conversations have several."""
+    return trace.prefix_digests(_t(spark, d, "conversations"), ["conv_id"], "turn", "role", "text", block=4).select("conv_id", "turn", "prefix_digest")
+
+
 def _task_steps(spark, d):
     """Events as steps of families of five neighbouring users: the type is the command, its property k a slot."""
     slot = F.array(F.struct(F.lit("k").alias("name"), F.get_json_object("props", "$.k").alias("value"), F.lit("free").alias("kind")))
