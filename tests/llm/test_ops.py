@@ -81,6 +81,10 @@ def test_empty_tables(spark):
     assert sentencepiece_codec.encode_column(none).count() == 0
     assert pii.pseudonymise(none).count() == 0
     assert quality.quality_scores(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+    assert chat_format.read_back(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract_main_text(pages).count() == 0
+    assert warc.round_trip(pages).count() == 0
 
 
 def test_exact_groups(spark):
@@ -274,3 +278,64 @@ def test_pipeline(spark):
     assert got.columns[: len(docs.columns)] == docs.columns and got.where("not round_trip").count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def _brute_keep(docs, items, predicted):
+    """Ids that the pipeline keeps, from (doc_id, text) rows, by plain loops."""
+    docs = [(i, t) for i, t in docs if predicted[i]]
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i, t))
+    docs = sorted((i, t) for own in groups.values() for _, i, t in [min(own, key=lambda x: x[:2])])
+    own = [(i, sets(t, 5)) for i, t in docs]
+    least = {}
+    for i, x in own:
+        least[i] = i
+    for i, x in own:
+        for j, y in own:
+            if i < j and x and y and 10 * len(x & y) >= 8 * len(x | y):
+                a, b = sorted((least[i], least[j]))
+                least = {k: a if v == b else v for k, v in least.items()}
+    docs = [(i, t) for i, t in docs if least[i] == i]
+    windows = {}
+    for item in items:
+        w = _words(item)
+        n = min(len(w), 13)
+        for a in range(len(w) - n + 1) if n else ():
+            windows.setdefault(n, set()).add(tuple(w[a : a + n]))
+    kept = []
+    for i, t in docs:
+        w, hit = _words(t), set()
+        for n, those in windows.items():
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in those:
+                    hit |= set(range(a, a + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            kept.append(i)
+    return sorted(kept)
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs, bench, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
+    predicted = {r.id: r.predicted for r in quality.quality_scores(docs, labels).collect()}
+    want = _brute_keep([(r.doc_id, r.text) for r in docs.collect()], [r.text for r in bench.collect()], predicted)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()) == want
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids and texts, empty texts, repeated rows, clashing columns and no rows at all: every stage runs and keeps the columns."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    odd = spark.createDataFrame([*rows([None, "", "a b c d e f", "a b c d e f", "x" * 50000]), *rows(["a b c d e f"], 2), (None, None, None, None, None, None, None, None, None, None)], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, d)
+        assert got.columns[: len(odd.columns)] == odd.columns, name
+        assert got.count() <= odd.count(), name
+        assert stage(spark, odd.limit(0), d).count() == 0, name
+    exact, near = (dict(corpus_pipeline.STAGES)[n](spark, odd, d) for n in ("exact dedup", "n-gram jaccard join"))
+    assert exact.where("text = 'a b c d e f'").count() == 1
+    assert {r.doc_id for r in near.where("text = 'a b c d e f'").collect()} == {2}
