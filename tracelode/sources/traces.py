@@ -140,3 +140,29 @@ def pack(header: dict, entries: list, least: int = 256) -> bytes:
 
     own = [pooled(e) for e in entries]
     return gzip.compress(json.dumps({**header, "version": VERSION, "dict": list(pool), "entries": own}, ensure_ascii=False).encode(), 9, mtime=0)
+
+
+def _blocks() -> Column:
+    """Content blocks of raw as an array of VARIANT: a list as it is, a text as one text block."""
+    text = F.try_variant_get("raw", "$.message.content", "string")
+    listed = F.try_variant_get("raw", "$.message.content", "array<variant>")
+    one = F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), text.alias("text"))))
+    return F.when(listed.isNotNull(), listed).when(F.length(text) > 0, one)
+
+
+def calls_of(entries: DataFrame) -> DataFrame:
+    """Tool calls of assistants: trace, line, block, call_id, tool, arguments (JSON text)."""
+    d = entries.where("role = 'assistant'").select("trace", "line", F.posexplode(_blocks()).alias("block", "b"))
+    got = lambda k: F.try_variant_get("b", f"$.{k}", "string")
+    d = d.where(got("type") == "toolCall")
+    return d.select("trace", "line", "block", got("id").alias("call_id"), F.coalesce(got("name"), F.lit("")).alias("tool"), F.coalesce(F.to_json(F.try_variant_get("b", "$.arguments", "variant")), F.lit("{}")).alias("arguments"))
+
+
+def results_of(entries: DataFrame) -> DataFrame:
+    """Tool results: trace, line, call_id, tool, is_error, text (text blocks joined by a line feed)."""
+    d = entries.where("role = 'toolResult'")
+    texts = F.array_compact(F.transform(_blocks(), lambda b: F.try_variant_get(b, "$.text", "string")))
+    return d.select(
+        "trace", "line", _got("$.message.toolCallId").alias("call_id"), _got("$.message.toolName").alias("tool"),
+        F.coalesce(_got("$.message.isError", "boolean"), F.lit(False)).alias("is_error"), F.coalesce(F.array_join(texts, "\n"), F.lit("")).alias("text"),
+    )
