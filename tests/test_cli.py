@@ -18,3 +18,20 @@ def test_commands(spark, tmp_path, capsys):
     assert said("kinds", at)[0]["calls"] == 1
     assert {x["pack"] for x in said("rules")} >= {"node", "docker"}
     assert len(said("--limit", "3", "query", "slug", "/root/testdata/sf0.001")) == 3
+
+
+def test_record_learn_compose(spark, tmp_path, capsys):
+    from tests.test_chain import write
+
+    sh = lambda c: ("bash", {"command": c}, False)
+    write(tmp_path, {n: [sh(f"npm create {f}@latest {n}"), sh(f"npm install {f}-router")] for n, f in (("one", "vue"), ("two", "react"), ("three", "vue"))})
+    at = str(tmp_path / "*.jsonl")
+
+    def said(*argv):
+        cli.main(list(argv))
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert {r["entries"] for r in said("record", at, str(tmp_path / "r"), "--profile", "minimal", "--redact")} == {4}
+    (p,) = said("learn", at, "web", "--save", str(tmp_path / "p"))
+    assert [s["template"] for s in p["steps"]] == ["npm create {{template}} {{name}}", "npm install {{package}}"]
+    assert [x["text"] for x in said("compose", str(tmp_path / "p"), "web", "template=vue@latest", "name=my app", "--quote")] == ["npm create 'vue@latest' 'my app'", "npm install 'vue-router'"]

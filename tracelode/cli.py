@@ -6,9 +6,12 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from . import registry
 from .functions import rules
-from .operators import search, stats
+from .operators import extract, procedures, record, search, stats
 from .sources import traces
 
 
@@ -26,6 +29,20 @@ def _arguments() -> argparse.ArgumentParser:
     own = c.add_parser("search", help="rank the traces of a pattern by a query")
     own.add_argument("pattern")
     own.add_argument("terms", nargs="+")
+    own = c.add_parser("record", help="write recordings of traces below a folder")
+    own.add_argument("pattern")
+    own.add_argument("folder")
+    own.add_argument("--profile", choices=record.PROFILES, default="normal")
+    own.add_argument("--redact", action="store_true")
+    own = c.add_parser("learn", help="the procedure that the traces of a pattern share")
+    own.add_argument("pattern")
+    own.add_argument("name")
+    own.add_argument("--save", help="folder of procedures; written as scope 'global'")
+    own = c.add_parser("compose", help="steps of a stored procedure, with NAME=VALUE filled in")
+    own.add_argument("folder")
+    own.add_argument("name")
+    own.add_argument("values", nargs="*")
+    own.add_argument("--quote", action="store_true", help="quote the values for a shell")
     c.add_parser("rules", help="packs of step rules")
     own = c.add_parser("query", help="run a registered query")
     own.add_argument("name", choices=sorted(registry.queries()))
@@ -33,6 +50,14 @@ def _arguments() -> argparse.ArgumentParser:
     return p
 
 
+def _steps(spark: SparkSession, pattern: str, name: str) -> DataFrame:
+    """Steps of all traces of a pattern as runs of one task; the outcome of each stays open."""
+    e = traces.read_entries(spark, pattern)
+    d = extract.call_steps(traces.calls_of(e), traces.results_of(e), ["trace"], ["line", "block"])
+    seq = F.row_number().over(Window.partitionBy("trace").orderBy("line", "block", "part"))
+    return d.withColumns({"family": F.lit(name), "run": F.col("trace"), "outcome": F.lit(None).cast("string"), "seq": seq})
+
+
 def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """What a command prints."""
     if a.command == "sessions":
@@ -51,6 +76,19 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command == "search":
         lines = traces.trace_lines(spark, a.pattern).groupBy("trace").agg({"value": "collect_list"}).toDF("trace", "lines")
         return search.search(lines.selectExpr("trace", "array_join(lines, ' ') AS body"), "trace", "body", [t.lower() for t in a.terms], a.limit)
+    if a.command == "record":
+        paths = record.active_paths(traces.read_entries(spark, a.pattern))
+        return record.read_packed(spark, record.write_recordings(record.record(paths, a.profile, a.redact), a.folder))
+    if a.command == "learn":
+        learnt = procedures.procedures(_steps(spark, a.pattern, a.name))
+        if a.save:
+            procedures.save(learnt, a.save, "global")
+            learnt = procedures.load(spark, a.save, ("global",))[0]
+        return learnt
+    if a.command == "compose":
+        given = dict(v.split("=", 1) for v in a.values)
+        own = procedures.load(spark, a.folder, ("global",))[0].where(F.col("name") == a.name)
+        return procedures.compose(own.withColumn("assigned", F.lit(None).cast("map<string,string>") if not given else F.create_map(*[F.lit(x) for kv in given.items() for x in kv])), a.quote).orderBy("step")
     if a.command == "rules":
         return spark.createDataFrame(list(rules.PACKS.items()), "pack string, description string")
     return registry.queries()[a.name](spark, a.sf_dir)
