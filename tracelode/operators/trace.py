@@ -24,17 +24,17 @@ def prefix_hashes(messages: DataFrame, rec: str, seq: str, role: str, text: str,
 def prefix_digests(messages: DataFrame, rec: list[str], seq: str, role: str, text: str, block: int = 4096) -> DataFrame:
     """messages with prefix_digest: equal prefixes (the messages before each, in order) have equal digests.
 
-    Each message is hashed with its position, and the hashes are added, so a prefix has a sum that is
+    Each message's own hash is hashed with its position (so its text is not shuffled for the digest), and the hashes are added, so a prefix has a sum that is
     found from the sums of blocks of ``seq`` (an integer) and those within a block. A recording of any
     length is spread over tasks, at linear cost; four sums of 60 bits hold the digest.
     """
-    d = messages.withColumn("__block", F.floor(F.col(seq) / block))
+    d = messages.withColumns({"__block": F.floor(F.col(seq) / block), "__line": F.sha2(F.concat_ws(UNIT, F.col(role), F.col(text)), 256)})
     key = [*rec, "__block"]
     within = Window.partitionBy(*key).orderBy(seq)
     blocks = Window.partitionBy(*rec).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     first = d.groupBy(*key).agg(F.count("*").alias("__n")).withColumn("__at", F.coalesce(F.sum("__n").over(blocks), F.lit(0))).drop("__n")
     d = d.join(first, key).withColumn("__at", F.col("__at") + F.row_number().over(within) - 1)
-    own = F.sha2(F.concat_ws(UNIT, F.col("__at").cast("string"), F.col(role), F.col(text)), 256)
+    own = F.sha2(F.concat_ws(UNIT, F.col("__at").cast("string"), "__line"), 256)
     parts = [f"__p{k}" for k in range(4)]
     d = d.withColumn("__h", own).withColumns({p: F.conv(F.substring("__h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)") for k, p in enumerate(parts)})
     none = F.lit(0).cast("decimal(30,0)")

@@ -462,7 +462,7 @@ def step_templates(spark, d):
     return c.select("c_custkey", "s.key", "s.template", F.array_join(F.transform("s.slots", lambda x: F.concat_ws(":", x["value"], x["kind"])), ",").alias("slots"))
 
 
-@_query("""WITH p AS (SELECT conv_id, turn, concat_ws(chr(31), row_number() OVER w - 1, role, text) AS line FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@_query("""WITH p AS (SELECT conv_id, turn, concat_ws(chr(31), row_number() OVER w - 1, sha256(concat_ws(chr(31), role, text))) AS line FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 h AS (SELECT conv_id, turn, sha256(line) AS h FROM p), n AS (SELECT conv_id, turn, unnest([0, 1, 2, 3]) AS k, list_reduce(list_transform(string_split(substr(h, 15 * k + 1, 15), ''), lambda c: (instr('0123456789abcdef', c) - 1)::HUGEINT), lambda a, b: a * 16 + b) AS x FROM h),
 s AS (SELECT conv_id, turn, k, coalesce(sum(x) OVER w, 0)::HUGEINT::VARCHAR AS x, count(*) OVER w AS n_before FROM n WINDOW w AS (PARTITION BY conv_id, k ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, turn, sha256(any_value(n_before) || ',' || string_agg(x, ',' ORDER BY k)) AS prefix_digest FROM s GROUP BY 1, 2""")
