@@ -91,3 +91,31 @@ def test_files(spark, stored, tmp_path):
     assert {(r.name, r.scope) for r in good.collect()} == {("web", "project"), ("old", "global")}
     assert [r.value for r in broken.collect()] == ["not json"]
     assert good.where("name = 'web'").drop("scope", "status").first().asDict(recursive=True) == stored.drop("status").first().asDict(recursive=True)
+
+
+def test_context_for_a_prompt(spark, stored):
+    from tracelode.plans import reports
+
+    full = reports.context_text(stored, ["vue", "router"])
+    assert full.startswith("web: unknown, from 4 runs") and "2 slots move together" in full
+    assert reports.context_text(stored, ["vue", "router"], budget=200).startswith("- web (4 runs): template=vue@latest|react@latest, name=a|b|c|d")
+    assert reports.context_text(stored, ["cobol"], budget=10).endswith("\n[cut]") and reports.context_text(stored.limit(0), ["vue"]) == ""
+
+
+def test_validators_and_freshness(spark):
+    from tracelode.operators import carry_out, freshness
+
+    rows = [("web", k, s["verb"], [(x["name"], x["value"], x["kind"]) for x in s["slots"]]) for k, s in enumerate(FRAMEWORKS[0][2])]
+    v = freshness.validators(spark.createDataFrame(rows, "k string, seq int, verb string, slots array<struct<name: string, value: string, kind: string>>"), "k", ["seq"])
+    assert [r.command for r in v.orderBy("nth").collect()] == ["npm view vue version", "npm view vue-router version"]
+    p = spark.createDataFrame([("web", 1)], "k string, age_days int")
+    status = lambda *port: freshness.freshness(p, carry_out.run_validators(v, "k", *port), "k").first().status
+    assert status(lambda c: carry_out.Result(0)) == "fresh" and status() == "unknown"
+    assert status(lambda c: carry_out.Result(int("router" in c), "", "404")) == "stale"
+
+
+def test_recording_text():
+    from tracelode.plans import reports
+
+    text = reports.recording_text({"profile": "normal", "lossy": True, "dropped": ["1 x"], "stats": {"tools": ["a"], "costUsd": 0.5}}, 3, 1, 2048)
+    assert text.startswith("recording (profile normal, lossy), 2.0 KiB, 3 entries") and "tools: a" in text and text.endswith("dropped: 1 x")

@@ -86,3 +86,21 @@ def check_conditions(conditions: DataFrame, present: DataFrame, folder: str, hom
     d = c.join(present.select("path", "is_dir").distinct(), "path", "left")
     met = F.col("is_dir").isNotNull() & ((F.col("kind") == "file") | F.col("is_dir"))
     return d.select("kind", "target", "path", F.when(F.col("path").isNull(), "unverifiable").when(met, "met").otherwise("unmet").alias("status"))
+
+
+def run_validators(validators: DataFrame, key: str, run: Executor = refuse) -> DataFrame:
+    """key, exit_code, stderr for freshness(): each distinct command is run once, through the port, on the driver.
+
+    For the procedures that someone is about to use; what can't be run counts as not to be told.
+    """
+    rows = validators.select(key, "command").collect()
+    seen: dict[str, tuple[int, str]] = {}
+    for r in rows:
+        if r.command not in seen:
+            try:
+                got = run(r.command)
+                seen[r.command] = (got.code, got.stderr)
+            except (OSError, TimeoutError) as e:
+                seen[r.command] = (127, str(e))
+    kind = validators.schema[key].dataType.simpleString()
+    return validators.sparkSession.createDataFrame([(r[key], *seen[r.command]) for r in rows], f"`{key}` {kind}, exit_code int, stderr string")

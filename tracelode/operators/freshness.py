@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: what tells that a check could not be made.
@@ -27,3 +27,15 @@ def freshness(procedures: DataFrame, results: DataFrame, key: str, max_age_days:
         .otherwise("fresh")
     )
     return procedures.join(n, key, "left").select(key, status.alias("status"))
+
+
+def validators(steps: DataFrame, key: str, order: list[str], most: int = 12) -> DataFrame:
+    """key, nth, command for the packages and templates that a procedure's steps (templates.STEP) name, each once, in order.
+
+    A procedure has at most so many validators, as each costs a request; those first named count.
+    """
+    own = steps.where(F.col("verb").rlike("^(npm|pnpm|yarn|bun|npx|bunx|cargo|go) ")).select(key, F.struct(*order).alias("__at"), F.posexplode("slots").alias("__place", "__slot"))
+    own = own.where(F.col("__slot.name").rlike(r"^(package|template)\d*$")).withColumn("__name", F.split("__slot.value", "@")[0])
+    first = own.where((F.col("__name") != "") & ~F.col("__name").startswith("-")).groupBy(key, "__name").agg(F.min(F.struct("__at", "__place")).alias("__first"))
+    d = first.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("__first")))
+    return d.where(F.col("nth") <= most).select(key, "nth", F.concat(F.lit("npm view "), "__name", F.lit(" version")).alias("command"))

@@ -309,3 +309,15 @@ def load(spark: SparkSession, folder: str, scopes: tuple[str, ...] = ("project",
     backfilled = [(F.coalesce(f"p.{c}", F.array().cast(kinds[c])) if c in LISTS else F.col(f"p.{c}")).alias(c) for c in COLUMNS]
     good = first_by_priority(read.where(sound).select("scope", "rank", *backfilled), "name", "rank", "status").drop("rank")
     return good, read.where(~F.coalesce(sound, F.lit(False))).select("scope", "value")
+
+
+def documents(procs: DataFrame) -> DataFrame:
+    """name, text: what search() finds procedures by: names, steps, slots with their values, parameters with their variants, contracts."""
+    parts = [
+        F.array("name"),
+        F.transform("steps", lambda s: s["template"]),
+        F.flatten(F.transform("slots", lambda s: F.concat(F.array(s["name"]), F.transform(s["fillers"], lambda f: f["value"])))),
+        F.flatten(F.transform("parameters", lambda p: F.concat(F.array(p["name"]), F.transform(p["variants"], lambda v: v["label"])))),
+        F.transform("contracts", lambda c: c["target"]),
+    ]
+    return procs.select("name", F.array_join(F.flatten(F.array(*parts)), " ").alias("text"))

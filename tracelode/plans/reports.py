@@ -60,3 +60,35 @@ def procedure_text(p: dict) -> str:
         lines.append(f"  sometimes: {o['template']}  (in {o['observed_in']} of {o['of']} runs{where}; {when})")
     lines += [f"  {c['side']} {c['kind']} {c['target']}" for c in p["contracts"]]
     return "\n".join(lines)
+
+
+def context_text(procs: DataFrame, query: list[str], budget: int = 1800, listed: int = 12) -> str:
+    """What a prompt is told of stored procedures: the best match in full if it has two terms of the query and fits, else a list.
+
+    The list names so many, says how many more there are, and is cut at the budget (characters).
+    """
+    from ..operators.procedures import documents
+    from ..operators.search import search
+
+    best = search(documents(procs), "name", "text", query, 1).first() if query else None
+    if best is not None and best.matched >= 2:
+        text = procedure_text(procs.where(procs.name == best.doc).first().asDict(recursive=True))
+        if len(text) <= budget:
+            return text
+    rows = procs.orderBy("name").limit(listed).collect()
+    if not rows:
+        return ""
+    more = procs.count() - len(rows)
+    lines = [f"- {p.name} ({p.observations} runs{f', {p.failures} failed' if p.failures else ''}): " + ", ".join(f"{q.name}={'|'.join(v.label for v in q.variants[:4])}" for q in p.parameters) for p in rows]
+    text = "\n".join(lines + ([f"- and {more} more"] if more else []))
+    return text if len(text) <= budget else text[:budget] + "\n[cut]"
+
+
+def recording_text(header: dict, entries: int, pooled: int, size: int) -> str:
+    """A recording's header for a reader."""
+    s = header.get("stats") or {}
+    lines = [f"{header.get('name') or 'recording'} (profile {header.get('profile')}{', lossy' if header.get('lossy') else ''}), {size_text(size)}, {entries} entries, {pooled} pooled strings"]
+    lines.append(f"  turns: {s.get('userTurns', 0)} user, {s.get('assistantTurns', 0)} assistant; {s.get('toolCalls', 0)} calls, {s.get('toolErrors', 0)} errors")
+    lines.append(f"  tokens: {s.get('totalTokens', 0)} ({s.get('inputTokens', 0)} in, {s.get('outputTokens', 0)} out), ${s.get('costUsd', 0):.4f}")
+    lines += [f"  {what}: {', '.join(s[key])}" for what, key in (("tools", "tools"), ("models", "models")) if s.get(key)]
+    return "\n".join(lines + [f"  dropped: {d}" for d in header.get("dropped") or []])
