@@ -188,6 +188,12 @@ def test_pseudonyms(spark):
     assert got[3].text is None and got[4].text == "" and [x.kind for x in got[1].found] == ["card", "email"]
 
 
+def test_every_pattern_passes_the_first_look(spark):
+    texts = ["8.8.8.8", "dns 1.1.1.1, ok", "8.8.8.8 since 2024", "a@-x.org", "v 1.2", None]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()]
+    assert got[0] != "8.8.8.8" and got[2] == got[0] + " since 2024" and "1.1.1.1" not in got[1] and got[3] != texts[3] and got[4:] == texts[4:]
+
+
 def test_dates_are_permuted(spark):
     d = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("m"))
     p = d.select(pii.pseudonym(F.col("m"), F.lit("date"), "k").alias("p"))

@@ -31,6 +31,8 @@ PATTERNS = {
     "card": r"(?<!\d)\d{13,19}(?!\d)",
 }
 _ANY = "|".join(PATTERNS.values())
+#: What any text with a match of these patterns has: an address sign, or two digits with at most a dot between them.
+_MAY = r"@[A-Za-z0-9-]|\d\.?\d"
 #: Days of the years 1900 to 2099 are 17 * 4297.
 _DAY_ZERO, _DAYS = "1900-01-01", (17, 4297)
 
@@ -125,7 +127,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col("__t")
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))
     # Nearly every text without a digit and a sign of these kinds is done after one cheap look.
-    may = text.rlike(r"@[A-Za-z0-9]|\d\d")
+    may = text.rlike(_MAY)
     d = d.withColumn("hits", F.when(may, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))))
     d = d.withColumn("hits", F.when(F.size("hits") > 0, F.transform("hits", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
     done = F.transform("hits", lambda h: F.coalesce(pseudonym(h["m"], h["kind"], key), h["m"]))
