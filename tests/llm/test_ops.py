@@ -194,6 +194,31 @@ def test_every_pattern_passes_the_first_look(spark):
     assert got[0] != "8.8.8.8" and got[2] == got[0] + " since 2024" and "1.1.1.1" not in got[1] and got[3] != texts[3] and got[4:] == texts[4:]
 
 
+def test_spellings_are_found_and_linked(spark):
+    groups = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111 1111 1111 1111 123", "3782 822463 10005", "3782-822463-10005", "378282246310005"]
+    phones = ["+1 (555) 123-4567", "555-123-4567", "(555) 123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "+15551234567", "+1 555 123 4567", "(555)123-4567"]
+    abroad = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+353 1 234 5678", "+7 495 123-45-67"]
+    left = ["4111 1111 1111 1112", "4111 1111-1111 1111", "10 200 3000 40", "1,555 123 4567", "100 200 3000 4000", "+2024", "12345678", "555-123-45678"]
+    alone = groups + phones + abroad
+    mixed = ["+33 1 23 45 67 89 4111 1111 1111 1111", "+44 20 7946 0958 8.8.8.8", "+1 555 123 4567 123-45-6789", "+2024-02-29", "1234 5678 9012 2024-02-29", "1234 5678 9012 555-123-4567", "4111 1111 1111 1111 2024-02-29"]
+    kinds = ["phone card", "phone ip", "phone ssn", "date", "date", "phone", "card date"]
+    texts = alone + left + mixed
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    now = dict(zip(texts, got))
+    digits = lambda t, n: re.sub("[^0-9]", "", now[t].text)[-n:]
+    for t in alone:
+        assert now[t].text != t and re.sub(r"\d", "0", now[t].text) == re.sub(r"\d", "0", t) and len(now[t].found) == 1, t
+    assert len({digits(t, 16) for t in groups[:3]} | {re.sub(" ", "", now[groups[3]].text[:19])}) == 1 and now[groups[3]].text.endswith(" 123")
+    assert len({digits(t, 15) for t in groups[4:]}) == 1 and len({digits(t, 10) for t in phones}) == 1 and len({digits(t, 12) for t in abroad[:3]}) == 1
+    assert all(now[t].text.startswith(code) for t, code in zip(abroad, ("+44 ", "+44", "+44-", "+353 ", "+7 ")))
+    assert [now[t].text for t in left] == left
+    assert [" ".join(x.kind for x in now[t].found) for t in mixed] == kinds
+    m = spark.createDataFrame([(t, "card" if t in groups else "phone") for t in alone], "m string, kind string")
+    f = m.withColumn("p", pii.pseudonym(F.col("m"), F.col("kind"), "k")).withColumn("b", pii.pseudonym(F.col("p"), F.col("kind"), "k", True))
+    for r in f.withColumn("again", pii.kind_of(F.col("p"))).collect():
+        assert (r.b, r.again) == (r.m, r.kind), r
+
+
 def test_dates_are_permuted(spark):
     d = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("m"))
     p = d.select(pii.pseudonym(F.col("m"), F.lit("date"), "k").alias("p"))

@@ -8,6 +8,16 @@ form of the original, valid again (Luhn digit, octets, calendar). So equal value
 pseudonyms in every document, different values different ones, and whoever has the key can invert
 it. The local part of an address is replaced by a keyed digest. Round values are from SHA-256.
 
+Spellings of cards: unbroken, or groups of 4-4-4-4, 4-4-4-4 with 1 to 3 more, 4-4-4 with 1 to 3 more,
+4-6-5 and 4-6-4 digits, all parted by a space or all by a dash. If the first 16 of 17 to 19 grouped
+digits pass the check, they are the card and the last group (a security code, say) stays; so the way
+back is not unique for longer grouped cards. Spellings of phones: ten digits as 3-3-4 parted by spaces,
+dots or dashes, the area code also in parentheses, with or without 1 or +1; and + with a country code
+and 8 to 15 digits in all, unbroken or parted by single spaces, dots or dashes. The country code stays,
+separators too, and spellings of one number are linked; a trunk (0) counts as a digit. Left alone:
+cards in other groups or that another group of four precedes, national numbers in other groups or
+without separators.
+
 Defined results: null text gives null text and no finds. Numbers that fail their validation stay as
 they are. Rows that repeat an id are treated one by one, an empty table gives an empty result, and
 columns other than the named ones are ignored. All in DataFrame functions.
@@ -21,18 +31,42 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Production key of the query; callers give their own.
 KEY = "tracelode"
+_DATE = r"(?<![\d.-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
+_SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
+_IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
+# After the last digit of a number in groups: no digit, nor one that a dot or dash ties to it.
+_END = r"(?!\d|[.-]\d)"
+
+
+def _parted(by: str) -> str:
+    last = r"\d{1,3}(?![ .-]?\d)"
+    return rf"\d{{4}}{by}(?:\d{{4}}{by}\d{{4}}(?:{by}\d{{4}}(?:{by}{last}|{_END})|{by}{last})|\d{{6}}{by}\d{{4,5}}{_END})"
+
+
+_CARD = rf"(?<!\d)(?:\d{{13,19}}(?!\d)|{_parted(' ')}|{_parted('-')})"
+# What a phone number does not run into.
+_OTHER = f"(?!{_DATE}|{_SSN}|{_IP}|{_CARD})"
+_PHONE = "|".join((
+    r"(?<![\d+])\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)",
+    rf"(?<![\d+])\+{_OTHER}1[ .-]?(?:\(\d{{3}}\) ?|\d{{3}}[ .-]?)\d{{3}}[ .-]?\d{{4}}{_END}",
+    rf"(?<![\d+])\+{_OTHER}[2-9](?:(?:[ .-]{_OTHER})?\(?\d\)?){{7,14}}{_END}",
+    rf"(?<![\d.,+-])(?:1[ .-]?)?\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}{_END}",
+    r"(?<![\d.,+-])(?:1[ .-])?(?:\d{3} \d{3} |\d{3}-\d{3}-|\d{3}\.\d{3}\.)\d{4}(?![\d,]|[ .-]\d)",
+))
 #: kind -> pattern of a candidate.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "date": r"(?<![\d.-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
-    "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "card": r"(?<!\d)\d{13,19}(?!\d)",
+    "date": _DATE,
+    "ssn": _SSN,
+    "phone": _PHONE,
+    "ip": _IP,
+    "card": _CARD,
 }
 _ANY = "|".join(PATTERNS.values())
-#: What any text with a match of these patterns has: an address sign, or two digits with at most a dot between them.
-_MAY = r"@[A-Za-z0-9-]|\d\.?\d"
+#: What any text with a match of these patterns has: an address sign, a plus before a digit, or two digits with at most a dot between them.
+_MAY = r"@[A-Za-z0-9-]|\+\d|\d\.?\d"
+#: Country codes that are not of three digits.
+_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Days of the years 1900 to 2099 are 17 * 4297.
 _DAY_ZERO, _DAYS = "1900-01-01", (17, 4297)
 
@@ -78,13 +112,28 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _core(m: Column) -> Column:
+    """The card in a match of the card pattern: without a last group behind 16 digits that are a card themselves."""
+    first = F.substring(m, 1, 19)
+    return F.when(m.rlike(r"^\d{4}[ -]") & (F.length(m) > 19) & (_luhn_sum(_digits(first), 0) % 10 == 0), first).otherwise(m)
+
+
+def _in_form(m: Column, digits: Column) -> Column:
+    """m with its digits replaced by the given ones, in order."""
+    def sign(i: Column) -> Column:
+        c = F.substring(m, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), F.substring(digits, F.length(_digits(F.substring(m, F.lit(1), i))), F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m), F.lit(1))), sign), "")
+
+
 def kind_of(m: Column) -> Column:
     """Which validated kind a match of the common pattern is; null: it fails its validation."""
-    luhn = _luhn_sum(m, 0) % 10 == 0
+    luhn = _luhn_sum(_digits(_core(m)), 0) % 10 == 0
     return (
         F.when(m.contains("@"), "email")
-        .when(m.startswith("+"), "phone")
-        .when(m.rlike(r"^\d{13,19}$"), F.when(luhn, "card"))
+        .when(m.rlike(r"^\+|^(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"), "phone")
+        .when(m.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4,6}[ -]"), F.when(luhn, "card"))
         .when(m.contains("."), "ip")
         .when(m.rlike(r"^\d{4}-"), F.when(F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "date"))
         .otherwise("ssn")
@@ -95,17 +144,23 @@ def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a validated match (or, backwards, its original; e-mail addresses have no way back)."""
     num = lambda c: c.try_cast("long")
     run = lambda index, a, b, k: _feistel(index, a, b, key, k, back)
-    body = F.substring(m, F.lit(1), F.length(m) - 1)
+    core = _core(m)
+    whole = _digits(core)
+    body = F.substring(whole, F.lit(1), F.length(whole) - 1)
     ten = lambda n: F.pow(F.lit(10), n).cast("long")
     half = F.floor(F.length(body) / 2)
     card = F.lpad(run(num(body), ten(F.length(body) - half), ten(half), "card").cast("string"), F.length(body), F.lit("0"))
     card = F.concat(card, F.pmod(10 - _luhn_sum(card, 1) % 10, F.lit(10)).cast("string"))
+    card = F.concat(_in_form(core, card), F.substring(m, F.length(core) + 1, F.length(m)))
     parts = F.split(m, r"\.")
     octet = lambda i: num(F.get(parts, i))
     ip = run(((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3), _big(65536), _big(65536), "ip")
     ip = F.concat_ws(".", *[(F.pmod(F.shiftright(ip, s), _big(256))).cast("string") for s in (24, 16, 8, 0)])
-    phone = F.lpad(run(num(F.substring(_digits(m), 2, 10)), _big(10**5), _big(10**5), "phone").cast("string"), 10, "0")
-    phone = F.concat(F.lit("+1 ("), F.substring(phone, 1, 3), F.lit(") "), F.substring(phone, 4, 3), F.lit("-"), F.substring(phone, 7, 4))
+    code = F.when(m.startswith("+"), F.regexp_extract(_digits(m), _CODE, 1)).otherwise(F.when(F.length(_digits(m)) == 11, "1").otherwise(""))
+    own = F.substring(_digits(m), F.length(code) + 1, F.length(m))
+    half = F.floor(F.length(own) / 2)
+    phone = F.lpad(run(num(own), ten(F.length(own) - half), ten(half), "phone").cast("string"), F.length(own), F.lit("0"))
+    phone = _in_form(m, F.concat(code, phone))
     day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(_DAY_ZERO).cast("date")).cast("long")
     date = F.date_add(F.lit(_DAY_ZERO).cast("date"), run(day, _big(_DAYS[0]), _big(_DAYS[1]), "date").cast("int"))
     area = num(F.substring(m, 1, 3))
@@ -132,5 +187,5 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = d.withColumn("hits", F.when(F.size("hits") > 0, F.transform("hits", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
     done = F.transform("hits", lambda h: F.coalesce(pseudonym(h["m"], h["kind"], key), h["m"]))
     whole = F.array_join(F.zip_with(F.split(text, _ANY, -1), done, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-    found = F.transform(F.filter("hits", lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"], F.length(h["m"]).alias("n")))
+    found = F.transform(F.filter("hits", lambda h: h["kind"].isNotNull()), lambda h: F.struct(h["kind"], F.length(F.when(h["kind"] == "card", _core(h["m"])).otherwise(h["m"])).alias("n")))
     return d.select("id", F.when(F.col("hits").isNotNull(), whole).otherwise(text).alias("text"), F.coalesce(found, F.array().cast("array<struct<kind:string,n:int>>")).alias("found"))
