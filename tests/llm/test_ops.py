@@ -188,6 +188,19 @@ def test_pseudonyms(spark):
     assert got[3].text is None and got[4].text == "" and [x.kind for x in got[1].found] == ["card", "email"]
 
 
+def test_held_elements_keep_the_rest_of_the_page():
+    said = lambda page: [b.text for b in html_text.blocks(page)]
+    for icon in ("<svg class='i'/>", '<svg viewBox="0 > 1" />', "<svg><title>x</title><style/><path/></svg>", "<svg><svg/><svg><text>y</text></svg><text>z</text></svg>", "<select><option>a</select>", "<SVG>x</SVG>", "<button title=\"a\"\">go</button>", "<title>t</title>", "<!-- <svg> -->"):
+        assert said(f"<p>One{icon} two</p><p>Three</p><svg>q</svg>") == ["One two", "Three"], icon
+    for tag in ("svg-icon", "button-row", "select-box", "title-bar", "iframe-x", "template-y"):
+        assert said(f"<{tag}><p>One</p></{tag}><p>Two</p>") == ["One", "Two"], tag
+    for tag in ("svg", "button", "select"):
+        assert said(f"<{tag} class=a><p>One</p><p>Two</p>") == ["One", "Two"]
+        assert said(f"<{tag}><p>One</p><{tag}>no</{tag}><p>Two</p>") == ["One", "Two"]
+    assert said("<p>One</p><script>var a = '<svg>'</script><p>Two</p><svg><b>no</b></svg>") == ["One", "Two"]
+    assert len(said("<p>x</p>" + "<button>" * 50_000 + "<p>y</p>")) == 2
+
+
 def test_every_pattern_passes_the_first_look(spark):
     texts = ["8.8.8.8", "dns 1.1.1.1, ok", "8.8.8.8 since 2024", "a@-x.org", "v 1.2", None]
     got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()]

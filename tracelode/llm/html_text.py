@@ -7,7 +7,8 @@ by Viterbi. Training is deterministic, takes a second or two on the driver, and
 parameter. Blocks labelled as main text are joined in page order.
 
 Defined results: null, empty and text-free html give ''. Unclosed tags and stray ends are tolerated;
-scripts, styles, templates, form controls and comments never are text. Character references are
+scripts, styles, templates, form controls and comments never are text; of an svg, button or select that
+has no end tag only the start tag is skipped, and `<svg .../>` is empty. Character references are
 decoded once, white space inside a block becomes one space. Rows that repeat an id are extracted one
 by one, an empty table gives an empty result, columns other than the named ones are ignored.
 """
@@ -27,7 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|button)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+# Elements whose text is no text of the page. The inside of raw ones is no markup and they run to the page's end if nothing
+# ends them; of held ones only the start tag is skipped then.
+_RAW, _HELD = "script|style|noscript|template|textarea|iframe|title", "select|svg|button"
+_ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<({_HELD})(?=[\s/>])({_ATTRIBUTES})>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_HELD_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)({_HELD})(?=[\s/>])({_ATTRIBUTES})>", re.S | re.I)
 _WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -83,12 +89,29 @@ def _named(attributes: str) -> frozenset[str]:
     return found
 
 
+def _held(page: str) -> dict[int, int]:
+    """Where held elements begin and end; those without an end tag of their own are left out."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for m in _HELD_TAG.finditer(page):
+        if m[3] is None:
+            continue
+        own = begun.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not (m[3].lower() == "svg" and m[4].endswith("/")):
+                own.append(m.start())
+        elif own:
+            ends[own.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     at = linked = links = 0
+    held: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -100,14 +123,18 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, tuple(t for t, _ in stack), names, stack[-1][1] if stack else frozenset(), linked))
         linked = 0
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if links:
                 linked += len(text)
         at = m.end()
-        name = m[3]
+        if m[2]:
+            held = _held(page) if held is None else held
+            at = held.get(m.start(), at)
+            continue
+        closing, name = m[4], m[5]
         if name is None:
             continue
         name = name.lower()
@@ -115,10 +142,10 @@ def blocks(page: str) -> list[Block]:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                links = 0 if m[2] else 1
+                links = 0 if closing else 1
             continue
         flush()
-        if m[2]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -127,8 +154,8 @@ def blocks(page: str) -> list[Block]:
             shut = _CLOSES.get(name, frozenset())
             if stack and (stack[-1][0] in shut or (stack[-1][0] == "p" and name in _BLOCKS)):
                 stack.pop()
-            if not (m[4] or "").endswith("/"):
-                stack.append((name, _named(m[4])))
+            if not (m[6] or "").endswith("/"):
+                stack.append((name, _named(m[6])))
     if at < len(page):
         parts.append(page[at:])
     flush()
