@@ -1,3 +1,4 @@
+from tracelode import registry
 from tracelode.operators import graph, replay, trace
 
 
@@ -51,3 +52,24 @@ def test_procedure_graph(spark):
     half = {("procedure:x", "step:a"): 1, ("procedure:x", "step:b"): 2, ("procedure:y", "step:a"): 1, ("step:a", "step:b"): 0.5, ("procedure:x", "slot:x#1#s"): 2, ("slot:x#1#s", "step:b"): 1, ("procedure:x", "procedure:y"): 4}
     assert w == half | {(d, s): x for (s, d), x in half.items()}
     assert {(r.node, r.kind) for r in nodes.collect()} == {("procedure:x", "procedure"), ("procedure:y", "procedure"), ("step:a", "step"), ("step:b", "step"), ("slot:x#1#s", "slot")}
+
+
+def test_hub_steps_converge(spark):
+    sf = "/root/testdata/sf0.001"
+    near: dict[str, dict[str, int]] = {}
+    for p, s in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect():
+        for a, b in ((f"p{p}", f"s{s}"), (f"s{s}", f"p{p}")):
+            near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + 1
+    n = len(near)
+    score = dict.fromkeys(near, 1 / n)
+    for rounds in range(1, 101):
+        new = dict.fromkeys(near, 0.15 / n)
+        for a, to in near.items():
+            for b, w in to.items():
+                new[b] += 0.85 * score[a] * w / sum(to.values())
+        change, score = sum(abs(new[a] - score[a]) for a in near), new
+        if change < n * 1e-6:
+            break
+    got, early = ({r.node: r.score for r in registry.queries()[q](spark, sf).collect()} for q in ("hub_steps_converged", "hub_steps"))
+    assert rounds > 5 and got.keys() == score.keys() and max(abs(got[a] - score[a]) for a in score) < 1e-6
+    assert max(abs(early[a] - score[a]) for a in score) > 1e-4
