@@ -44,6 +44,20 @@ def test_path_and_recording(spark, session):
         R.recording([], {}, "huge")
 
 
+def test_command_line_keeps_results_of_up_to_4000_characters(spark, tmp_path):
+    from tracelode import cli
+
+    for n in (3000, 4000, 4001):
+        rows = [{"type": "session", "version": 3, "id": "S"}, {"id": "t", "parentId": None, **message("toolResult", [{"type": "text", "text": "x" * n}])}]
+        (tmp_path / f"{n}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    cli.result(spark, cli._arguments().parse_args(["record", str(tmp_path / "*.jsonl"), str(tmp_path / "r"), "--profile", "minimal"]))
+    (at,) = (tmp_path / "r").glob("recordings-*")
+    got = {r.trace.rsplit("/", 1)[-1]: traces.unpack(bytes(r.content)) for r in spark.read.parquet(str(at)).collect()}
+    text = {k: b["dict"][0] for k, b in got.items()}
+    assert text["3000.jsonl"] == "x" * 3000 and text["4000.jsonl"] == "x" * 4000 and text["4001.jsonl"].startswith("x" * 4000 + "\n")
+    assert {k: b["lossy"] for k, b in got.items()} == {"3000.jsonl": False, "4000.jsonl": False, "4001.jsonl": True}
+
+
 def test_chosen_leaf(spark, session):
     e = traces.read_entries(spark, f"{session}/*.jsonl")
     leaf = e.where("id = 'old'").select("trace", "id")

@@ -78,7 +78,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return search.search(lines.selectExpr("trace", "array_join(lines, ' ') AS body"), "trace", "body", [t.lower() for t in a.terms], a.limit)
     if a.command == "record":
         paths = record.active_paths(traces.read_entries(spark, a.pattern))
-        return record.read_packed(spark, record.write_recordings(record.record(paths, a.profile, a.redact), a.folder))
+        return record.read_packed(spark, record.write_recordings(record.record(paths, a.profile, a.redact, record.WHOLE_RESULT_CHARS), a.folder))
     if a.command == "learn":
         learnt = procedures.procedures(_steps(spark, a.pattern, a.name))
         if a.save:

@@ -15,10 +15,12 @@ from ..sources.traces import MAGIC_GZIP, TraceFormatError, pack, unpack
 from .trace import depths, leaves
 
 PROFILES = ("full", "normal", "minimal")
-# Kinds of entries and fields that the minimal profile drops, and the length it cuts results to.
+# Kinds of entries and fields that the minimal profile drops, and the length it cuts results to: by default,
+# and what the command line gives.
 SIDE_TYPES = ("usage", "label", "session_info")
 SIDE_FIELDS = {"toolResult": ("details", "nestedCalls", "usage"), "assistant": ("diagnostics",)}
 RESULT_CHARS = 2000
+WHOLE_RESULT_CHARS = 4000
 
 
 def active_paths(entries: DataFrame, leaf: DataFrame | None = None) -> DataFrame:
@@ -50,7 +52,7 @@ def _strings(value, change):
     return {k: _strings(v, change) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-def trimmed(entries: list[dict]) -> tuple[list[dict], list[str]]:
+def trimmed(entries: list[dict], result_chars: int = RESULT_CHARS) -> tuple[list[dict], list[str]]:
     """Entries as the minimal profile keeps them, and what was dropped."""
     out, thoughts, cut = [], 0, 0
     for e in entries:
@@ -64,14 +66,14 @@ def trimmed(entries: list[dict]) -> tuple[list[dict], list[str]]:
                 text = block.get("text")
                 if block.get("type") == "thinking":
                     thoughts += 1
-                elif role == "toolResult" and block.get("type") == "text" and isinstance(text, str) and len(text) > RESULT_CHARS:
+                elif role == "toolResult" and block.get("type") == "text" and isinstance(text, str) and len(text) > result_chars:
                     cut += 1
-                    content.append({**b, "text": f"{text[:RESULT_CHARS]}\n\n[{len(text) - RESULT_CHARS} characters dropped]"})
+                    content.append({**b, "text": f"{text[:result_chars]}\n\n[{len(text) - result_chars} characters dropped]"})
                 else:
                     content.append(b)
             e = {**e, "message": {**{k: v for k, v in m.items() if k not in SIDE_FIELDS.get(role, ())}, "content": content}}
         out.append(e)
-    told = [(len(entries) - len(out), "entries beside the messages"), (thoughts, "thinking blocks"), (cut, f"tool results cut to {RESULT_CHARS} characters")]
+    told = [(len(entries) - len(out), "entries beside the messages"), (thoughts, "thinking blocks"), (cut, f"tool results cut to {result_chars} characters")]
     return out, [f"{n} {what}" for n, what in told if n]
 
 
@@ -89,13 +91,13 @@ def summary(entries: list[dict]) -> dict:
     }
 
 
-def recording(entries: list[dict], source: dict, profile: str = "normal", redact: bool = False, name: str | None = None) -> bytes:
+def recording(entries: list[dict], source: dict, profile: str = "normal", redact: bool = False, name: str | None = None, result_chars: int = RESULT_CHARS) -> bytes:
     """A recording's file from entries in order."""
     if profile not in PROFILES:
         raise ValueError(f"profile is one of {', '.join(PROFILES)}")
     dropped: list[str] = []
     if profile == "minimal":
-        entries, dropped = trimmed(entries)
+        entries, dropped = trimmed(entries, result_chars)
     if redact:
         hidden = 0
 
@@ -110,13 +112,13 @@ def recording(entries: list[dict], source: dict, profile: str = "normal", redact
     return pack({"name": name, "profile": profile, "lossy": bool(dropped), "dropped": dropped, "source": source, "stats": summary(entries)}, entries)
 
 
-def record(paths: DataFrame, profile: str = "normal", redact: bool = False) -> DataFrame:
-    """trace, content: a recording's file for each trace of active_paths(); a recording is one file, so one group."""
+def record(paths: DataFrame, profile: str = "normal", redact: bool = False, result_chars: int = RESULT_CHARS) -> DataFrame:
+    """trace, content: a recording's file for each trace of active_paths(); a recording is one file, so one group. The minimal profile cuts longer tool results than result_chars."""
     python_path(paths.sparkSession)
 
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = [json.loads(e) for e in rows.sort_values("depth").entry]
-        return pd.DataFrame({"trace": [key[0]], "content": [recording(own, {"sessionFile": key[0], "leafId": own[-1].get("id")}, profile, redact)]})
+        return pd.DataFrame({"trace": [key[0]], "content": [recording(own, {"sessionFile": key[0], "leafId": own[-1].get("id")}, profile, redact, result_chars=result_chars)]})
 
     return paths.select("trace", "depth", F.to_json("raw").alias("entry")).groupBy("trace").applyInPandas(of, "trace string, content binary")
 
