@@ -20,6 +20,23 @@ def test_commands(spark, tmp_path, capsys):
     assert len(said("--limit", "3", "query", "slug", "/root/testdata/sf0.001")) == 3
 
 
+def test_all_rows_but_of_listings(spark, tmp_path, capsys):
+    for k in range(27):
+        rows = [{"type": "session", "id": f"trace-{k}-"}, *({"type": "message", "id": str(i), "message": {"role": "user", "content": f"deploy {i}"}} for i in range(40 if k == 0 else 1))]
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    at = str(tmp_path / "*.jsonl")
+
+    def said(*argv):
+        cli.main(list(argv))
+        out, err = capsys.readouterr()
+        return len(out.splitlines()), [x for x in err.splitlines() if x.endswith(" more")]
+
+    assert said("show", at, "trace-0-") == (40, []) and said("entries", str(tmp_path / "0.jsonl")) == (40, [])
+    assert said("query", "slug", "/root/testdata/sf0.001")[0] > 25
+    assert said("sessions", at) == said("search", at, "deploy") == (25, ["... 2 more"])
+    assert said("--limit", "5", "show", at, "trace-0-") == (5, []) and said("--limit", "26", "sessions", at) == (26, ["... 1 more"])
+
+
 def test_record_learn_compose(spark, tmp_path, capsys):
     from tests.test_chain import write
 

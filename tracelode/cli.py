@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,13 @@ from .functions import rules
 from .operators import extract, procedures, record, search, stats
 from .sources import traces
 
+#: Commands that print so many rows unless told otherwise, and how many more there are; the others print all.
+LISTINGS, LISTED = ("sessions", "search"), 25
+
 
 def _arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracelode", description=__doc__)
-    p.add_argument("--limit", type=int, default=25, help="rows to print")
+    p.add_argument("--limit", type=int, help=f"rows to print (sessions and search: {LISTED}, others: all)")
     c = p.add_subparsers(dest="command", required=True)
     for name, said in (("sessions", "list trace files, newest first"), ("show", "entries of the trace that REF resolves to"), ("entries", "entries of trace files")):
         own = c.add_parser(name, help=said)
@@ -75,7 +79,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return stats.tool_weights(traces.read_entries(spark, a.pattern).selectExpr("type", "to_json(raw) AS body"), "type", "body")
     if a.command == "search":
         lines = traces.trace_lines(spark, a.pattern).groupBy("trace").agg({"value": "collect_list"}).toDF("trace", "lines")
-        return search.search(lines.selectExpr("trace", "array_join(lines, ' ') AS body"), "trace", "body", [t.lower() for t in a.terms], a.limit)
+        return search.search(lines.selectExpr("trace", "array_join(lines, ' ') AS body"), "trace", "body", [t.lower() for t in a.terms], None)
     if a.command == "record":
         paths = record.active_paths(traces.read_entries(spark, a.pattern))
         return record.read_packed(spark, record.write_recordings(record.record(paths, a.profile, a.redact, record.WHOLE_RESULT_CHARS), a.folder))
@@ -97,8 +101,17 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     a = _arguments().parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for row in result(spark, a).limit(a.limit).toJSON().collect():
-        print(row)
+    limit = LISTED if a.limit is None and a.command in LISTINGS else a.limit
+    found, more = result(spark, a), 0
+    if limit is not None and a.command not in LISTINGS:
+        found = found.limit(limit)
+    for k, row in enumerate(found.toJSON().toLocalIterator()):
+        if limit is None or k < limit:
+            print(row)
+        else:
+            more += 1
+    if more:
+        print(f"... {more} more", file=sys.stderr)
 
 
 if __name__ == "__main__":

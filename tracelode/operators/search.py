@@ -38,11 +38,12 @@ def _within(term: str) -> Column:
     return F.exists("terms", lambda w: w.contains(term))
 
 
-def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int = 10) -> DataFrame:
+def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int | None = 10) -> DataFrame:
     """Documents by cosine of TF-IDF with the query's terms, plus a bonus for terms found inside words; 4 places, ties by document.
 
     Each term of over three characters that a document has, be it inside a longer word, adds BONUS to
     b, and b / (1 + b) to the score, of at most 1. Only documents with a hit are split into weights.
+    No limit: all of these.
     """
     idf = _document_frequency(docs, text).select("term", "idf")
     found = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
@@ -59,7 +60,8 @@ def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int =
     q = math.sqrt(sum(x * x for x in known) + (len(query) - len(known)) * UNKNOWN_IDF**2)
     b = F.col("inside") * BONUS
     score = F.round(F.least(F.lit(1.0), F.col("dot") / (F.col("norm") * q) + b / (b + 1)), 4)
-    return scored.select("doc", score.alias("score"), "matched").orderBy(F.desc("score"), "doc").limit(limit)
+    ranked = scored.select("doc", score.alias("score"), "matched").orderBy(F.desc("score"), "doc")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def within_budget(ranked: DataFrame, partition: str, order: list, text: str, budget: int) -> DataFrame:
