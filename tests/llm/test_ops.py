@@ -79,7 +79,7 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(none, bench).count() == 0
     assert token_counts.token_counts(none).count() == 0
     assert sentencepiece_codec.encode_column(none).count() == 0
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
     assert quality.quality_scores(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     assert chat_format.read_back(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -183,7 +183,7 @@ def test_pseudonyms(spark):
     for r in f.collect():
         assert r.b == r.m and r.again == r.kind and len(r.p) == len(r.m) or r.kind == "ip", r
     text = "pay 4111111111111111 or 4111111111111112 by 2023-02-30 at 10.0.0.256, a.b@x.org."
-    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame([(1, text), (2, "4111111111111111"), (3, None), (4, "")], "doc_id long, text string")).collect()}
+    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame([(1, text), (2, "4111111111111111"), (3, None), (4, "")], "doc_id long, text string"), "k").collect()}
     assert got[2].text in got[1].text and "4111111111111112 by 2023-02-30 at 10.0.0.256" in got[1].text and "@x.org." in got[1].text
     assert got[3].text is None and got[4].text == "" and [x.kind for x in got[1].found] == ["card", "email"]
 
@@ -203,7 +203,7 @@ def test_held_elements_keep_the_rest_of_the_page():
 
 def test_every_pattern_passes_the_first_look(spark):
     texts = ["8.8.8.8", "dns 1.1.1.1, ok", "8.8.8.8 since 2024", "a@-x.org", "v 1.2", None]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("id").collect()]
     assert got[0] != "8.8.8.8" and got[2] == got[0] + " since 2024" and "1.1.1.1" not in got[1] and got[3] != texts[3] and got[4:] == texts[4:]
 
 
@@ -216,7 +216,7 @@ def test_spellings_are_found_and_linked(spark):
     mixed = ["+33 1 23 45 67 89 4111 1111 1111 1111", "+44 20 7946 0958 8.8.8.8", "+1 555 123 4567 123-45-6789", "+2024-02-29", "1234 5678 9012 2024-02-29", "1234 5678 9012 555-123-4567", "4111 1111 1111 1111 2024-02-29"]
     kinds = ["phone card", "phone ip", "phone ssn", "date", "date", "phone", "card date"]
     texts = alone + left + mixed
-    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("id").collect()
     now = dict(zip(texts, got))
     digits = lambda t, n: re.sub("[^0-9]", "", now[t].text)[-n:]
     for t in alone:

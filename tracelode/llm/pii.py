@@ -1,12 +1,15 @@
 """Pseudonyms for personal numbers and dates by a format-preserving Feistel network.
 
 Found and validated: payment card numbers (13 to 19 digits that pass the Luhn check), social
-security numbers, telephone numbers, IPv4 addresses, ISO dates from 1900 to 2099, and e-mail
+security numbers, telephone numbers, IPv4 addresses, dates from 1900 to 2099, and e-mail
 addresses. Each but the last is a number of a finite domain that is the product of two moduli; a
 keyed Feistel network of modular additions permutes that domain, and the result is written in the
 form of the original, valid again (Luhn digit, octets, calendar). So equal values get equal
 pseudonyms in every document, different values different ones, and whoever has the key can invert
-it. The local part of an address is replaced by a keyed digest. Round values are from SHA-256.
+it; as in any permutation, a value may stand for itself. The local part of an address is neither
+number nor date: it is replaced by 128 bits of a keyed digest of the lower-cased address, which has
+no way back. Round values are from SHA-256. The key has no default: with a known key anyone can
+invert the numbers.
 
 Spellings of cards: unbroken, or groups of 4-4-4-4, 4-4-4-4 with 1 to 3 more, 4-4-4 with 1 to 3 more,
 4-6-5 and 4-6-4 digits, all parted by a space or all by a dash. If the first 16 of 17 to 19 grouped
@@ -14,13 +17,17 @@ digits pass the check, they are the card and the last group (a security code, sa
 back is not unique for longer grouped cards. Spellings of phones: ten digits as 3-3-4 parted by spaces,
 dots or dashes, the area code also in parentheses, with or without 1 or +1; and + with a country code
 and 8 to 15 digits in all, unbroken or parted by single spaces, dots or dashes. The country code stays,
-separators too, and spellings of one number are linked; a trunk (0) counts as a digit. Left alone:
-cards in other groups or that another group of four precedes, national numbers in other groups or
-without separators.
+separators too, and spellings of one number are linked; a trunk (0) counts as a digit. Spellings of
+dates, linked as well: year, month and day parted by dashes, slashes or dots, and day, month and year
+parted by dots. Left alone: cards in other groups or that another group of four precedes, national
+numbers in other groups or without separators, dates whose first part may be day or month, or with
+names of months.
 
 Defined results: null text gives null text and no finds. Numbers that fail their validation stay as
-they are. Rows that repeat an id are treated one by one, an empty table gives an empty result, and
-columns other than the named ones are ignored. All in DataFrame functions.
+they are. Where two kinds could begin at one place, the first in PATTERNS wins. Texts of any length are
+read whole and in time that grows with their length; no pattern recurses. Rows that repeat an id are
+treated one by one, an empty table gives an empty result, and columns other than the named ones are
+ignored, whatever their names. All in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -29,9 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Production key of the query; callers give their own.
-KEY = "tracelode"
-_DATE = r"(?<![\d.-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+_DATE = (
+    rf"(?:(?<![\d.-]){_YEAR}-{_MONTH}-{_DAY}(?![\d-])"
+    rf"|(?<![\d./-])(?:{_YEAR}/{_MONTH}/{_DAY}|{_YEAR}\.{_MONTH}\.{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR})(?![\d/-]|\.\d))"
+)
 _SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 # After the last digit of a number in groups: no digit, nor one that a dot or dash ties to it.
@@ -55,7 +64,8 @@ _PHONE = "|".join((
 ))
 #: kind -> pattern of a candidate.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    # Possessive throughout: the JVM recurses once a round for any other repeated group, and a domain may have many labels.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "date": _DATE,
     "ssn": _SSN,
     "phone": _PHONE,
@@ -127,6 +137,12 @@ def _in_form(m: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(m), F.lit(1))), sign), "")
 
 
+def _iso(m: Column) -> Column:
+    """A date in any of its spellings as year-month-day."""
+    part = lambda k, n: F.substring(m, k, n)
+    return F.when(m.rlike(r"^\d{4}"), F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2))).otherwise(F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
+
+
 def kind_of(m: Column) -> Column:
     """Which validated kind a match of the common pattern is; null: it fails its validation."""
     luhn = _luhn_sum(_digits(_core(m)), 0) % 10 == 0
@@ -134,8 +150,8 @@ def kind_of(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^\+|^(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"), "phone")
         .when(m.rlike(r"^\d{13,19}$|^\d{4}[ -]\d{4,6}[ -]"), F.when(luhn, "card"))
+        .when(m.rlike(rf"^(?:{_YEAR}[-/.]\d\d[-/.]\d\d|\d\d\.\d\d\.{_YEAR})$"), F.when(F.try_to_date(_iso(m), "yyyy-MM-dd").isNotNull(), "date"))
         .when(m.contains("."), "ip")
-        .when(m.rlike(r"^\d{4}-"), F.when(F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "date"))
         .otherwise("ssn")
     )
 
@@ -161,8 +177,11 @@ def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
     half = F.floor(F.length(own) / 2)
     phone = F.lpad(run(num(own), ten(F.length(own) - half), ten(half), "phone").cast("string"), F.length(own), F.lit("0"))
     phone = _in_form(m, F.concat(code, phone))
-    day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(_DAY_ZERO).cast("date")).cast("long")
-    date = F.date_add(F.lit(_DAY_ZERO).cast("date"), run(day, _big(_DAYS[0]), _big(_DAYS[1]), "date").cast("int"))
+    day = F.datediff(F.try_to_date(_iso(m), "yyyy-MM-dd"), F.lit(_DAY_ZERO).cast("date")).cast("long")
+    date = F.date_add(F.lit(_DAY_ZERO).cast("date"), run(day, _big(_DAYS[0]), _big(_DAYS[1]), "date").cast("int")).cast("string")
+    date = F.when(m.rlike(r"^\d{4}"), F.replace(date, F.lit("-"), F.substring(m, 5, 1))).otherwise(
+        F.concat_ws(".", F.substring(date, 9, 2), F.substring(date, 6, 2), F.substring(date, 1, 4))
+    )
     area = num(F.substring(m, 1, 3))
     area = area - F.when(area > 666, 2).otherwise(1)
     ssn = run((area * 99 + num(F.substring(m, 5, 2)) - 1) * 9999 + num(F.substring(m, 8, 4)) - 1, _big(898 * 99), _big(9999), "ssn")
@@ -172,13 +191,15 @@ def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     ssn = F.concat_ws("-", pad(area, 3), pad(F.pmod(high, _big(99)) + 1, 2), pad(F.pmod(ssn, _big(9999)) + 1, 4))
     at = F.split(m, "@")
-    mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(F.get(at, 0))), 256), 1, 12), F.lit("@"), F.get(at, 1))
+    mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 32), F.lit("@"), F.get(at, 1))
     out = F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone)
-    return out.when(kind == "date", date.cast("string")).when(kind == "ssn", ssn).when(kind == "email", mail)
+    return out.when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "email", mail)
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, text with pseudonyms, found (array of kind, original length in order)."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("__t")
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))
     # Nearly every text without a digit and a sign of these kinds is done after one cheap look.

@@ -20,7 +20,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    found = pseudonymise(table(spark, sf_dir, "documents"))
+    # Real runs name their own key; this one is for the driver's tables.
+    found = pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.tracelode.pii.key", "tracelode"))
     kinds = F.array_join(F.transform("found", lambda x: x["kind"]), ",")
     return found.select(F.col("id").alias("doc_id"), "text", F.size("found").cast("long").alias("n_found"), kinds.alias("kinds"))
 
