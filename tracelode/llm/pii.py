@@ -32,6 +32,8 @@ ignored, whatever their names. All in DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,25 +83,32 @@ _CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _DAY_ZERO, _DAYS = "1900-01-01", (17, 4297)
 
 
-def _feistel(index: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
-    """The permutation of 0 .. a * b - 1, or its inverse. a, b and index are longs."""
-    halves = F.struct(F.floor(index / b).cast("long").alias("x"), F.pmod(index, b).alias("y"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def value(i: Column, half: Column) -> Column:
-        text = F.concat_ws("/", F.lit(key), F.lit(kind), i.cast("string"), a.cast("string"), b.cast("string"), half.cast("string"))
-        return F.conv(F.substring(F.sha2(text, 256), 1, 14), 16, 10).try_cast("long")
 
+def _feistel(index: Column, a: Column, b: Column, key: str, kind: str, back: bool = False) -> Column:
+    """The permutation of 0 .. a * b - 1, or its inverse. a, b and index are longs."""
     # Even rounds add to x, odd rounds to y; backwards the same is taken off in reverse.
     sign = -1 if back else 1
+    rounds = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
 
-    def step(s: Column, i: Column) -> Column:
-        even = F.pmod(i, F.lit(2)) == 0
-        x = F.when(even, F.pmod(s["x"] + sign * value(i, s["y"]), a)).otherwise(s["x"])
-        y = F.when(even, s["y"]).otherwise(F.pmod(s["y"] + sign * value(i, s["x"]), b))
-        return F.struct(x.alias("x"), y.alias("y"))
+    def run(v: Column) -> Column:
+        def value(i: Column, half: Column) -> Column:
+            text = F.concat_ws("/", F.lit(key), F.lit(kind), i.cast("string"), v["a"].cast("string"), v["b"].cast("string"), half.cast("string"))
+            return F.conv(F.substring(F.sha2(text, 256), 1, 14), 16, 10).try_cast("long")
 
-    rounds = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if back else range(ROUNDS))])
-    return F.aggregate(rounds, halves, step, lambda s: s["x"] * b + s["y"])
+        def step(s: Column, i: Column) -> Column:
+            even = F.pmod(i, F.lit(2)) == 0
+            x = F.when(even, F.pmod(s["x"] + sign * value(i, s["y"]), v["a"])).otherwise(s["x"])
+            y = F.when(even, s["y"]).otherwise(F.pmod(s["y"] + sign * value(i, s["x"]), v["b"]))
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        halves = F.struct(F.floor(v["n"] / v["b"]).cast("long").alias("x"), F.pmod(v["n"], v["b"]).alias("y"))
+        return F.aggregate(rounds, halves, step, lambda s: s["x"] * v["b"] + s["y"])
+
+    return _let(F.struct(index.alias("n"), a.alias("a"), b.alias("b")), run)
 
 
 def _big(n: int) -> Column:
@@ -145,7 +154,7 @@ def _iso(m: Column) -> Column:
 
 def kind_of(m: Column) -> Column:
     """Which validated kind a match of the common pattern is; null: it fails its validation."""
-    luhn = _luhn_sum(_digits(_core(m)), 0) % 10 == 0
+    luhn = _let(_digits(_core(m)), lambda d: _luhn_sum(d, 0) % 10 == 0)
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^\+|^(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"), "phone")
@@ -156,44 +165,60 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def _decimal(digits: Column, key: str, kind: str, back: bool) -> Column:
+    """The permutation of all strings of as many digits."""
+    ten = lambda n: F.pow(F.lit(10), n).cast("long")
+
+    def run(d: Column) -> Column:
+        half = F.floor(F.length(d) / 2)
+        return F.lpad(_feistel(d.try_cast("long"), ten(F.length(d) - half), ten(half), key, kind, back).cast("string"), F.length(d), F.lit("0"))
+
+    return _let(digits, run)
+
+
 def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a validated match (or, backwards, its original; e-mail addresses have no way back)."""
     num = lambda c: c.try_cast("long")
-    run = lambda index, a, b, k: _feistel(index, a, b, key, k, back)
-    core = _core(m)
-    whole = _digits(core)
-    body = F.substring(whole, F.lit(1), F.length(whole) - 1)
-    ten = lambda n: F.pow(F.lit(10), n).cast("long")
-    half = F.floor(F.length(body) / 2)
-    card = F.lpad(run(num(body), ten(F.length(body) - half), ten(half), "card").cast("string"), F.length(body), F.lit("0"))
-    card = F.concat(card, F.pmod(10 - _luhn_sum(card, 1) % 10, F.lit(10)).cast("string"))
-    card = F.concat(_in_form(core, card), F.substring(m, F.length(core) + 1, F.length(m)))
-    parts = F.split(m, r"\.")
-    octet = lambda i: num(F.get(parts, i))
-    ip = run(((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3), _big(65536), _big(65536), "ip")
-    ip = F.concat_ws(".", *[(F.pmod(F.shiftright(ip, s), _big(256))).cast("string") for s in (24, 16, 8, 0)])
-    code = F.when(m.startswith("+"), F.regexp_extract(_digits(m), _CODE, 1)).otherwise(F.when(F.length(_digits(m)) == 11, "1").otherwise(""))
-    own = F.substring(_digits(m), F.length(code) + 1, F.length(m))
-    half = F.floor(F.length(own) / 2)
-    phone = F.lpad(run(num(own), ten(F.length(own) - half), ten(half), "phone").cast("string"), F.length(own), F.lit("0"))
-    phone = _in_form(m, F.concat(code, phone))
-    day = F.datediff(F.try_to_date(_iso(m), "yyyy-MM-dd"), F.lit(_DAY_ZERO).cast("date")).cast("long")
-    date = F.date_add(F.lit(_DAY_ZERO).cast("date"), run(day, _big(_DAYS[0]), _big(_DAYS[1]), "date").cast("int")).cast("string")
-    date = F.when(m.rlike(r"^\d{4}"), F.replace(date, F.lit("-"), F.substring(m, 5, 1))).otherwise(
-        F.concat_ws(".", F.substring(date, 9, 2), F.substring(date, 6, 2), F.substring(date, 1, 4))
-    )
-    area = num(F.substring(m, 1, 3))
-    area = area - F.when(area > 666, 2).otherwise(1)
-    ssn = run((area * 99 + num(F.substring(m, 5, 2)) - 1) * 9999 + num(F.substring(m, 8, 4)) - 1, _big(898 * 99), _big(9999), "ssn")
-    high = F.floor(ssn / 9999).cast("long")
-    area = F.floor(high / 99).cast("long")
-    area = area + F.when(area >= 665, 2).otherwise(1)
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    ssn = F.concat_ws("-", pad(area, 3), pad(F.pmod(high, _big(99)) + 1, 2), pad(F.pmod(ssn, _big(9999)) + 1, 4))
-    at = F.split(m, "@")
-    mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 32), F.lit("@"), F.get(at, 1))
-    out = F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone)
-    return out.when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "email", mail)
+
+    def card(core: Column) -> Column:
+        body = _let(_digits(core), lambda d: F.substring(d, F.lit(1), F.length(d) - 1))
+        whole = _let(_decimal(body, key, "card", back), lambda d: F.concat(d, F.pmod(10 - _luhn_sum(d, 1) % 10, F.lit(10)).cast("string")))
+        return F.concat(_let(whole, lambda d: _in_form(core, d)), F.substring(m, F.length(core) + 1, F.length(m)))
+
+    def ip(parts: Column) -> Column:
+        octet = lambda i: num(F.get(parts, F.lit(i)))
+        n = _feistel(((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3), _big(65536), _big(65536), key, "ip", back)
+        return _let(n, lambda v: F.concat_ws(".", *[F.pmod(F.shiftright(v, s), _big(256)).cast("string") for s in (24, 16, 8, 0)]))
+
+    def phone(digits: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(digits, _CODE, 1)).otherwise(F.when(F.length(digits) == 11, "1").otherwise(""))
+        own = lambda c: F.concat(c, _decimal(F.substring(digits, F.length(c) + 1, F.length(m)), key, "phone", back))
+        return _let(_let(code, own), lambda d: _in_form(m, d))
+
+    def date(iso: Column) -> Column:
+        day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_DAY_ZERO).cast("date")).cast("long")
+        return F.date_add(F.lit(_DAY_ZERO).cast("date"), _feistel(day, _big(_DAYS[0]), _big(_DAYS[1]), key, "date", back).cast("int")).cast("string")
+
+    def in_spelling(d: Column) -> Column:
+        year_first = F.replace(d, F.lit("-"), F.substring(m, 5, 1))
+        return F.when(m.rlike(r"^\d{4}"), year_first).otherwise(F.concat_ws(".", F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4)))
+
+    def ssn(area: Column) -> Column:
+        area = area - F.when(area > 666, 2).otherwise(1)
+        n = _feistel((area * 99 + num(F.substring(m, 5, 2)) - 1) * 9999 + num(F.substring(m, 8, 4)) - 1, _big(898 * 99), _big(9999), key, "ssn", back)
+        pad = lambda c, w: F.lpad(c.cast("string"), w, "0")
+
+        def written(v: Column) -> Column:
+            high = F.floor(v / 9999).cast("long")
+            first = F.floor(high / 99).cast("long")
+            first = first + F.when(first >= 665, 2).otherwise(1)
+            return F.concat_ws("-", pad(first, 3), pad(F.pmod(high, _big(99)) + 1, 2), pad(F.pmod(v, _big(9999)) + 1, 4))
+
+        return _let(n, written)
+
+    mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 32), F.lit("@"), F.get(F.split(m, "@"), F.lit(1)))
+    out = F.when(kind == "card", _let(_core(m), card)).when(kind == "ip", _let(F.split(m, r"\."), ip)).when(kind == "phone", _let(_digits(m), phone))
+    return out.when(kind == "date", _let(date(_iso(m)), in_spelling)).when(kind == "ssn", _let(num(F.substring(m, 1, 3)), ssn)).when(kind == "email", mail)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
