@@ -6,15 +6,24 @@ two-label chain, trained by maximum likelihood on generated pages whose labels a
 by Viterbi. Training is deterministic, takes a second or two on the driver, and its pages are a
 parameter. Blocks labelled as main text are joined in page order.
 
-Defined results: null, empty and text-free html give ''. Unclosed tags and stray ends are tolerated;
-scripts, styles, templates, form controls and comments never are text; of an svg, button or select that
-has no end tag only the start tag is skipped, and `<svg .../>` is empty. Character references are
-decoded once, white space inside a block becomes one space. Rows that repeat an id are extracted one
-by one, an empty table gives an empty result, columns other than the named ones are ignored.
+Tags are read as the HTML rules have it, in one pass whose time grows with the page: no pattern is tried
+again on text that it has seen, and a block holds no copy of its ancestors. Where a page breaks these
+rules, text wins over markup: a quoted value that would swallow tags (its quote is not followed by white
+space, a slash or the tag's end) ends at the next `>`; a comment, title, textarea, iframe or noscript
+that nothing ends is skipped as a tag alone; so is a button, select, svg or template that neither its own
+end tag nor, before any other block begins, the end of its parent closes. Only an unclosed script, style
+or tag runs to the page's end.
+
+Defined results: null, empty and text-free html give ''. Scripts, styles, templates, form controls and
+comments never are text; `<svg .../>` is empty. Character references are decoded once, white space inside
+a block becomes one space. Of two labellings that score alike, the one with less main text wins. Pages of
+any length are read whole. Rows that repeat an id are extracted one by one, an empty table gives an empty
+result, columns other than the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import random
 import re
@@ -28,12 +37,18 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits
 
-# Elements whose text is no text of the page. The inside of raw ones is no markup and they run to the page's end if nothing
-# ends them; of held ones only the start tag is skipped then.
-_RAW, _HELD = "script|style|noscript|template|textarea|iframe|title", "select|svg|button"
-_ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<({_HELD})(?=[\s/>])({_ATTRIBUTES})>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_HELD_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)({_HELD})(?=[\s/>])({_ATTRIBUTES})>", re.S | re.I)
+# Elements without text of the page. The inside of raw ones is no markup; that of held ones is, but is left out.
+_RAW = frozenset("script style noscript textarea iframe title noembed noframes".split())
+_HELD = frozenset("select svg button template".split())
+#: Raw elements that run to the page's end if nothing ends them, and that are raw inside an svg, too.
+_CODE = frozenset(("script", "style"))
+# What follows a tag's name: no quote means anything but after an equals sign.
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\">]*+\"|'[^'>]*+'|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+)*+"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_COMMENT_END, _SVG_END = re.compile(r"--!?>"), re.compile(r"</svg(?=[\s/>])", re.I)
+TEXT, START, END = range(3)
 _WORDS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -59,26 +74,29 @@ _TAGS = "article main section div p h1 h2 h3 li ul ol blockquote pre td table fi
 _FEATURES = [f"in:{t}" for t in _TAGS] + [f"own:{t}" for t in _TAGS] + [f"name:{n}" for n in _NAMES] + [f"own-name:{n}" for n in _NAMES]
 _FEATURES += [f"words<={n}" for n in (1, 3, 6, 12, 25, 50)] + ["words>50", "links<=0", "links<=.3", "links<=.8", "links>.8", "ends", "commas", "copyright", "in article or main", "bad tag", "bad name", "main name only", "bias"]
 INDEX = {f: k for k, f in enumerate(_FEATURES)}
+_KNOWN = frozenset(_TAGS)
 _BAD_TAGS = frozenset("nav aside footer form label fieldset dialog".split())
 _BAD_NAMES = frozenset(_NAMES) - {"main"}
 TRAINING_PAGES, STEPS = 500, 150
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]
+    own: str
+    tags: frozenset[str]
     names: frozenset[str]
     own_names: frozenset[str]
     linked: int
 
 
 _NAME_CACHE: dict[str, frozenset[str]] = {}
+_NONE: frozenset[str] = frozenset()
 
 
 def _named(attributes: str) -> frozenset[str]:
     if not attributes or "=" not in attributes:
-        return frozenset()
+        return _NONE
     found = _NAME_CACHE.get(attributes)
     if found is None:
         words = " ".join(a or b or c for a, b, c in _WORDS.findall(attributes)).lower().split()
@@ -89,29 +107,121 @@ def _named(attributes: str) -> frozenset[str]:
     return found
 
 
-def _held(page: str) -> dict[int, int]:
-    """Where held elements begin and end; those without an end tag of their own are left out."""
-    ends: dict[int, int] = {}
-    begun: dict[str, list[int]] = {}
-    for m in _HELD_TAG.finditer(page):
-        if m[3] is None:
+def tokens(page: str) -> list[tuple]:
+    """(TEXT, begin, end), (START, name, attributes) and (END, name, '') in page order, without comments and raw elements."""
+    out: list[tuple] = []
+    at = begin = svgs = 0
+    last_svg: int | None = None
+    endless: set[str] = set()  # what has no end in the rest of the page
+    while (lt := page.find("<", at)) >= 0:
+        sign = page[lt + 1 : lt + 2]
+        letter = page[lt + 2 : lt + 3] if sign == "/" else sign
+        name = ""
+        if letter.isascii() and letter.isalpha():
+            m = None if "tag" in endless else _TAG.match(page, lt)
+            if m:
+                closing, name, attributes, end = m[1], m[2], m[3], m.end()
+            else:
+                end = page.find(">", lt) + 1
+                if not end:
+                    break
+                endless.add("tag")
+                m = _NAME.match(page, lt)
+                closing, name, attributes = m[1], m[2], page[m.end() : end - 1]
+            name = name.lower()
+        elif page.startswith("<!--", lt):
+            short = 5 if page.startswith(">", lt + 4) else 6 if page.startswith("->", lt + 4) else 0
+            m = None if short or "--" in endless else _COMMENT_END.search(page, lt + 4)
+            if not (m or short):
+                endless.add("--")
+            end = lt + short if short else m.end() if m else page.find(">", lt) + 1
+        elif svgs and page.startswith("<![CDATA[", lt) and "]]" not in endless:
+            end = page.find("]]>", lt) + 3
+            if end < 3:
+                endless.add("]]")
+                continue
+        elif sign and sign in "!?/":
+            end = page.find(">", lt) + 1
+        else:  # a sign in the text
+            at = lt + 1
+            continue
+        if lt > begin:
+            out.append((TEXT, begin, lt))
+        at = begin = end or len(page)
+        if not name:
             continue
-        own = begun.setdefault(m[3].lower(), [])
-        if not m[2]:
-            if not (m[3].lower() == "svg" and m[4].endswith("/")):
-                own.append(m.start())
-        elif own:
-            ends[own.pop()] = m.end()
+        if closing:
+            svgs -= name == "svg" and svgs > 0
+            out.append((END, name, ""))
+            continue
+        if name in _RAW and name not in endless and not (svgs and (name not in _CODE or attributes.endswith("/"))):
+            m = _RAW_END[name].search(page, at)
+            if m:
+                at = begin = page.find(">", m.end()) + 1 or len(page)
+            elif name in _CODE:
+                at = begin = len(page)
+            else:
+                endless.add(name)
+            continue
+        if name == "svg" and not attributes.endswith("/"):
+            if last_svg is None:
+                last_svg = max((x.start() for x in _SVG_END.finditer(page, at)), default=-1)
+            svgs += at <= last_svg
+        out.append((START, name, attributes))
+    else:
+        lt = len(page)
+    if lt > begin:
+        out.append((TEXT, begin, lt))
+    return out
+
+
+def _held(found: list[tuple]) -> dict[int, int]:
+    """The last token of each held element that has an end, by its first."""
+    ends: dict[int, int] = {}
+    open_: dict[str, int] = {}
+    stack: list[tuple[str, int, int]] = []
+    begun = 0
+
+    def close(name: str, at: int, by_end: bool) -> None:
+        while True:
+            own, first, seen = stack.pop()
+            open_[own] -= 1
+            itself = by_end and own == name
+            if own in _HELD and (itself or seen == begun):
+                ends[first] = at if itself else at - 1
+            if own == name:
+                return
+
+    for i, (kind, name, attributes) in enumerate(found):
+        if kind == END:
+            if open_.get(name):
+                close(name, i, True)
+        elif kind == START and name not in _INLINE and name not in _VOID:
+            if name == "svg" and attributes.endswith("/"):
+                ends[i] = i
+                continue
+            if name == "button" and open_.get(name):
+                close(name, i, False)
+            if name not in _HELD:
+                begun += 1
+                if attributes.endswith("/"):
+                    continue
+            stack.append((name, i, begun))
+            open_[name] = open_.get(name, 0) + 1
     return ends
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    found = tokens(page)
+    held = _held(found) if any(kind == START and name in _HELD for kind, name, _ in found) else {}
+    # name, names of its own, known tags and names from here upwards, and the stack's height at which a link began
+    stack: list[tuple[str, frozenset[str], frozenset[str], frozenset[str]]] = []
+    top = ("", _NONE, _NONE, _NONE)
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    at = linked = links = 0
-    held: dict[int, int] | None = None
+    linked, link_at, i = 0, -1, 0
 
     def flush() -> None:
         nonlocal linked
@@ -119,71 +229,78 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                names = frozenset().union(*(n for _, n in stack))
-                out.append(Block(text, tuple(t for t, _ in stack), names, stack[-1][1] if stack else frozenset(), linked))
+                out.append(Block(text, top[0], top[2], top[3], top[1], linked))
         linked = 0
 
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
-            if links:
-                linked += len(text)
-        at = m.end()
-        if m[2]:
-            held = _held(page) if held is None else held
-            at = held.get(m.start(), at)
-            continue
-        closing, name = m[4], m[5]
-        if name is None:
-            continue
-        name = name.lower()
-        if name in _INLINE:
+    def pop() -> None:
+        nonlocal top, link_at
+        open_[stack.pop()[0]] -= 1
+        top = stack[-1] if stack else ("", _NONE, _NONE, _NONE)
+        if link_at > len(stack):  # what the link began in has ended
+            link_at = -1
+
+    while i < len(found):
+        kind, name, attributes = found[i]
+        i += 1
+        if kind == TEXT:
+            parts.append(page[name:attributes])
+            if link_at >= 0:
+                linked += attributes - name
+        elif name in _HELD:
+            if kind == START:
+                i = held.get(i - 1, i - 1) + 1
+        elif name in _INLINE:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                links = 0 if closing else 1
-            continue
-        flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name not in _VOID:
-            shut = _CLOSES.get(name, frozenset())
-            if stack and (stack[-1][0] in shut or (stack[-1][0] == "p" and name in _BLOCKS)):
-                stack.pop()
-            if not (m[6] or "").endswith("/"):
-                stack.append((name, _named(m[6])))
-    if at < len(page):
-        parts.append(page[at:])
+                link_at = len(stack) if kind == START else -1
+        else:
+            flush()
+            if kind == END:
+                if open_.get(name):
+                    while top[0] != name:
+                        pop()
+                    pop()
+            elif name not in _VOID:
+                if top[0] == "p" and (name in _BLOCKS or name in _CLOSES):
+                    pop()
+                if top[0] in _CLOSES.get(name, _NONE):
+                    pop()
+                if not attributes.endswith("/"):
+                    own = _named(attributes)
+                    tags = top[2] if name in top[2] or name not in _KNOWN else top[2] | {name}
+                    top = (name, own, tags, top[3] if own <= top[3] else top[3] | own)
+                    stack.append(top)
+                    open_[name] = open_.get(name, 0) + 1
     flush()
     return out
 
 
+@functools.lru_cache(maxsize=50_000)
+def _place_ids(own: str, tags: frozenset[str], names: frozenset[str], own_names: frozenset[str]) -> tuple[int, ...]:
+    f = [*(f"in:{t}" for t in tags), f"own:{own}", *(f"name:{x}" for x in names), *(f"own-name:{x}" for x in own_names), "bias"]
+    if "article" in tags or "main" in tags:
+        f.append("in article or main")
+    if tags & _BAD_TAGS:
+        f.append("bad tag")
+    if names & _BAD_NAMES:
+        f.append("bad name")
+    elif "main" in names:
+        f.append("main name only")
+    return tuple(sorted(INDEX[x] for x in f if x in INDEX))
+
+
 def feature_ids(b: Block) -> list[int]:
-    tags, own = set(b.tags), b.tags[-1] if b.tags else ""
     n, ratio = b.text.count(" ") + 1, b.linked / len(b.text)
-    f = [f"in:{t}" for t in tags] + [f"own:{own}"] + [f"name:{x}" for x in b.names] + [f"own-name:{x}" for x in b.own_names]
-    f.append(next((f"words<={k}" for k in (1, 3, 6, 12, 25, 50) if n <= k), "words>50"))
+    f = [next((f"words<={k}" for k in (1, 3, 6, 12, 25, 50) if n <= k), "words>50")]
     f.append("links<=0" if ratio <= 0 else "links<=.3" if ratio <= 0.3 else "links<=.8" if ratio <= 0.8 else "links>.8")
     if b.text[-1] in ".!?…»”\"'。":
         f.append("ends")
     if b.text.count(",") >= 2:
         f.append("commas")
-    if "©" in b.text or "copyright" in b.text[:200].lower():
+    if "©" in b.text or (n <= 50 and "copyright" in b.text.lower()):
         f.append("copyright")
-    if "article" in tags or "main" in tags:
-        f.append("in article or main")
-    if tags & _BAD_TAGS:
-        f.append("bad tag")
-    if b.names & _BAD_NAMES:
-        f.append("bad name")
-    elif "main" in b.names:
-        f.append("main name only")
-    f.append("bias")
-    return [INDEX[x] for x in f if x in INDEX]
+    return [*_place_ids(b.own, b.tags, b.names, b.own_names), *(INDEX[x] for x in f)]
 
 
 def training_page(rng: random.Random) -> tuple[str, list[str]]:
