@@ -58,6 +58,7 @@ class Model:
     pieces: list[str]
     scores: np.ndarray
     kinds: np.ndarray
+    merges: bool = False  # trained by merging
     id_of: dict[str, int] = field(default_factory=dict)
     byte_ids: np.ndarray | None = None
 
@@ -75,15 +76,34 @@ class Model:
         self.bigrams = np.array(sorted(pairs), np.int64)
 
 
+#: Settings that these operators implement: part and number of the field, its default, and the value that it must have.
+_SETTINGS = {
+    "a character map": (3, 2, b"", b""),
+    "no dummy prefix": (3, 3, 1, 1),
+    "removal of extra white space": (3, 4, 1, 0),
+    "unescaped white space": (3, 5, 1, 1),
+    "white space as suffix": (2, 24, 0, 0),
+    "no byte fallback": (2, 35, 0, 1),
+    "a map back": (5, 2, b"", b""),
+}
+
+
 def read_model(path: str | None = None) -> Model:
+    """The pieces of a model file; raises where its settings ask for what isn't implemented here."""
     pieces, scores, kinds = [], [], []
+    settings: dict[int, dict[int, object]] = {2: {}, 3: {}, 5: {}}
     for number, value in _fields(Path(path or default_model()).read_bytes()):
-        if number == 1:
+        if number in settings:
+            settings[number] |= dict(_fields(value))
+        elif number == 1:
             own = dict(_fields(value))
             pieces.append(own.get(1, b"").decode())
             scores.append(own.get(2, 0.0))
             kinds.append(own.get(3, NORMAL))
-    return Model(pieces, np.array(scores), np.array(kinds))
+    for what, (part, number, default, needed) in _SETTINGS.items():
+        if settings[part].get(number, default) != needed:
+            raise ValueError(f"a model with {what} isn't supported")
+    return Model(pieces, np.array(scores), np.array(kinds), merges=settings[2].get(3, 1) == 2)
 
 
 def pre_tokens(text: str) -> list[str]:

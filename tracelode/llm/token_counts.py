@@ -1,20 +1,21 @@
 """Token counts of byte-pair encoding by rank-synchronous array merging.
 
-The distinct pre-tokens of a batch are one ragged array of symbols. In every step each sequence
-looks up all its neighbouring pairs, takes the pair of lowest rank (ties: leftmost) and merges it,
-all sequences at once; sequences without a pair that merges are done. The surviving symbols are
-counted, a character outside the vocabulary as its UTF-8 bytes. A sequence of over LONG symbols
-that no character pair cuts (a ruler of equal signs, say) would take as many steps; these few are
-merged in the same order from a queue.
+The distinct pre-tokens of a batch are one ragged array of symbols, linked to their neighbours. In
+every step each sequence takes its pair of lowest rank and merges its occurrences from the left, all
+sequences at once: an occurrence that overlaps the one before is no pair any more, and after one that
+makes a new pair of a rank no higher the sequence waits for the next step, so the order is that of
+merging one by one. Runs of spaces, whose pieces share one rank, are sequences of a block each. Only the pairs that a merge touched are looked up again, and what is merged or
+done is dropped from the arrays when it is half of them. The surviving symbols are counted, a
+character outside the vocabulary as its UTF-8 bytes.
 
 Defined results: null text is empty and has 0 bytes and tokens. Texts of any length are counted
-whole. Rows that repeat an id are counted one by one, an empty table gives an empty result, and
-columns other than the named ones are ignored.
+whole, by this one path. Of equal ranks the leftmost pair is merged first. Rows that repeat an id are
+counted one by one, an empty table gives an empty result, and columns other than the named ones are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits
-from .pieces import Model, breaks, code_points, in_slices, pre_tokens, read_model, utf8_lengths
+from .pieces import SPACE, Model, breaks, code_points, in_slices, pre_tokens, read_model, utf8_lengths
 
 #: Pre-tokens whose counts a task remembers.
 REMEMBERED = 1_000_000
-LONG = 1000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -35,6 +35,8 @@ class MergeTable:
     """Ranks and results of all pairs of pieces that make a piece."""
 
     def __init__(self, model: Model):
+        if not model.merges:
+            raise ValueError("the library doesn't merge with this model")
         usable = model.id_of
         score = np.unique(-model.scores, return_inverse=True)[1]
         pairs = {}
@@ -49,7 +51,34 @@ class MergeTable:
         single = {ord(p): i for p, i in usable.items() if len(p) == 1}
         self.chars = np.array(sorted(single), np.int64)
         self.char_ids = np.array([single[c] for c in self.chars.tolist()], np.int64)
-        self.bigrams, self.pairs = model.bigrams, pairs
+        self.bigrams = model.bigrams
+        self.block = self._space_block(model)
+
+    def _space_block(self, model: Model) -> int:
+        """How many spaces of a long run are merged before the next ones are, and with nothing else; 0 if that can't be told.
+
+        Pieces of spaces alone share one rank, so a run is merged from its left, until a piece can't grow.
+        """
+        runs = {len(p): model.scores[i] for p, i in model.id_of.items() if set(p) == {SPACE}}
+        others = max((len(p) - len(p.lstrip(SPACE)) for p in model.id_of if set(p) != {SPACE}), default=0)
+        longest = max(runs, default=0)
+        if longest < 2 or others > 1 or len({s for k, s in runs.items() if k > 1}) > 1:
+            return 0
+        run = [1] * (3 * longest)
+        while (at := next((k for k in range(len(run) - 1) if run[k] + run[k + 1] in runs), None)) is not None:
+            run[at : at + 2] = [run[at] + run[at + 1]]
+        return longest if run[:2] == [longest, longest] else 0
+
+    def cuts(self, cps: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Where a sequence begins: where no piece can lie across, and at each whole block of a run of spaces, which leads its pre-token."""
+        first = breaks(cps, owner, self.bigrams)
+        if self.block and len(cps):
+            fresh = np.r_[True, owner[1:] != owner[:-1]]
+            space = cps == ord(SPACE)
+            begin = np.flatnonzero(fresh | ~space)
+            place = np.arange(len(cps)) - np.repeat(begin, np.diff(np.r_[begin, len(cps)]))
+            first |= space & (place % self.block == 0)
+        return first
 
     def symbols(self, cps: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.chars, cps), len(self.chars) - 1)
@@ -62,31 +91,69 @@ class MergeTable:
         return np.where(found, self.ranks[at], _NONE), self.made[at]
 
 
-def merge_by_queue(sym: list[int], weight: list[int], table: MergeTable) -> int:
-    """Weight of the symbols that survive in one long sequence: lowest rank first, then leftmost."""
-    n, queue = len(sym), []
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j >= 0 and (found := table.pairs.get(sym[i] << 32 | sym[j])) and sym[i] >= 0 <= sym[j]:
-            heapq.heappush(queue, (found[0], i, sym[i], sym[j], found[1]))
-
-    for i in range(n):
-        offer(i)
-    while queue:
-        _, i, a, b, made = heapq.heappop(queue)
-        j = after[i]
-        if j < 0 or sym[i] != a or sym[j] != b:
-            continue
-        sym[i], sym[j], weight[j] = made, -3, 0
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return sum(weight)
+class _Sequences:
+    """Ragged symbols of sequences: each with its neighbours, and rank and result of the pair that it begins."""
+
+    def __init__(self, sym: np.ndarray, first: np.ndarray, table: MergeTable):
+        n = len(sym)
+        self.table, self.sym, self.start = table, sym, np.flatnonzero(first)
+        self.before, self.after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        self.before[self.start] = -1
+        self.after[np.r_[self.start[1:], n] - 1] = -1
+        self.rank, self.made = self.pairs(sym, np.where(self.after >= 0, sym[self.after], -1))
+        self.alive = np.ones(n, bool)
+        self.merged = 0
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.table.look_up(left, right)
+
+    def step(self) -> np.ndarray:
+        """Merge once in each sequence; the symbols that went away. Empty: nothing is left to merge."""
+        low = np.minimum.reduceat(self.rank, self.start)
+        sizes = np.diff(np.r_[self.start, len(self.sym)])
+        at = np.flatnonzero(self.rank == np.repeat(np.where(low == _NONE, -1, low), sizes))
+        if not len(at):
+            return at
+        # Of pairs that overlap one after the other, each second one stays.
+        run = np.flatnonzero(np.r_[True, self.after[at[:-1]] != at[1:]])
+        place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+        at = at[place % 2 == 0]
+        gone, made, rank = self.after[at], self.made[at], self.rank[at]
+        left, right = self.before[at], self.after[gone]
+        # The neighbours as they are when the pairs before are merged and those behind are not.
+        joined = np.r_[False, left[1:] == gone[:-1]]
+        left_sym = np.where(joined, np.r_[-1, made[:-1]], np.where(left >= 0, self.sym[left], -1))
+        left_rank, left_made = self.pairs(left_sym, made)
+        right_rank, right_made = self.pairs(made, np.where(right >= 0, self.sym[right], -1))
+        bad = (left_rank <= rank) | (right_rank <= rank)
+        if bad.any():
+            seq = np.searchsorted(self.start, at, "right")
+            seen = np.cumsum(bad) - bad
+            first = np.r_[True, seq[1:] != seq[:-1]]
+            keep = seen == np.repeat(seen[first], np.diff(np.r_[np.flatnonzero(first), len(at)]))
+            at, gone, made, right, left_rank, left_made, right_rank, right_made = (x[keep] for x in (at, gone, made, right, left_rank, left_made, right_rank, right_made))
+        self.sym[at], self.after[at] = made, right
+        self.before[right[right >= 0]] = at[right >= 0]
+        self.rank[gone], self.alive[gone] = _NONE, False
+        self.rank[at], self.made[at] = right_rank, right_made
+        left = self.before[at]
+        own = left >= 0
+        self.rank[left[own]], self.made[left[own]] = left_rank[own], left_made[own]
+        self.merged += len(at)
+        return gone
+
+    def compact(self) -> np.ndarray | None:
+        """Drop merged symbols and finished sequences if they are half of all; the places that stay."""
+        sizes = np.diff(np.r_[self.start, len(self.sym)])
+        done = np.minimum.reduceat(self.rank, self.start) == _NONE
+        if self.merged + sizes[done].sum() < len(self.sym) / 2:
+            return None
+        stay = np.flatnonzero(self.alive & np.repeat(~done, sizes))
+        place = np.cumsum(self.alive & np.repeat(~done, sizes)) - 1
+        self.before, self.after = (np.where(x[stay] >= 0, place[x[stay]], -1) for x in (self.before, self.after))
+        self.sym, self.rank, self.made = self.sym[stay], self.rank[stay], self.made[stay]
+        self.start, self.alive, self.merged = np.flatnonzero(self.before < 0), np.ones(len(stay), bool), 0
+        return stay
 
 
 def count_tokens(tokens: list[str], table: MergeTable) -> np.ndarray:
@@ -94,32 +161,16 @@ def count_tokens(tokens: list[str], table: MergeTable) -> np.ndarray:
     if not tokens:
         return np.zeros(0, np.int64)
     cps, owner = code_points(tokens)
-    first = breaks(cps, owner, table.bigrams)
     sym = table.symbols(cps)
-    weight = np.where(sym < 0, utf8_lengths(cps), 1)
-    out = np.zeros(len(tokens), np.int64)
-    seq = np.cumsum(first) - 1
-    start = np.flatnonzero(first)
-    sizes = np.diff(np.r_[start, len(sym)])
-    for k in np.flatnonzero(sizes > LONG).tolist():
-        a, b = start[k], start[k] + sizes[k]
-        out[owner[a]] += merge_by_queue(sym[a:b].tolist(), weight[a:b].tolist(), table)
-    short = np.repeat(sizes <= LONG, sizes)
-    sym, seq, owner, weight = sym[short], seq[short], owner[short], weight[short]
-    while len(sym):
-        start = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-        rank, made = table.look_up(sym[:-1], sym[1:])
-        rank = np.r_[np.where(seq[1:] == seq[:-1], rank, _NONE), _NONE]
-        low = np.minimum.reduceat(rank, start)
-        done = np.repeat(low == _NONE, np.diff(np.r_[start, len(sym)]))
-        np.add.at(out, owner[done], weight[done])
-        sizes = np.diff(np.r_[start, len(sym)])
-        at = np.flatnonzero((rank == np.repeat(low, sizes)) & ~done)
-        at = at[np.r_[True, seq[at][1:] != seq[at][:-1]][: len(at)]]
-        sym[at] = made[at]
-        alive = ~done
-        alive[at + 1] = False
-        sym, seq, owner, weight = sym[alive], seq[alive], owner[alive], weight[alive]
+    out = np.bincount(owner, np.where(sym < 0, utf8_lengths(cps), 1), len(tokens)).astype(np.int64)
+    seqs = _Sequences(sym, table.cuts(cps, owner), table)
+    while len(gone := seqs.step()):
+        out -= np.bincount(owner[gone], minlength=len(tokens))
+        stay = seqs.compact()
+        if stay is not None:
+            owner = owner[stay]
+            if not len(stay):
+                break
     return out
 
 
