@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.lineage import cut as cut
 from ..plans.lineage import python_path
@@ -47,6 +50,31 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser wants it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_whole_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: list[StructField]) -> DataFrame:
+    """df with further columns: run yields all columns of its batches, by place, so that columns may have any names."""
+    names = [f"c{k}" for k in range(len(df.columns) + len(added))]
+
+    def batches(own: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(own):
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, [*df.schema.fields, *added], strict=True)])
+    return df.toDF(*names[: len(df.columns)]).mapInArrow(batches, schema).toDF(*df.columns, *(f.name for f in added))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than one beyond."""
     return df.limit(rows + 1).count() <= rows
