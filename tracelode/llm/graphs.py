@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_keys, split_join
 
 
-def _least_neighbour(e: DataFrame) -> DataFrame:
-    return e.groupBy("u").agg(F.min("v").alias("m"))
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows u, v with m of least (u, m, k: how many rows u has); the rows of a hub are dealt over tasks."""
+    return split_join(rows, least.drop("k"), ["u"], hot_keys(least, ["u"], total))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for every node of an edge; root is the least node of its component.
 
     Each round points every node's larger neighbours, then its smaller ones, at the least of
-    them. Both are a partial aggregation and an equi-join, so a node with very many neighbours is
-    pre-aggregated and its rows can be split. The state is cut after each round. Null ends are
-    ignored; an empty graph gives an empty result.
+    them. Both are a partial aggregation and an equi-join, in which the rows of a node with very many
+    neighbours are split. The state is cut after each round. Null ends are ignored; an empty graph gives
+    an empty result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = cut(e)
-    last = None
+    last, total = None, e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = _least_neighbour(large)
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("k")))
+        large = _with_least(both, least, 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")))
+        small = _with_least(large, least, large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        last, total = now, now[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

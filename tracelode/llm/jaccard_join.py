@@ -14,7 +14,12 @@ of the pairs that do, one goes on if
   between 8 parts, and the number of 256 parts whose sizes differ in parity, leave that overlap
   possible (both are lower bounds of the symmetric difference).
 
-What is left is made distinct and verified once, on whole sets.
+What is left is made distinct and verified once, on whole sets: a pair that the leaders' pass has
+verified doesn't come up again in the later one.
+
+Whatever holds more than a fixed part of a join's rows (an n-gram, a leader, a hub of links, a class
+of copies) is dealt over several tasks, the other side's row repeated for each; there are fewer such
+keys than that part's inverse, so their list is bounded. Counters are summed by a tree of tasks.
 
 A group of many near copies shares its n-grams, and all its pairs are links, so listing pairs
 would be quadratic. For components that isn't needed: each posted n-gram names a leader (the member
@@ -23,7 +28,8 @@ contracted, and only then are the remaining pairs of *different* components comp
 no link between components; ``jaccard_links`` lists all links for those who need them.
 
 Defined results: null text is empty; a text without words has an empty set and no link; one of
-fewer than n words has its whole sequence as its only n-gram. Rows that repeat an id, or have a
+fewer than n words has its whole sequence as its only n-gram. Texts of any length are read whole. A pair
+at exactly the threshold is a link. Rows that repeat an id, or have a
 null id, are rows like any other; a component's name is the least id that is not null (null if all are).
 An empty table gives an empty result. Columns other than the named ones are ignored.
 """
@@ -37,15 +43,19 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut, cut_table, drop_table
+from .common import arrow_limits, cut, cut_table, drop_table, hot_keys, split_join
 from .graphs import components
 
-#: Hashed counters of n-grams (4 bytes each); fixed, so the broadcast is 4 MB at any size of input.
-COUNTERS = 1 << 20
+#: Hashed counters of n-grams (4 bytes each, so the broadcast is 8 MB at any size of input); a parameter. With T n-grams in all,
+#: those of more than about T / COUNTERS occurrences are told from rare ones, so this bounds the rows of an n-gram in prefixes.
+COUNTERS = 1 << 21
 _CHUNK = 1 << 12
+#: Tasks whose counters are summed in one.
+_BRANCH = 32
 #: Most n-grams to spare in the positional filter.
 SPARE = 4
 #: Bits of the filter (by id) that keeps texts out of the verifying pass which belong to no pair; 2 MB.
@@ -53,7 +63,7 @@ FILTER_BITS = 1 << 24
 #: What the suffix filter needs to know of a set: sizes of 8 parts, 4 in a number, and parities of 256.
 _PARTS = ("p1", "p2")
 _PARITY = ("b0", "b1", "b2", "b3")
-_FIRST = "id long, n int, sig binary, p1 long, p2 long, b0 long, b1 long, b2 long, b3 long, chunk int, counts binary"
+_FIRST = "id long, n int, sig binary, p1 long, p2 long, b0 long, b1 long, b2 long, b3 long, chunk int, part int, counts binary"
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -85,11 +95,11 @@ def _signature(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _first_pass(n: int) -> Callable:
+def _first_pass(n: int, counters: int) -> Callable:
     schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in _FIRST.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = _WordHashes(), np.zeros(COUNTERS, np.uint32)
+        seen, counts, part = _WordHashes(), np.zeros(counters, np.uint32), TaskContext.get().partitionId()
         for b in batches:
             k = b.num_rows
             sizes, sigs = np.zeros(k, np.int32), []
@@ -98,28 +108,45 @@ def _first_pass(n: int) -> Callable:
                 s = ngram_set(t or b"", n, seen)
                 sizes[i] = len(s)
                 sigs.append(_signature(s))
-                np.add.at(counts, s & (COUNTERS - 1), np.uint32(1))
+                np.add.at(counts, s & (counters - 1), np.uint32(1))
                 parts[i] = np.bincount((s >> np.int64(61)) + 4, minlength=8)
                 parity[i] = np.bincount(s & 255, minlength=256) & 1
             packed = np.bitwise_or.reduce(np.minimum(parts, 0x7FFF).reshape(k, 2, 4) << np.array([0, 16, 32, 48]), axis=2)
             bits = np.packbits(parity, axis=1).view(np.int64)
-            cols = [b.column(0), sizes, sigs, *packed.T, *bits.T, [None] * k, [None] * k]
+            cols = [b.column(0), sizes, sigs, *packed.T, *bits.T, [None] * k, [None] * k, [None] * k]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-        chunks = [c for c in range(COUNTERS // _CHUNK) if counts[c * _CHUNK : (c + 1) * _CHUNK].any()]
+        chunks = [c for c in range(counters // _CHUNK) if counts[c * _CHUNK : (c + 1) * _CHUNK].any()]
         raw = [zlib.compress(counts[c * _CHUNK : (c + 1) * _CHUNK].tobytes(), 1) for c in chunks]
-        cols = [[None] * len(chunks)] * (len(schema) - 2) + [chunks, raw]
+        cols = [[None] * len(chunks)] * (len(schema) - 3) + [chunks, [part] * len(chunks), raw]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
-        for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = total.setdefault(c, np.zeros(_CHUNK, np.uint64))
-            own += np.frombuffer(zlib.decompress(raw), np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+        for c, part, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            own = total.setdefault((c, part), np.zeros(_CHUNK, np.uint64))
+            found = zlib.decompress(raw)  # of tasks 4 bytes each, of sums 8
+            own += np.frombuffer(found, np.uint32 if len(found) == 4 * _CHUNK else np.uint64)
+    keys, raw = list(total), [zlib.compress(x.tobytes(), 1) for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(raw, pa.binary())], ["chunk", "part", "counts"])
+
+
+def _summed(chunks: DataFrame, counters: int) -> np.ndarray:
+    """All counters, from the chunks of all tasks; no task sums those of more than _BRANCH others."""
+    parts = (chunks.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // _BRANCH)
+        chunks = chunks.withColumn("part", F.floor(F.col("part") / _BRANCH).cast("int"))
+        chunks = chunks.repartition(F.col("chunk"), F.col("part")).mapInArrow(_sum_chunks, "chunk int, part int, counts binary")
+        if parts == 1:
+            break
+    counts = np.zeros(counters, np.uint64)
+    for r in chunks.collect():  # counters numbers, whatever the input
+        counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] += np.frombuffer(zlib.decompress(r.counts), np.uint64)
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
 def _overlap_needed(t: Fraction, a: int, b: int) -> int:
@@ -144,7 +171,7 @@ def _postings(n: int, t: Fraction, counts) -> Callable:
                 if len(done) < 200_000:
                     done.add(sig)
                 prefix = len(s) - (-(-t.numerator * len(s) // t.denominator)) + 1
-                f = frequency[s & (COUNTERS - 1)]
+                f = frequency[s & (len(frequency) - 1)]
                 grams.append(s[np.lexsort((s, f))[:prefix]])
                 sigs.append(sig)
                 sizes.append(len(s))
@@ -206,42 +233,48 @@ def _may_reach(t: Fraction, x: str, y: str) -> Column:
 class _Join:
     """Classes and postings of one table."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, counters: int = COUNTERS):
+        if counters < _CHUNK or counters & (counters - 1):
+            raise ValueError(f"counters must be a power of two, {_CHUNK} at least")
         spark = self.spark = docs.sparkSession
         arrow_limits(spark)
         self.n, self.t = n, Fraction(threshold).limit_denominator(1000)
         body = F.encode(F.col(text_col), "UTF-8").alias("body")
         own = self.texts = docs.select(F.col(id_col).cast("long").alias("id"), body)
-        first = cut(own.mapInArrow(_first_pass(n), _FIRST))
+        first = cut(own.mapInArrow(_first_pass(n, counters), _FIRST))
         self.rows = first.where("chunk is null").select("id", "n", "sig")
-        self.classes = self.rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
-        chunks = first.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
-        counts = np.zeros(COUNTERS, np.uint64)
-        for r in chunks.collect():  # COUNTERS numbers, whatever the input
-            counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] += np.frombuffer(r.counts, np.uint64)
-        shared = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        self.classes = cut(self.rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("k")))
+        counts = _summed(first.where("chunk is not null").select("chunk", "part", "counts"), counters)
+        shared = spark.sparkContext.broadcast(counts)
         posted = self.texts.select("body").mapInArrow(_postings(n, self.t, shared), "gram long, sig binary, n int, pos int")
         posted, at = cut_table(posted)
         # N-grams of one class only join nothing: what is left after them is small.
         own = F.xxhash64("sig")
-        met = posted.groupBy("gram").agg(F.min(own).alias("s0"), F.max(own).alias("s1")).where("s0 <> s1").select("gram")
-        rest = posted.join(met, "gram").groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-        # Only rows whose neighbour by size passes the length filter have any partner.
-        by_size = Window.partitionBy("gram").orderBy("n", "sig")
+        met = posted.groupBy("gram").agg(F.min(own).alias("s0"), F.max(own).alias("s1"), F.count("*").alias("k")).where("s0 <> s1").select("gram", "k")
+        met, met_at = cut_table(met)
+        hot = hot_keys(met, ["gram"], met.agg(F.sum("k")).first()[0] or 0)
+        rest = split_join(posted, met.drop("k"), ["gram"], hot, by=["sig"]).groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+        # Only rows whose neighbour by size passes the length filter have any partner. Hot n-grams are not sorted by size; all their rows stay.
+        rest = rest.withColumn("splits", F.lit(None).cast("int")) if hot is None else rest.join(F.broadcast(hot), "gram", "left")
+        slot = F.pmod(own, F.coalesce("splits", F.lit(1)))
+        by_size = Window.partitionBy("gram", slot).orderBy("n", "sig")
         rest = rest.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
         p, q = self.t.numerator, self.t.denominator
-        rest = rest.where((F.col("below") * q >= F.col("n") * p) | (F.col("n") * q >= F.col("above") * p)).drop("below", "above")
+        near = (F.col("below") * q >= F.col("n") * p) | (F.col("n") * q >= F.col("above") * p)
+        rest = rest.where(F.col("splits").isNotNull() | near).drop("below", "above", "splits")
         rest = rest.join(first.where("n > 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in (*_PARTS, *_PARITY)]), "sig")
         self.posted, self.at = cut_table(rest)
+        self.hot = hot_keys(self.posted.groupBy("gram").agg(F.count("*").alias("k")), ["gram"], self.posted.count())
         drop_table(spark, at)
+        drop_table(spark, met_at)
 
     def pairs_with_leaders(self) -> DataFrame:
         """Each class with the leader of each of its n-grams, if the filters let the pair pass."""
         lead = self.posted.groupBy("gram").agg(F.min(F.struct("pos", "sig", "n", *_PARTS, *_PARITY)).alias("y"))
-        both = self.posted.join(lead, "gram").select(F.struct("sig", "n", "pos", *_PARTS, *_PARITY).alias("x"), "y")
+        both = split_join(self.posted, lead, ["gram"], self.hot, by=["sig"]).select(F.struct("sig", "n", "pos", *_PARTS, *_PARITY).alias("x"), "y")
         both = both.where(F.col("x.sig") != F.col("y.sig")).where(_may_reach(self.t, "x", "y"))
         # A class may share its n-grams with several leaders, so two will do; the last pass is the exact one.
-        return self._counted(both, F.lit(2))
+        return cut(self._counted(both, F.lit(2)))
 
     def _counted(self, both: DataFrame, most: Column) -> DataFrame:
         """The pairs of rows x, y that come up often enough: a, b."""
@@ -251,9 +284,9 @@ class _Join:
         seen = both.select(a.alias("a"), b.alias("b"), F.least(spare + 1, most).alias("least")).groupBy("a", "b")
         return seen.agg(F.count("*").alias("k"), F.max("least").alias("least")).where("k >= least").select("a", "b")
 
-    def pairs_between(self, label: DataFrame | None) -> DataFrame:
-        """All pairs of postings that pass the filters; with labels, only those of different components."""
-        p = self.posted.drop("lo")
+    def pairs_between(self, label: DataFrame | None, done: DataFrame | None = None) -> DataFrame:
+        """All pairs of postings that pass the filters; with labels, only those of different components, and without the pairs in done."""
+        p = self.posted
         if label is None:
             p = p.withColumn("c", F.col("sig"))
         else:
@@ -261,13 +294,21 @@ class _Join:
             # An n-gram whose classes are all in one component is done.
             own = F.xxhash64("c")
             open_ = p.groupBy("gram").agg(F.min(own).alias("c0"), F.max(own).alias("c1")).where("c0 <> c1").select("gram")
-            p = p.join(open_, "gram")
-        on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sig") > F.col("y.sig")) & (F.col("x.c") != F.col("y.c"))
-        return self._counted(p.alias("x").join(p.alias("y"), on & _may_reach(self.t, "x", "y")), F.lit(SPARE + 1))
+            p = split_join(p, open_, ["gram"], self.hot, by=["sig"])
+        p, at = cut_table(p)
+        hot = hot_keys(p.groupBy("gram").agg(F.count("*").alias("k")), ["gram"], p.count())
+        fields = F.struct("sig", "n", "pos", "c", *_PARTS, *_PARITY)
+        both = split_join(p.select("gram", fields.alias("x")), p.select("gram", fields.alias("y")), ["gram"], hot, by=["x"])
+        both = both.where((F.col("x.sig") > F.col("y.sig")) & (F.col("x.c") != F.col("y.c"))).where(_may_reach(self.t, "x", "y"))
+        found = self._counted(both, F.lit(SPARE + 1))
+        if done is not None:
+            found = found.join(done, ["a", "b"], "left_anti")
+        found = cut(found)
+        drop_table(self.spark, at)
+        return found
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs whose sets reach the threshold: a, b, overlap, n_union."""
-        pairs = cut(pairs)
+        """Of distinct pairs (already cut) those whose sets reach the threshold: a, b, overlap, n_union."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(self.classes, "sig").where("id is not null")
         slot = F.pmod("id", F.lit(FILTER_BITS))
         words = (
@@ -282,9 +323,11 @@ class _Join:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         sets = self.texts.mapInArrow(_sets(self.n, shared), "sig binary, grams array<bigint>").join(wanted, "sig", "left_semi")
         sets = sets.groupBy("sig").agg(F.first("grams").alias("grams"))
-        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a").join(
-            sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b"
-        )
+        total = pairs.count()
+        both = pairs
+        for side, name in (("a", "ga"), ("b", "gb")):  # a leader's set is repeated for the splits of its pairs
+            hot = hot_keys(pairs.groupBy(side).agg(F.count("*").alias("k")), [side], total)
+            both = split_join(both, sets.select(F.col("sig").alias(side), F.col("grams").alias(name)), [side], hot, by=["a", "b"])
         both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"), (F.size("ga") + F.size("gb")).cast("long").alias("n"))
         both = both.withColumn("n_union", F.col("n") - F.col("overlap"))
         return both.where(F.col("overlap") * self.t.denominator >= F.col("n_union") * self.t.numerator).drop("n")
@@ -296,7 +339,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents with equal sets are one class; class_members() has them.
     """
     j = _Join(docs, id_col, text_col, n, threshold)
-    names = j.classes
+    names = j.classes.drop("k")
     links = cut(j.verified(j.pairs_between(None)))
     drop_table(j.spark, j.at)
     return (
@@ -310,26 +353,30 @@ def class_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, class_id (least id with the same set): the membership that goes with jaccard_links."""
     arrow_limits(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("body"))
-    rows = cut(own.mapInArrow(_first_pass(n), _FIRST)).where("chunk is null and n > 0")
+    rows = cut(own.mapInArrow(_first_pass(n, _CHUNK), _FIRST)).where("chunk is null and n > 0")
     return rows.join(rows.groupBy("sig").agg(F.min("id").alias("class_id")), "sig").select("id", "class_id")
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, counters: int = COUNTERS
 ) -> DataFrame:
     """Per row of docs: id, n_shingles (size of its set), component_id (least id that links reach)."""
-    j = _Join(docs, id_col, text_col, n, threshold)
-    links = cut(j.verified(j.pairs_with_leaders()).select("a", "b"))
+    j = _Join(docs, id_col, text_col, n, threshold, counters)
+    pairs = j.pairs_with_leaders()
+    links = cut(j.verified(pairs).select("a", "b"))
     label = cut(components(links, "a", "b"))
-    rest = cut(j.verified(j.pairs_between(label)).select("a", "b"))
+    rest = cut(j.verified(j.pairs_between(label, pairs)).select("a", "b"))
     drop_table(j.spark, j.at)
     if not rest.isEmpty():
         star = label.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         label = cut(components(star.union(rest), "a", "b"))
     classes = j.classes.join(label.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    names = classes.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).where("k > 1")
-    classes = classes.join(names, "root", "left").select("sig", F.coalesce("component_id", "id").alias("component_id"))
-    return j.rows.join(classes, "sig", "left").select(
+    names = cut(classes.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members")).where("members > 1"))
+    total = j.classes.count()
+    classes = split_join(classes, names.drop("members"), ["root"], hot_keys(names, ["root"], total, "members"), "left", by=["sig"])
+    classes = classes.select("sig", F.coalesce("component_id", "id").alias("component_id"))
+    rows = split_join(j.rows, classes, ["sig"], hot_keys(j.classes, ["sig"], j.rows.count()), "left", by=["id"])
+    return rows.select(
         "id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
 
