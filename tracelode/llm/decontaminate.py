@@ -8,14 +8,18 @@ then extended to the up to w windows of ``window`` words that enclose it, and ea
 looked up among the benchmark's windows. Items of fewer words are one window of their own length;
 for them every n-gram of that length of every document is looked up.
 
-Document rows never leave their task before they are aggregated as long as the benchmark's
-fingerprints are few enough to be broadcast (the count is checked); beyond that the joins shuffle.
-Windows are compared by 64-bit hashes, on top of the fingerprint's own 64 bits.
+A table of bits of the benchmark's fingerprints, of bounded size, sorts out nearly all fingerprints of
+documents before anything is built for them; it lets every true one pass. Document rows never leave
+their task before they are aggregated as long as the benchmark's fingerprints and windows (hashes alone)
+are few enough to be broadcast (the count is checked); beyond that the joins shuffle. Windows that lie in
+the same items have one number for that set of items; a document keeps the numbers, and the items are
+joined once for each of them. Windows are compared by 64-bit hashes, on top of the fingerprint's own 64 bits.
 
 Defined results: null or empty text, or text without words, has no words, no hits and is not
 contaminated; an item without words matches nothing; a null item_id takes part in hits but not in
-n_items and items_sha256. Rows that repeat an id are judged one by one. An empty benchmark hits
-nothing. Columns other than the named ones are ignored.
+n_items and items_sha256. Texts of any length are read whole. Of equal hashes in a run the leftmost is
+kept, on both sides. Rows that repeat an id are judged one by one; item rows that repeat an id are one
+item. An empty benchmark hits nothing. Columns other than the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +27,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small
+from .common import ascii_lower, cut, hot_keys, small, split_join
 
 #: Characters that separate words, after lower-casing A-Z.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 KGRAM = 5
-#: Benchmark fingerprints (about 40 bytes each) that are broadcast; more are joined by a shuffle.
+#: Benchmark fingerprints and windows (about 40 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Longs of the table of bits; 128 KB.
+BIT_WORDS = 1 << 14
+#: Items in all sets of items that are broadcast; more are joined by a shuffle.
+BROADCAST_ITEMS = 1_000_000
 _POS = (1 << 31) - 1
 
 
@@ -42,9 +50,24 @@ def _lesser(col: str, step: int):
     return lambda x, i: F.least(x, F.get(F.col(col), i + step))
 
 
-def _short_marks(n: int) -> Column:
+def _bit_table(marks: DataFrame) -> Column:
+    """An array of longs with a bit for each fingerprint."""
+    place = F.pmod("fp", F.lit(64 * BIT_WORDS))
+    word = marks.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(pmod(fp, {64 * BIT_WORDS}) & 63 AS int))").alias("bit"))
+    found = dict(word.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect())  # BIT_WORDS rows at most
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(BIT_WORDS))), ",").cast("array<bigint>")
+
+
+def _may_meet(table: Column, fp: Column) -> Column:
+    place = F.pmod(fp, F.lit(64 * BIT_WORDS))
+    bit = F.call_function("shiftright", F.get(table, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int"))
+    return bit.bitwiseAND(F.lit(1)) != 0
+
+
+def _short_marks(n: int, table: Column) -> Column:
     absent = F.lit(None).cast("array<bigint>").alias("ctx")
-    return F.transform(_short_windows(n), lambda x, i: F.struct(F.lit(n).alias("len"), x.alias("fp"), i.alias("at"), absent))
+    every = F.transform(_short_windows(n), lambda x, i: F.struct(F.lit(n).alias("len"), x.alias("fp"), i.alias("at"), absent))
+    return F.filter(every, lambda x: _may_meet(table, x["fp"]))
 
 
 def _hashed(df: DataFrame, window: int) -> DataFrame:
@@ -102,14 +125,20 @@ def contamination(
     spans = b.select("item", F.lit(window).alias("len"), F.explode(whole).alias("hash")).union(
         b.where(f"n_words between 1 and {window - 1}").select("item", F.col("n_words").alias("len"), F.xxhash64("wh").alias("hash"))
     )
-    spans = spans.groupBy("len", "hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # The items of one window are as many as the benchmark has, at most; windows with the same items share a number.
+    spans = spans.groupBy("len", "hash").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("items_no", F.xxhash64(F.size("items"), "items"))
+    spans = cut(spans)
+    sets = spans.groupBy("items_no").agg(F.first("items").alias("items"))
+    spans = spans.select("len", "hash", "items_no")
     # Each fingerprint stands for a few windows, so one check bounds both tables.
     near = (lambda t: F.broadcast(t)) if small(spans, BROADCAST_ROWS) else (lambda t: t)
+    few = (sets.agg(F.sum(F.size("items") + 1)).first()[0] or 0) <= BROADCAST_ITEMS
+    table = _bit_table(marks)
 
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(text_col).alias("words"))
     d = _hashed(d, window)
     around = F.transform(
-        "kept",
+        F.filter("kept", lambda p: _may_meet(table, F.get(F.col("h"), p))),
         lambda p: F.struct(
             F.lit(window).alias("len"),
             F.get(F.col("h"), p).alias("fp"),
@@ -122,7 +151,7 @@ def contamination(
         F.array(F.struct(none.cast("int").alias("len"), none.cast("long").alias("fp"), none.cast("int").alias("at"), none.cast("array<bigint>").alias("ctx"))),
         around,
     ]
-    parts += [_short_marks(n) for n in lengths]
+    parts += [_short_marks(n, table) for n in lengths]
     d = d.select("row", "id", "n_words", F.inline(F.concat(*parts)))
     d = d.join(near(marks), ["len", "fp"], "left").where("len is null or met")
     # A met fingerprint, extended to every window that encloses it.
@@ -132,12 +161,12 @@ def contamination(
     )
     own = F.array(F.struct(F.col("at").alias("start"), F.col("fp").alias("hash")))
     d = d.select("row", "id", "n_words", "len", F.inline_outer(F.when(F.col("ctx").isNotNull(), enclosing).when(F.col("len").isNotNull(), own)))
-    d = d.join(near(spans), ["len", "hash"], "left").where("len is null or items is not null")
+    d = d.join(near(spans), ["len", "hash"], "left").where("len is null or items_no is not null")
     d = d.groupBy("row").agg(
         F.first("id").alias("id"),
         F.first("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end"))))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.sort_array(F.collect_set(F.when(F.col("items_no").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end"))))).alias("spans"),
+        F.collect_set("items_no").alias("sets"),
     )
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(
@@ -148,13 +177,17 @@ def contamination(
         ),
         lambda a: a["n"],
     )
-    d = d.select(
-        "id",
-        F.col("n_words").cast("long").alias("n_words"),
-        covered.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"),
-    )
+    d = cut(d.select("row", "id", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "sets"))
+    # Only documents with hits have sets; the items of each are joined once.
+    hits = d.where("n_hit > 0").select("row", F.explode("sets").alias("items_no"))
+    if few:
+        hits = hits.join(F.broadcast(sets), "items_no")
+    else:
+        hits = cut(hits)
+        hits = split_join(hits, sets, ["items_no"], hot_keys(hits.groupBy("items_no").agg(F.count("*").alias("k")), ["items_no"], hits.count()))
+    items = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    d = d.join(items, "row", "left").withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType)))
+    d = d.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
     return d.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
