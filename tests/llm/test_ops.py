@@ -285,7 +285,7 @@ def test_zip64_directory(tmp_path, monkeypatch):
     one, two = warc.record(1, "u", b"x" * 50, "response", None), warc.record(2, "v", b"", "revisit", 1)
     with zipfile.ZipFile(at, "w") as z:
         z.writestr(warc.DATA, one + two)
-        z.writestr(warc.INDEX, f"1\t0\t{len(one)}\n2\t{len(one)}\t{len(two)}\n")
+        z.writestr(warc.INDEX, "".join(f'u 19700101000000 {{"offset": "{a}", "length": "{n}", "filename": "data.warc.gz"}}\n' for a, n in ((0, len(one)), (len(one), len(two)))))
     with fs.LocalFileSystem().open_input_file(at) as f:
         got = [warc.parse_record(r) for r in warc.Package(f).records()]
     assert got[0][1] == b"x" * 50 and got[1][0]["warc-refers-to"] == "<urn:page:1>"

@@ -1,18 +1,24 @@
 """WARC records in ZIP packages: a writer, and a reader that never extracts.
 
 Each task writes packages with two stored members: ``archive/data.warc.gz`` (one gzip member a
-record) and ``indexes/index.tsv`` (page, offset and length of each record). The reader parses the
-end-of-central-directory record, its ZIP64 form where there is one, and the central directory,
-finds the stored members behind their local headers, and reads records by byte range, neighbouring
-ones in one request. Files are in the folder that the cluster shares; a task that runs again writes
-files of other names, and only the names that its last run reported are read.
+record) and ``indexes/index.cdxj`` (key, time, and a JSON object with URL, digest, file, offset and
+length of each record). The reader parses the end-of-central-directory record, its ZIP64 form where
+there is one, and the central directory, finds the stored members behind their local headers, and reads
+records by byte range, neighbouring ones in one request. It takes packages of other writers as well: any
+number of stored ``archive/*.warc.gz`` or ``*.warc`` members, with CDX or CDXJ indexes (plain or gzip)
+or without one (such a member is read from its start), HTTP or plain payloads, records of other kinds
+skipped. Ranges are listed first and dealt over tasks, so that one large package is no single task.
+Files are in the folder that the cluster shares; a task that runs again writes files of other names, and
+only the names that its last run reported are read.
 
 Of records with equal payloads of at least ``least`` bytes the one with the least page id is a
-``response``, the others are ``revisit`` records without payload that refer to it.
+``response``, the others are ``revisit`` records without payload that refer to it. The reader computes
+digest and length of each payload that is there; a revisit has those of the response with its digest.
 
 Defined results: null html is an empty payload, null url an empty target. A null page id counts as
-the greatest. Of rows that repeat an id and a payload one is the response, the others revisit it.
-An empty table gives an empty result. Columns other than the three named ones are ignored.
+the greatest. Of rows that repeat an id and a payload one is the response (that of the least url), the
+others revisit it. A payload of any length is one record, whole. An empty table gives an empty result.
+Columns other than the three named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,26 +26,33 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut, shared_dir, small
+from .common import arrow_limits, cut, cut_table, hot_keys, shared_dir, small, split_join
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
-#: A package is closed at this size; ranges are joined up to this one.
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: A package is closed at this size; ranges are joined up to this one, and an unindexed member is read in such pieces.
 PACKAGE_BYTES, READ_BYTES = 256 << 20, 8 << 20
 #: Revisits (about 60 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _LAST = 2**63 - 1
-_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RANGES = "path string, member string, begin long, lengths array<long>"
+_READ = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_id string, digest_ok boolean"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+#: Records that are read; requests and remarks about the archive are not.
+TYPES = ("response", "resource", "revisit")
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -63,7 +76,6 @@ def record(page, url: str, payload: bytes, kind: str, refers_to) -> bytes:
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%-._~')}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -73,15 +85,57 @@ def record(page, url: str, payload: bytes, kind: str, refers_to) -> bytes:
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 3, mtime=0)
 
 
+def surt(url: str) -> str:
+    """A URL as the key of an index: host names from the right, then path and query."""
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname or ""
+    except ValueError:
+        return re.sub(r"\s", "%20", url)
+    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return re.sub(r"\s", "%20", ",".join(reversed(host.split("."))) + ")" + rest.lower())
+
+
+def _headers(head: bytes) -> tuple[str, dict[str, str]]:
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _dechunked(raw: bytes) -> bytes:
+    out, at = [], 0
+    while (end := raw.find(b"\r\n", at)) >= 0:
+        n = int(raw[at:end].split(b";")[0] or b"0", 16)
+        if not n:
+            break
+        out.append(raw[end + 2 : end + 2 + n])
+        at = end + n + 4
+    return b"".join(out)
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and payload of one gzip member."""
-    head, _, rest = gzip.decompress(raw).partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/1."):
+    """Headers (lower-case names) and payload of one record, a gzip member or plain."""
+    whole = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    head, _, rest = whole.partition(b"\r\n\r\n")
+    first, headers = _headers(head)
+    if not first.startswith("WARC/1."):
         raise ValueError("not a WARC record")
-    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(headers["content-length"])]
-    return headers, block.partition(b"\r\n\r\n")[2]
+    if not headers.get("content-type", "").startswith("application/http"):
+        return headers, block
+    http, _, payload = block.partition(b"\r\n\r\n")
+    told = headers.get("warc-payload-digest", "")
+    if _headers(http)[1].get("transfer-encoding", "").lower() == "chunked" and told and not _same_digest(told, payload):
+        payload = _dechunked(payload)
+    return headers, payload
+
+
+def _same_digest(told: str, payload: bytes) -> bool | None:
+    """Whether a digest header is that of the payload; None: no digest that is known here."""
+    kind, _, value = told.partition(":")
+    if kind.lower() not in ("sha1", "sha-1", "sha256", "sha-256", "md5"):
+        return None
+    own = hashlib.new(kind.lower().replace("-", ""), payload).digest()
+    return value.upper().rstrip("=") in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
 
 
 class Package:
@@ -136,18 +190,94 @@ class Package:
             raise ValueError("range beyond the member")
         return self.file.read_at(length, self._starts[name] + offset)
 
+    def archives(self) -> list[str]:
+        return [m for m in self.members if m.startswith("archive/") and m.endswith((".warc.gz", ".warc"))]
+
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """For each archive member that an index names: offset and length (-1: not told) of its records, in order."""
+        files = {m.rpartition("/")[2]: m for m in self.archives()}
+        found: dict[str, set[tuple[int, int]]] = {}
+        for name in self.members:
+            if not (name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", name)):
+                continue
+            raw = self.read(name)
+            lines = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace").splitlines()
+            legend = "N b a m s k r M S V g".split()
+            for line in lines:
+                if line.lstrip().startswith("CDX ") and not found:
+                    legend = line.split()[1:]
+                elif "{" in line:
+                    own = json.loads(line[line.index("{") :])
+                    if own.get("filename") in files or len(files) == 1:
+                        member = files.get(own.get("filename")) or next(iter(files.values()))
+                        found.setdefault(member, set()).add((int(own["offset"]), int(own.get("length", -1))))
+                elif len(line.split()) == len(legend):
+                    own = dict(zip(legend, line.split(), strict=True))
+                    if own.get("g") in files and own.get("V", "").isdigit():
+                        found.setdefault(files[own["g"]], set()).add((int(own["V"]), int(own["S"]) if own.get("S", "").isdigit() else -1))
+        return {m: sorted(x) for m, x in found.items()}
+
+    def ranges(self) -> Iterator[tuple[str, int, list[int]]]:
+        """(member, begin, lengths of neighbouring records); no lengths: the member is to be read from its start."""
+        index = self.index()
+        for member in self.archives():
+            own = index.get(member)
+            if not own:
+                yield member, 0, []
+                continue
+            ends = [at for at, _ in own[1:]] + [self.members[member][1]]
+            own = [(at, n if n >= 0 else end - at) for (at, n), end in zip(own, ends, strict=True)]
+            begin, lengths = own[0][0], []
+            for at, n in own:
+                if lengths and (at != begin + sum(lengths) or sum(lengths) + n > READ_BYTES):
+                    yield member, begin, lengths
+                    begin, lengths = at, []
+                lengths.append(n)
+            yield member, begin, lengths
+
+    def at(self, member: str, begin: int, lengths: list[int]) -> Iterator[bytes]:
+        """The records of a range."""
+        if not lengths:
+            yield from self.scan(member)
+            return
+        raw, place = self.read(member, begin, sum(lengths)), 0
+        for n in lengths:
+            yield raw[place : place + n]
+            place += n
+
+    def scan(self, member: str) -> Iterator[bytes]:
+        """Records of a member without an index, plain, read piece by piece."""
+        size, at, left = self.members[member][1], 0, b""
+
+        def piece() -> bytes:
+            nonlocal at
+            n = min(READ_BYTES, size - at)
+            at += n
+            return self.read(member, at - n, n)
+
+        if member.endswith(".gz"):
+            while left or at < size:
+                unzip, own = zlib.decompressobj(31), []
+                while not unzip.eof and (left or at < size):
+                    own.append(unzip.decompress(left or piece()))
+                    left = unzip.unused_data
+                if own := b"".join(own):
+                    yield own
+            return
+        while left or at < size:
+            while (end := left.find(b"\r\n\r\n")) < 0 and at < size:
+                left += piece()
+            if end < 0:
+                return
+            n = end + 8 + int(_headers(left[:end])[1]["content-length"])
+            while len(left) < n and at < size:
+                left += piece()
+            yield left[:n]
+            left = left[n:]
+
     def records(self) -> Iterator[bytes]:
-        """The gzip members that the index tells, in its order; neighbours are read together."""
-        index = [tuple(map(int, x.split("\t")[1:])) for x in self.read(INDEX).decode().splitlines()]
-        k = 0
-        while k < len(index):
-            j, begin = k, index[k][0]
-            while j + 1 < len(index) and index[j + 1][0] == sum(index[j]) and sum(index[j + 1]) - begin <= READ_BYTES:
-                j += 1
-            raw = self.read(DATA, begin, sum(index[j]) - begin)
-            for at, n in index[k : j + 1]:
-                yield raw[at - begin : at - begin + n]
-            k = j + 1
+        for member, begin, lengths in self.ranges():
+            yield from self.at(member, begin, lengths)
 
 
 class _Writer:
@@ -163,7 +293,8 @@ class _Writer:
             self.data, self.size, self.index = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True), 0, []
         raw = record(page, url, payload, kind, refers_to)
         self.data.write(raw)
-        self.index.append(f"{'' if page is None else page}\t{self.size}\t{len(raw)}\n")
+        own = {"url": url, "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{digest(payload)}", "length": str(len(raw)), "offset": str(self.size), "filename": DATA.rpartition("/")[2]}
+        self.index.append(f"{surt(url)} 19700101000000 {json.dumps(own)}\n")
         self.size += len(raw)
         if self.size >= PACKAGE_BYTES:
             self.close()
@@ -171,7 +302,7 @@ class _Writer:
     def close(self) -> None:
         if self.zip is not None:
             self.data.close()
-            self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(self.index))
+            self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(sorted(self.index)).encode("utf-8", "surrogatepass"))
             self.zip.close()
             self.stream.close()
             self.done.append((f"{self.folder}/{self.name}", len(self.index), self.size))
@@ -202,8 +333,11 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     order = F.coalesce("page", F.lit(_LAST))
     keys = own.where(F.octet_length("body") >= least).select(order.alias("page"), F.sha1("body").alias("sha")).groupBy("sha", "page").agg(F.count("*").alias("copies"))
     keys = cut(keys)
-    first = keys.groupBy("sha").agg(F.min("page").alias("first"), F.sum("copies").alias("k")).where("k > 1").drop("k")
-    again = cut(keys.join(first, "sha").select("sha", F.col("page").alias("own"), "first", "copies"))
+    first = keys.groupBy("sha").agg(F.min("page").alias("first"), F.sum("copies").alias("k")).where("k > 1")
+    first = cut(first)
+    # A payload that a third of all rows have is dealt over tasks.
+    hot = hot_keys(first, ["sha"], keys.count())
+    again = cut(split_join(keys, first.drop("k"), ["sha"], hot, by=["page"]).select("sha", F.col("page").alias("own"), "first", "copies"))
     rows = own.withColumn("sha", F.sha1("body")).withColumn("own", order)
     if not again.where("copies > 1 and own = first").isEmpty():
         # Rows that repeat the response's id and payload: one of them, and the others counted out as revisits.
@@ -220,39 +354,93 @@ def write_packages(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     return cut(rows.mapInArrow(_write(folder), "path string, records long, bytes long"))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _READ.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-
-    def page(urn: str):
-        own = urn.removeprefix("<urn:page:").removesuffix(">")
-        return int(own) if own else None
-
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(x.split() for x in _RANGES.split(", ")), strict=True)
     for b in batches:
         for path in b.column(0).to_pylist():
             system, at = file_system(path)
-            rows = []
             with system.open_input_file(at) as f:
-                for raw in Package(f).records():
-                    h, payload = parse_record(raw)
-                    kind, told = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
-                    n = int(h["x-payload-length"])
-                    if kind == "response" and (len(payload), digest(payload)) != (n, told):
-                        raise ValueError(f"a payload in {path} isn't what its record says")
-                    rows.append((page(h["warc-record-id"]), h["warc-target-uri"], n, told, kind, page(h.get("warc-refers-to", ""))))
+                rows = [(path, *x) for x in Package(f).ranges()]
             for k in range(0, len(rows), 4096):
-                cols = zip(*rows[k : k + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(zip(*rows[k : k + 4096], strict=True), kinds, strict=True)], list(names))
+
+
+def _page(urn: str) -> int | None:
+    """The page id of a record that the writer here named."""
+    own = urn.removeprefix("<urn:page:").removesuffix(">")
+    return int(own) if urn.startswith("<urn:page:") and own else None
+
+
+def _row(raw: bytes) -> tuple | None:
+    h, payload = parse_record(raw)
+    kind, refers, told = h.get("warc-type", ""), h.get("warc-refers-to", ""), h.get("warc-payload-digest", "")
+    if kind not in TYPES:
+        return None
+    own = (_page(h.get("warc-record-id", "")), h.get("warc-record-id"), h.get("warc-target-uri", ""))
+    if kind == "revisit":  # no payload; its digest is that of the record that it refers to
+        return *own, None, told.partition(":")[2] or None, kind, _page(refers), refers or None, None
+    return *own, len(payload), digest(payload), kind, None, None, _same_digest(told, payload) if told else None
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(x.split() for x in _READ.split(", ")), strict=True)
+    path, file, package, rows = None, None, None, []
+
+    def taken() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+    try:
+        for b in batches:
+            for where, member, begin, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if where != path:
+                    if file is not None:
+                        file.close()
+                    system, at = file_system(where)
+                    path, file = where, system.open_input_file(at)
+                    package = Package(file)
+                for raw in package.at(member, begin, lengths):
+                    if row := _row(raw):
+                        rows.append(row)
+                    if len(rows) >= 4096:
+                        yield taken()
+                        rows = []
+        if rows:
+            yield taken()
+    finally:
+        if file is not None:
+            file.close()
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """The records of packages (column path): page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records of packages (column path): page_id, record_id, url, payload_bytes, payload_digest, record_type, refers_to, refers_to_id, digest_ok.
+
+    digest_ok: whether the record's own digest is that of its payload (null: it has none, or no payload). page_id and
+    refers_to are null for records of other writers. payload_bytes of a revisit is null where no response here has its digest.
+    """
     spark = packages.sparkSession
-    return packages.select("path").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)).mapInArrow(_read, _READ)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = packages.select("path").repartition(tasks).mapInArrow(_list, _RANGES)
+    found, _ = cut_table(ranges.repartition(tasks).mapInArrow(_read, _READ))
+    there = cut(found.where("record_type <> 'revisit'").groupBy("payload_digest").agg(F.min("payload_bytes").alias("bytes_there"), F.count("*").alias("k")))
+    again = found.where("record_type = 'revisit'")
+    hot = hot_keys(again.groupBy("payload_digest").agg(F.count("*").alias("k")), ["payload_digest"], again.count())
+    again = split_join(again, there.drop("k"), ["payload_digest"], hot, "left", by=["record_id", "url"])
+    again = again.withColumn("payload_bytes", F.col("bytes_there")).select(*found.columns)
+    return found.where("record_type <> 'revisit'").unionByName(again)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write a record for each page into the shared folder and read the packages back."""
+    """Write a record for each page into the shared folder and read the packages back.
+
+    Raises if a payload isn't what its record says, or if a revisit refers to no response with its digest.
+    """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return read_packages(write_packages(pages, folder, least))
+    found = read_packages(write_packages(pages, folder, least))
+    responses = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_digest").distinct()
+    again = found.where("record_type = 'revisit'").groupBy("refers_to_id", "payload_digest").agg(F.count("*").alias("n"))
+    lost = again.join(responses, ["refers_to_id", "payload_digest"], "left_anti")
+    wrong = found.where("not digest_ok").select("record_id").unionByName(lost.select(F.col("refers_to_id").alias("record_id"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"the archives in {folder} don't hold what was written, see {wrong[0][0]}")
+    return found
