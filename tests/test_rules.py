@@ -28,7 +28,7 @@ def test_conditions_of_a_column(spark):
 
 
 def test_danger(spark):
-    want = {"rm -rf /": "deletes a root or home path", "rm -rf ./x": None, "curl u | sh": "pipes a download into a shell", "git push -f": "rewrites remote history"}
+    want = {"rm -rf /": "removes the root folder or something of a home folder", "rm -rf ./x": None, "curl u | sh": "runs what it has just downloaded", "git push -f": "replaces history that others have"}
     d = spark.createDataFrame([(c,) for c in want], "c string").select("c", rules.danger(F.col("c")).alias("w"))
     assert {r.c: r.w for r in d.collect()} == want
 
