@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from ..plans.lineage import python_path
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays; 0 for an empty one. One row of the table at a time."""
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
 
-    def row(above: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            hit = F.get(above, j - 1) + 1
-            return F.concat(done, F.array(F.when(F.get(b, j - 1) == x, hit).otherwise(F.greatest(F.get(above, j), F.get(done, j - 1)))))
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence. A row of the table is one number, a bit for each place of a; nulls equal nothing."""
+    at: dict = {}
+    for k, x in enumerate(a):
+        if x is not None:
+            at[x] = at.get(x, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    row = whole
+    for x in b:
+        if hit := row & at.get(x, 0):
+            row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.aggregate(a, first, row, lambda r: F.element_at(r, -1)))
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays of strings; 0 for an empty one, null for null."""
+    return pd.Series([None if x is None or y is None else common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def sequences(steps: DataFrame, run: str, order: list[str], key: str) -> DataFrame:
@@ -41,6 +51,7 @@ def family_pairs(runs: DataFrame, family: str, run: str, keys: str) -> DataFrame
     A family is the handful of recordings of one task; its pairs are what medoid and orthogonality
     are defined on.
     """
+    python_path(runs.sparkSession)
     a = runs.select(F.col(family).alias("family"), F.col(run).alias("a"), F.col(keys).alias("x"))
     b = runs.select(F.col(family).alias("family"), F.col(run).alias("b"), F.col(keys).alias("y"))
     p = a.join(b, "family").where("a < b").repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "a", "b")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, python_path
+from ..plans.spread import before_in_order, components, hot_keys, split_join
 from .align import lcs_length
 
 
@@ -31,6 +32,7 @@ def alike(sequences: DataFrame, least: float = 0.3) -> DataFrame:
     y = s.select("key", "nth", F.col("name").alias("y"), F.col("n").alias("ny"))
     p = x.join(y, ["key", "nth"]).where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     keys = sequences.select("name", "keys")
+    python_path(sequences.sparkSession)
     p = p.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
     return p.select("a", "b", (lcs_length(F.col("ka"), F.col("kb")) / F.least(F.size("ka"), F.size("kb"))).alias("share")).where(F.col("share") >= least)
 
@@ -102,16 +104,20 @@ def page_rank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, epsilon:
     return r
 
 
-def communities(edges: DataFrame, passes: int = 40, most_nodes: int = 100_000) -> DataFrame:
+def communities(edges: DataFrame, passes: int = 40) -> DataFrame:
     """node, community by greedy single-level modularity.
 
-    Nodes move one after the other, in order of their names, so this is sequential by nature and runs
-    in one task; graphs of more nodes than the bound are refused.
+    Nodes move one after the other, in order of their names, and only to communities of neighbours: so
+    each connected component is by itself, given the weight of the whole graph, and is one task's work.
+    Communities are numbered by their least nodes. Both directions of an edge are rows.
     """
-    if edges.select("s").distinct().count() > most_nodes:
-        raise ValueError("the graph is too large for the sequential method")
+    edges = cut(edges.select("s", "d", F.col("w").cast("double").alias("w")))
     python_path(edges.sparkSession)
     kind = dict(edges.dtypes)["s"]
+    m2 = edges.agg(F.sum("w")).first()[0] or 0.0
+    roots = components(edges, "s", "d").select(F.col("node").alias("s"), "root")
+    hot = hot_keys(edges.groupBy("s").agg(F.count("*").alias("k")), ["s"], edges.count())
+    apart = split_join(edges, roots, ["s"], hot, "left").withColumn("root", F.coalesce("root", "s"))
 
     def run(e: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
@@ -119,7 +125,6 @@ def communities(edges: DataFrame, passes: int = 40, most_nodes: int = 100_000) -
             near.setdefault(s, {})[d] = near.setdefault(s, {}).get(d, 0.0) + float(w)
         ids = sorted(near)
         degree = {i: sum(near[i].values()) for i in ids}
-        m2 = sum(degree.values())
         own = {i: k for k, i in enumerate(ids)}
         total = {k: degree[i] for i, k in own.items()}
         for _ in range(passes if m2 else 0):
@@ -139,7 +144,11 @@ def communities(edges: DataFrame, passes: int = 40, most_nodes: int = 100_000) -
                     own[i], moved = best, True
             if not moved:
                 break
-        number: dict[int, int] = {}
-        return pd.DataFrame({"node": ids, "community": [number.setdefault(own[i], len(number)) for i in ids]})
-
-    return edges.groupBy().applyInPandas(run, f"node {kind}, community long")
+        least: dict[int, object] = {}
+        return pd.DataFrame({"node": ids, "least": [least.setdefault(own[i], i) for i in ids]})
+
+    found = cut(apart.groupBy("root").applyInPandas(run, f"node {kind}, least {kind}"))
+    number = before_in_order(found.where("node = least").select("least", F.lit(0).alias("one")), ["one"], ["least"], F.lit(1), "community").select("least", "community")
+    sizes = found.groupBy("least").agg(F.count("*").alias("k"))
+    named = split_join(found, number, ["least"], hot_keys(sizes, ["least"], found.count()))
+    return named.select("node", F.col("community").cast("long").alias("community"))

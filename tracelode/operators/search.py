@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, terms
 from ..plans.lineage import cut
+from ..plans.spread import before_in_order
 
 #: Weight of a term that no document has.
 UNKNOWN_IDF = 0.5
@@ -46,7 +48,10 @@ def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int |
     No limit: all of these.
     """
     idf = _document_frequency(docs, text).select("term", "idf")
-    found = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
+    # A term that a document has, or that is inside its words, is in its text: only such texts are split.
+    low = F.lower(F.col(text))
+    has = [low.contains(term) for term in query] or [F.lit(False)]
+    found = docs.where(functools.reduce(lambda a, b: a | b, has)).select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
     inside = [_within(term).cast("int") for term in query if len(term) > 3] or [F.lit(0)]
     found = found.withColumn("inside", sum(inside[1:], inside[0]))
     found = found.where((F.col("inside") > 0) | F.arrays_overlap("terms", F.array(*[F.lit(t) for t in query])))
@@ -65,8 +70,15 @@ def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int |
 
 
 def within_budget(ranked: DataFrame, partition: str, order: list, text: str, budget: int) -> DataFrame:
-    """Rows in order while their tokens stay within the budget; the first is always kept."""
-    w = Window.partitionBy(partition).orderBy(*order)
-    d = ranked.withColumn("tokens", estimated_tokens(F.col(text))).withColumn("rank", F.row_number().over(w))
-    d = d.withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.where((F.col("used") <= budget) | (F.col("rank") == 1))
+    """Rows in order (which tells them apart) while their tokens stay within the budget; the first is always kept.
+
+    Only tokens and order are sorted, by ranges, so a partition of any size is spread over tasks; a range
+    that begins beyond the budget is left out as a whole. Texts are joined to what is kept.
+    """
+    keys = [partition, *order]
+    d = ranked.select(*keys, estimated_tokens(F.col(text)).alias("tokens"))
+    d = before_in_order(d, [partition], order, F.coalesce("tokens", F.lit(0)), "before", budget)
+    d = d.withColumn("used", F.when(F.col("tokens").isNotNull() | (F.col("before") > 0), F.col("before") + F.coalesce("tokens", F.lit(0))))
+    first = ranked.groupBy(partition).agg(F.min(F.struct(*order)).alias("first_place"))
+    d = d.join(first, partition).where((F.col("used") <= budget) | (F.struct(*order) == F.col("first_place"))).drop("before", "first_place")
+    return ranked.join(d, keys)

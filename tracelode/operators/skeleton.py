@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import python_path
+from ..plans.lineage import cut, python_path
+from ..plans.spread import components
+from .align import common_length
 
 
 def alignment(a: list, b: list) -> list[tuple[int, int]]:
@@ -29,11 +31,18 @@ def alignment(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def aligned_to_medoid(runs: list[list[str]]) -> tuple[int, list[list[tuple[int, int]]]]:
-    """The run with the largest summed alignment to the others (ties: the first), and its alignment with each run."""
-    aligned = [[alignment(a, b) if a is not b else [(i, i) for i in range(len(a))] for b in runs] for a in runs]
-    total = [sum(len(p) for k, p in enumerate(row) if k != m) for m, row in enumerate(aligned)]
+    """The run with the largest summed alignment to the others (ties: the first), and its alignment with each run.
+
+    Lengths alone choose it, one for each pair; only the medoid itself is aligned.
+    """
+    total = [0] * len(runs)
+    for i, a in enumerate(runs):
+        for j, b in enumerate(runs[:i]):
+            n = common_length(a, b)
+            total[i] += n
+            total[j] += n
     m = total.index(max(total))
-    return m, aligned[m]
+    return m, [[(i, i) for i in range(len(b))] if k == m else alignment(runs[m], b) for k, b in enumerate(runs)]
 
 
 def shared_steps(runs: list[list[str]], least: float = 0.6) -> list[tuple[int, str, float]]:
@@ -64,11 +73,15 @@ def skeletons(sequences: DataFrame, family: str, run: str, keys: str, least: flo
 def parameter_groups(values: DataFrame, run: str, slot: str, value: str) -> DataFrame:
     """slot, parameter (the first slot of its group), variants, for slots of at least two values that vary together.
 
-    Two slots do if over the runs that have both (two at least) their values are in bijection. The
-    number of pairs is that of slots squared within a run, not of runs.
+    Two slots do if over the runs that have both (two at least) their values are in bijection, and so
+    do slots that others join; variants are the most of any of a slot's pairs. The number of pairs is
+    that of slots squared within a run, not of runs.
     """
     a = values.select(F.col(run).alias("run"), F.col(slot).alias("a"), F.col(value).alias("x"))
     b = values.select(F.col(run).alias("run"), F.col(slot).alias("b"), F.col(value).alias("y"))
     p = a.join(b, "run").groupBy("a", "b").agg(F.count_distinct("run").alias("n"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"), F.count_distinct("x", "y").alias("nxy"))
     p = p.where((F.col("n") >= 2) & (F.col("nx") >= 2) & (F.col("nx") == F.col("ny")) & (F.col("nx") == F.col("nxy")))
-    return p.groupBy(F.col("a").alias("slot")).agg(F.min("b").alias("parameter"), F.max("nx").alias("variants"))
+    p = cut(p.select("a", "b", "nx"))
+    groups = components(p, "a", "b").select(F.col("node").alias("slot"), F.col("root").alias("parameter"))
+    own = p.groupBy(F.col("a").alias("slot")).agg(F.max("nx").alias("variants"))
+    return own.join(groups, "slot", "left").select("slot", F.coalesce("parameter", "slot").alias("parameter"), "variants")

@@ -355,11 +355,12 @@ def discriminating_condition(spark, d):
     return align.discriminating(_t(spark, d, "orders"), "o_orderkey", "o_orderpriority", ["o_orderstatus", "o_orderpriority"])
 
 
-@_query("SELECT event_type AS key, count(DISTINCT user_id) AS runs, md5(string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR)) AS digest FROM events GROUP BY 1")
+@_query("SELECT event_type AS key, count(*) AS runs, sum(('0x' || left(sha256(u), 15))::BIGINT)::VARCHAR AS digest FROM (SELECT DISTINCT event_type, user_id::VARCHAR AS u FROM events) GROUP BY 1")
 def step_usage(spark, d):
-    """Which runs have each step: their number and a digest of the sorted list."""
+    """Which runs have each step: their number and a digest of the set of them, a sum of hashes, so that no task gathers them."""
     e = _t(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("u")).distinct()
-    return e.groupBy("key").agg(F.count("*").alias("runs"), F.md5(F.array_join(F.array_sort(F.collect_list("u")), ",")).alias("digest"))
+    own = F.conv(F.substring(F.sha2("u", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return e.groupBy("key").agg(F.count("*").alias("runs"), F.sum(own).cast("string").alias("digest"))
 
 
 @_query("SELECT user_id, md5(string_agg(event_type, ',' ORDER BY ts, event_id)) AS digest FROM events GROUP BY 1")
@@ -389,9 +390,10 @@ def shared_skeleton(spark, d):
     return skeleton.skeletons(s, "family", "user_id", "keys")
 
 
-@_query("""WITH v AS (SELECT n_nationkey AS run, unnest(['key', 'name', 'region']) AS slot, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS value FROM nation),
-p AS (SELECT a.slot AS a, b.slot AS b, count(DISTINCT a.run) AS n, count(DISTINCT a.value) AS nx, count(DISTINCT b.value) AS ny, count(DISTINCT (a.value, b.value)) AS nxy FROM v a JOIN v b ON a.run = b.run GROUP BY 1, 2)
-SELECT a AS slot, min(b) AS parameter, max(nx) AS variants FROM p WHERE n >= 2 AND nx >= 2 AND nx = ny AND nx = nxy GROUP BY a""")
+@_query("""WITH RECURSIVE v AS (SELECT n_nationkey AS run, unnest(['key', 'name', 'region']) AS slot, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS value FROM nation),
+p AS (SELECT a.slot AS a, b.slot AS b, count(DISTINCT a.run) AS n, count(DISTINCT a.value) AS nx, count(DISTINCT b.value) AS ny, count(DISTINCT (a.value, b.value)) AS nxy FROM v a JOIN v b ON a.run = b.run GROUP BY 1, 2),
+q AS (SELECT a, b, nx FROM p WHERE n >= 2 AND nx >= 2 AND nx = ny AND nx = nxy), reach AS (SELECT a, b FROM q UNION SELECT reach.a, q.b FROM reach JOIN q ON reach.b = q.a)
+SELECT q.a AS slot, min(reach.b) AS parameter, max(nx) AS variants FROM q JOIN reach USING (a) GROUP BY q.a""")
 def parameter_groups(spark, d):
     n = _t(spark, d, "nation")
     slots = [("key", "n_nationkey"), ("name", "n_name"), ("region", "n_regionkey")]
