@@ -55,7 +55,8 @@ def replay(requests: DataFrame, answers: DataFrame, fall_back: bool = True) -> D
         return out.astype({"seq": "Int64"})
 
     python_path(requests.sparkSession)
-    return requests.groupBy("rec").cogroup(answers.groupBy("rec")).applyInPandas(run, SERVED)
+    kind = requests.schema["rec"].dataType.simpleString()
+    return requests.groupBy("rec").cogroup(answers.groupBy("rec")).applyInPandas(run, SERVED.replace("long", kind, 1))
 
 
 def take_compactions(points: list[int], served: list[int]) -> list[int | None]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import templates
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, procedure, procedures, replay, search, skeleton, stats, trace
+from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, replay, search, skeleton, stats, trace
 from .plans.lineage import shared_dir
 from .streaming import replay as stream
 
@@ -421,6 +421,92 @@ def replay_fork(spark, d):
     return replay.replay(*_requests(spark, d), fall_back=False)
 
 
+# Histories as text for SQL: what comes before each message, with each conversation's second message changed where it is asked for.
+_HISTORY = f"string_agg({_LINE}, chr(30)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ANSWERS = f"SELECT * FROM (SELECT conv_id AS rec, turn AS seq, coalesce({_HISTORY}, '') AS hash, role FROM conversations) WHERE role = 'assistant'"
+_ASKED = f"SELECT * FROM (SELECT conv_id AS rec, turn AS req, coalesce({_HISTORY}, '') AS hash, role FROM (SELECT * REPLACE (CASE WHEN turn = 1 AND conv_id % 2 = 1 THEN text || '!' ELSE text END AS text) FROM conversations)) WHERE role = 'assistant'"
+
+
+@_query(f"WITH a AS ({_ANSWERS}), r AS ({_ASKED}) SELECT r.rec, req, min(a.seq) AS seq FROM r LEFT JOIN a ON a.rec = r.rec AND a.hash = r.hash GROUP BY 1, 2")
+def look_up(spark, d):
+    """The answer that the recording has for each request's history, without using it up."""
+    requests, answers = _requests(spark, d)
+    return lookup.look_up(requests, answers)
+
+
+@_query(f"""WITH a AS ({_ANSWERS}), r AS ({_ASKED}), l AS (SELECT * FROM a WHERE seq % 3 <> 0)
+SELECT r.rec, r.req, CASE WHEN min(x.seq) IS NOT NULL THEN 'hash' WHEN any_value(n.seq) IS NOT NULL THEN 'cursor' ELSE 'miss' END AS via, coalesce(min(x.seq), any_value(n.seq)) AS seq
+FROM r LEFT JOIN l x ON x.rec = r.rec AND x.hash = r.hash LEFT JOIN (SELECT rec, min(seq) AS seq FROM l GROUP BY 1) n ON n.rec = r.rec GROUP BY 1, 2""")
+def peek_answers(spark, d):
+    """What would be served if every third place were used."""
+    requests, answers = _requests(spark, d)
+    return lookup.peek(requests, answers, answers.where("seq % 3 = 0"))
+
+
+@_query("""WITH q AS (SELECT user_id AS rec, event_id AS seq, props AS call_id, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS nth FROM events WHERE event_type = 'click'),
+r AS (SELECT user_id AS rec, event_id AS seq, props AS call_id, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS nth FROM events WHERE event_type = 'view')
+SELECT q.rec, q.seq AS req, r.seq FROM q LEFT JOIN r USING (rec, call_id, nth)""")
+def results_by_id(spark, d):
+    """Clicks as requests and views as results of one id (props), each used once."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("rec"), F.col("event_id").alias("seq"), F.col("props").alias("call_id"), "event_type")
+    return lookup.results_by_id(e.where("event_type = 'click'").withColumnRenamed("seq", "req"), e.where("event_type = 'view'"))
+
+
+@_query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS rec, event_type AS tool, event_id AS id, props AS hash FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY rec, tool ORDER BY id) AS nth FROM e WHERE id % 2 = 0),
+step AS (
+  SELECT rec, tool, 0::BIGINT AS nth, [-1::BIGINT] AS used, NULL::BIGINT AS seq, '' AS via, NULL::BIGINT AS req FROM (SELECT DISTINCT rec, tool FROM q)
+  UNION ALL
+  SELECT q.rec, q.tool, q.nth, list_append(s.used, coalesce(x.own, x.nxt, -1)), coalesce(x.own, x.nxt), CASE WHEN x.own IS NOT NULL THEN 'hash' WHEN x.nxt IS NOT NULL THEN 'cursor' ELSE 'miss' END, q.id
+  FROM step s JOIN q ON q.rec = s.rec AND q.tool = s.tool AND q.nth = s.nth + 1,
+  LATERAL (SELECT min(a.id) FILTER (a.hash = q.hash) AS own, min(a.id) AS nxt FROM e a WHERE a.id % 2 = 1 AND a.rec = q.rec AND a.tool = q.tool AND NOT list_contains(s.used, a.id)) x)
+SELECT rec, tool, req, via, seq FROM step WHERE nth > 0""")
+def tool_results(spark, d):
+    """Even events ask for results of their kind, odd ones are the results, by the hash of what they carry: each used once, in order."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("rec"), F.col("event_type").alias("tool"), F.col("event_id").alias("id"), F.col("props").alias("hash"))
+    return lookup.tool_results(e.where("id % 2 = 0").withColumnRenamed("id", "req"), e.where("id % 2 = 1").withColumnRenamed("id", "seq"))
+
+
+@_query("""WITH e AS (SELECT user_id AS rec, event_id AS seq, event_type AS tool, props AS arguments FROM events), h AS (SELECT rec, min(seq) AS horizon FROM e WHERE tool NOT IN ('view', 'click') AND seq % 4 <> 0 GROUP BY 1),
+k AS (SELECT e.rec, tool, arguments, min(seq) AS seq FROM e LEFT JOIN h USING (rec) WHERE tool IN ('view', 'click') AND (horizon IS NULL OR seq < horizon) GROUP BY 1, 2, 3)
+SELECT e.rec, e.seq AS req, k.seq, CASE WHEN k.seq % 3 = 0 THEN 'new ' ELSE 'was ' END || k.seq AS text, k.seq % 3 = 0 AS overridden FROM e JOIN k USING (rec, tool, arguments)""")
+def repeated_calls(spark, d):
+    """Events as calls: read-only ones answered again from before the first change that wasn't served, a third of the answers overridden."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("rec"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool"), F.col("props").alias("arguments"))
+    recorded = e.withColumns({"call_id": F.col("seq").cast("string"), "text": F.concat(F.lit("was "), F.col("seq").cast("string"))})
+    changed = recorded.where("seq % 3 = 0").select("rec", "call_id", F.concat(F.lit("new "), "call_id").alias("new_text"))
+    return lookup.repeated_calls(e.withColumnRenamed("seq", "req"), recorded, e.where("seq % 4 = 0"), F.col("tool").isin("view", "click"), changed)
+
+
+@_query("""WITH c AS (SELECT l_orderkey AS rec, l_linenumber AS seq, l_partkey::VARCHAR AS call_id FROM lineitem)
+SELECT rec, seq, call_id, dense_rank() OVER (PARTITION BY rec ORDER BY seq) AS turn, (rec, call_id) IN (SELECT l_orderkey, l_partkey::VARCHAR FROM lineitem WHERE l_suppkey % 2 = 0) AS has_result FROM c""")
+def call_points(spark, d):
+    """Lines of orders as calls; the ones of even suppliers have results."""
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("rec"), F.col("l_linenumber").alias("seq"), F.lit(0).alias("block"), F.col("l_partkey").cast("string").alias("call_id"), F.lit("t").alias("tool"), "l_suppkey")
+    return lookup.call_points(li.drop("l_suppkey"), li.where("l_suppkey % 2 = 0")).select("rec", "seq", "call_id", "turn", "has_result")
+
+
+@_query(r"""SELECT conv_id AS rec, turn AS seq, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS prompt FROM conversations WHERE role = 'user' AND trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) <> '' AND NOT regexp_matches(text, '<summary>[\s\S]*</summary>')""")
+def recorded_prompts(spark, d):
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("rec"), F.col("turn").alias("seq"), "role", "text")
+    return lookup.prompts(c)
+
+
+@_query("""WITH t AS (SELECT o_custkey AS rec, o_orderkey AS seq, o_orderpriority AS name, o_orderstatus AS declaration FROM orders), f AS (SELECT rec, name, arg_min(declaration, seq) AS declaration, min(seq) AS since FROM t GROUP BY 1, 2)
+SELECT t.rec, t.seq, coalesce(string_agg(f.name || '=' || f.declaration, ';' ORDER BY f.name), '') AS tools FROM t LEFT JOIN f ON f.rec = t.rec AND f.since < t.seq GROUP BY 1, 2""")
+def tools_at(spark, d):
+    """Orders as points of a customer's recording, their priorities as tools that they declare."""
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("rec"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("nth"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("declaration"))
+    got = lookup.tools_at(o, o)
+    return got.select("rec", "seq", F.array_join(F.transform("tools", lambda t: F.concat_ws("=", t["name"], t["declaration"])), ";").alias("tools"))
+
+
+@_query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY rec, hash ORDER BY seq) AS nth FROM ({_ANSWERS}))
+SELECT q.rec, count(*) AS answers, count(*) FILTER (q.seq = a.seq) AS hits, count(*) FILTER (q.seq IS DISTINCT FROM a.seq) AS gaps, bool_and(q.seq IS NOT DISTINCT FROM a.seq) AS ok FROM a q LEFT JOIN a USING (rec, hash, nth) GROUP BY 1""")
+def verified(spark, d):
+    """Whether each conversation replays itself; its histories differ, as each is longer than the one before."""
+    return lookup.verified(_requests(spark, d)[1])
+
+
 @_query("""SELECT conv_id AS rec, turn AS req, turn AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'cursor' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
 def stream_replay(spark, d):
     """The requests of replay_serve as a stream of files, served statefully; the rows that the stream has written."""
