@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracelode.llm import common, graphs, jaccard_join
+from tracelode.llm import common, jaccard_join
+from tracelode.plans import spread
 
 from .test_ops import DOCS, rows
 
@@ -32,9 +33,9 @@ def test_components_of_a_hub_and_a_path(spark):
     hub = [(0, i) for i in range(1, 400)]
     path = [(1000 + i, 1001 + i) for i in range(60)]
     edges = spark.createDataFrame([*hub, *path, (None, 1), (5, 5), (2, 1), (0, 1)], "a long, b long")
-    got = {r.node: r.root for r in graphs.components(edges, "a", "b").collect()}
+    got = {r.node: r.root for r in spread.components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(400)} | {1000 + i: 1000 for i in range(61)}
-    assert graphs.components(edges.limit(0), "a", "b").count() == 0
+    assert spread.components(edges.limit(0), "a", "b").count() == 0
 
 
 def _near_copies(n, seed):

@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.lineage import cut as cut
 from ..plans.lineage import python_path
 from ..plans.lineage import shared_dir as shared_dir
+from ..plans.spread import fresh as fresh
+from ..plans.spread import hot_keys as hot_keys
+from ..plans.spread import split_join as split_join
 
 #: Rows in one Arrow batch sent to Python; texts may be long, so far fewer than the default.
 ARROW_ROWS = 1024
@@ -50,14 +53,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, with underscores added until df has no column of that name."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def quoted(name: str) -> str:
     """A column's name as Spark's parser wants it, whatever is in it."""
     return "`" + name.replace("`", "``") + "`"
@@ -78,32 +73,3 @@ def map_whole_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iter
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than one beyond."""
     return df.limit(rows + 1).count() <= rows
-
-
-#: A key that holds more than this part of all rows is hot, so there are fewer hot keys than this, whatever the input.
-HOT_SHARE = 256
-#: Fewer rows than this are no load for a task.
-HOT_ROWS = 64
-
-
-def hot_keys(counts: DataFrame, keys: list[str], total: int, k: str = "k") -> DataFrame | None:
-    """Of the rows of counts (keys and how many rows each has, in k), those that are hot, with the splits that they need; None: none is."""
-    least = max(total // HOT_SHARE, HOT_ROWS)
-    found = counts.where(F.col(k) > least).select(*keys, F.least(F.ceil(F.col(k) / least), F.lit(HOT_SHARE)).cast("int").alias("splits")).collect()  # HOT_SHARE rows at most
-    if not found:
-        return None
-    schema = StructType([*(counts.schema[c] for c in keys), StructField("splits", IntegerType())])
-    return counts.sparkSession.createDataFrame(found, schema)
-
-
-def split_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner", by: list[str] | None = None) -> DataFrame:
-    """big joined with small (few rows a key) on keys; rows of a hot key are dealt over its splits by the columns in by, and small's are repeated for each."""
-    if hot is None:
-        return big.join(small, keys, how)
-    slot, splits = fresh(big, "slot"), fresh(big, "splits")
-    hot = F.broadcast(hot.withColumnRenamed("splits", splits))
-    deal = F.pmod(F.xxhash64(F.lit(7), *(F.col(c) for c in (by or big.columns))), F.coalesce(splits, F.lit(1))).cast("int")
-    big = big.join(hot, keys, "left").withColumn(slot, deal).drop(splits)
-    every = F.sequence(F.lit(0), F.coalesce(splits, F.lit(1)) - 1)
-    small = small.join(hot, keys, "left").withColumn(slot, F.explode(every)).drop(splits)
-    return big.join(small, [*keys, slot], how).drop(slot)
