@@ -54,6 +54,8 @@ from .common import arrow_limits, cut, cut_table, drop_table, hot_keys, split_jo
 #: those of more than about T / COUNTERS occurrences are told from rare ones, so this bounds the rows of an n-gram in prefixes.
 COUNTERS = 1 << 21
 _CHUNK = 1 << 12
+#: Words whose hashes a task remembers (about 170 bytes each).
+KNOWN_WORDS = 300_000
 #: Tasks whose counters are summed in one.
 _BRANCH = 32
 #: Most n-grams to spare in the positional filter.
@@ -71,7 +73,7 @@ class _WordHashes(dict):
     """word -> 64-bit hash; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return h
