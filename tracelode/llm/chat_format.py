@@ -10,7 +10,8 @@ Defined results: null text and null role are empty, a role that the template doe
 general marker with its name. Turns are ordered by turn (nulls first), ties by role and text, and a
 row that comes twice is two turns. A turn that the machine doesn't allow is still formatted, counted
 as a violation, and the machine goes on from its role. A null conv_id is a conversation of its own.
-An empty table gives an empty result. Columns other than the four named ones are ignored.
+Texts of any length are formatted whole; a conversation is one row, so its turns are gathered in one task.
+An empty table gives an empty result. Columns other than the four named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -31,6 +31,7 @@ Defined results: null text is empty; a text without words has an empty set and n
 fewer than n words has its whole sequence as its only n-gram. Texts of any length are read whole. A pair
 at exactly the threshold is a link. Rows that repeat an id, or have a
 null id, are rows like any other; a component's name is the least id that is not null (null if all are).
+What is left in the checkpoint folder is removed by lineage.clean().
 An empty table gives an empty result. Columns other than the named ones are ignored.
 """
 

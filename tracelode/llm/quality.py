@@ -10,8 +10,9 @@ Only ``FIT_ROWS`` labelled rows at most are fitted on, chosen by hash of id; eve
 
 Defined results: null text is empty, and empty texts are scored like any other. A row with a null
 id is scored, is not held out and never learnt from. Null labels are ignored, several labels of an
-id are averaged. Without any usable label every score is 0.5. An empty table gives an empty result.
-Only the named columns are read.
+id are averaged. Without any usable label every score is 0.5. Texts of any length are read whole, and
+rows that repeat an id are scored one by one; equal texts have equal scores, and a score at the threshold
+is predicted 1. An empty table gives an empty result. Only the named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
