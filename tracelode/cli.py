@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import registry
 from .functions import canonical, names, rules
 from .operators import carry_out, compare, extract, freshness, link, lookup, plan, procedures, record, search, stats, store, trace
+from .plans import lineage
 from .sources import traces
 
 #: Commands that print so many rows unless told otherwise, and how many more there are; the others print all.
@@ -223,6 +224,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> None:
     a = _arguments().parse_args(argv)
+    own = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     limit = LISTED if a.limit is None and a.command in LISTINGS else a.limit
     found, more = result(spark, a), 0
@@ -237,6 +239,8 @@ def main(argv: list[str] | None = None) -> None:
             more += 1
     if more:
         print(f"... {more} more", file=sys.stderr)
+    if own:
+        lineage.clean(spark)
     if gaps:
         raise SystemExit(2)
 

@@ -32,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what this session has cut and written into its shared folder (checkpoints, packages, streams); frames that still need it can't be read any more."""
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def python_path(spark: SparkSession) -> None:
     """Tell Python workers where this package is, where their path lacks it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

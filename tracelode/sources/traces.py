@@ -7,10 +7,13 @@ entry types survive a round trip.
 from __future__ import annotations
 
 import gzip
+import io
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +64,48 @@ def read_entries(spark: SparkSession, paths: str | list[str], strict: bool = Tru
     )
 
 
+def _peek(lines: Iterator[str]) -> tuple[str | None, str | None, str | None]:
+    """id and cwd of the first header, and the first user's text, of a trace's lines."""
+    head, said = None, None
+    for line in lines:
+        try:
+            own = json.loads(line)
+        except ValueError:
+            continue
+        if not isinstance(own, dict):
+            continue
+        message = own.get("message") if isinstance(own.get("message"), dict) else {}
+        if head is None and own.get("type") == "session":
+            head = own
+        elif said is None and message.get("role") == "user":
+            content = message.get("content")
+            blocks = [b.get("text") for b in content[:1] if isinstance(b, dict)] if isinstance(content, list) else [content]
+            said = blocks[0] if blocks and isinstance(blocks[0], str) else ""
+        if head is not None and said is not None:
+            break
+    text = lambda v: v if isinstance(v, str) else None
+    return text((head or {}).get("id")), text((head or {}).get("cwd")), None if said is None else " ".join(said.split())[:80]
+
+
+def _peeked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = []
+        for path in b.column(0).to_pylist():
+            system, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+            with system.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8", "replace") as text:
+                found.append(_peek(iter(text)))
+        added = [pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 3
+        yield pa.RecordBatch.from_arrays([*b.columns, *added], ["path", "bytes", "modified", "id", "cwd", "first_text"])
+
+
 def list_traces(spark: SparkSession, pattern: str) -> DataFrame:
-    """A row for each file, newest first: path, bytes, modified, id, cwd, first user text (80 characters); broken files too."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.try_parse_json(x))
-    d = files.withColumn("lines", lines)
-    first = lambda keep: F.get(F.filter("lines", keep), 0)
-    head = first(lambda v: F.try_variant_get(v, "$.type", "string") == "session")
-    user = first(lambda v: F.try_variant_get(v, "$.message.role", "string") == "user")
-    said = F.coalesce(F.try_variant_get(user, "$.message.content[0].text", "string"), F.try_variant_get(user, "$.message.content", "string"))
-    said = F.substring(F.trim(F.regexp_replace(said, r"\s+", " ")), 1, 80)
-    d = d.select("path", "bytes", "modified", F.try_variant_get(head, "$.id", "string").alias("id"), F.try_variant_get(head, "$.cwd", "string").alias("cwd"), said.alias("first_text"))
+    """A row for each file, newest first: path, bytes, modified, id, cwd, first user text (80 characters); broken files too.
+
+    Files are opened by tasks and read line by line, no further than to the header and the first text of a user.
+    """
+    python_path(spark)
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    d = files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)).mapInArrow(_peeked, "path string, bytes long, modified timestamp, id string, cwd string, first_text string")
     return d.orderBy(F.desc("modified"), "path")
 
 
