@@ -10,13 +10,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import templates
+from .functions import canonical, rules, templates
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, replay, search, skeleton, stats, trace
-from .plans.lineage import shared_dir
+from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, record, regress, replay, search, skeleton, stats, trace
+from .plans.lineage import python_path, shared_dir
+from .sources import traces
 from .streaming import replay as stream
 
 ORDER = ["ts", "event_id"]
@@ -380,7 +381,77 @@ def regression_summary(spark, d):
 @_query("""SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS digest FROM events""")
 def canonical_props(spark, d):
     """Digest of the canonical form (sorted keys, no spaces) of a JSON column."""
-    return _t(spark, d, "events").select("event_id", F.sha2(F.to_json(F.parse_json("props")), 256).alias("digest"))
+    python_path(spark)
+    return _t(spark, d, "events").select("event_id", F.sha2(canonical.canonical_text("props"), 256).alias("digest"))
+
+
+@_query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{_duck(r)}') THEN '{_duck(why)}'" for r, why in rules.DANGEROUS) + " END AS why FROM documents")
+def dangerous_steps(spark, d):
+    """Why a text, read as a step, would need leave."""
+    return _t(spark, d, "documents").select("doc_id", rules.danger(F.col("text")).alias("why"))
+
+
+@_query(r"""SELECT conv_id, turn, CASE WHEN trim(regexp_replace(before, '\s+', ' ', 'g')) <> trim(regexp_replace(text, '\s+', ' ', 'g')) THEN 'text' ELSE '' END AS kinds
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'assistant') WHERE before IS NOT NULL""")
+def answer_kinds(spark, d):
+    """Each answer of a conversation compared with the one before, as messages."""
+    a = _t(spark, d, "conversations").where("role = 'assistant'").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    said = lambda c: F.to_json(F.struct(F.lit("assistant").alias("role"), F.col(c).alias("content"))).alias("message")
+    got = regress.compare(a.select("conv_id", "turn", said("before")), a.select("conv_id", "turn", said("text")), ["conv_id", "turn"])
+    return got.select("conv_id", "turn", F.array_join("kinds", ",").alias("kinds"))
+
+
+def _trace_files(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """entries (rec, line, value: JSON text) written as a trace file for each rec and read back: rec and the columns of read_entries."""
+    at = f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}"
+    head = F.to_json(F.struct(F.lit("session").alias("type"), F.lit(3).alias("version"), F.col("rec").cast("string").alias("id")))
+    lines = entries.select("rec").distinct().select("rec", F.lit(-1).cast("long").alias("line"), head.alias("value")).unionByName(entries.select("rec", F.col("line").cast("long").alias("line"), "value"))
+    lines.repartition("rec").sortWithinPartitions("rec", "line").select("rec", "value").write.partitionBy("rec").text(at)
+    d = traces.read_entries(spark, f"{at}/rec=*/*.txt")
+    return d.withColumn("rec", F.regexp_extract("trace", r"/rec=(-?\d+)/", 1).cast("long"))
+
+
+def _said(role, text) -> Column:
+    return F.struct(role.alias("role"), text.alias("content"))
+
+
+def _conversation_files(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations")
+    parent = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    value = F.to_json(F.struct(F.lit("message").alias("type"), F.col("turn").cast("string").alias("id"), parent.cast("string").alias("parentId"), _said(F.col("role"), F.coalesce("text", F.lit(""))).alias("message")))
+    return _trace_files(spark, c.select(F.col("conv_id").alias("rec"), F.col("turn").alias("line"), value.alias("value")))
+
+
+@_query("""SELECT conv_id AS rec, turn::VARCHAR AS id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR AS parent_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS line, role, md5(coalesce(text, '')) AS digest FROM conversations""")
+def trace_files(spark, d):
+    """Conversations as trace files, written, and read back as entries."""
+    e = _conversation_files(spark, d)
+    return e.select("rec", "id", "parent_id", F.col("line").cast("long").alias("line"), "role", F.md5(F.try_variant_get("raw", "$.message.content", "string")).alias("digest"))
+
+
+@_query("""SELECT conv_id AS rec, count(*) AS entries, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns FROM conversations GROUP BY 1""")
+def recorded_stats(spark, d):
+    """Recordings of the paths to the last entries of conversations, packed, written and read back: what their headers count."""
+    packed = record.record(record.active_paths(_conversation_files(spark, d).where("rec is not null")))
+    h = record.read_packed(spark, record.write_recordings(packed, shared_dir(spark))).withColumn("h", F.parse_json("header"))
+    got = lambda k: F.try_variant_get("h", f"$.stats.{k}", "long")
+    return h.select(F.regexp_extract("trace", r"/rec=(-?\d+)/", 1).cast("long").alias("rec"), "entries", got("userTurns").alias("user_turns"), got("assistantTurns").alias("assistant_turns"))
+
+
+@_query("""SELECT user_id AS rec, 'c' || event_id AS call_id, event_type AS tool, '{"k":' || json_extract_string(props, '$.k') || '}' AS arguments, event_type = 'error' AS is_error, 'got ' || event_id AS text FROM events""")
+def trace_calls(spark, d):
+    """Events as tool calls with their results, in trace files of users: calls and results read back, and joined by id."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("rec"), "event_id", "event_type", "props")
+    ident = F.concat(F.lit("c"), F.col("event_id").cast("string"))
+    call = F.struct(F.lit("toolCall").alias("type"), ident.alias("id"), F.col("event_type").alias("name"), F.parse_json("props").alias("arguments"))
+    asked = F.struct(F.lit("message").alias("type"), ident.alias("id"), F.struct(F.lit("assistant").alias("role"), F.array(call).alias("content")).alias("message"))
+    text = F.struct(F.lit("text").alias("type"), F.concat(F.lit("got "), F.col("event_id").cast("string")).alias("text"))
+    told = F.struct(F.lit("toolResult").alias("role"), ident.alias("toolCallId"), F.col("event_type").alias("toolName"), F.array(text).alias("content"), (F.col("event_type") == "error").alias("isError"))
+    result = F.struct(F.lit("message").alias("type"), F.concat(F.lit("r"), ident).alias("id"), told.alias("message"))
+    lines = e.select("rec", (F.col("event_id") * 2).alias("line"), F.to_json(asked).alias("value")).unionByName(e.select("rec", (F.col("event_id") * 2 + 1).alias("line"), F.to_json(result).alias("value")))
+    found = _trace_files(spark, lines)
+    calls = traces.calls_of(found).select(F.regexp_extract("trace", r"/rec=(-?\d+)/", 1).cast("long").alias("rec"), "trace", "call_id", "tool", "arguments")
+    return calls.join(traces.results_of(found).select("trace", "call_id", "is_error", "text"), ["trace", "call_id"]).drop("trace")
 
 
 @_query()
