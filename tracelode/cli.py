@@ -172,7 +172,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         hashed = trace.prefix_digests(_messages(spark, a.paths), ["rec"], "seq", "role", "text")
         return lookup.verified(hashed.where("role = 'assistant'").select("rec", "seq", F.col("prefix_digest").alias("hash"))).orderBy("rec")
     if a.command == "diff":
-        left, right = (_messages(spark, [p]).select("rec", F.row_number().over(Window.partitionBy("rec").orderBy("seq")).alias("pos"), trace.fingerprint(F.col("role"), F.col("text")).alias("fp")) for p in (a.left, a.right))
+        left, right = (_messages(spark, [p]).select("rec", F.row_number().over(Window.partitionBy("rec").orderBy("seq")).alias("pos"), F.md5("text").alias("fp")) for p in (a.left, a.right))
         pair = left.select(F.col("rec").alias("l")).limit(1).crossJoin(right.select(F.col("rec").alias("r")).limit(1))  # one row
         return compare.positional_diff(pair, left, right).withColumn("common_prefix", F.col("common_prefix") - 1)
     if a.command == "library":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import comparable_text
 from ..plans.lineage import cut
 
 UNIT, RECORD = "\x1f", "\x1e"
@@ -97,4 +98,10 @@ def depths(entries: DataFrame, rec: str, node: str, parent: str, rounds: int = 4
 
 
 def fingerprint(role: Column, text: Column) -> Column:
+    """Of a message that is a role and a text."""
     return F.md5(F.concat(role, F.lit(":text:"), text))
+
+
+def message_fingerprint(message: Column) -> Column:
+    """Of a whole message as JSON text: thinking, calls and images too, without what tells how it came about. Null for what is no object."""
+    return F.md5(comparable_text(message))
