@@ -1,0 +1,54 @@
+"""What is served and driven: costs, payloads, failures, prompts through a port, shadows."""
+
+import json
+
+import pytest
+
+from tracelode.operators import procedures, regress, serve
+
+
+def test_served_messages():
+    m = {"role": "assistant", "usage": {"input": 3, "cost": {"total": 9}}}
+    assert serve.without_cost(m)["usage"] == {"input": 3, "cost": serve.NO_COST} and m["usage"]["cost"] == {"total": 9} and serve.without_cost({"a": 1}) == {"a": 1}
+    assert serve.result_payload({"content": ["x"], "isError": True}) == {"content": ["x"], "details": {}, "isError": True}
+    assert serve.result_payload({"details": {"a": 1}}, "r", "e1")["details"] == {"a": 1, "recording": "r", "from": "e1"}
+    f = serve.failure({"id": "m"}, "gone")
+    assert (f["stopReason"], f["errorMessage"], f["content"][0]["text"], f["usage"]["totalTokens"]) == ("error", "gone", "gone", 0)
+
+
+def test_driving_prompts():
+    with pytest.raises(PermissionError):
+        serve.drive(["a"])
+    asked = []
+
+    def ask(p):
+        asked.append(p)
+        return {"stopReason": "error", "errorMessage": "no"} if p == "c" else {"stopReason": "stop", "usage": {"totalTokens": 10}}
+
+    done = serve.drive(["a", "b", "c", "d"], ask, lambda: asked.append("compact"), [1])
+    assert asked == ["a", "compact", "b", "c"] and done.stopped == "no" and done.compacted == [1] and len(done.answers) == 3
+    assert serve.drive(["a", "b", "a"], ask, budget=20).stopped == "20 of 20 tokens are used"
+
+
+def test_last_messages_and_shadows(spark):
+    parts = spark.createDataFrame([(1, 0, 0, "x"), (1, 0, 2, "z"), (1, 0, 1, "y"), (1, 1, 0, None)], "rec int, req int, seq int, message string")
+    assert [(r.req, r.message) for r in serve.last_messages(parts).collect()] == [(0, "z")]
+    say = lambda text, *calls: json.dumps({"role": "assistant", "content": [{"type": "text", "text": text}, *({"type": "toolCall", "name": "edit", "arguments": {"path": c}} for c in calls)]})
+    old = spark.createDataFrame([(0, say("a")), (1, say("a", "p")), (2, say("a", "p"))], "req int, message string")
+    new = spark.createDataFrame([(0, say("a")), (1, say("b", "p")), (2, say("a", "q"))], "req int, message string")
+    counts, text = serve.shadow(regress.compare(old, new, ["req"]), "req")
+    assert counts == {"requests": 3, "identical": 1, "surface": 1, "structural": 1, "first": 2} and "3 requests" in text
+    spark.createDataFrame([serve.empty_procedure("x")], procedures.PROCEDURE).collect()
+
+
+def test_events_and_forks(spark):
+    m = {"content": [{"type": "text", "text": "hi"}, {"type": "toolCall", "name": "read", "arguments": {"b": 1, "a": 2}}], "stopReason": "stop"}
+    d = spark.createDataFrame([(1, 0, json.dumps(m)), (1, 1, "no"), (1, 2, json.dumps({"stopReason": "error", "errorMessage": "x"}))], "rec int, req int, message string")
+    got = [(r.req, r.event, r.block, r.text) for r in serve.served_events(d).orderBy("req", "nth").collect()]
+    assert got == [(0, "start", None, None), (0, "text_start", 0, None), (0, "text_delta", 0, "hi"), (0, "text_end", 0, None), (0, "toolCall_start", 1, "read"), (0, "toolCall_delta", 1, '{"a":2,"b":1}'), (0, "toolCall_end", 1, None), (0, "done", None, "stop"), (2, "start", None, None), (2, "error", None, "x")]
+    misses = spark.createDataFrame([(1, 0, 60, "p"), (1, 1, 50, "q"), (1, 2, 1, "r"), (2, 0, None, "s")], "rec int, req int, tokens int, prompt string")
+    gated = serve.within_fork_budget(misses, 100)
+    assert {(r.rec, r.req): r.allowed for r in gated.collect()} == {(1, 0): True, (1, 1): True, (1, 2): False, (2, 0): True}
+    assert [(x[0], x[1]) for x in serve.fork_batch(lambda p: {"said": p})(gated, 0)] == [(1, 0), (1, 1), (2, 0)]
+    with pytest.raises(ValueError, match="more than 1"):
+        serve.fork_batch(lambda p: {}, most=1)(gated, 0)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import canonical, rules, templates
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, record, regress, replay, search, skeleton, stats, trace
+from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
 from .plans.lineage import python_path, shared_dir
 from .sources import traces
 from .streaming import replay as stream
@@ -454,6 +454,24 @@ def trace_calls(spark, d):
     return calls.join(traces.results_of(found).select("trace", "call_id", "is_error", "text"), ["trace", "call_id"]).drop("trace")
 
 
+@_query("""SELECT rec, req, used::BIGINT AS used, used < 150 AS allowed FROM (SELECT o_custkey AS rec, o_orderkey AS req, coalesce(sum(o_orderkey % 100) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM orders)""")
+def fork_budget(spark, d):
+    """Orders as misses of a customer's recording: those that a budget still lets a live model answer."""
+    misses = _t(spark, d, "orders").select(F.col("o_custkey").alias("rec"), F.col("o_orderkey").alias("req"), (F.col("o_orderkey") % 100).alias("tokens"))
+    return serve.within_fork_budget(misses, 150).select("rec", "req", F.col("used").cast("long").alias("used"), "allowed")
+
+
+@_query("""WITH a AS (SELECT conv_id AS rec, turn AS req, text FROM conversations WHERE role = 'assistant'), b AS (SELECT *, coalesce(text, '') <> '' AS said FROM a),
+e AS (SELECT rec, req, unnest(CASE WHEN said THEN ['start', 'text_start', 'text_delta', 'text_end', 'done'] ELSE ['start', 'done'] END) AS event, unnest(CASE WHEN said THEN [0, 1, 2, 3, 4] ELSE [0, 1] END) AS nth, text FROM b)
+SELECT rec, req, nth, event, CASE WHEN event = 'text_delta' THEN md5(text) END AS digest FROM e""")
+def served_events(spark, d):
+    """Recorded answers as the events that a stream would bring."""
+    c = _t(spark, d, "conversations").where("role = 'assistant'")
+    message = F.to_json(F.struct(F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("content")))
+    got = serve.served_events(c.select(F.col("conv_id").alias("rec"), F.col("turn").alias("req"), message.alias("message")))
+    return got.select("rec", "req", "nth", "event", F.md5("text").alias("digest"))
+
+
 @_query()
 def shared_skeleton(spark, d):
     """Steps that at least 60 % of a family of five neighbouring users share, aligned to its medoid."""
