@@ -134,10 +134,10 @@ def test_commands_over_the_store(spark, stored, tmp_path, capsys):
 def test_verify_and_diff(spark, tmp_path, capsys):
     say = lambda k, role, text: {"type": "message", "id": str(k), "message": {"role": role, "content": text}}
     one = [say(0, "user", "a"), say(1, "assistant", "b"), say(2, "user", "c"), say(3, "assistant", "d")]
-    (tmp_path / "one.tape").write_bytes(traces.pack({}, one))
-    (tmp_path / "two.tape").write_bytes(traces.pack({}, [*one[:2], say(2, "user", "other"), one[3]]))
-    cli.main(["verify", str(tmp_path / "one.tape")])
+    (tmp_path / "one.rec").write_bytes(traces.pack({}, one))
+    (tmp_path / "two.rec").write_bytes(traces.pack({}, [*one[:2], say(2, "user", "other"), one[3]]))
+    cli.main(["verify", str(tmp_path / "one.rec")])
     assert json.loads(capsys.readouterr().out) | {"rec": ""} == {"rec": "", "answers": 2, "hits": 2, "gaps": 0, "ok": True}
-    cli.main(["diff", str(tmp_path / "one.tape"), str(tmp_path / "two.tape")])
+    cli.main(["diff", str(tmp_path / "one.rec"), str(tmp_path / "two.rec")])
     got = json.loads(capsys.readouterr().out)
     assert (got["common_prefix"], got["reason"]) == (2, "content")
