@@ -110,6 +110,16 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import decode_ids, encode_texts
+
+    found = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import filter_audit
 
@@ -129,5 +139,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_byte_bpe": op12_byte_bpe,
         "op13_filter_audit": op13_filter_audit,
     }
