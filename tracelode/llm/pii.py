@@ -9,7 +9,8 @@ pseudonyms in every document, different values different ones, and whoever has t
 it; as in any permutation, a value may stand for itself. The local part of an address is neither
 number nor date: it is replaced by 128 bits of a keyed digest of the lower-cased address, which has
 no way back. Round values are from SHA-256. The key has no default: with a known key anyone can
-invert the numbers.
+invert the numbers. Plans, event logs and the UI show a key derived from it, never itself; the derived one inverts
+these pseudonyms, too, so guard them, or set spark.sql.redaction.string.regex to [0-9a-f]{64}.
 
 Spellings of cards: unbroken, or groups of 4-4-4-4, 4-4-4-4 with 1 to 3 more, 4-4-4 with 1 to 3 more,
 4-6-5 and 4-6-4 digits, all parted by a space or all by a dash. If the first 16 of 17 to 19 grouped
@@ -32,6 +33,7 @@ ignored, whatever their names. All in DataFrame functions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -105,12 +107,18 @@ def _feistel(index: Column, a: Column, b: Column, key: str, kind: str, back: boo
             y = F.when(even, s["y"]).otherwise(F.pmod(s["y"] + sign * value(i, s["x"]), v["b"]))
             return F.struct(x.alias("x"), y.alias("y"))
 
-        halves = F.struct(F.floor(v["n"] / v["b"]).cast("long").alias("x"), F.pmod(v["n"], v["b"]).alias("y"))
+        # Whole-number division: bodies of 16 digits and more have no exact double.
+        halves = F.struct(F.call_function("div", v["n"], v["b"]).alias("x"), F.pmod(v["n"], v["b"]).alias("y"))
         return F.aggregate(rounds, halves, step, lambda s: s["x"] * v["b"] + s["y"])
 
     return _let(F.struct(index.alias("n"), a.alias("a"), b.alias("b")), run)
 
 
+def round_key(key: str) -> str:
+    """What rounds and digests are keyed by: derived on the driver, so that no plan, log or page of the UI holds the key itself."""
+    return hashlib.sha256(b"tracelode pseudonyms\0" + key.encode()).hexdigest()
+
+
 def _big(n: int) -> Column:
     return F.lit(n).cast("long")
 
@@ -179,6 +187,7 @@ def _decimal(digits: Column, key: str, kind: str, back: bool) -> Column:
 def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a validated match (or, backwards, its original; e-mail addresses have no way back)."""
     num = lambda c: c.try_cast("long")
+    key = round_key(key)
 
     def card(core: Column) -> Column:
         body = _let(_digits(core), lambda d: F.substring(d, F.lit(1), F.length(d) - 1))
