@@ -34,8 +34,8 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 KGRAM = 5
 #: Benchmark fingerprints and windows (about 40 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Longs of the table of bits; 128 KB.
-BIT_WORDS = 1 << 14
+#: Longs of the table of bits, at least and at most: 128 KB and 2 MB. It has 16 bits for each fingerprint up to a million of them.
+BIT_WORDS, MOST_BIT_WORDS = 1 << 14, 1 << 18
 #: Items in all sets of items that are broadcast; more are joined by a shuffle.
 BROADCAST_ITEMS = 1_000_000
 _POS = (1 << 31) - 1
@@ -50,21 +50,23 @@ def _lesser(col: str, step: int):
     return lambda x, i: F.least(x, F.get(F.col(col), i + step))
 
 
-def _bit_table(marks: DataFrame) -> Column:
-    """An array of longs with a bit for each fingerprint."""
-    place = F.pmod("fp", F.lit(64 * BIT_WORDS))
-    word = marks.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(pmod(fp, {64 * BIT_WORDS}) & 63 AS int))").alias("bit"))
-    found = dict(word.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect())  # BIT_WORDS rows at most
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(BIT_WORDS))), ",").cast("array<bigint>")
+def _bit_table(marks: DataFrame) -> tuple[Column, int]:
+    """An array of longs with a bit for each fingerprint, and its number of longs."""
+    size = min(max(1 << (marks.count() // 4).bit_length(), BIT_WORDS), MOST_BIT_WORDS)
+    place = F.pmod("fp", F.lit(64 * size))
+    word = marks.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(pmod(fp, {64 * size}) & 63 AS int))").alias("bit"))
+    found = dict(word.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect())  # MOST_BIT_WORDS rows at most
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(size))), ",").cast("array<bigint>"), size
 
 
-def _may_meet(table: Column, fp: Column) -> Column:
-    place = F.pmod(fp, F.lit(64 * BIT_WORDS))
+def _may_meet(bits: tuple[Column, int], fp: Column) -> Column:
+    table, size = bits
+    place = F.pmod(fp, F.lit(64 * size))
     bit = F.call_function("shiftright", F.get(table, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int"))
     return bit.bitwiseAND(F.lit(1)) != 0
 
 
-def _short_marks(n: int, table: Column) -> Column:
+def _short_marks(n: int, table: tuple[Column, int]) -> Column:
     absent = F.lit(None).cast("array<bigint>").alias("ctx")
     every = F.transform(_short_windows(n), lambda x, i: F.struct(F.lit(n).alias("len"), x.alias("fp"), i.alias("at"), absent))
     return F.filter(every, lambda x: _may_meet(table, x["fp"]))
@@ -147,21 +149,22 @@ def contamination(
         ),
     )
     none = F.lit(None)
+    # A row of length 0 stands for the document itself and meets nothing; its key is its own, so where joins shuffle these rows are spread.
     parts = [
-        F.array(F.struct(none.cast("int").alias("len"), none.cast("long").alias("fp"), none.cast("int").alias("at"), none.cast("array<bigint>").alias("ctx"))),
+        F.array(F.struct(F.lit(0).alias("len"), F.col("row").alias("fp"), none.cast("int").alias("at"), none.cast("array<bigint>").alias("ctx"))),
         around,
     ]
     parts += [_short_marks(n, table) for n in lengths]
     d = d.select("row", "id", "n_words", F.inline(F.concat(*parts)))
-    d = d.join(near(marks), ["len", "fp"], "left").where("len is null or met")
+    d = d.join(near(marks), ["len", "fp"], "left").where("len = 0 or met")
     # A met fingerprint, extended to every window that encloses it.
     enclosing = F.transform(
         F.slice("ctx", F.lit(1), F.greatest(F.size("ctx") - (window - KGRAM), F.lit(0))),
         lambda x, i: F.struct((F.col("at") + i).alias("start"), _long_window(F.col("ctx"), i, window).alias("hash")),
     )
     own = F.array(F.struct(F.col("at").alias("start"), F.col("fp").alias("hash")))
-    d = d.select("row", "id", "n_words", "len", F.inline_outer(F.when(F.col("ctx").isNotNull(), enclosing).when(F.col("len").isNotNull(), own)))
-    d = d.join(near(spans), ["len", "hash"], "left").where("len is null or items_no is not null")
+    d = d.select("row", "id", "n_words", "len", F.inline(F.when(F.col("ctx").isNotNull(), enclosing).otherwise(own)))
+    d = d.join(near(spans), ["len", "hash"], "left").where("len = 0 or items_no is not null")
     d = d.groupBy("row").agg(
         F.first("id").alias("id"),
         F.first("n_words").alias("n_words"),
