@@ -6,7 +6,7 @@ Each partition sums its rows' normal equations; the driver adds these sums, of f
 solves for the ridge weights. A held-back fold gives an isotonic (pool-adjacent-violators) map from
 raw scores to probabilities, from counts in a fixed number of bins.
 
-Only ``FIT_ROWS`` labelled rows at most are fitted on, chosen by hash of id; every row is scored.
+Only ``FIT_ROWS`` labelled rows, give or take what a hash does, are fitted on, chosen by hash of id and statistics; every row is scored.
 
 Defined results: null text is empty, and empty texts are scored like any other. A row with a null
 id is scored, is not held out and never learnt from. Null labels are ignored, several labels of an
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut
+from .common import arrow_limits, cut, hot_keys, split_join
 
 #: Bound on the labelled rows that the fit uses.
 FIT_ROWS = 200_000
@@ -131,20 +131,26 @@ def _sums(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, gram, target = shared.value, np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
         for b in batches:
-            f = model.features(_vectors(b, 0))
-            gram += f.T @ f
-            target += f.T @ b.column(1).to_numpy()
+            f, w = model.features(_vectors(b, 0)), b.column(2).to_numpy()
+            gram += f.T @ (f * w[:, None])
+            target += f.T @ (b.column(1).to_numpy() * w)
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([target.tobytes()])], ["gram", "target"])
 
     return run
 
 
-def _scores(shared, raw: bool):
+def _raw_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            x = _vectors(b, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.raw(x) if raw else model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.raw(_vectors(b, 1))), b.column(0), b.column(2)], ["score", "y", "w"])
+
+    return run
+
+
+def _scores(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(_vectors(b, 1)))], ["id", "score"])
 
     return run
 
@@ -154,33 +160,39 @@ def _fold(id_col: str) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """stats: id, x; labels: id, y. Rows of fold 0 (by crc32 of the id) are never learnt from."""
+    """stats: id, x; labels: id, y. Rows of fold 0 (by crc32 of the id) are never learnt from; equal rows of an id are one with a weight."""
     spark = stats.sparkSession
     rng = np.random.default_rng(20)
-    labels = labels.where("id is not null and y is not null").groupBy("id").agg(F.avg("y").cast("double").alias("y"))
-    known = stats.join(labels.where(_fold("id") != 0), "id").select("id", "x", "y")
-    slot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
-    total = labels.where(_fold("id") != 0).count()
+    labels = labels.where("id is not null and y is not null").groupBy("id").agg(F.avg("y").cast("double").alias("y")).where(_fold("id") != 0)
+    rows = cut(stats.groupBy("id").agg(F.count("*").alias("k")).join(labels, "id"))
+    total = rows.agg(F.sum("k")).first()[0] or 0
     part = min(1.0, FIT_ROWS / max(total, 1))
-    known = cut(known.where(slot < int(part * 1_000_000)).coalesce(64))
-    sums = known.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
+    slot = F.pmod(F.xxhash64("id", "x", F.lit(1)), F.lit(1_000_000))
+    chosen = stats.where(slot < int(part * 1_000_000))
+    known = split_join(chosen, labels, ["id"], hot_keys(rows, ["id"], total)).groupBy("id", "x", "y").agg(F.count("*").alias("w"))
+    known = cut(known.coalesce(64))
+    places = known.select("w", F.posexplode("x").alias("k", "v")).groupBy("k")
+    means = places.agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m")).collect()
     model = Model(np.zeros(WIDTH), np.ones(WIDTH), rng.normal(size=(WIDTH, FEATURES)) / np.sqrt(WIDTH) * 0.7, rng.uniform(0, 2 * np.pi, FEATURES))
-    if not sums:
+    if not means:
         return model
-    for r in sums:
-        model.mean[r.k], model.scale[r.k] = r.m, max(r.s, 1e-6)
+    for r in means:
+        model.mean[r.k] = r.m
+    mean = F.get(F.array(*[F.lit(float(m)) for m in model.mean]), F.col("k"))
+    for r in places.agg(F.sqrt(F.sum(F.col("w") * (F.col("v") - mean) ** 2) / F.sum("w")).alias("s")).collect():
+        model.scale[r.k] = max(r.s, 1e-6)
     back = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)) == 0
     shared = spark.sparkContext.broadcast(model)
-    rows = known.where(~back).select("x", "y").mapInArrow(_sums(shared), "gram binary, target binary").collect()  # one of fixed size for each of 64 partitions at most
+    rows = known.where(~back).select("x", "y", "w").mapInArrow(_sums(shared), "gram binary, target binary").collect()  # one of fixed size for each of 64 partitions at most
     gram = sum((np.frombuffer(r.gram).reshape(FEATURES + 1, -1) for r in rows), np.zeros((FEATURES + 1, FEATURES + 1)))
     target = sum((np.frombuffer(r.target) for r in rows), np.zeros(FEATURES + 1))
     penalty = RIDGE * np.eye(FEATURES + 1) / FEATURES
     penalty[-1, -1] = 0
     model.weights = np.linalg.lstsq(gram + penalty, target, rcond=None)[0]
     shared = spark.sparkContext.broadcast(model)
-    raw = known.where(back).select("id", "x").mapInArrow(_scores(shared, True), "id long, score double")
+    raw = known.where(back).select("y", "x", "w").mapInArrow(_raw_scores(shared), "score double, y double, w long")
     cell = F.floor((F.col("score") + 1) / 3 * BINS)
-    cells = raw.join(known.select("id", "y"), "id").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy("cell").collect()
+    cells = raw.groupBy(cell.alias("cell")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("y")).orderBy("cell").collect()
     if not cells:
         return model
     n = np.array([r.n for r in cells], float)
@@ -205,7 +217,7 @@ def quality_scores(
     stats = cut(docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body")).mapInArrow(_stats, "id long, x array<double>"))
     model = fit(stats, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")))
     shared = spark.sparkContext.broadcast(model)
-    scored = stats.mapInArrow(_scores(shared, False), "id long, score double")
+    scored = stats.mapInArrow(_scores(shared), "id long, score double")
     return scored.select("id", F.coalesce(_fold("id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
