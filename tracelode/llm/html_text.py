@@ -56,20 +56,24 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Tags that an opening tag of the same group closes.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Parts of class and id names that tell what a container is for.
+#: Words of class and id names that tell what a container is for; a name is split at dashes, underscores and capitals.
 _NAMES = {
-    "ad": r"^ads?$|advert|sponsor|promo|banner|^ad[-_]|[-_]ads?$|doubleclick",
-    "menu": r"nav|menu|breadcrumb|pagination|pager|toolbar|tabs?$",
-    "side": r"side|aside|widget|rail|related|recommend|popular|trending|teaser",
-    "comment": r"comment|discuss|disqus|repl(?:y|ies)|respond|reader",
-    "notice": r"cookie|consent|notice|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall",
-    "foot": r"foot|copyright|legal|credits",
-    "head": r"masthead|site-?head|^header|topbar|logo",
-    "share": r"share|social|follow",
-    "form": r"form|search|login",
-    "main": r"article|content|post|entry|story|main|body|text",
+    "ad": r"ads?|advert\w*|adsense|ad(?:box|unit|slot|banner|block|wrap\w*)|sponsor\w*|promo\w*|banners?|doubleclick",
+    "menu": r"nav(?:bar|igation|menu|list|links)?|\w{0,8}(?:nav|menu)|menu\w*|breadcrumbs?|paginat\w+|pager|toolbar|tabs?",
+    "side": r"side(?:bar\w*|nav|column|panel)?|aside|widgets?|rail|related\w*|recommend\w*|popular|trending|teasers?",
+    "comment": r"comment(?:s|list|ary|author|form|body|text|area|section)?|discussions?|discuss|disqus|repl(?:y|ies)|responds?|responses?|reader(?:s|comments?)?",
+    "notice": r"cookie\w*|consent|notices?|gdpr|alerts?|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w+|signup|paywall",
+    "foot": r"footer\w*|foot(?:notes|bar)?|sitefooter|copyright|legal|credits|colophon",
+    "head": r"masthead|siteheader|headers?|topbar|logo",
+    "share": r"shar(?:e|es|ing|ebar|er)|social\w*|follow",
+    "form": r"\w{0,8}form|search\w*|login",
+    "main": r"article\w*|content\w*|\w{0,8}content|posts?|postbody|entry|story\w*|main\w*|body|text|prose",
 }
 _NAMED = {k: re.compile(v) for k, v in _NAMES.items()}
+#: A name that begins or ends so tells of a state or of what is elsewhere, not what the element is for.
+_STATE = re.compile(r"(?:no|not|has|have|with|without|is|js|hide|show)[-_]|.+[-_](?:open|opened|closed|ready|loaded|enabled|disabled|active|visible|on|off)$")
+_OF_ARTICLES = frozenset("article entry post story content".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TAGS = "article main section div p h1 h2 h3 li ul ol blockquote pre td table figure header footer nav aside form label fieldset dialog address dl".split()
 _FEATURES = [f"in:{t}" for t in _TAGS] + [f"own:{t}" for t in _TAGS] + [f"name:{n}" for n in _NAMES] + [f"own-name:{n}" for n in _NAMES]
 _FEATURES += [f"words<={n}" for n in (1, 3, 6, 12, 25, 50)] + ["words>50", "links<=0", "links<=.3", "links<=.8", "links>.8", "ends", "commas", "copyright", "in article or main", "bad tag", "bad name", "main name only", "bias"]
@@ -77,6 +81,8 @@ INDEX = {f: k for k, f in enumerate(_FEATURES)}
 _KNOWN = frozenset(_TAGS)
 _BAD_TAGS = frozenset("nav aside footer form label fieldset dialog".split())
 _BAD_NAMES = frozenset(_NAMES) - {"main"}
+_GOOD_NAMES = frozenset(("main",))
+_FORM_TAGS = frozenset("form fieldset label dialog aside nav".split())
 TRAINING_PAGES, STEPS = 500, 150
 
 
@@ -90,6 +96,44 @@ class Block:
     linked: int
 
 
+class _Holders:
+    """The elements that something is known of by tag or name, each under the nearest such element, with the text that they hold.
+
+    An element that holds half of the page's text or more, and a heading of the page or an article, is the page's frame: its names
+    and its form say nothing of what is in it. Nor do those of html and body.
+    """
+
+    def __init__(self) -> None:
+        self.above, self.tag, self.names, self.size, self.frame = [-1], [""], [_NONE], [0], [False]
+
+    def add(self, above: int, tag: str, names: frozenset[str]) -> int:
+        self.above.append(above)
+        self.tag.append(tag)
+        self.names.append(names)
+        self.size.append(0)
+        self.frame.append(tag in ("h1", "main") or (tag == "article" and "comment" not in names))
+        return len(self.above) - 1
+
+    def known(self) -> list[tuple[frozenset[str], frozenset[str], frozenset[str]]]:
+        """For each: tags from here upwards, names from here upwards, names of its own."""
+        for k in range(len(self.above) - 1, 0, -1):
+            self.size[self.above[k]] += self.size[k]
+            self.frame[self.above[k]] |= self.frame[k]
+        out, one = [(_NONE, _NONE, _NONE)], {}
+        for k in range(1, len(self.above)):
+            tags, names, _ = out[self.above[k]]
+            tag, own = self.tag[k], self.names[k]
+            if self.frame[k] and 2 * self.size[k] >= self.size[0]:
+                own = own & _GOOD_NAMES
+                tag = "" if tag in _FORM_TAGS else tag
+            elif tag == "form" and 5 * self.size[k] >= 4 * self.size[0]:  # around the whole page
+                own, tag = own - {"form"}, ""
+            tags = tags if tag in tags or tag not in _KNOWN else tags | {tag}
+            names = names if own <= names else names | own
+            out.append((one.setdefault(tags, tags), one.setdefault(names, names), own))
+        return out
+
+
 _NAME_CACHE: dict[str, frozenset[str]] = {}
 _NONE: frozenset[str] = frozenset()
 
@@ -99,8 +143,11 @@ def _named(attributes: str) -> frozenset[str]:
         return _NONE
     found = _NAME_CACHE.get(attributes)
     if found is None:
-        words = " ".join(a or b or c for a, b, c in _WORDS.findall(attributes)).lower().split()
-        found = frozenset(n for n, r in _NAMED.items() if any(r.search(w) for w in words))
+        names = " ".join(a or b or c for a, b, c in _WORDS.findall(attributes)).split()
+        words = [{w.lower() for w in _PARTS.findall(name)} for name in names if not _STATE.match(name.lower())]
+        # An article's own header holds its title.
+        own = set().union(*[w - {"header"} if w & _OF_ARTICLES else w for w in words])
+        found = frozenset(n for n, r in _NAMED.items() if any(r.fullmatch(w) for w in own))
         if len(_NAME_CACHE) > 50_000:
             _NAME_CACHE.clear()
         _NAME_CACHE[attributes] = found
@@ -213,14 +260,15 @@ def _held(found: list[tuple]) -> dict[int, int]:
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order."""
-    out: list[Block] = []
+    out: list[tuple[str, str, int, bool, int]] = []  # text, tag, holder, whether that is the element itself, linked
     found = tokens(page)
     held = _held(found) if any(kind == START and name in _HELD for kind, name, _ in found) else {}
-    # name, names of its own, known tags and names from here upwards, and the stack's height at which a link began
-    stack: list[tuple[str, frozenset[str], frozenset[str], frozenset[str]]] = []
-    top = ("", _NONE, _NONE, _NONE)
+    holders = _Holders()
+    stack: list[tuple[str, int, bool]] = []  # tag, holder, whether that is the element itself
+    top = ("", 0, False)
     open_: dict[str, int] = {}
     parts: list[str] = []
+    # the stack's height at which a link began
     linked, link_at, i = 0, -1, 0
 
     def flush() -> None:
@@ -229,13 +277,14 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append(Block(text, top[0], top[2], top[3], top[1], linked))
+                holders.size[top[1]] += len(text)
+                out.append((text, *top, linked))
         linked = 0
 
     def pop() -> None:
         nonlocal top, link_at
         open_[stack.pop()[0]] -= 1
-        top = stack[-1] if stack else ("", _NONE, _NONE, _NONE)
+        top = stack[-1] if stack else ("", 0, False)
         if link_at > len(stack):  # what the link began in has ended
             link_at = -1
 
@@ -267,13 +316,14 @@ def blocks(page: str) -> list[Block]:
                 if top[0] in _CLOSES.get(name, _NONE):
                     pop()
                 if not attributes.endswith("/"):
-                    own = _named(attributes)
-                    tags = top[2] if name in top[2] or name not in _KNOWN else top[2] | {name}
-                    top = (name, own, tags, top[3] if own <= top[3] else top[3] | own)
+                    names = _NONE if name in ("html", "body") else _named(attributes)
+                    known = bool(names) or name in _KNOWN
+                    top = (name, holders.add(top[1], name, names) if known else top[1], known)
                     stack.append(top)
                     open_[name] = open_.get(name, 0) + 1
     flush()
-    return out
+    known = holders.known()
+    return [Block(text, tag, known[k][0], known[k][1], known[k][2] if itself else _NONE, n) for text, tag, k, itself, n in out]
 
 
 @functools.lru_cache(maxsize=50_000)
@@ -303,6 +353,14 @@ def feature_ids(b: Block) -> list[int]:
     return [*_place_ids(b.own, b.tags, b.names, b.own_names), *(INDEX[x] for x in f)]
 
 
+# What pages say of themselves on their root, around all of a page, and on the article.
+_BODIES = ("", "", "", ' class="has-sidebar"', ' class="single no-sidebar comments-open"', ' id="reader"', ' class="home navigation-ready"', ' class="form-page search-enabled"')
+_FRAMES = (('<form id="aspnetForm" method="post" action="./"><div>', "</div></form>"), ('<div id="page" class="sidebar-right">', "</div>"), ('<div class="wrapper with-sidebar"><div class="inner">', "</div></div>"), ('<form id="f">', "</form>"))
+_ARTICLES = ("", "", ' class="post has-comments"', ' class="post-12 type-post format-standard comments-closed"', ' id="readerContent"')
+
+_HEADERS = ("", ' class="entry-header"', ' class="article-header"')
+
+
 def training_page(rng: random.Random) -> tuple[str, list[str]]:
     """A made-up page and the blocks of its main text."""
     word = lambda: "".join(rng.choice(("ba", "ko", "ti", "ren", "sol", "mu", "da", "vi", "est", "or")) for _ in range(rng.randint(1, 4)))
@@ -354,7 +412,9 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         return f"<aside{named('sidebar', 'box', 'note')}><p>{text}</p></aside>"
 
     head = rng.randrange(4)
-    page = [f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"]
+    page = [f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body{rng.choice(_BODIES)}>"]
+    framed = rng.randrange(12)
+    page.append(_FRAMES[framed][0] if framed < len(_FRAMES) else "")
     if head == 1:
         page.append(f"<header><h1>{words(1, 3)}</h1><p>{words(2, 8)}</p></header>")
     elif head == 2:
@@ -363,11 +423,12 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         page.append(listing(*rng.choice((("nav", ""), ("div", named("menu", "navbar", "nav", "breadcrumbs")), ("nav", named("menu"))))))
     page += [junk(False) for _ in range(rng.choice((0, 0, 1, 1, 2)))]
     wrap = rng.randrange(6)
-    opening, closing = [("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), (f'<div{named("content", "post", "entry-content", "article-body", "story")}>', "</div>"), ("<div><div>", "</div></div>"), ("<article>", "</article>")][wrap]
+    state = rng.choice(_ARTICLES)
+    opening, closing = [(f"<article{state}>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), (f'<div{named("content", "post", "entry-content", "article-body", "story")}>', "</div>"), ("<div><div>", "</div></div>"), ("<article>", "</article>")][wrap]
     page.append(opening)
     if rng.random() < 0.85:
         title = keep(rng.choice(("h1", "h1", "h2")), words(1, 9).capitalize())
-        page.append(f"<header>{title}</header>" if wrap in (0, 1) and rng.random() < 0.15 else title)
+        page.append(f"<header{rng.choice(_HEADERS)}>{title}</header>" if wrap in (0, 1) and rng.random() < 0.25 else title)
     closes = rng.random() < 0.8
     for _ in range(rng.choice((1, 2, 3, 4, 6, 10))):
         roll = rng.random()
@@ -392,6 +453,7 @@ def training_page(rng: random.Random) -> tuple[str, list[str]]:
         page.append(f"<footer>{rng.choice((words(2, 6), '© 2020 ' + words(1, 4), '<p>' + prose() + '</p>', listing('div', '')))}</footer>")
     elif foot == 2:
         page.append(f'<div{named("footer", "foot", "copyright")}>{words(2, 8)}</div>')
+    page.append(_FRAMES[framed][1] if framed < len(_FRAMES) else "")
     if rng.random() < 0.8:
         page.append("</body></html>")
     return "".join(page), main
