@@ -1,0 +1,154 @@
+"""Filter audit against every order run on the rows; clusters against whole-number comparison with every centroid; both on odd rows."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tracelode.llm import centroids, filter_audit
+
+SF = "/root/testdata/sf0.001"
+
+
+def _fails(rows):
+    """Of each (id, text, part): the set of filters that it fails."""
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    out = []
+    for i, t, _ in rows:
+        t = t or ""
+        words = re.findall("[^\x20\x09-\x0d]+", t)
+        checks = (len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), re.search("[#$%&*|]", t), i is not None and i > first[t])
+        out.append({k for k, bad in zip("ABCDE", checks, strict=True) if bad})
+    return out
+
+
+def _plain_audit(rows, labels):
+    good, toxic = ({i for i, *v in labels if v[k] == 1 and i is not None} for k in (0, 1))
+    parts, out = defaultdict(list), []
+    for row, own in zip(rows, _fails(rows), strict=True):
+        parts[row[2] or ""].append((row[0], own))
+    for part, docs in parts.items():
+        removed_in_all = defaultdict(int)
+        own_rows = []
+        for order in itertools.permutations("ABCDE"):
+            left = list(docs)
+            for step, k in enumerate(order, 1):
+                gone = [d for d in left if k in d[1]]
+                left = [d for d in left if k not in d[1]]
+                removed_in_all[k] += len(gone)
+                fails, alone = sum(k in d[1] for d in docs), sum(d[1] == {k} for d in docs)
+                own_rows.append((part, "".join(order), step, len(left), len(gone), fails - len(gone), alone, sum(d[0] in good for d in gone), sum(d[0] in toxic for d in gone)))
+        out += [(*r, removed_in_all[r[1][r[2] - 1]]) for r in own_rows]
+    return sorted(out)
+
+
+def _odd_rows(seed):
+    rng = random.Random(seed)
+    long = " ".join(f"w{k}" for k in range(60))
+    texts = [None, "", " \t\x0b", "a", "A", "é" * 19 + "A", "é" * 20 + "A", long, long + " A|", "a " * 60, long.upper(), "x" * 300_000, "w " * 100_000, "50%", " lead", "lead\xa0", "\x85"]
+    rows = [(rng.choice((None, *range(40))), rng.choice(texts), rng.choice((None, "", "p", "q"))) for _ in range(150)]
+    return [*rows, *[(5, long, "p")] * 30, *[(100 + k, long, "hot") for k in range(60)]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_audit_equals_running_every_order(spark, seed):
+    rng, rows = random.Random(seed), _odd_rows(seed)
+    labels = [(rng.choice((None, *range(130))), rng.choice((None, 0, 1, 2)), rng.choice((None, 0, 1))) for _ in range(120)]
+    docs = spark.createDataFrame([(*r, "x", 1, b"y", "z") for r in rows], "doc_id long, text string, source string, part string, mask int, digest binary, words string")
+    marks = spark.createDataFrame([(*r, 7) for r in labels], "doc_id long, quality int, toxic int, good int")
+    got = filter_audit.filter_audit(docs, marks)
+    assert got.columns == ["part", "filter_order", "step", *filter_audit._COUNTS]
+    assert sorted(map(tuple, got.collect())) == _plain_audit(rows, labels)
+    assert filter_audit.filter_audit(docs.limit(0), marks).count() == 0
+    assert {(r.good_lost, r.toxic_lost) for r in filter_audit.filter_audit(docs, marks.limit(0)).collect()} == {(0, 0)}
+
+
+def test_polynomial_of_random_masks():
+    rng = random.Random(4)
+    for n in (1, 2, 3, 5):
+        counts = [rng.choice((0, 0, 1, 5, 10**12)) for _ in range(1 << n)]
+        polynomial = filter_audit.removal_polynomial(counts)
+        assert filter_audit.corners(polynomial) == [sum(c for m, c in enumerate(counts) if m & s) for s in range(1 << n)]
+        # At any point, the expected number of removed documents.
+        x = [Fraction(rng.randint(0, 7), 7) for _ in range(n)]
+        value = sum(a * math.prod([x[k] for k in range(n) if m >> k & 1]) for m, a in enumerate(polynomial))
+        assert value == sum(c * (1 - math.prod([1 - x[k] for k in range(n) if m >> k & 1])) for m, c in enumerate(counts))
+        whole = sum(filter_audit.shapley(polynomial, 1 << k) for k in range(n))
+        assert whole == sum(counts[1:])
+
+
+def _plain_clusters(rows, k, rounds, scale, width):
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == width and all(x is not None and math.isfinite(x) and abs(x) < centroids.LIMIT for x in v):
+            kept.append((i, tuple(math.floor(scale * float(x)) for x in v)))
+    start = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest(), q) for i, q in kept if i is not None)[:k]
+    c = [list(q) for _, q in start]
+    place = lambda q: min((sum((a - b) ** 2 for a, b in zip(q, own, strict=True)), n) for n, own in enumerate(c))
+    for _ in range(rounds):
+        of = [place(q)[1] for _, q in kept]
+        for n in set(of):
+            own = [q for (_, q), o in zip(kept, of, strict=True) if o == n]
+            c[n] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    found = [(i, *place(q)) for i, q in kept] if c else []
+    inertia = defaultdict(int)
+    for _, d, n in found:
+        inertia[n] += d
+    return sorted(((i, n, d, inertia[n], sum(inertia.values()), tuple(c[n])) for i, d, n in found), key=repr)
+
+
+@pytest.mark.parametrize(("seed", "width", "spread"), [(1, 3, 1), (2, 2, 40), (3, 5, 100_000), (4, 8, 3)])
+def test_clusters_equal_whole_number_comparison(spark, seed, width, spread):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(6, width)) * 5 * spread
+    rows = [(int(i), (middle[i % 6] + rng.normal(size=width) * spread).tolist()) for i in range(600)]
+    if spread == 1:  # many ties: few different vectors
+        rows = [(i, [float(round(x)) for x in v]) for i, v in rows]
+    same = [0.1 * spread] * width
+    odd = [None, [], [1.0] * (width - 1), [1.0] * (width + 1), [None, *[1.0] * (width - 1)], [math.nan] * width, [math.inf, *[0.0] * (width - 1)], [1e30, *[0.0] * (width - 1)], [-0.01] * width]
+    rows += [(5, v) for v in odd] + [(None, same)] * 3 + [(7, same)] * 300 + [(1000 + i, same) for i in range(300)]
+    d = spark.createDataFrame([(i, v, "x", 1, "y") for i, v in rows], "vec_id long, embedding array<double>, id string, v int, cluster string").repartition(3)
+    got = centroids.centroid_clusters(d, k=7, width=width)
+    assert sorted(((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, tuple(r.centroid)) for r in got.collect()), key=repr) == _plain_clusters(rows, 7, 3, 64, width)
+    assert centroids.centroid_clusters(d.limit(0), width=width).count() == 0
+
+
+def test_fewer_vectors_than_centroids(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.5, -3.0]), (None, [9.0, 9.0])]
+    got = centroids.centroid_clusters(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=16, width=2)
+    assert sorted(((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, tuple(r.centroid)) for r in got.collect()), key=repr) == _plain_clusters(rows, 16, 3, 64, 2)
+    nobody = spark.createDataFrame([(None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert centroids.centroid_clusters(nobody, width=2).count() == 0
+
+
+def test_balls_hold_their_vectors_and_filter():
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.integers(-3, 4, (900, 6)) + 400 * k for k in range(4)] + [np.full((500, 6), 7)]).astype(np.int32)
+    rng.shuffle(x)
+    tree, order = centroids.build(x)
+    assert sorted(order.tolist()) == list(range(len(x))) and (tree.x == x[order]).all()
+    for k in range(len(tree.begin)):
+        own = tree.x[tree.begin[k] : tree.end[k]]
+        assert (tree.sums[k] == own.sum(axis=0)).all()
+        assert np.sqrt(((own - own.mean(axis=0)) ** 2).sum(axis=1)).max() <= tree.radius[k] * (1 + 1e-9) + 1e-9
+        if tree.left[k] < 0:
+            assert len(own) <= centroids.LEAF_ROWS or (own == own[0]).all()
+    c = np.array([[400 * k] * 6 for k in range(4)] + [[7] * 6])
+    whole, single = centroids.assign(tree, c)
+    got = np.full(len(x), -1)
+    for node, own in whole:
+        got[tree.begin[node] : tree.end[node]] = own
+    compared = sum(len(rows) for rows, _ in single)
+    for rows, own in single:
+        got[rows] = own
+    assert (got == ((tree.x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert compared < len(x) / 2
