@@ -276,8 +276,8 @@ class Codec:
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""
         def piece(t: Column, i: Column) -> Column:
-            end = F.coalesce(F.when(i >= 0, F.get(t["starts"], i + 1)), F.raise_error(F.lit("an id outside the vocabulary")).cast("int"))
-            begin = F.get(t["starts"], i)
+            known = lambda c: F.coalesce(c, F.raise_error(F.lit("an id outside the vocabulary")).cast("int"))
+            begin, end = known(F.get(t["starts"], i)), known(F.get(t["starts"], i + 1))
             return F.substring(t["blob"], begin + 1, end - begin).cast("string")
 
         # Strings are joined byte by byte, so pieces needn't be whole characters.
