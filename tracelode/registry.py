@@ -17,8 +17,9 @@ from .functions import canonical, rules, templates
 from .functions import text as T
 from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
 from .plans.lineage import python_path, shared_dir
-from .sources import traces
+from .sources import recordings, traces
 from .streaming import replay as stream
+from .streaming import session, tail
 
 ORDER = ["ts", "event_id"]
 KINDS = ["signup", "view", "purchase", "error", "click"]
@@ -500,22 +501,39 @@ def _requests(spark, d):
     return requests, answers
 
 
-@_query("""SELECT conv_id AS rec, turn AS req, turn AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'cursor' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
+# Histories as text for SQL: what comes before each message, with each conversation's second message changed where it is asked for.
+_HISTORY = f"string_agg({_LINE}, chr(30)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ANSWERS = f"SELECT * FROM (SELECT conv_id AS rec, turn AS seq, coalesce({_HISTORY}, '') AS hash, role FROM conversations) WHERE role = 'assistant'"
+_ASKED = f"SELECT * FROM (SELECT conv_id AS rec, turn AS req, coalesce({_HISTORY}, '') AS hash, role FROM (SELECT * REPLACE (CASE WHEN turn = 1 AND conv_id % 2 = 1 THEN text || '!' ELSE text END AS text) FROM conversations)) WHERE role = 'assistant'"
+
+
+def _consumed(answers: str, asked: str, keys: str = "rec", fall_back: bool = True) -> str:
+    """SQL that serves requests (keys, req, hash) one after the other from answers (keys, seq, hash), each used once: keys, req, via, seq."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    nxt = "x.nxt" if fall_back else "NULL::BIGINT"
+    return f"""WITH RECURSIVE a AS MATERIALIZED ({answers}), q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY req) AS nth FROM ({asked})),
+step AS (
+  SELECT {keys}, 0::BIGINT AS nth, [-1::BIGINT] AS used, NULL::BIGINT AS seq, '' AS via, NULL::BIGINT AS req FROM (SELECT DISTINCT {keys} FROM q)
+  UNION ALL
+  SELECT {", ".join(f"q.{k}" for k in keys.split(", "))}, q.nth, list_append(s.used, coalesce(x.own, {nxt}, -1)), coalesce(x.own, {nxt}), CASE WHEN x.own IS NOT NULL THEN 'hash' WHEN {nxt} IS NOT NULL THEN 'cursor' ELSE 'miss' END, q.req
+  FROM step s JOIN q ON {same("q", "s")} AND q.nth = s.nth + 1,
+  LATERAL (SELECT min(a.seq) FILTER (a.hash = q.hash) AS own, min(a.seq) AS nxt FROM a WHERE {same("a", "q")} AND NOT list_contains(s.used, a.seq)) x)
+SELECT {keys}, req, via, seq FROM step WHERE nth > 0"""
+
+
+_SERVE = _consumed(f"SELECT rec, seq, md5(hash) AS hash FROM ({_ANSWERS})", f"SELECT rec, req, md5(hash) AS hash FROM ({_ASKED})")
+
+
+@_query(_SERVE)
 def replay_serve(spark, d):
     return replay.replay(*_requests(spark, d))
 
 
-@_query("""SELECT conv_id AS rec, turn AS req, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN NULL ELSE turn END AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'miss' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
+@_query(_consumed(f"SELECT rec, seq, md5(hash) AS hash FROM ({_ANSWERS})", f"SELECT rec, req, md5(hash) AS hash FROM ({_ASKED})", fall_back=False))
 def replay_fork(spark, d):
     return replay.replay(*_requests(spark, d), fall_back=False)
 
 
-# Histories as text for SQL: what comes before each message, with each conversation's second message changed where it is asked for.
-_HISTORY = f"string_agg({_LINE}, chr(30)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_ANSWERS = f"SELECT * FROM (SELECT conv_id AS rec, turn AS seq, coalesce({_HISTORY}, '') AS hash, role FROM conversations) WHERE role = 'assistant'"
-_ASKED = f"SELECT * FROM (SELECT conv_id AS rec, turn AS req, coalesce({_HISTORY}, '') AS hash, role FROM (SELECT * REPLACE (CASE WHEN turn = 1 AND conv_id % 2 = 1 THEN text || '!' ELSE text END AS text) FROM conversations)) WHERE role = 'assistant'"
-
-
 @_query(f"WITH a AS ({_ANSWERS}), r AS ({_ASKED}) SELECT r.rec, req, min(a.seq) AS seq FROM r LEFT JOIN a ON a.rec = r.rec AND a.hash = r.hash GROUP BY 1, 2")
 def look_up(spark, d):
     """The answer that the recording has for each request's history, without using it up."""
@@ -541,14 +559,10 @@ def results_by_id(spark, d):
     return lookup.results_by_id(e.where("event_type = 'click'").withColumnRenamed("seq", "req"), e.where("event_type = 'view'"))
 
 
-@_query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS rec, event_type AS tool, event_id AS id, props AS hash FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY rec, tool ORDER BY id) AS nth FROM e WHERE id % 2 = 0),
-step AS (
-  SELECT rec, tool, 0::BIGINT AS nth, [-1::BIGINT] AS used, NULL::BIGINT AS seq, '' AS via, NULL::BIGINT AS req FROM (SELECT DISTINCT rec, tool FROM q)
-  UNION ALL
-  SELECT q.rec, q.tool, q.nth, list_append(s.used, coalesce(x.own, x.nxt, -1)), coalesce(x.own, x.nxt), CASE WHEN x.own IS NOT NULL THEN 'hash' WHEN x.nxt IS NOT NULL THEN 'cursor' ELSE 'miss' END, q.id
-  FROM step s JOIN q ON q.rec = s.rec AND q.tool = s.tool AND q.nth = s.nth + 1,
-  LATERAL (SELECT min(a.id) FILTER (a.hash = q.hash) AS own, min(a.id) AS nxt FROM e a WHERE a.id % 2 = 1 AND a.rec = q.rec AND a.tool = q.tool AND NOT list_contains(s.used, a.id)) x)
-SELECT rec, tool, req, via, seq FROM step WHERE nth > 0""")
+_EVENT_RESULTS = ("SELECT user_id AS rec, event_type AS tool, event_id AS seq, props AS hash FROM events WHERE event_id % 2 = 1", "SELECT user_id AS rec, event_type AS tool, event_id AS req, props AS hash FROM events WHERE event_id % 2 = 0")
+
+
+@_query(_consumed(*_EVENT_RESULTS, keys="rec, tool"))
 def tool_results(spark, d):
     """Even events ask for results of their kind, odd ones are the results, by the hash of what they carry: each used once, in order."""
     e = _t(spark, d, "events").select(F.col("user_id").alias("rec"), F.col("event_type").alias("tool"), F.col("event_id").alias("id"), F.col("props").alias("hash"))
@@ -596,7 +610,7 @@ def verified(spark, d):
     return lookup.verified(_requests(spark, d)[1])
 
 
-@_query("""SELECT conv_id AS rec, turn AS req, turn AS seq, CASE WHEN conv_id % 2 = 1 AND turn > 1 THEN 'cursor' ELSE 'hash' END AS via FROM conversations WHERE role = 'assistant'""")
+@_query(_SERVE)
 def stream_replay(spark, d):
     """The requests of replay_serve as a stream of files, served statefully; the rows that the stream has written."""
     requests, answers = _requests(spark, d)
@@ -608,6 +622,85 @@ def stream_replay(spark, d):
     return spark.read.schema(served.schema).parquet(f"{at}/out")
 
 
+def _streamed(spark, frames: list[DataFrame], serve_: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of files makes of frames, one after the other, each by a query that begins where the one before ended."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for frame in frames:
+        frame.write.mode("append").parquet(f"{at}/in")
+        served = serve_(spark.readStream.schema(frame.schema).parquet(f"{at}/in"))
+        out = served.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        out.outputMode("append").start().awaitTermination()
+    return spark.read.schema(served.schema).parquet(f"{at}/out")
+
+
+_RESULTS_BY_ID = """SELECT q.rec, q.req, CASE WHEN r.seq IS NULL THEN 'miss' ELSE 'id' END AS via, r.seq FROM (SELECT user_id AS rec, 1000000000 + event_id AS req, props AS id, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS nth FROM events WHERE event_type = 'click') q
+LEFT JOIN (SELECT user_id AS rec, event_id AS seq, props AS id, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS nth FROM events WHERE event_id % 2 = 1) r USING (rec, id, nth)"""
+
+
+@_query(f"""SELECT 'result' AS kind, rec, req, via, seq, CASE WHEN seq IS NOT NULL THEN 'got ' || seq END AS text FROM ({_consumed(*_EVENT_RESULTS, keys="rec, tool")})
+UNION ALL SELECT 'result_id', rec, req, via, seq, CASE WHEN seq % 2 = 1 AND k.props = '{{"k": 7}}' THEN 'new' WHEN seq IS NOT NULL THEN 'got ' || seq END FROM ({_RESULTS_BY_ID}) b LEFT JOIN (SELECT event_id, props FROM events) k ON k.event_id = b.seq
+UNION ALL SELECT 'compaction', user_id, 2000000000, CASE WHEN user_id % 2 = 0 AND count(*) FILTER (event_id % 2 = 1) > 0 THEN 'compaction' ELSE 'miss' END, CASE WHEN user_id % 2 = 0 AND count(*) FILTER (event_id % 2 = 1) > 0 THEN 0 END, NULL FROM events GROUP BY user_id""")
+def session_stream(spark, d):
+    """Sessions of users as a stream with a restart: even events ask for results of their kind, odd ones are the results; then clicks ask by id, after an override of one id; then each asks for a compaction, which even users have after no answer, odd ones after one."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("rec"), "event_id", F.col("event_type").alias("tool"), F.col("props").alias("key"))
+    results = e.where("event_id % 2 = 1").select("rec", F.col("event_id").alias("seq"), "tool", F.col("key").alias("hash"), F.col("key").alias("call_id"), F.concat(F.lit("got "), F.col("event_id").cast("string")).alias("text"))
+    users = e.select("rec").distinct()
+    points = results.select("rec").distinct().select("rec", F.lit(0).alias("nth"), (F.col("rec") % 2).alias("answers_before"))
+    first = session.requests(e.where("event_id % 2 = 0").withColumnRenamed("event_id", "req"), "result")
+    ids = session.requests(e.where("tool = 'click'").withColumn("req", F.col("event_id") + 1_000_000_000), "result_id")
+    changed = session.requests(users.select("rec", F.lit(999_999_999).alias("req"), F.lit('{"k": 7}').alias("key"), F.lit("new").alias("text")), "override")
+    asked = session.requests(users.withColumn("req", F.lit(2_000_000_000)), "compaction")
+    known = session.recorded(results=results, compactions=points)
+    got = _streamed(spark, [first, changed.unionByName(ids).unionByName(asked)], lambda q: session.serve_sessions(q, known))
+    return got.select("kind", "rec", "req", "via", "seq", "text")
+
+
+@_query("""WITH o AS (SELECT o_custkey AS rec, o_orderkey AS req, o_orderkey % 100 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders),
+u AS (SELECT *, coalesce(sum(CASE WHEN nth > 3 THEN n END) OVER (PARTITION BY rec ORDER BY req ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM o)
+SELECT rec, req, CASE WHEN nth < 3 THEN 'refused' WHEN nth = 3 THEN 'id' WHEN used >= 150 THEN 'spent' ELSE 'live' END AS via, CASE WHEN nth = 3 THEN 'REPLACED' END AS text FROM u""")
+def fork_stream(spark, d):
+    """Orders as requests of a customer's fork, none of them recorded: refused until the third, which asks for the result that the fork replaces, then live within a budget of 150."""
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("rec"), F.col("o_orderkey").alias("req"), (F.col("o_orderkey") % 100).alias("n"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("nth"))
+    users = o.select("rec").distinct()
+    known = session.recorded(results=users.select("rec", F.lit(0).alias("seq"), F.lit("t").alias("tool"), F.lit("h").alias("hash"), F.lit("call").alias("call_id"), F.lit("recorded").alias("text")))
+    begun = session.requests(users.select("rec", F.lit(-2).alias("req"), F.lit("call").alias("key"), F.lit("REPLACED").alias("text")), "override")
+    begun = begun.unionByName(session.requests(users.select("rec", F.lit(-1).alias("req"), F.lit(150).alias("n")), "budget"))
+    asked = session.requests(o.where("nth <> 3").withColumn("key", F.lit("diverged")), "answer").unionByName(session.requests(o.where("nth = 3").withColumn("key", F.lit("call")), "result_id"))
+    half = F.col("req") < F.lit(1 << 20)
+    got = _streamed(spark, [begun, asked.where(half), asked.where(~half)], lambda q: session.serve_sessions(q, known, fork=True))
+    return got.select("rec", "req", "via", "text")
+
+
+@_query("""SELECT conv_id // 50 AS rec, count(*) AS entries, sum(length(coalesce(text, '')))::BIGINT AS chars, count(DISTINCT conv_id) AS conversations FROM conversations WHERE conv_id // 50 % 3 = 1 GROUP BY 1""")
+def recording_files(spark, d):
+    """Fifty conversations each as recordings, written by the data source and read back with a filter on a header field that it pushes."""
+    c = _t(spark, d, "conversations").withColumn("rec", F.floor(F.col("conv_id") / 50))
+    entry = F.to_json(F.struct("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")))
+    seq = F.row_number().over(Window.partitionBy("rec").orderBy("conv_id", "turn"))
+    rows = c.select(F.col("rec").cast("string").alias("path"), F.concat(F.lit("group "), (F.col("rec") % 3).cast("string")).alias("name"), seq.alias("seq"), entry.alias("entry"))
+    at = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    recordings.write_recordings(rows, at)
+    e = recordings.read_recordings_table(spark, at).where("name = 'group 1'").withColumn("e", F.parse_json("entry"))
+    got = lambda k, t: F.try_variant_get("e", f"$.{k}", t)
+    found = e.select(F.regexp_extract("path", r"(-?\d+)\.rec$", 1).cast("long").alias("rec"), got("conv_id", "long").alias("conv_id"), F.length(got("text", "string")).alias("n"))
+    return found.groupBy("rec").agg(F.count("*").alias("entries"), F.sum("n").cast("long").alias("chars"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@_query("""SELECT conv_id AS rec, turn::VARCHAR AS id, role, md5(coalesce(text, '')) AS digest FROM conversations""")
+def growing_traces(spark, d):
+    """Conversations as trace files that come in two lots, read as a stream that is stopped between them."""
+    c = _t(spark, d, "conversations")
+    value = F.to_json(F.struct(F.lit("message").alias("type"), F.col("turn").cast("string").alias("id"), F.col("conv_id").alias("rec"), _said(F.col("role"), F.coalesce("text", F.lit(""))).alias("message")))
+    at = f"{shared_dir(spark)}/growing-{uuid.uuid4().hex}"
+    for lot in (0, 1):
+        c.where(F.pmod("turn", F.lit(2)) == lot).select(value.alias("value")).write.mode("append").text(f"{at}/in")
+        lines = tail.stream_entries(spark, f"{at}/in", suffix=".txt").where("fault is null")
+        said = lines.select(F.try_variant_get("raw", "$.rec", "long").alias("rec"), "id", "role", F.md5(F.try_variant_get("raw", "$.message.content", "string")).alias("digest"))
+        out = said.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        out.outputMode("append").start().awaitTermination()
+    return spark.read.schema(said.schema).parquet(f"{at}/out")
+
+
 @_query("""SELECT event_id, event_type IN ('view', 'click') AND coalesce(max((event_type NOT IN ('view', 'click'))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
 AND row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS reconnects FROM events""")
 def reconnect_horizon(spark, d):

@@ -17,10 +17,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import python_path
+from ..plans.lineage import cut, python_path
+from ..plans.spread import hot_keys, split_join
 
 MAGIC_GZIP = b"\x1f\x8b"
 VERSION = 1
+#: Splits or files of which a table is broadcast (some 100 bytes each); beyond, it is joined by a shuffle.
+MOST_FILES = 100_000
 
 
 class TraceFormatError(ValueError):
@@ -32,10 +35,35 @@ def _got(path: str, kind: str = "string") -> Column:
 
 
 def trace_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """trace (file), line (from 1), value, raw. Whole files are read, so that lines keep their numbers."""
-    text = spark.read.text(paths, wholetext=True).withColumn("trace", F.input_file_name())
-    lines = text.select("trace", F.posexplode(F.split("value", "\n")).alias("k", "value")).where(F.trim("value") != "")
-    return lines.select("trace", (F.col("k") + 1).alias("line"), "value", F.try_parse_json("value").alias("raw"))
+    """trace (file), line (from 1), value, raw. Files are split, so one of any size is read by many tasks.
+
+    Lines are numbered without moving them: a split counts its lines, a table of a row for each split sums up those before it,
+    and a line's place within its split is told by the order in which its task reads. The files are listed once, so
+    both passes see the same splits.
+    """
+    return _numbered(spark, paths)[0].where(F.trim("value") != "").withColumn("raw", F.try_parse_json("value"))
+
+
+def _numbered(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines (trace, line, value), and files (trace, lines, header: the line of the first session entry)."""
+    d = spark.read.option("lineSep", "\n").text(paths)
+    d = d.select(F.col("_metadata.file_path").alias("trace"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    kind = F.try_variant_get(F.try_parse_json("value"), "$.type", "string")
+    splits = d.groupBy("trace", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min(F.when(kind == "session", F.col("place"))).alias("header"))
+    splits = cut(splits)
+    before = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
+    files = splits.groupBy("trace").agg(F.sum("n").alias("lines"), F.min(F.col("header") - F.col("first") + F.col("start")).alias("header"))
+    keys = ["trace", "block"]
+    lines = _beside(d, splits.select(*keys, "first", "start", "n"), keys, "n")
+    return lines.select("trace", (F.col("place") - F.col("first") + F.col("start")).cast("int").alias("line"), "value"), files
+
+
+def _beside(rows: DataFrame, few: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with few (one row a key, and how many rows it has): broadcast where few are few enough, else by a join that splits hot keys."""
+    if few.limit(MOST_FILES + 1).count() <= MOST_FILES:
+        return rows.join(F.broadcast(few), keys)
+    return split_join(rows, few, keys, hot_keys(few, keys, few.agg(F.sum(count)).first()[0], count))
 
 
 def read_entries(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
@@ -45,12 +73,11 @@ def read_entries(spark: SparkSession, paths: str | list[str], strict: bool = Tru
     become 'unknown', null and ''. A repeated id: the last row of it counts. Strictly read, bad JSON,
     a line that is no object, an entry without id and a file without header raise; else they are left out.
     """
-    d = trace_lines(spark, paths)
+    d, files = _numbered(spark, paths)
+    d = d.where(F.trim("value") != "").withColumn("raw", F.try_parse_json("value"))
     is_object = F.substring(F.ltrim("value"), 1, 1) == "{"
     d = d.withColumn("type", F.coalesce(_got("$.type"), F.lit("unknown"))).withColumn("id", _got("$.id"))
-    w = Window.partitionBy("trace")
-    header = F.min(F.when(F.col("type") == "session", F.col("line"))).over(w)
-    d = d.withColumn("header", header).where(F.col("header").isNull() | (F.col("line") != F.col("header")))
+    d = _beside(d, files, ["trace"], "lines").where(F.col("header").isNull() | (F.col("line") != F.col("header")))
     fault = F.when(F.col("raw").isNull(), "invalid JSON").when(~is_object, "not an object").when(F.col("id").isNull(), "entry without id").when(F.col("header").isNull(), "no session header")
     if strict:
         told = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), fault)
