@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode.functions import checks
 from tracelode.operators import carry_out as C
 from tracelode.operators import record as R
+from tracelode.operators import stats
 from tracelode.sources import traces
 
 
@@ -19,7 +21,7 @@ def session(tmp_path):
         {"id": "s", "parentId": None, **message("system", "be good")},
         {"id": "u", "parentId": "s", **message("user", [{"type": "text", "text": "go token=abcdefghijklmn1234"}])},
         {"id": "a", "parentId": "u", **message("assistant", [{"type": "thinking", "thinking": "hm"}, {"type": "toolCall", "id": "c", "name": "read", "arguments": {}}], model="m", usage={"input": 3, "output": 2, "totalTokens": 5, "cost": {"total": 0.5}})},
-        {"id": "t", "parentId": "a", **message("toolResult", [{"type": "text", "text": "x" * 3000}], isError=True, details={"k": 1})},
+        {"id": "t", "parentId": "a", **message("toolResult", [{"type": "text", "text": "x" * 5000}], isError=True, details={"k": 1})},
         {"id": "old", "parentId": "t", **message("assistant", "no")},
         {"id": "new", "parentId": "t", **message("assistant", "yes")},
         {"id": "l", "parentId": "new", "type": "label", "label": "done"},
@@ -92,3 +94,36 @@ def test_check_conditions(spark):
     p = spark.createDataFrame([("/w/a", False), ("/d", True), ("/me/h", False)], "path string, is_dir boolean")
     got = {(r.kind, r.target): r.status for r in C.check_conditions(c, p, "/w", "/me").collect()}
     assert got == {("file", "./a"): "met", ("dir", "a"): "unmet", ("dir", "/d"): "met", ("file", "{{x}}"): "unverifiable", ("image", "i"): "unverifiable", ("file", "~/h"): "met"}
+
+
+def test_outcome_and_id_of_a_recording(spark, tmp_path):
+    call = lambda k, command: {"id": f"a{k}", **message("assistant", [{"type": "toolCall", "id": f"c{k}", "name": "bash", "arguments": {"command": command}}])}
+    result = lambda k, bad: {"id": f"t{k}", **message("toolResult", [], toolCallId=f"c{k}", isError=bad)}
+    runs = {
+        "fixed": ([("npm test", True), ("edit x", False), ("npm test", False)], "success"),
+        "broken": ([("npm run build", False), ("cargo test --all", True), ("ls", False)], "failed"),
+        "got over": ([("mvn clean", True), ("npm run dev", False)], "unknown"),
+        "last bad": ([("ls", False), ("npm run dev", True)], "failed"),
+        "quiet": ([("ls", False)], "unknown"),
+        "secret": ([("make TOKEN=abcdefgh12345678", True)], "failed"),
+    }
+    rows, ids = [], set()
+    for name, (steps, want) in runs.items():
+        entries = [x for k, (command, bad) in enumerate(steps) for x in (call(k, command), result(k, bad))]
+        body = traces.unpack(R.recording(entries, {}))
+        assert body["outcome"]["status"] == want and "abcdefgh12345678" not in json.dumps(body["outcome"]), name
+        assert body["id"] == traces.unpack(R.recording(json.loads(json.dumps(entries)), {"x": 1}))["id"]
+        ids.add(body["id"])
+        rows += [(name, k, command, bad) for k, (command, bad) in enumerate(steps)]
+    assert len(ids) == len(runs)
+    d = spark.createDataFrame(rows, "run string, seq long, command string, bad boolean")
+    got = stats.outcomes(d, ["run"], ["seq"], F.col("bad"), checks.checks(F.col("command")), F.col("bad"))
+    assert {r.run: r.status for r in got.collect()} == {name: want for name, (_, want) in runs.items()}
+
+
+def test_what_checks_is_told_by_words(spark):
+    good = ["npm test", " yarn  run lint", "bun run verify --x", "jest", "vitest run", "ctest -V", "rspec", "go vet ./...", "cargo check", "make", "make all", "tsc --noEmit", "./gradlew build", "mvn verify", "dotnet test"]
+    bad = ["npm run dev", "npm run build:prod", "npm", "npm run", "mvn clean", "gradle run", "cargo clippy", "cargo", "dotnet build", "makefile", "python -m pytest", "", "echo npm test", "go"]
+    d = spark.createDataFrame([(c, True) for c in good] + [(c, False) for c in bad] + [(None, False)], "c string, want boolean")
+    assert d.where(checks.checks(F.col("c")) != F.col("want")).count() == 0
+    assert all(map(checks.is_check, good)) and not any(map(checks.is_check, bad))

@@ -23,6 +23,10 @@ SOURCES = "ts tsx js jsx mjs cjs vue svelte json md py go rs java kt rb sh yml y
 SHAPE = StructType([StructField("key", StringType()), StructField("verb", StringType()), StructField("noise", BooleanType()), StructField("values", ArrayType(StringType()))])
 #: An output redirection of the shell's grammar: a number or & for both streams, the operator, and its word, which may be the next token.
 _REDIRECTION = re.compile(r"(?:\d+|&)?(?:>>|>\||>&|>)(?P<word>.*)", re.S)
+#: Names of packages as registries have them, after the sign of a scope; what may stand behind a name's @: a version, a tag, or a range with its operators.
+_PACKAGE, _RANGE = r"@?[\w.-]+", r"[\w.^~<>=*-]+"
+#: Semantic versions, shortened to two numbers too: numbers, then what is before the release or of the build.
+_VERSION = r"v?\d+(?:\.\d+){1,2}(?:[-+.][\w.]+)?"
 #: What a token may be, as a whole, and what stays of it; the first that fits. Anything else stays as it is.
 _TOKENS = [
     (re.compile(pattern, re.S | re.A), stays)
@@ -30,8 +34,8 @@ _TOKENS = [
         (r".*\$(?:[A-Za-z_]|\{[A-Za-z_]).*", ()),  # a variable in it
         (r"/.*", ()),  # a path from the root
         (r"(?P<folder>.*/)(?:\.*[^/.][^/]*(?P<suffix>\.[^/.]*)|[^/]*)", ("folder", "", "suffix")),  # a path
-        (r"(?P<name>@?[\w.-]+@)[\w.^~<>=*-]+", ("name", "")),  # a package and its version
-        (r"v?\d+(?:\.\d+){1,2}(?:[-+.][\w.]+)?|\d{4,}", ()),  # a version or a long number
+        (rf"(?P<name>{_PACKAGE}@){_RANGE}", ("name", "")),  # a package and its version
+        (rf"{_VERSION}|\d{{4,}}", ()),  # a version or a long number
         (rf"\.*[^.].*(?P<suffix>\.(?:{'|'.join(SOURCES)}))", ("", "suffix")),  # a source file
     )
 ]

@@ -10,17 +10,37 @@ ISSUERS = [
     ("sk-", "A-Za-z0-9_-", 16),
     ("sk_live_", "A-Za-z0-9", 16),
     ("sk_test_", "A-Za-z0-9", 16),
-    ("gh[opsur]_", "A-Za-z0-9", 20),
+    ("ghp_", "A-Za-z0-9", 20),
+    ("gho_", "A-Za-z0-9", 20),
+    ("ghu_", "A-Za-z0-9", 20),
+    ("ghs_", "A-Za-z0-9", 20),
+    ("ghr_", "A-Za-z0-9", 20),
     ("github_pat_", "A-Za-z0-9_", 20),
     ("glpat-", "A-Za-z0-9_-", 16),
     ("AKIA", "A-Z0-9", 16),
     ("ASIA", "A-Z0-9", 16),
-    ("xox[abprs]-", "A-Za-z0-9-", 10),
+    ("xoxa-", "A-Za-z0-9-", 10),
+    ("xoxb-", "A-Za-z0-9-", 10),
+    ("xoxp-", "A-Za-z0-9-", 10),
+    ("xoxr-", "A-Za-z0-9-", 10),
+    ("xoxs-", "A-Za-z0-9-", 10),
 ]
-# Words that name a credential in a flag, in a variable, and in prose.
-FLAG_WORDS = "password passwd token apikey api-key secret auth credential".split()
-VARIABLE_WORDS = "APIKEY API_KEY ACCESSKEY ACCESS_KEY SECRETKEY SECRET_KEY PRIVATEKEY PRIVATE_KEY PASSWORD PASSWD TOKEN SECRET CREDENTIAL".split()
-PROSE_WORDS = "token key secret password passwd apikey api_key api-key credential bearer auth".split()
+# Credentials that a name tells. Each is a name, made of one of the words, a separator and a value; of these what may stand
+# before and after the word within the name, the separators, the value's signs, and how many of them at least.
+NAMED = {
+    "flag_value": {
+        "words": "password passwd token apikey api-key secret auth credential",
+        "before": "--", "after": "s?", "separator": r"(?:=|\s+)[\"']?", "value": r"[^\s\"']", "least": 6, "any_case": True,
+    },
+    "assignment": {
+        "words": "API_KEY APIKEY ACCESS_KEY ACCESSKEY SECRET_KEY SECRETKEY PRIVATE_KEY PRIVATEKEY PASSWORD PASSWD TOKEN SECRET CREDENTIAL",
+        "before": r"\b[A-Z0-9_]*", "after": "[A-Z0-9_]*", "separator": r"\s*=\s*[\"']?", "first": r"[^\s\"'$]", "value": r"[^\s\"']", "least": 4, "any_case": False,
+    },
+    "prose_credential": {
+        "words": "token key secret password passwd apikey api_key api-key credential bearer auth",
+        "before": r"\b", "after": r"\b", "separator": "[^A-Za-z0-9]{0,6}", "value": "[A-Za-z0-9_./+=-]", "least": 12, "any_case": True,
+    },
+}
 _BASE64URL = "[A-Za-z0-9_-]"
 #: What a bearer header carries (token68 of RFC 7235), twelve characters at least.
 _TOKEN68 = "([A-Za-z0-9._~+/-]{12,}=*)"
@@ -30,6 +50,17 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+def _named(label: str) -> tuple[str, str]:
+    """Label and pattern of a credential that a name tells: the name with its separator, then the value."""
+    n = NAMED[label]
+    value = f"{n['first']}{n['value']}{{{n['least'] - 1},}}" if "first" in n else f"{n['value']}{{{n['least']},}}"
+    return label, f"{'(?i)' if n['any_case'] else ''}({n['before']}{_any(n['words'].split())}{n['after']}{n['separator']})({value})"
+
+
+def _issued(prefix: str, signs: str, least: int) -> str:
+    return f"{prefix}[{signs}]{{{least},}}"
+
+
 #: Name and pattern of each kind of credential, in the order in which they are tried. What the first group holds stays, the second goes.
 #: No look-around, so that other engines take them as they are.
 SECRET_RULES = [
@@ -37,15 +68,16 @@ SECRET_RULES = [
     ("private_key", r"()(-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----[\s\S]*?(?:-----END(?: [A-Z]+)* PRIVATE KEY-----|\z))"),
     # RFC 3986: a scheme, and user and password before the host.
     ("url_credentials", r"(?i)(\b[a-z][a-z0-9+.-]*://)([^\s:/?#@]+:[^\s/?#@]+)@"),
+    # RFC 6750: the header's name and scheme, or the scheme alone.
     ("bearer_header", rf"(?i)(\bauthorization[ \t]*:\s*bearer\s+){_TOKEN68}"),
     ("bearer_header", rf"(?i)(\bbearer\s+){_TOKEN68}"),
-    ("provider_key", r"()\b(" + "|".join(f"{prefix}[{signs}]{{{least},}}" for prefix, signs, least in ISSUERS) + ")"),
+    ("provider_key", r"()\b(" + "|".join(_issued(*issuer) for issuer in ISSUERS) + ")"),
     # RFC 7519: three parts in base64url; a JSON object's first two characters encode to eyJ.
     ("jwt", rf"()\b(eyJ{_BASE64URL}{{8,}}\.{_BASE64URL}{{8,}}\.{_BASE64URL}{{4,}})"),
-    ("flag_value", rf"(?i)(--{_any(FLAG_WORDS)}s?(?:\s+|=)[\"']?)([^\s\"']{{6,}})"),
-    ("assignment", rf"(\b[A-Z0-9_]*{_any(VARIABLE_WORDS)}[A-Z0-9_]*\s*=\s*[\"']?)([^\s\"'$][^\s\"']{{3,}})"),
+    _named("flag_value"),
+    _named("assignment"),
 ]
-PROSE_RULE = ("prose_credential", rf"(?i)(\b{_any(PROSE_WORDS)}\b[^A-Za-z0-9]{{0,6}})([A-Za-z0-9_./+=-]{{12,}})")
+PROSE_RULE = _named("prose_credential")
 MARK = "[redacted]"
 
 # Kinds of files, in the order in which they are tried, by base name, by beginning or end of the base name, or by folder.

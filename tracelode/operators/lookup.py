@@ -32,11 +32,7 @@ def peek(requests: DataFrame, answers: DataFrame, used: DataFrame) -> DataFrame:
 
 def tool_results(requests: DataFrame, results: DataFrame, fall_back: bool = True) -> DataFrame:
     """rec, tool, req, via, seq for requests (rec, req, tool, hash) and results (rec, seq, tool, hash): as replay(), among results of the same tool."""
-    key = F.struct("rec", "tool")
-    names = requests.select("rec", "tool").union(results.select("rec", "tool")).distinct().withColumn("no", F.xxhash64(key))
-    own = lambda d, order: d.join(names, ["rec", "tool"]).select(F.col("no").alias("rec"), F.col(order).alias(order), F.col("hash").alias("hash"))
-    got = replay(own(requests, "req"), own(results, "seq"), fall_back)
-    return got.withColumnRenamed("rec", "no").join(names, "no").select("rec", "tool", "req", "via", "seq")
+    return replay(requests, results, fall_back, ("rec", "tool"))
 
 
 def results_by_id(requests: DataFrame, results: DataFrame) -> DataFrame:

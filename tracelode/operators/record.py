@@ -9,18 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checks import outcome_of
+from ..functions.names import recording_id
 from ..functions.templates import masked
 from ..plans.lineage import cut, python_path
 from ..sources.traces import MAGIC_GZIP, TraceFormatError, pack, unpack
 from .trace import depths, leaves
 
 PROFILES = ("full", "normal", "minimal")
-# Kinds of entries and fields that the minimal profile drops, and the length it cuts results to: by default,
-# and what the command line gives.
+# Kinds of entries and fields that the minimal profile drops, and the length it cuts results to.
 SIDE_TYPES = ("usage", "label", "session_info")
 SIDE_FIELDS = {"toolResult": ("details", "nestedCalls", "usage"), "assistant": ("diagnostics",)}
-RESULT_CHARS = 2000
-WHOLE_RESULT_CHARS = 4000
+RESULT_CHARS = 4000
 
 
 def active_paths(entries: DataFrame, leaf: DataFrame | None = None) -> DataFrame:
@@ -91,11 +91,29 @@ def summary(entries: list[dict]) -> dict:
     }
 
 
+def observed(entries: list[dict]) -> list[tuple[str | None, bool]]:
+    """Tool results in order, each as the command that it answers (null: no shell call) and whether it is an error."""
+    commands: dict[str, str] = {}
+    out = []
+    for e in entries:
+        m = e.get("message") if isinstance(e.get("message"), dict) else {}
+        if m.get("role") == "assistant" and isinstance(m.get("content"), list):
+            for b in m["content"]:
+                args = b.get("arguments") if isinstance(b, dict) and b.get("type") == "toolCall" and b.get("name") == "bash" else None
+                if isinstance(args, dict) and isinstance(args.get("command"), str) and isinstance(b.get("id"), str):
+                    commands[b["id"]] = args["command"]
+        elif m.get("role") == "toolResult":
+            out.append((commands.get(m["toolCallId"]) if isinstance(m.get("toolCallId"), str) else None, m.get("isError") is True))
+    return out
+
+
 def recording(entries: list[dict], source: dict, profile: str = "normal", redact: bool = False, name: str | None = None, result_chars: int = RESULT_CHARS) -> bytes:
-    """A recording's file from entries in order."""
+    """A recording's file from entries in order. Its id is that of the entries that it keeps; its outcome is told by what checked the run."""
     if profile not in PROFILES:
         raise ValueError(f"profile is one of {', '.join(PROFILES)}")
     dropped: list[str] = []
+    outcome = outcome_of(observed(entries))
+    outcome["evidence"] = [masked(line) for line in outcome["evidence"]]
     if profile == "minimal":
         entries, dropped = trimmed(entries, result_chars)
     if redact:
@@ -109,7 +127,7 @@ def recording(entries: list[dict], source: dict, profile: str = "normal", redact
 
         entries = [_strings(e, hide) for e in entries]
         dropped += [f"{hidden} credentials masked"] if hidden else []
-    return pack({"name": name, "profile": profile, "lossy": bool(dropped), "dropped": dropped, "source": source, "stats": summary(entries)}, entries)
+    return pack({"id": recording_id(entries), "name": name, "outcome": outcome, "profile": profile, "lossy": bool(dropped), "dropped": dropped, "source": source, "stats": summary(entries)}, entries)
 
 
 def record(paths: DataFrame, profile: str = "normal", redact: bool = False, result_chars: int = RESULT_CHARS) -> DataFrame:

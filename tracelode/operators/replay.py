@@ -41,8 +41,8 @@ def serve(rec: int, requests: list[tuple[int, str]], answers: list[tuple], fall_
     return out
 
 
-def replay(requests: DataFrame, answers: DataFrame, fall_back: bool = True) -> DataFrame:
-    """rec, req, via, seq for requests (rec, req, hash) and answers (rec, seq, hash); a recording is one group.
+def replay(requests: DataFrame, answers: DataFrame, fall_back: bool = True, keys: tuple[str, ...] = ("rec",)) -> DataFrame:
+    """rec, req, via, seq for requests (rec, req, hash) and answers (rec, seq, hash); a recording is one group, or what keys name.
 
     A further column ``alt`` of answers is a second hash they go by, that of their history as a
     compaction left it. Consumption is order-dependent, so a recording is served in one place; recordings are independent.
@@ -50,13 +50,15 @@ def replay(requests: DataFrame, answers: DataFrame, fall_back: bool = True) -> D
 
     def run(key, req: pd.DataFrame, ans: pd.DataFrame) -> pd.DataFrame:
         req, ans = req.sort_values("req"), ans.sort_values("seq")
-        got = serve(key[0], list(zip(req.req.tolist(), req.hash.tolist(), strict=True)), list(ans[["seq", "hash", *(["alt"] if "alt" in ans else [])]].itertuples(index=False, name=None)), fall_back)
-        out = pd.DataFrame(got, columns=["rec", "req", "via", "seq"])
-        return out.astype({"seq": "Int64"})
+        got = serve(0, list(zip(req.req.tolist(), req.hash.tolist(), strict=True)), list(ans[["seq", "hash", *(["alt"] if "alt" in ans else [])]].itertuples(index=False, name=None)), fall_back)
+        out = pd.DataFrame([row[1:] for row in got], columns=["req", "via", "seq"]).astype({"seq": "Int64"})
+        for place, (name, own) in enumerate(zip(keys, key, strict=True)):
+            out.insert(place, name, own)
+        return out
 
     python_path(requests.sparkSession)
-    kind = requests.schema["rec"].dataType.simpleString()
-    return requests.groupBy("rec").cogroup(answers.groupBy("rec")).applyInPandas(run, SERVED.replace("long", kind, 1))
+    own = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
+    return requests.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInPandas(run, f"{own}, req long, via string, seq long")
 
 
 def take_compactions(points: list[int], served: list[int]) -> list[int | None]:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import canonical, rules, templates
+from .functions import canonical, checks, rules, templates
 from .functions import text as T
 from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
 from .plans.lineage import python_path, shared_dir
@@ -92,6 +92,19 @@ def outcome_combined(spark, d):
     return stats.combined_outcome(_outcomes(spark, d), ["day"])
 
 
+@_query("""WITH e AS (SELECT user_id AS run, event_id, event_type = 'error' AS bad, CASE event_id % 4 WHEN 0 THEN 'npm run ' || CASE WHEN user_id % 2 = 0 THEN 'build' ELSE 'dev' END WHEN 1 THEN 'pytest -q' WHEN 2 THEN 'go ' || event_type ELSE 'ls ' || event_type END AS command FROM events WHERE (user_id + event_id) % 3 <> 0),
+c AS (SELECT *, (event_id % 4 = 0 AND run % 2 = 0) OR event_id % 4 = 1 AS checks FROM e)
+SELECT run, CASE WHEN count(*) FILTER (checks) > 0 THEN CASE WHEN arg_max(bad, event_id) FILTER (checks) THEN 'failed' ELSE 'success' END WHEN bool_or(bad) AND arg_max(bad, event_id) THEN 'failed' ELSE 'unknown' END AS status, count(*) FILTER (bad) AS n_errors, count(*) FILTER (checks) AS n_verified FROM c GROUP BY run""")
+def checked_outcome(spark, d):
+    """Outcomes of users' runs by what their commands check: events as commands, some of which are test runs and builds."""
+    e = _t(spark, d, "events").where("(user_id + event_id) % 3 <> 0")
+    kind = F.col("event_id") % 4
+    build = F.concat(F.lit("npm run "), F.when(F.col("user_id") % 2 == 0, "build").otherwise("dev"))
+    command = F.when(kind == 0, build).when(kind == 1, "pytest -q").when(kind == 2, F.concat(F.lit("go "), "event_type")).otherwise(F.concat(F.lit("ls "), "event_type"))
+    bad = F.col("event_type") == "error"
+    return stats.outcomes(e.select(F.col("user_id").alias("run"), "event_id", "event_type", command.alias("command")), ["run"], ["event_id"], bad, checks.checks(F.col("command")), bad)
+
+
 @_query("""WITH f AS (SELECT conv_id, turn, md5(role || ':text:' || coalesce(text, '')) AS fp FROM conversations),
 p AS (SELECT DISTINCT conv_id AS l, conv_id + 1 AS r FROM conversations WHERE conv_id + 1 IN (SELECT conv_id FROM conversations)),
 b AS (SELECT coalesce(x.l, y.l) AS l, coalesce(x.r, y.r) AS r, coalesce(x.pos, y.pos) AS pos, fa, fb FROM
