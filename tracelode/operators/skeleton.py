@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +14,40 @@ from .align import common_length
 
 
 def alignment(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; where either side may be skipped, a is."""
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+    """Index pairs of a longest common subsequence; where either side may be skipped, a is.
+
+    A row of the table of common lengths of the lists' ends is a whole number with a bit for each place of b: of its lowest k bits as many are
+    0 as the last k of b have in common with the end of a. A row follows from the one below by a few operations on whole numbers. Some
+    sqrt(len(a)) rows are kept, and those between two of them are made again when the way down passes there, so memory is that many rows.
+    """
+    n, full = len(a), (1 << len(b)) - 1
+    where: dict = {}
+    for k, x in enumerate(reversed(b)):
+        where[x] = where.get(x, 0) | 1 << k
+
+    def above(v: int, x) -> int:
+        met = v & where.get(x, 0)
+        return ((v + met) | (v - met)) & full
+
+    every, row, kept = max(math.isqrt(n), 1), full, [full]
+    for k in range(n):
+        row = above(row, a[n - 1 - k])
+        if (k + 1) % every == 0:
+            kept.append(row)
+    common = lambda v, low: low - (v & ((1 << low) - 1)).bit_count()
+    first, rows = n + 1, []  # the rows of the ends from first items on
     i = j = 0
     pairs = []
-    while i < len(a) and j < len(b):
+    while i < n and j < len(b):
+        if n - i - 1 < first:
+            first = (n - i - 1) // every * every
+            rows = [kept[first // every]]
+            for k in range(first, min(first + every, n)):
+                rows.append(above(rows[-1], a[n - 1 - k]))
         if a[i] == b[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
+        elif common(rows[n - i - 1 - first], len(b) - j) >= common(rows[n - i - first], len(b) - j - 1):
             i += 1
         else:
             j += 1
