@@ -27,8 +27,9 @@ def _texts():
     return texts
 
 
-@pytest.mark.parametrize("cached", [0, 50])
-def test_ids_equal_the_library(spark, cached):
+@pytest.mark.parametrize("cached", [0, 50, 1000])
+def test_ids_equal_the_library(spark, cached, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "DIRECT_WORDS", 20)
     vocabulary, texts = byte_bpe.read_ranks(), _texts()
     library = _library(vocabulary)
     rows = [(i, t, "w", 1) for i, t in enumerate(texts)] + [(3, texts[3], "w", 1), (None, "null id", "w", 1)]

@@ -4,8 +4,8 @@ A text is cut into words by the vocabulary's pattern. A word is an array of symb
 with the rank of each pair of neighbours from a literal map (pairs of symbols to rank, dealt into buckets so that
 a look-up reads a few entries). A fold takes the leftmost pair of lowest rank, merges it and looks up
 the two pairs that this makes, until no pair has a rank. The frequent words of the whole corpus, counted over all of it, are
-folded once each and go into a second literal map, of bounded size; the others are folded where they stand. So no text
-leaves its task and nothing but distinct words and their counts is shuffled. That map only saves work: ids don't depend on it.
+folded once each and go into further literals, of bounded size; the others are folded where they stand. So no text
+leaves its task and nothing but distinct words and their counts is shuffled. These only save work: ids don't depend on them.
 
 A word of many bytes is first cut between bytes that stand next to each other in no piece, which no merge can cross. In a
 part that is still long, all occurrences of the pair are merged in one step where that equals merging one by one: no pair
@@ -23,23 +23,28 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_table, drop_table
+from .common import cut, cut_table, drop_table
 
-#: Words in the literal map of frequent words, at most, and bytes of each of them: 8 MB in all.
-CACHED_WORDS, CACHED_BYTES = 1 << 17, 64
+#: Frequent words whose ids are kept, at most, and bytes of each of them: with their ids some 3 MB, 10 MB at most. Of these, words in literal maps; the others are
+#: packed, a string for some words, which takes a tenth of the memory and longer to read.
+CACHED_WORDS, CACHED_BYTES, DIRECT_WORDS = 1 << 17, 32, 1 << 13
+#: Signs that begin an entry of packed words, part a word from its ids, and part buckets; words with one of them are not packed.
+_ENTRY, _IDS, _BUCKET = "\x01", "\x02", "\x03"
 #: Parts of this many symbols or more are tried with all occurrences of a pair at once.
 LONG = 64
 _NONE = (1 << 31) - 1
 #: Bits of a symbol or rank, and of a place, in a cell of the fold; a cell without a rank is _DONE or more.
 _BITS, _PLACE_BITS = 18, 27
 _MOST = (1 << _BITS) - 1
+_CELLS, _IDS_TYPE = "array<bigint>", "array<int>"
 _DONE = _MOST << (_BITS + _PLACE_BITS)
 #: Where the characters that stand for symbols begin, in a part that is merged all at once.
 _FIRST = 0x10000
@@ -97,22 +102,27 @@ def read_ranks(path: str | None = None, pattern: str | None = None) -> Vocabular
     return Vocabulary([ranks[i] for i in range(len(ranks))], pattern)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
+    """body of value, of type kind. The value is computed once however often body names it.
+
+    An aggregation of one element; taking the element of a transformed array would ask for the type of all that is nested in it, for each row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
 
 def _bucket(key: Column, buckets: int) -> Column:
+    """Spark's hash of a long, or of a text, is XXH64 of its bytes with this seed."""
     return F.xxhash64(key).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def _literal_map(entries: DataFrame, buckets: int, kind: str) -> Column:
-    """An array of maps as a literal: bucket b holds the entries (bucket, key, value as JSON) with that hash. Entries are few."""
-    dealt: list[dict] = [{} for _ in range(buckets)]
-    for bucket, key, value in entries.collect():
-        dealt[bucket][key] = json.loads(value)
+def _literal_map(entries: Iterable[tuple[bytes, str, str]], size: int, kind: str) -> tuple[Column, int]:
+    """An array of maps as a literal, and its length: bucket b holds the entries (what is hashed, key, value as JSON) with that hash. Entries are few."""
+    buckets = 1 << max((size // 3).bit_length(), 1)  # about three entries each
+    parts = [""] * buckets
+    for hashed, key, value in entries:
+        parts[xxhash.xxh64_intdigest(hashed, 42) & (buckets - 1)] += f",{json.dumps(key)}:{value}"
     # Folded into one literal when the plan is optimised.
-    return F.from_json(F.lit(json.dumps(dealt, ensure_ascii=False)), f"array<map<string,{kind}>>")
+    return F.from_json(F.lit("[" + ",".join(f"{{{p[1:]}}}" for p in parts) + "]"), f"array<map<string,{kind}>>"), buckets
 
 
 def _cell(rank: Column, place: Column, symbol: Column) -> Column:
@@ -137,10 +147,8 @@ class Codec:
     def __init__(self, spark, vocabulary: Vocabulary):
         self.spark, self.vocabulary = spark, vocabulary
         pairs = vocabulary.pairs()
-        self.buckets = 1 << max(len(pairs).bit_length(), 4)
-        rows = [((a << _BITS) | b, str(r)) for (a, b), r in pairs.items()]
-        d = spark.createDataFrame(rows, "key long, value string")
-        ranks = _literal_map(d.select(_bucket(F.col("key"), self.buckets), F.col("key").cast("string"), "value"), self.buckets, "int")
+        keyed = (((a << _BITS) | b, r) for (a, b), r in pairs.items())
+        ranks, self.buckets = _literal_map(((k.to_bytes(8, "little"), str(k), str(r)) for k, r in keyed), len(pairs), "int")
         self.ranks = ranks.cast("array<map<bigint,int>>")
         self.byte_ids = self._numbers(vocabulary.id_of[bytes([b])] for b in range(256))
         near = bytearray(1 << 16)
@@ -157,9 +165,9 @@ class Codec:
     def _numbers(values) -> Column:
         return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
-    def tables(self, known: Column | None = None) -> Column:
+    def tables(self, more: dict[str, Column] | None = None) -> Column:
         """All literals that encoding reads. Bound once for a row, so that a plan holds one of each however often expressions read them."""
-        own = {"ranks": self.ranks, "byte_ids": self.byte_ids, "near": self.near, "signs": self.signs} | ({} if known is None else {"known": known})
+        own = {"ranks": self.ranks, "byte_ids": self.byte_ids, "near": self.near, "signs": self.signs} | (more or {})
         return F.struct(*[c.alias(n) for n, c in own.items()])
 
     def words(self, text: Column) -> Column:
@@ -169,7 +177,7 @@ class Codec:
     def _rank(self, t: Column, a: Column, b: Column) -> Column:
         """The rank of a pair of symbols (longs); a null symbol makes none."""
         key = F.shiftleft(a, _BITS).bitwiseOR(b)
-        return F.coalesce(_let(key, lambda k: F.get(t["ranks"], _bucket(k, self.buckets))[k].cast("long")), F.lit(_MOST).cast("long"))
+        return F.coalesce(_let(key, "bigint", lambda k: F.get(t["ranks"], _bucket(k, self.buckets))[k].cast("long")), F.lit(_MOST).cast("long"))
 
     def _cells(self, t: Column, sym: Column) -> Column:
         """Symbols (longs) as cells: the rank of the pair that begins here, the place, the symbol, in one number. The least cell is the leftmost pair of lowest rank."""
@@ -191,15 +199,15 @@ class Codec:
         same = ~F.exists(cells, lambda x: (_rank_of(x) == m) & (_symbol(x) != a))
         # With the same left symbol and rank, the right one is the same too.
         text = F.replace(F.array_join(F.transform(cells, lambda x: sign(_symbol(x))), ""), F.concat(sign(a), sign(b)), sign(m))
-        merged = _let(F.transform(F.split(text, ""), lambda c: (F.ascii(c) - _FIRST).cast("long")), lambda x: self._cells(t, x))
+        merged = _let(F.transform(F.split(text, ""), lambda c: (F.ascii(c) - _FIRST).cast("long")), _CELLS, lambda x: self._cells(t, x))
         allowed = same & (self._rank(t, m, a) > m)
-        return F.when(allowed, _let(merged, lambda x: F.when(_rank_of(F.array_min(x)) > m, x)))
+        return F.when(allowed, _let(merged, _CELLS, lambda x: F.when(_rank_of(F.array_min(x)) > m, x)))
 
     def _fold(self, t: Column, sym: Column) -> Column:
         """The symbols that are left when no pair has a rank."""
         def step(cells: Column, _: Column) -> Column:
             low = lambda x: F.struct(F.array_position(cells, x).cast("int").alias("at"), _rank_of(x).alias("m"))
-            return _let(F.array_min(cells), lambda x: F.when(x >= _DONE, cells).otherwise(_let(low(x), lambda y: self._merge_one(t, cells, y))))
+            return _let(F.array_min(cells), _CELLS, lambda x: F.when(x >= _DONE, cells).otherwise(_let(low(x), _CELLS, lambda y: self._merge_one(t, cells, y))))
 
         return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(sym), F.lit(2))), self._cells(t, sym), step, lambda cells: F.transform(cells, lambda x: _symbol(x).cast("int")))
 
@@ -210,7 +218,7 @@ class Codec:
             low = lambda x: F.struct(F.array_position(cells, x).cast("int").alias("at"), _rank_of(x).alias("m"))
             merged = lambda y: F.coalesce(self._merge_all(t, cells, y), self._merge_one(t, cells, y))
             state = lambda c, done: F.struct(c.alias("cells"), F.lit(done).alias("done"))
-            new = _let(F.array_min(cells), lambda x: F.when(x >= _DONE, state(cells, True)).otherwise(state(_let(low(x), merged), False)))
+            new = _let(F.array_min(cells), f"struct<cells:{_CELLS},done:boolean>", lambda x: F.when(x >= _DONE, state(cells, True)).otherwise(state(_let(low(x), _CELLS, merged), False)))
             return F.when(s["done"], s).otherwise(new)
 
         # Steps by the dozens: each step that is passed over copies the cells.
@@ -227,51 +235,69 @@ class Codec:
         def parts(p: Column) -> Column:
             end = lambda i: F.coalesce(F.get(p, i + 1), F.size(sym))
             fold = lambda x: F.when(F.size(x) < LONG, self._fold(t, x)).otherwise(self._fold_all(t, x))
-            return F.flatten(F.transform(p, lambda at, i: _let(F.slice(sym, at + 1, end(i) - at), fold)))
+            return F.flatten(F.transform(p, lambda at, i: _let(F.slice(sym, at + 1, end(i) - at), _IDS_TYPE, fold)))
 
-        return _let(places, parts)
+        return _let(places, _IDS_TYPE, parts)
 
     def fold_word(self, t: Column, word: Column) -> Column:
         """The ids of a word that isn't empty."""
         # As Latin-1 every byte is a character.
         codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
         symbols = lambda c: F.transform(c, lambda x: F.get(t["byte_ids"], x).cast("long"))
-        short = lambda c: _let(symbols(c), lambda s: self._fold(t, s))
-        long = lambda c: _let(symbols(c), lambda s: self._fold_long(t, s, c))
-        return _let(codes, lambda c: F.when(F.size(c) < LONG, short(c)).otherwise(long(c)))
+        short = lambda c: _let(symbols(c), _IDS_TYPE, lambda s: self._fold(t, s))
+        long = lambda c: _let(symbols(c), _IDS_TYPE, lambda s: self._fold_long(t, s, c))
+        return _let(codes, _IDS_TYPE, lambda c: F.when(F.size(c) < LONG, short(c)).otherwise(long(c)))
 
     @property
     def signs(self) -> Column:
         return F.split(F.lit("".join(chr(_FIRST + i) for i in range(len(self.vocabulary.pieces)))), "")
 
-    def frequent(self, docs: DataFrame, text_col: str, most: int) -> tuple[Column, int]:
-        """A literal map of words to ids, and its number of buckets: the most frequent words of docs, and pieces that merging doesn't make."""
-        known = {w: json.dumps(ids) for w, ids in self.vocabulary.unreachable().items()}
+    def _counted(self, docs: DataFrame, text_col: str, most: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """The most frequent words of docs (w, level, ids as text), and how many each level of frequency has, from the top."""
         spark = self.spark
         words = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.octet_length("w").between(2, CACHED_BYTES))
-        counts, at = cut_table(words.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").withColumn("level", F.floor(F.log(F.col("k")) * 16).cast("int")))
-        least, total = None, 0
+        level = F.floor(F.log(F.col("k")) * 16).cast("int")
+        counts, at = cut_table(words.groupBy("w").agg(F.count("*").alias("k")).where((F.col("k") > 1) & ~F.col("w").rlike(f"[{_ENTRY}{_IDS}{_BUCKET}]")).withColumn("level", level))
+        levels, total = [], 0
         for level, n in sorted(counts.groupBy("level").agg(F.count("*")).collect(), reverse=True):  # some hundred levels
             total += n
             if total > most:
                 break
-            least = level
-        found = spark.createDataFrame(list(known.items()), "w string, ids string")
-        if least is not None:
-            # A few tasks' work, however the counts are partitioned.
-            own = counts.where(F.col("level") >= least).select("w").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "w")
-            own = own.join(found, "w", "left_anti").select("w", F.to_json(_let(self.tables(), lambda t: self.fold_word(t, F.col("w")))).alias("ids"))
-            found = found.union(own)
-        buckets = 1 << max((min(total, most) + len(known)).bit_length(), 1)
-        literal = _literal_map(found.select(_bucket(F.col("w"), buckets), "w", "ids"), buckets, "array<int>")
+            levels.append((level, total))
+        least = levels[-1][0] if levels else 1 << 30
+        own = counts.where(F.col("level") >= least).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "w")
+        ids = _let(self.tables(), "string", lambda t: F.array_join(self.fold_word(t, F.col("w")).cast("array<string>"), " "))
+        own = cut(own.select("w", "level", ids.alias("ids")))
         drop_table(spark, at)
-        return literal, buckets
+        return own, levels
+
+    def frequent(self, docs: DataFrame, text_col: str, most: int) -> dict[str, tuple[Column, int]]:
+        """Literals of words with their ids, and their numbers of buckets: maps of the very frequent words, and of pieces that merging doesn't make; the others packed."""
+        own, levels = self._counted(docs, text_col, most)
+        direct = max((n, level) for level, n in [*levels, (1 << 30, 0)] if n <= DIRECT_WORDS)[1]
+        top = {r.w: f"[{r.ids.replace(' ', ',')}]" for r in own.where(F.col("level") >= direct).collect()}  # DIRECT_WORDS at most
+        top |= {w: json.dumps(ids) for w, ids in self.vocabulary.unreachable().items()}
+        maps = _literal_map(((w.encode(), w, ids) for w, ids in top.items()), len(top), "array<int>")
+        buckets = 1 << ((levels[-1][1] if levels else 0) // 8).bit_length()
+        entries = own.where(F.col("level") < direct).groupBy(_bucket(F.col("w"), buckets).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("w", F.lit(_IDS), "ids"))), _ENTRY).alias("all"))
+        packed = [_ENTRY] * buckets
+        for b, text in entries.collect():  # a few words each, CACHED_WORDS in all
+            packed[b] = f"{_ENTRY}{text}{_ENTRY}"
+        return {"known": maps, "packed": (F.split(F.lit(_BUCKET.join(packed)), _BUCKET), buckets)}
 
     def encode(self, docs: DataFrame, text_col: str, most: int = CACHED_WORDS) -> Column:
         """The ids of a text column of docs."""
-        known, buckets = self.frequent(docs, text_col, most)
-        of_word = lambda t, w: F.coalesce(F.get(t["known"], _bucket(w, buckets))[w], self.fold_word(t, w))
-        return _let(self.tables(known), lambda t: F.flatten(F.transform(self.words(F.col(text_col)), lambda w: of_word(t, w))))
+        found = self.frequent(docs, text_col, most)
+
+        def packed(t: Column, w: Column) -> Column:
+            bucket = F.get(t["packed"], _bucket(w, found["packed"][1]))
+            ids = F.substring_index(F.call_function("substring_index", bucket, F.concat(F.lit(_ENTRY), w, F.lit(_IDS)), F.lit(-1)), _ENTRY, 1)
+            # Empty: what is behind the word's entry is the bucket's beginning, as there is none.
+            return _let(ids, _IDS_TYPE, lambda x: F.when(x != "", F.split(x, " ").cast("array<int>")))
+
+        of_word = lambda t, w: F.coalesce(F.get(t["known"], _bucket(w, found["known"][1]))[w], packed(t, w), self.fold_word(t, w))
+        tables = self.tables({n: c for n, (c, _) in found.items()})
+        return _let(tables, _IDS_TYPE, lambda t: F.flatten(F.transform(self.words(F.col(text_col)), lambda w: of_word(t, w))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""
@@ -282,7 +308,7 @@ class Codec:
 
         # Strings are joined byte by byte, so pieces needn't be whole characters.
         tables = F.struct(self.starts.alias("starts"), self.blob.alias("blob"))
-        return _let(tables, lambda t: F.array_join(F.transform(ids, lambda i: piece(t, i)), "")).cast("binary")
+        return _let(tables, "string", lambda t: F.array_join(F.transform(ids, lambda i: piece(t, i)), "")).cast("binary")
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary | None = None, most: int = CACHED_WORDS) -> DataFrame:
