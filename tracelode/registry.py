@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import canonical, checks, rules, templates
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, lookup, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
+from .operators import align, compare, freshness, graph, link, lookup, postings, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
 from .plans.lineage import python_path, shared_dir
 from .sources import recordings, traces
 from .streaming import replay as stream
@@ -228,14 +228,25 @@ def term_df(spark, d):
     return search.term_statistics(_t(spark, d, "documents"), "text")
 
 
-@_query(f"""WITH {_TF}, s AS (SELECT doc, coalesce(sum(tf * idf * idf) FILTER (term IN ('token', 'license', 'public')), 0) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm, count(*) FILTER (term IN ('token', 'license', 'public')) AS matched,
+_SEARCHED = f"""WITH {_TF}, s AS (SELECT doc, coalesce(sum(tf * idf * idf) FILTER (term IN ('token', 'license', 'public')), 0) AS dot, sqrt(sum(tf * idf * tf * idf)) AS norm, count(*) FILTER (term IN ('token', 'license', 'public')) AS matched,
  max((contains(term, 'token'))::INT) + max((contains(term, 'license'))::INT) + max((contains(term, 'public'))::INT) AS inside FROM tf JOIN idf USING (term) GROUP BY doc),
 k AS (SELECT sum(idf * idf) AS q, count(*) AS k FROM idf WHERE term IN ('token', 'license', 'public'))
-SELECT doc, round(least(1.0::DOUBLE, dot / (norm * sqrt(q + (3 - k) * 0.25)) + inside * 0.3::DOUBLE / (inside * 0.3::DOUBLE + 1)), 4) AS score, matched FROM s, k WHERE inside > 0 ORDER BY score DESC, doc LIMIT 20""")
+SELECT doc, round(least(1.0::DOUBLE, dot / (norm * sqrt(q + (3 - k) * 0.25)) + inside * 0.3::DOUBLE / (inside * 0.3::DOUBLE + 1)), 4) AS score, matched FROM s, k WHERE inside > 0 ORDER BY score DESC, doc LIMIT 20"""
+
+
+@_query(_SEARCHED)
 def tfidf_search(spark, d):
     return search.search(_t(spark, d, "documents"), "doc_id", "text", ["token", "license", "public"], 20)
 
 
+@_query(_SEARCHED)
+def postings_search(spark, d):
+    """The search of tfidf_search over an index that is written first: only the postings of its terms are read."""
+    at = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings.write_postings(_t(spark, d, "documents"), "doc_id", "text", at)
+    return postings.search_postings(spark, at, ["token", "license", "public"], 20)
+
+
 @_query("""WITH t AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), e AS (SELECT s, d, count(*) * 0.5 AS w FROM t WHERE d IS NOT NULL GROUP BY s, d)
 SELECT s AS node, sum(w)::DOUBLE AS degree FROM (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e) GROUP BY s""")
 def degree(spark, d):
