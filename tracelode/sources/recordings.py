@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 from ..plans.lineage import python_path
+from .files import file_system
 from .traces import TraceFormatError, expand, pack, unpack
 
 SCHEMA = "path string, name string, profile string, lossy boolean, header string, seq int, entry string, fault string"
@@ -42,20 +42,13 @@ _TESTS = {
 }
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path) if ":" in path else f"file://{path}")
-
-
 def _passes(filters: list[Filter], column: str, value) -> bool:
     return all(_TESTS[type(f)](value, f) for f in filters if f.attribute == (column,))
 
 
-@dataclass
 class Files(InputPartition):
     """Files that one task reads."""
 
-    paths: list[str]
-
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
 
@@ -81,7 +74,7 @@ class RecordingReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         info = system.get_file_info(at)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
         # The path in a row is the option's own form, so that filters and listings agree.
@@ -101,7 +94,7 @@ class RecordingReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
-            system, at = _system(path)
+            system, at = file_system(path)
             try:
                 with system.open_input_stream(at, compression=None) as f:
                     body = unpack(f.read())
@@ -129,7 +122,7 @@ class RecordingWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Written:
         out = Written([])
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         system.create_dir(f"{at}/{self.job}", recursive=True)
         get = {c: k for k, c in enumerate(self.columns)}
         for path, rows in itertools.groupby(iterator, key=lambda r: r[get["path"]]):
@@ -150,7 +143,7 @@ class RecordingWriter(DataSourceWriter):
         return out
 
     def commit(self, messages: list) -> None:
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         moves = [m for own in messages if own is not None for m in own.moves]
         if len({final for _, final in moves}) < len(moves):
             self.abort(messages)
@@ -166,7 +159,7 @@ class RecordingWriter(DataSourceWriter):
         self._clear(system, at)
 
     def abort(self, messages: list) -> None:
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         self._clear(system, at)
 
     def _clear(self, system: fs.FileSystem, at: str) -> None:

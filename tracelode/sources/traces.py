@@ -9,16 +9,15 @@ from __future__ import annotations
 import gzip
 import io
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, python_path
 from ..plans.spread import hot_keys, split_join
+from .files import file_system
 
 MAGIC_GZIP = b"\x1f\x8b"
 VERSION = 1
@@ -118,7 +117,7 @@ def _peeked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = []
         for path in b.column(0).to_pylist():
-            system, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+            system, at = file_system(path)
             with system.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8", "replace") as text:
                 found.append(_peek(iter(text)))
         added = [pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 3

@@ -11,7 +11,6 @@ Rows: path, at (the line's first byte), value. Lines of a file are in the order
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..plans.lineage import python_path
+from ..sources.files import file_system
 
 SCHEMA = "path string, at long, value string"
 #: Bytes of an addition that one task reads.
@@ -27,10 +27,6 @@ TASK_BYTES = 64 << 20
 _BLOCK = 1 << 16
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path) if ":" in path else f"file://{path}")
-
-
 class Range(InputPartition):
     """Lines of a file that begin in a range of bytes; the range's end is the batch's, too, where last is set."""
 
@@ -49,7 +45,7 @@ class GrowingReader(DataSourceStreamReader):
         return {}
 
     def _files(self) -> dict[str, int]:
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         if system.get_file_info(at).type != fs.FileType.Directory:
             return {}
         found = system.get_file_info(fs.FileSelector(at, recursive=True))
@@ -58,7 +54,7 @@ class GrowingReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         """For each file the end of its last whole line."""
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         return {n: self._last_line_end(system, f"{at}/{n}", size) for n, size in sorted(self._files().items())}
 
     @staticmethod
@@ -84,7 +80,7 @@ class GrowingReader(DataSourceStreamReader):
 
     def read(self, partition: Range) -> Iterator[tuple]:
         p = partition
-        system, at = _system(self.at)
+        system, at = file_system(self.at)
         with system.open_input_file(f"{at}/{p.name}") as f:
             place, rest = p.begin, b""
             if p.begin > p.first:  # a line that begins before the range belongs to the one before
