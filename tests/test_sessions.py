@@ -165,5 +165,5 @@ def test_an_idle_recording_is_forgotten():
 
 def test_requests_of_unknown_kinds_and_recordings(spark, tmp_path):
     stream = Stream(spark, str(tmp_path), _known(spark, [(1, 0, "answer", None, None, None, "said", None), (1, 1, "result", None, "p", None, None, None)]))
-    got = stream.send([(1, 0, "odd", None, None, None, None), (1, 1, "result", None, "p", None, None), (1, 2, "answer", None, None, None, None), (9, 0, "compaction", None, None, None, None), (9, 1, "result_id", None, "c", None, None)])
-    assert got == {(1, 0): ("unknown kind", None, None), (1, 1): ("hash", 1, None), (1, 2): ("cursor", 0, "said"), (9, 0): ("miss", None, None), (9, 1): ("miss", None, None)}
+    got = stream.send([(1, 0, "odd", None, None, None, None), (1, 1, "result", None, "p", None, None), (1, 2, "answer", None, None, None, None), (9, 0, "compaction", None, None, None, None), (9, 1, "result_id", None, "c", None, None), (9, 2, "result_id", None, None, None, None), (9, 3, "override", None, None, None, None), (9, 4, "budget", None, None, None, None)])
+    assert got == {(1, 0): ("unknown kind", None, None), (1, 1): ("hash", 1, None), (1, 2): ("cursor", 0, "said"), (9, 0): ("miss", None, None), (9, 1): ("miss", None, None), (9, 2): ("miss", None, None)}

@@ -83,11 +83,11 @@ class Session(StatefulProcessor):
         out = []
         for r in asked.itertuples():
             via, seq, text = None, None, None
-            if r.kind == "override":
+            if r.kind == "override" and isinstance(r.key, str):
                 self.overrides.updateValue((r.key,), (_text(r.text),))
                 fork[2], fork[3] = r.key, False
-            elif r.kind == "budget":
-                fork[0] = int(r.n)
+            elif r.kind in ("override", "budget"):
+                fork[0] = fork[0] if r.kind == "override" or pd.isna(r.n) else int(r.n)
             elif r.kind == "answer":
                 found = self._take(ANSWERS, r.key, not self.fork)
                 if found is not None:
@@ -96,7 +96,7 @@ class Session(StatefulProcessor):
                 else:
                     via = self._live(fork, r.n) if self.fork else "miss"
             elif r.kind in ("result", "result_id"):
-                found = self._take(f"result:{r.tool}", r.key, True) if r.kind == "result" else self._next_of(r.key)
+                found = self._take(f"result:{_text(r.tool) or ''}", r.key, True) if r.kind == "result" else self._next_of(r.key)
                 via = "miss"
                 if found is not None:
                     via, seq, call, text = found
@@ -142,7 +142,7 @@ class Session(StatefulProcessor):
         return seq, call, text
 
     def _next_of(self, call: str) -> tuple | None:
-        if not self.by_id.containsKey((call,)):
+        if not isinstance(call, str) or not self.by_id.containsKey((call,)):
             return None
         seqs, texts = (list(x) for x in self.by_id.getValue((call,)))
         seq, text = seqs.pop(0), texts.pop(0)
@@ -207,7 +207,7 @@ def _as(d: DataFrame, schema: str) -> DataFrame:
 def serve_sessions(asked: DataFrame, known: DataFrame, fork: bool = False, idle: float | None = None) -> DataFrame:
     """rec, req, kind, via, seq, text for a stream of requests (REQUEST) against recordings (RECORDED), in order within each micro-batch.
 
-    Overrides and budgets give no rows. idle: seconds after which a recording without requests is forgotten; as timers wait
+    Overrides and budgets give no rows; one without a key or a number does nothing. A null tool is the empty one. idle: seconds after which a recording without requests is forgotten; as timers wait
     for time to pass, such a query doesn't end by itself with the trigger availableNow.
     Sets the session's state store to the one that such state needs.
     """
