@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import canonical, checks, rules, templates
 from .functions import text as T
-from .operators import align, compare, freshness, graph, link, lookup, postings, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
+from .operators import align, compare, freshness, graph, index, link, lookup, postings, procedure, procedures, record, regress, replay, search, serve, skeleton, stats, trace
 from .plans.lineage import python_path, shared_dir
 from .sources import recordings, traces
 from .streaming import replay as stream
@@ -247,6 +247,23 @@ def postings_search(spark, d):
     return postings.search_postings(spark, at, ["token", "license", "public"], 20)
 
 
+_EDITED = "edited AS (SELECT doc_id, text || CASE WHEN n_chars > 1000 THEN ' public license' ELSE '' END AS text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))"
+
+
+@_query(_SEARCHED.replace("WITH ", f"WITH {_EDITED}, ", 1).replace("FROM documents) GROUP BY 1, 2", "FROM edited) GROUP BY 1, 2", 1))
+def index_updates(spark, d):
+    """The search of tfidf_search over an index of all documents that followed two edits, with a compaction between: long texts end in two more words, later copies go."""
+    at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "documents").select("doc_id", "text", "n_chars")
+    longer = docs.withColumn("text", F.when(F.col("n_chars") > 1000, F.concat("text", F.lit(" public license"))).otherwise(F.col("text")))
+    first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    index.update(docs, "doc_id", "text", at)
+    index.update(longer, "doc_id", "text", at)
+    index.compacted(spark, at)
+    index.update(longer.join(first, "doc_id", "left_semi"), "doc_id", "text", at)
+    return index.search_index(spark, at, ["token", "license", "public"], 20)
+
+
 @_query("""WITH t AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), e AS (SELECT s, d, count(*) * 0.5 AS w FROM t WHERE d IS NOT NULL GROUP BY s, d)
 SELECT s AS node, sum(w)::DOUBLE AS degree FROM (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e) GROUP BY s""")
 def degree(spark, d):
