@@ -36,6 +36,10 @@ def _arguments() -> argparse.ArgumentParser:
     own = c.add_parser("search", help="rank the traces of a pattern by a query")
     own.add_argument("pattern")
     own.add_argument("terms", nargs="+")
+    own = c.add_parser("find", help="rank stored procedures by a query, under a budget of tokens")
+    own.add_argument("folder")
+    own.add_argument("terms", nargs="+")
+    own.add_argument("--budget", type=int, default=1200)
     own = c.add_parser("record", help="write recordings of traces below a folder")
     own.add_argument("pattern")
     own.add_argument("folder")
@@ -75,6 +79,7 @@ def _arguments() -> argparse.ArgumentParser:
             own.add_argument("--timeout", type=float, default=120 if name == "run" else 20)
         if name == "check":
             own.add_argument("--dry-run", action="store_true", help="only list the checks")
+            own.add_argument("--max-age-days", type=float, default=30, help="older procedures are trusted less")
         if name == "index":
             own.add_argument("at")
             own.add_argument("--write", action="store_true", help="rebuild it where it is stale")
@@ -103,12 +108,16 @@ def _lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in text.split("\n")], "text string")
 
 
-def _named(spark: SparkSession, folder: str, wanted: list[str]) -> DataFrame:
-    own = procedures.load(spark, folder, ("global",))[0]
-    found = own.where(F.col("name").isin(wanted)) if wanted else own
-    if wanted and (lost := set(wanted) - {r.name for r in found.select("name").collect()}):
+def _named(spark: SparkSession, folder: str, wanted: list[str]) -> tuple[DataFrame, list[str]]:
+    """Stored procedures and their names, in the order in which they are wanted (by a part of their names, too); all of them where none is."""
+    own = procedures.load(spark, folder, ("global",), dated=True)[0]
+    if not wanted:
+        return own, []
+    found = {r.wanted: r.name for r in procedures.find(own, wanted).collect()}  # at most the names given
+    if lost := [w for w in wanted if w not in found]:
         raise SystemExit(f"no procedure {', '.join(sorted(lost))}")
-    return found
+    real = list(dict.fromkeys(found[w] for w in wanted))
+    return own.where(F.col("name").isin(real)), real
 
 
 def _assigned(given: list[str]) -> dict[str, str]:
@@ -118,7 +127,7 @@ def _assigned(given: list[str]) -> dict[str, str]:
 
 
 def _segments(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    procs = _named(spark, a.folder, [a.name])
+    procs, (name,) = _named(spark, a.folder, [a.name])
     own = procs.first().asDict(recursive=True)
     if not a.cut:
         return _lines(spark, names.evidence_text(own))
@@ -126,7 +135,7 @@ def _segments(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     for text in a.cut:
         place, _, rest = text.partition("=")
         segment, _, intent = rest.partition(":")
-        cuts.append((a.name, segment or f"{a.name} {place}", intent, *names.parse_range(place)))
+        cuts.append((name, segment or f"{name} {place}", intent, *names.parse_range(place)))
     covered = {k for *_, begin, end in cuts for k in range(begin, end + 1)}
     if a.require_coverage and (left := [k for k in range(len(own["steps"])) if k not in covered]):
         raise SystemExit("in no segment: " + ", ".join(names.describe_cut(k, k) for k in left))
@@ -140,7 +149,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     here = [(str(p), p.is_dir()) for p in sorted(Path(a.cwd).resolve().rglob("*"))]
     present = spark.createDataFrame(here, "path string, is_dir boolean")
     port = plan.shell(a.timeout) if a.yes else carry_out.refuse
-    p = plan.plan(_named(spark, a.folder, a.names), a.names, present, str(Path(a.cwd).resolve()), _assigned(a.set), port, dict(os.environ), a.allow_dangerous)
+    p = plan.plan(*_named(spark, a.folder, a.names), present, str(Path(a.cwd).resolve()), _assigned(a.set), port, dict(os.environ), a.allow_dangerous)
     if not a.yes or (p.refusals and not a.force):
         return _lines(spark, plan.checks_text(p))
     done = plan.carry_out_plan(p, port, a.force, allow_dangerous=a.allow_dangerous, commands_only=a.commands_only, go_on=a.go_on)
@@ -148,14 +157,15 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _check(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    procs = _named(spark, a.folder, a.names)
+    procs, _ = _named(spark, a.folder, a.names)
     slots = F.transform(F.filter("slots", lambda s: s["step"] == F.col("nth")), lambda s: F.struct(s["name"], F.get(s["fillers"], F.lit(0))["value"].alias("value"), s["kind"]))
     steps = procs.select("name", "slots", F.posexplode("steps").alias("nth", "s")).select("name", "nth", F.col("s.verb").alias("verb"), slots.alias("slots"))
     asked = freshness.validators(steps, "name", ["nth"])
     if a.dry_run:
         return asked.orderBy("name", "nth")
     got = carry_out.run_validators(asked, "name", plan.shell(a.timeout))
-    told = freshness.freshness(procs.select("name", F.lit(0).alias("age_days")), got, "name")
+    age = (F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("saved_at")) / 86400
+    told = freshness.freshness(procs.select("name", age.alias("age_days")), got, "name", a.max_age_days)
     return _lines(spark, plan.freshness_text([tuple(r) for r in told.collect()]))
 
 
@@ -181,10 +191,11 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             print(f"{n} rows are no procedures", file=sys.stderr)
         return good.select("name", "scope", "status", "observations", F.size("steps").alias("steps"), F.transform("parameters", lambda p: p["name"]).alias("parameters")).orderBy("name")
     if a.command == "procedure":
-        return _named(spark, a.folder, [a.name])
+        return _named(spark, a.folder, [a.name])[0]
     if a.command == "link":
-        place = F.array_position(F.array(*[F.lit(n) for n in a.names]), F.col("name"))
-        needs = _named(spark, a.folder, a.names).select("name", place.alias("place"), F.explode("contracts").alias("c")).select("name", "place", "c.side", "c.target")
+        procs, real = _named(spark, a.folder, a.names)
+        place = F.array_position(F.array(*[F.lit(n) for n in real]), F.col("name"))
+        needs = procs.select("name", place.alias("place"), F.explode("contracts").alias("c")).select("name", "place", "c.side", "c.target")
         return link.link_requirements(needs, "target", ["place"], F.col("side") == "provides", F.col("side") == "requires", "name").orderBy("requirement", "target")
     if a.command in ("segment", "run", "check", "index"):
         return {"segment": _segments, "run": _run, "check": _check, "index": _index}[a.command](spark, a)
@@ -204,6 +215,12 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command == "search":
         lines = traces.trace_lines(spark, a.pattern).groupBy("trace").agg({"value": "collect_list"}).toDF("trace", "lines")
         return search.search(lines.selectExpr("trace", "array_join(lines, ' ') AS body"), "trace", "body", [t.lower() for t in a.terms], None)
+    if a.command == "find":
+        procs = procedures.load(spark, a.folder, ("global",))[0]
+        texts = procedures.documents(procs)
+        ranked = search.search(texts, "name", "text", [t.lower() for t in a.terms], LISTED if a.limit is None else a.limit)
+        said = ranked.join(texts, F.col("doc") == F.col("name")).select(F.lit(1).alias("query"), "name", "score", "matched", "text", (-F.col("score")).alias("rank"))
+        return search.within_budget(said, "query", ["rank", "name"], "text", a.budget).orderBy("rank", "name").drop("query", "rank", "tokens", "used")
     if a.command == "record":
         paths = record.active_paths(traces.read_entries(spark, a.pattern))
         return record.read_packed(spark, record.write_recordings(record.record(paths, a.profile, a.redact), a.folder))
@@ -215,7 +232,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return learnt
     if a.command == "compose":
         given = _assigned(a.values)
-        own = procedures.load(spark, a.folder, ("global",))[0].where(F.col("name") == a.name)
+        own, _ = _named(spark, a.folder, [a.name])
         return procedures.compose(own.withColumn("assigned", F.lit(None).cast("map<string,string>") if not given else F.create_map(*[F.lit(x) for kv in given.items() for x in kv])), a.quote).orderBy("step")
     if a.command == "rules":
         return spark.createDataFrame(list(rules.PACKS.items()), "pack string, description string")

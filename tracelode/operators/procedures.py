@@ -294,23 +294,36 @@ def cut_segments(procs: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def save(procs: DataFrame, folder: str, scope: str) -> None:
-    """Procedures as JSON lines below folder/scope; what was there is replaced."""
-    procs.select(*COLUMNS).write.mode("overwrite").json(f"{folder}/{scope}")
+    """Procedures as JSON lines below folder/scope; what was there is replaced. Where they have saved_at (load(dated=True)) they keep it, others get the present time."""
+    now = F.current_timestamp()
+    saved = F.coalesce(F.col("saved_at"), now) if "saved_at" in procs.columns else now
+    procs.select(*COLUMNS, saved.alias("saved_at")).write.mode("overwrite").json(f"{folder}/{scope}")
 
 
-def load(spark: SparkSession, folder: str, scopes: tuple[str, ...] = ("project", "global")) -> tuple[DataFrame, DataFrame]:
-    """(procedures with scope, broken rows): of one name, that of the first scope; a row that isn't a procedure is kept apart."""
+def load(spark: SparkSession, folder: str, scopes: tuple[str, ...] = ("project", "global"), dated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(procedures with scope, broken rows): of one name, that of the first scope; a row that isn't a procedure is kept apart.
+
+    dated: with saved_at too; a row that doesn't tell when it was saved is as old as its file.
+    """
     read = None
     for rank, scope in enumerate(scopes):
-        d = spark.read.text(f"{folder}/{scope}").select(F.lit(scope).alias("scope"), F.lit(rank).alias("rank"), "value", F.from_json("value", PROCEDURE).alias("p"))
+        d = spark.read.text(f"{folder}/{scope}").select(F.lit(scope).alias("scope"), F.lit(rank).alias("rank"), "value", F.from_json("value", PROCEDURE).alias("p"), F.coalesce(F.from_json("value", "saved_at timestamp")["saved_at"], F.col("_metadata.file_modification_time")).alias("saved_at"))
         read = d if read is None else read.unionByName(d)
     sound = F.col("p.name").isNotNull() & F.col("p.steps").isNotNull()
     kinds = {f.name: f.dataType for f in read.schema["p"].dataType.fields}
     backfilled = [(F.coalesce(f"p.{c}", F.array().cast(kinds[c])) if c in LISTS else F.col(f"p.{c}")).alias(c) for c in COLUMNS]
-    good = first_by_priority(read.where(sound).select("scope", "rank", *backfilled), "name", "rank", "status").drop("rank")
+    good = first_by_priority(read.where(sound).select("scope", "rank", "saved_at", *backfilled), "name", "rank", "status").drop("rank", *([] if dated else ["saved_at"]))
     return good, read.where(~F.coalesce(sound, F.lit(False))).select("scope", "value")
 
 
+def find(procs: DataFrame, wanted: list[str]) -> DataFrame:
+    """wanted, name: for each name that is wanted the procedure of exactly this name, else the first by name that holds it in any case. Without one: no row."""
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(wanted)]).cast("array<string>")
+    rank = F.when(F.col("name") == F.col("wanted"), 0).when(F.contains(F.lower("name"), F.lower("wanted")), 1)
+    met = procs.select("name", F.explode(asked).alias("wanted")).withColumn("rank", rank).where("rank IS NOT NULL")
+    return met.groupBy("wanted").agg(F.min(F.struct("rank", "name")).alias("best")).select("wanted", F.col("best.name").alias("name"))
+
+
 def documents(procs: DataFrame) -> DataFrame:
     """name, text: what search() finds procedures by: names, steps, slots with their values, parameters with their variants, contracts."""
     parts = [

@@ -90,9 +90,9 @@ def read_entries(spark: SparkSession, paths: str | list[str], strict: bool = Tru
     )
 
 
-def _peek(lines: Iterator[str]) -> tuple[str | None, str | None, str | None]:
-    """id and cwd of the first header, and the first user's text, of a trace's lines."""
-    head, said = None, None
+def _peek(lines: Iterator[str]) -> tuple[str | None, str | None, str | None, str | None]:
+    """id and cwd of the first header, the last name that the trace was given before a user spoke, and the first user's text, of a trace's lines."""
+    head, name, said = None, None, None
     for line in lines:
         try:
             own = json.loads(line)
@@ -103,14 +103,16 @@ def _peek(lines: Iterator[str]) -> tuple[str | None, str | None, str | None]:
         message = own.get("message") if isinstance(own.get("message"), dict) else {}
         if head is None and own.get("type") == "session":
             head = own
-        elif said is None and message.get("role") == "user":
+        elif said is None and own.get("type") == "session_info" and isinstance(own.get("name"), str):
+            name = own["name"]
+        elif not said and message.get("role") == "user":
             content = message.get("content")
-            blocks = [b.get("text") for b in content[:1] if isinstance(b, dict)] if isinstance(content, list) else [content]
-            said = blocks[0] if blocks and isinstance(blocks[0], str) else ""
-        if head is not None and said is not None:
+            parts = [b.get("text") for b in content if isinstance(b, dict)] if isinstance(content, list) else [content]
+            said = " ".join(" ".join(p for p in parts if isinstance(p, str)).split())[:80]
+        if head is not None and said:
             break
     text = lambda v: v if isinstance(v, str) else None
-    return text((head or {}).get("id")), text((head or {}).get("cwd")), None if said is None else " ".join(said.split())[:80]
+    return text((head or {}).get("id")), text((head or {}).get("cwd")), name, said
 
 
 def _peeked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +122,24 @@ def _peeked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, at = file_system(path)
             with system.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8", "replace") as text:
                 found.append(_peek(iter(text)))
-        added = [pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 3
-        yield pa.RecordBatch.from_arrays([*b.columns, *added], ["path", "bytes", "modified", "id", "cwd", "first_text"])
+        added = [pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 4
+        yield pa.RecordBatch.from_arrays([*b.columns, *added], ["path", "bytes", "modified", "id", "cwd", "name", "first_text"])
 
 
 def list_traces(spark: SparkSession, pattern: str) -> DataFrame:
-    """A row for each file, newest first: path, bytes, modified, id, cwd, first user text (80 characters); broken files too.
+    """A row for each file, newest first: path, bytes, modified, id, cwd, name, first text of a user that has words (80 characters); broken files too.
 
     Files are opened by tasks and read line by line, no further than to the header and the first text of a user.
     """
     python_path(spark)
     files = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    d = files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)).mapInArrow(_peeked, "path string, bytes long, modified timestamp, id string, cwd string, first_text string")
+    d = files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)).mapInArrow(_peeked, "path string, bytes long, modified timestamp, id string, cwd string, name string, first_text string")
     return d.orderBy(F.desc("modified"), "path")
 
 
 def resolve_trace(listed: DataFrame, ref: str | None = None) -> DataFrame:
-    """The newest file, or the newest whose id begins with ref or whose path contains it."""
-    d = listed if not ref else listed.where(F.col("id").startswith(ref) | F.col("path").contains(ref))
+    """The newest file, or the newest whose id begins with ref or whose path or name contains it."""
+    d = listed if not ref else listed.where(F.col("id").startswith(ref) | F.col("path").contains(ref) | F.col("name").contains(ref))
     return d.orderBy(F.desc("modified"), "path").limit(1)
 
 
