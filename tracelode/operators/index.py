@@ -1,6 +1,6 @@
 """An index of terms that follows its documents: an update writes a generation of what changed, and of stored terms reads those of changed documents.
 
-A generation has the documents that came or changed (documents: doc, digest), their terms in two orders (by_term and by_doc: doc, term, tf), the
+A generation has the documents that came or changed (documents: doc, digest), their terms (by_doc: doc, term, tf), where a term is (by_term: term, doc), the
 documents that went or changed (gone) and by how much terms became more or less frequent (frequencies). Rows of a generation are dead once a later
 one says that their document is gone. Inverse frequencies and norms depend on every document, so none is stored: search computes them for the
 documents that it finds, from sums of changes. The commit of a generation is written last; without it a generation isn't read, and is written
@@ -23,6 +23,8 @@ from ..functions.text import terms
 from ..plans.lineage import cut
 from .search import BONUS, UNKNOWN_IDF
 
+#: A term that each document with terms has once more, so that its frequency is their number; search never finds it.
+ANY = ""
 #: Documents or terms that a filter lists, so that files and row groups without them are passed over; more are joined.
 LISTED = 1000
 _SORTED = {"documents": ["doc"], "by_term": ["term", "doc"], "by_doc": ["doc", "term"], "gone": ["doc"], "frequencies": ["term"]}
@@ -60,11 +62,16 @@ def _of(spark: SparkSession, at: str, part: str, span: tuple[int, int, int], key
     return _live(spark, at, part, span).join(keys.select(key), key, "left_semi")
 
 
-def _write(at: str, generation: int, parts: dict[str, DataFrame], documents: int, base: bool) -> None:
-    for part, rows in parts.items():
-        order = _SORTED[part]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{at}/{part}/generation={generation}")
-    commit = parts["documents"].sparkSession.createDataFrame([(documents, base)], "documents long, base boolean").coalesce(1)
+def _put(rows: DataFrame, at: str, part: str, generation: int, spread: bool = True) -> DataFrame:
+    """Write a part of a generation, sorted by its keys and, unless rows are dealt already, dealt by ranges of them. What was written is returned."""
+    order, to = _SORTED[part], f"{at}/{part}/generation={generation}"
+    rows = rows.repartitionByRange(*order) if spread else rows
+    rows.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(to)
+    return rows.sparkSession.read.parquet(to)
+
+
+def _commit(spark: SparkSession, at: str, generation: int, documents: int, base: bool) -> None:
+    commit = spark.createDataFrame([(documents, base)], "documents long, base boolean").coalesce(1)
     commit.write.mode("error").parquet(f"{at}/commits/generation={generation}")
 
 
@@ -99,13 +106,19 @@ def update(docs: DataFrame, doc: str, text: str, at: str) -> int:
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     here, left = changed.where("digest IS NOT NULL").select("doc", "digest"), changed.where("known").select("doc")
     texts = d.where("doc IS NOT NULL") if span[1] < 0 else d.join(here, "doc", "left_semi")
-    came = cut(texts.select("doc", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")))
-    went = came.limit(0) if span[1] < 0 else cut(_of(spark, at, "by_doc", span, left, "doc").select("doc", "term", "tf"))
-    change = came.select("term", F.lit(1).alias("one")).unionByName(went.select("term", F.lit(-1).alias("one")))
-    change = change.groupBy("term").agg(F.sum("one").alias("change")).where("change <> 0")
-    more = came.select("doc").distinct().count() - went.select("doc").distinct().count()
-    parts = {"documents": here, "by_term": came.select("term", "doc", "tf"), "by_doc": came, "gone": left, "frequencies": change}
-    _write(at, span[1] + 1, parts, more, span[1] < 0)
+    own = texts.select("doc", terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    own = own.select("doc", F.explode(F.concat("terms", F.array(F.lit(ANY)))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    generation = span[1] + 1
+    came = _put(own, at, "by_doc", generation, spread=False)
+    change = came.select("term", F.lit(1).alias("one"))
+    if span[1] >= 0:
+        change = change.unionByName(_of(spark, at, "by_doc", span, left, "doc").select("term", F.lit(-1).alias("one")))
+    change = _put(change.groupBy("term").agg(F.sum("one").alias("change")).where("change <> 0"), at, "frequencies", generation, spread=False)
+    _put(came.where(F.col("term") != ANY).select("term", "doc"), at, "by_term", generation)
+    _put(here, at, "documents", generation)
+    _put(left, at, "gone", generation)
+    more = change.where(F.col("term") == ANY).first()
+    _commit(spark, at, generation, more.change if more else 0, span[1] < 0)
     return count
 
 
@@ -114,11 +127,13 @@ def compacted(spark: SparkSession, at: str) -> None:
     span = _commits(spark, at)
     if span[0] == span[1] or span[1] < 0:
         return
-    by_doc = cut(_live(spark, at, "by_doc", span).select("doc", "term", "tf"))
-    documents = cut(_live(spark, at, "documents", span))
-    parts = {"documents": documents, "by_term": by_doc.select("term", "doc", "tf"), "by_doc": by_doc, "gone": documents.select("doc").limit(0)}
-    parts["frequencies"] = frequencies(spark, at).select("term", F.col("df").alias("change"))
-    _write(at, span[1] + 1, parts, span[2], True)
+    by_doc = _put(_live(spark, at, "by_doc", span).select("doc", "term", "tf"), at, "by_doc", span[1] + 1)
+    documents = _put(_live(spark, at, "documents", span), at, "documents", span[1] + 1)
+    totals = _part(spark, at, "frequencies", span).groupBy("term").agg(F.sum("change").alias("change")).where("change > 0")
+    _put(totals, at, "frequencies", span[1] + 1, spread=False)
+    _put(by_doc.where(F.col("term") != ANY).select("term", "doc"), at, "by_term", span[1] + 1)
+    _put(documents.select("doc").limit(0), at, "gone", span[1] + 1)
+    _commit(spark, at, span[1] + 1, span[2], True)
 
 
 def vacuum(spark: SparkSession, at: str) -> None:
@@ -134,7 +149,7 @@ def vacuum(spark: SparkSession, at: str) -> None:
 def frequencies(spark: SparkSession, at: str) -> DataFrame:
     """term, df, idf: what search.term_statistics() gives for the documents of an index, unrounded."""
     span = _commits(spark, at)
-    df = _part(spark, at, "frequencies", span).groupBy("term").agg(F.sum("change").alias("df")).where("df > 0")
+    df = _part(spark, at, "frequencies", span).where(F.col("term") != ANY).groupBy("term").agg(F.sum("change").alias("df")).where("df > 0")
     return df.withColumn("idf", F.log(F.lit(span[2] + 1) / (F.col("df") + 1)) + 1)
 
 
