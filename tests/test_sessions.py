@@ -167,3 +167,22 @@ def test_requests_of_unknown_kinds_and_recordings(spark, tmp_path):
     stream = Stream(spark, str(tmp_path), _known(spark, [(1, 0, "answer", None, None, None, "said", None), (1, 1, "result", None, "p", None, None, None)]))
     got = stream.send([(1, 0, "odd", None, None, None, None), (1, 1, "result", None, "p", None, None), (1, 2, "answer", None, None, None, None), (9, 0, "compaction", None, None, None, None), (9, 1, "result_id", None, "c", None, None), (9, 2, "result_id", None, None, None, None), (9, 3, "override", None, None, None, None), (9, 4, "budget", None, None, None, None)])
     assert got == {(1, 0): ("unknown kind", None, None), (1, 1): ("hash", 1, None), (1, 2): ("cursor", 0, "said"), (9, 0): ("miss", None, None), (9, 1): ("miss", None, None), (9, 2): ("miss", None, None)}
+
+
+def test_one_call_serves_many_recordings_whose_rows_come_in_several_frames(monkeypatch):
+    """As in a shard: a frame ends within a recording, and one with more rows than a page reads and writes pages; both give what small ones give."""
+    rng = random.Random(5)
+    names, asked = ([f.split()[0] for f in s.split(", ")] for s in (session.RECORDED, session.REQUEST))
+    rows = [(rec, k, "result", rng.choice("ab"), rng.choice("pqr"), rng.choice(("c1", "c2", "c3")), f"{rec}/{k}", None) for rec in range(4) for k in range(15)]
+    rng.shuffle(rows)
+    requests = [(rec, k, rng.choice(("result", "result_id")), rng.choice("ab"), rng.choice(("p", "q", "x", "c1", "c2")), None, None) for rec in range(5) for k in range(40)]
+    got = []
+    for page, frames in ((256, 1), (2, 3)):
+        monkeypatch.setattr(session, "PAGE", page)
+        own = session.Session(fork=False, idle_ms=None)
+        own.init(_Handle())
+        for k in range(frames):
+            own.handleInitialState((7,), pd.DataFrame(rows[k::frames], columns=names), _Clock(0))
+        lots = [[r for r in requests if r[1] % 2 == lot] for lot in (0, 1)]
+        got.append([tuple(r) for lot in lots for d in own.handleInputRows((7,), iter([pd.DataFrame(lot, columns=asked)]), _Clock(0)) for r in d.astype({"seq": "float"}).fillna(-1).itertuples(index=False)])
+    assert got[0] == got[1] and len(got[0]) == 200 and {r[3] for r in got[0]} == {"hash", "cursor", "id", "miss"}

@@ -13,13 +13,17 @@ In a fork an answer that isn't recorded is asked of a live model, if it may be:
 'spent' once the budget is used (n of an answer request is what it is reckoned to use), else 'live'; nothing falls back to another answer.
 
 The state of a recording begins with what it recorded (see ``recorded``), once: queues by hash, what is left by place, results by id, the points of
-compactions. A request looks up what it needs and no more, so its cost doesn't grow with the recording; state outlives restarts in the
-query's checkpoint. With ``idle`` a recording that has had no request for so long is forgotten by a timer; later requests miss.
+compactions, in pages. A micro-batch reads the pages that its requests need, once, and writes those that changed, so its cost doesn't grow with the
+recording; state outlives restarts in the query's checkpoint. Recordings are dealt over shards, each served by one call, as calls and frames
+cost more than small recordings do. With ``idle`` a recording that has had no request for so long is forgotten by a timer; later requests miss.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import zlib
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,123 +37,191 @@ REQUEST = "rec long, req long, kind string, tool string, key string, text string
 RECORDED = "rec long, seq long, kind string, tool string, key string, call_id string, text string, n long"
 OUT = "rec long, req long, kind string, via string, seq long, text string"
 ANSWERS = "answer"
+#: Keys over which recordings are dealt. State lies by shard and recording, so this can't change while a checkpoint is kept.
+SHARDS = 1 << 10
+#: Recorded rows of a page of state; a recording of no more has its state in one value.
+PAGE = 256
+
+
+class _Own:
+    """What a recording's state holds, as far as it has been asked for; what changed is written once."""
+
+    def __init__(self, rec: int, heads, pages, head: dict, stored: str | None):
+        self.rec, self.heads, self.pages, self.head, self.stored = rec, heads, pages, head, stored
+        self.read: dict[str, tuple[dict, str | None]] = {}
+
+    def part(self, kind: str, of: str, number: int | None = None) -> dict:
+        """The part of kind that holds an item: of a small recording all of them, else those of its page."""
+        if self.head["pages"] == 1:
+            return self.head["own"][kind]
+        page = f"{kind}{of}/{number // PAGE}" if number is not None else f"{kind}{zlib.crc32(of.encode()) % self.head['pages']}"
+        if page not in self.read:
+            key = (self.rec, page)
+            body = self.pages.getValue(key)[0] if self.stored is not None and self.pages.containsKey(key) else None
+            self.read[page] = ({} if body is None else json.loads(body), body)
+        return self.read[page][0]
+
+    def write(self) -> None:
+        for page, (part, was) in self.read.items():
+            body = json.dumps(part) if part else None
+            if body is None and was is not None:
+                self.pages.removeKey((self.rec, page))
+            elif body != was:
+                self.pages.updateValue((self.rec, page), (body,))
+            self.read[page] = (part, body)
+        body = json.dumps(self.head)
+        if body != self.stored:
+            self.heads.updateValue((self.rec,), (body,))
+            self.stored = body
 
 
 class Session(StatefulProcessor):
-    """One recording's requests against its state."""
+    """Requests of a shard's recordings against their states."""
 
     def __init__(self, fork: bool, idle_ms: int | None):
         self.fork, self.idle_ms = fork, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queues = handle.getMapState("queues", "pool string, hash string", "places array<int>")
-        self.slots = handle.getMapState("slots", "pool string, place int", "seq long, call_id string, text string")
-        self.pools = handle.getMapState("pools", "pool string", "size int, cursor int")
-        self.by_id = handle.getMapState("by_id", "call_id string", "seqs array<long>, texts array<string>")
-        self.overrides = handle.getMapState("overrides", "call_id string", "text string")
-        # points: answers before each compaction, in order, and their numbers; taken: how many of them; answered: answers served
-        self.points = handle.getValueState("points", "points array<long>, seqs array<long>, taken int, answered long")
-        self.fork_state = handle.getValueState("fork", "budget long, used long, intervention string, served boolean")
+        # A head has points (answers before each compaction, in order), their numbers, how many were taken, answers served, the fork's state, size and
+        # cursor of each pool, how many pages there are and, of a small recording, all that pages would hold.
+        self.heads = handle.getMapState("heads", "rec long", "body string")
+        self.pages = handle.getMapState("pages", "rec long, page string", "body string")
+        self.overrides = handle.getMapState("overrides", "rec long, call_id string", "text string")
         self.timer = handle.getValueState("timer", "at long")
+        self.shard, self.begun = None, {}
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        rows = initialState.sort_values("seq")
-        own = rows[rows.kind == "compaction"]
-        self.points.update(([int(x) for x in own.n], [int(x) for x in own.seq], 0, 0))
-        rows = rows[rows.kind != "compaction"]
-        for pool, found in rows.groupby(_pool(rows), sort=False):
-            queues: dict[str, list[int]] = {}
-            for place, r in enumerate(found.itertuples()):
-                queues.setdefault(r.key, []).append(place)
-                self.slots.updateValue((pool, place), (int(r.seq), _text(r.call_id), _text(r.text)))
-            for h, places in queues.items():
-                if isinstance(h, str):
-                    self.queues.updateValue((pool, h), (places,))
-            self.pools.updateValue((pool,), (len(found), 0))
-        for call, found in rows[rows.kind == "result"].dropna(subset=["call_id"]).groupby("call_id", sort=False):
-            self.by_id.updateValue((call,), ([int(x) for x in found.seq], [_text(x) for x in found.text]))
+        if key != self.shard:
+            self.shard, self.begun = key, {}
+        d = initialState
+        rows = zip(*(d[c].tolist() for c in ("rec", "seq", "kind", "tool", "key", "call_id", "text", "n")), strict=True)
+        came: dict[int, list[tuple]] = {}
+        for rec, *row in rows:
+            came.setdefault(int(rec), []).append(row)
+        for rec, found in came.items():  # the rows of a recording may come in several frames
+            before, was = self.begun.get(rec, ((), None))
+            whole = [*before, *found]
+            for page in was.read if was else ():
+                self.pages.removeKey((rec, page))
+            self.begun[rec] = (whole, self._begin(rec, whole))
+
+    def _begin(self, rec: int, rows: list[list]) -> _Own:
+        rows = sorted(rows, key=lambda r: r[0])
+        points = [r for r in rows if r[1] == "compaction"]
+        rows = [r for r in rows if r[1] != "compaction"]
+        own = self._empty(rec)
+        own.head |= {"points": [int(r[6]) for r in points], "seqs": [int(r[0]) for r in points], "pages": max(-(-len(rows) // PAGE), 1)}
+        pools = own.head["pools"]
+        for seq, kind, tool, h, call, text, _ in rows:
+            pool, seq, call, text = _pool(kind, tool), int(seq), _text(call), _text(text)
+            place = pools.setdefault(pool, [0, 0])[0]
+            pools[pool][0] += 1
+            own.part("s", pool, place)[_item(pool, place)] = [seq, call, text]
+            if isinstance(h, str):
+                own.part("q", _item(pool, h)).setdefault(_item(pool, h), []).append(place)
+            if kind == "result" and call is not None:
+                own.part("i", call).setdefault(call, []).append([seq, text])
+        own.write()
+        return own
+
+    def _empty(self, rec: int) -> _Own:
+        head = {"points": [], "seqs": [], "taken": 0, "answered": 0, "fork": [None, 0, None, False], "pools": {}, "pages": 1, "own": {"s": {}, "q": {}, "i": {}}, "overridden": False}
+        return _Own(rec, self.heads, self.pages, head, None)
+
+    def _open(self, rec: int) -> _Own:
+        if not self.heads.containsKey((rec,)):
+            return self._empty(rec)
+        body = self.heads.getValue((rec,))[0]
+        return _Own(rec, self.heads, self.pages, json.loads(body), body)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        asked = pd.concat(list(rows)).sort_values("req")
+        asked = pd.concat(list(rows)).sort_values(["rec", "req"])
+        begun, self.shard, self.begun = self.begun if key == self.shard else {}, None, {}
         if self.idle_ms is not None:
             if self.timer.exists():
                 self.handle.deleteTimer(self.timer.get()[0])
             at = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(at)
             self.timer.update((at,))
-        points, seqs, taken, answered = self.points.get() if self.points.exists() else ([], [], 0, 0)
-        fork = list(self.fork_state.get()) if self.fork_state.exists() else [None, 0, None, False]
-        out = []
-        for r in asked.itertuples():
+        out: list[tuple] = []
+        columns = zip(*(asked[c].tolist() for c in ("rec", "req", "kind", "tool", "key", "text", "n")), strict=True)
+        for rec, own_rows in groupby(columns, key=lambda r: r[0]):
+            rec = int(rec)
+            own = begun[rec][1] if rec in begun else self._open(rec)
+            self._serve(own, own_rows, out)
+            own.write()
+        yield pd.DataFrame(out, columns=["rec", "req", "kind", "via", "seq", "text"]).astype({"rec": "int64", "req": "int64", "seq": "Int64"})
+
+    def _serve(self, own: _Own, rows: Iterable[tuple], out: list[tuple]) -> None:
+        head, fork = own.head, own.head["fork"]
+        for _, req, kind, tool, h, said, n in rows:
             via, seq, text = None, None, None
-            if r.kind == "override" and isinstance(r.key, str):
-                self.overrides.updateValue((r.key,), (_text(r.text),))
-                fork[2], fork[3] = r.key, False
-            elif r.kind in ("override", "budget"):
-                fork[0] = fork[0] if r.kind == "override" or pd.isna(r.n) else int(r.n)
-            elif r.kind == "answer":
-                found = self._take(ANSWERS, r.key, not self.fork)
+            if kind == "override" and isinstance(h, str):
+                self.overrides.updateValue((own.rec, h), (_text(said),))
+                head["overridden"] = True
+                fork[2], fork[3] = h, False
+            elif kind in ("override", "budget"):
+                fork[0] = fork[0] if kind == "override" or pd.isna(n) else int(n)
+            elif kind == "answer":
+                found = self._take(own, ANSWERS, h, not self.fork)
                 if found is not None:
                     via, seq, _, text = found
-                    answered += 1
+                    head["answered"] += 1
                 else:
-                    via = self._live(fork, r.n) if self.fork else "miss"
-            elif r.kind in ("result", "result_id"):
-                found = self._take(f"result:{_text(r.tool) or ''}", r.key, True) if r.kind == "result" else self._next_of(r.key)
+                    via = self._live(fork, n) if self.fork else "miss"
+            elif kind in ("result", "result_id"):
+                found = self._take(own, _pool("result", tool), h, True) if kind == "result" else self._next_of(own, h)
                 via = "miss"
                 if found is not None:
                     via, seq, call, text = found
-                    if call is not None and self.overrides.containsKey((call,)):
-                        text = self.overrides.getValue((call,))[0]
+                    if call is not None and head["overridden"] and self.overrides.containsKey((own.rec, call)):
+                        text = self.overrides.getValue((own.rec, call))[0]
                         fork[3] |= call == fork[2]
-            elif r.kind == "compaction":
+            elif kind == "compaction":
                 via = "miss"
-                if taken < len(points) and points[taken] == answered:
-                    via, seq, taken = "compaction", seqs[taken], taken + 1
+                if head["taken"] < len(head["points"]) and head["points"][head["taken"]] == head["answered"]:
+                    via, seq = "compaction", head["seqs"][head["taken"]]
+                    head["taken"] += 1
             else:
                 via = "unknown kind"
             if via is not None:
-                out.append((key[0], int(r.req), r.kind, via, seq, text))
-        self.points.update((points, seqs, taken, answered))
-        self.fork_state.update(tuple(fork))
-        yield pd.DataFrame(out, columns=["rec", "req", "kind", "via", "seq", "text"]).astype({"rec": "int64", "req": "int64", "seq": "Int64"})
+                out.append((own.rec, int(req), kind, via, seq, text))
 
-    def _take(self, pool: str, h: str, fall_back: bool) -> tuple | None:
+    @staticmethod
+    def _take(own: _Own, pool: str, h: str, fall_back: bool) -> tuple | None:
         """The first unused slot of that hash, else, falling back, the first unused one: via, seq, call id, text."""
-        if not self.pools.containsKey((pool,)):
+        if pool not in own.head["pools"]:
             return None
-        if isinstance(h, str) and self.queues.containsKey((pool, h)):
-            places = list(self.queues.getValue((pool, h))[0])
+        use = lambda place: own.part("s", pool, place).pop(_item(pool, place), None)
+        if isinstance(h, str):
+            name = _item(pool, h)
+            queues = own.part("q", name)
+            places = queues.get(name, [])
             while places:
-                place = places.pop(0)
-                if self.slots.containsKey((pool, place)):  # else a request without its hash has taken it
-                    self.queues.updateValue((pool, h), (places,))
-                    return "hash", *self._use(pool, place)
-            self.queues.removeKey((pool, h))
+                got = use(places.pop(0))
+                if not places:
+                    del queues[name]
+                if got is not None:  # else a request without its hash has taken it
+                    return "hash", *got
         if not fall_back:
             return None
-        size, cursor = self.pools.getValue((pool,))
-        while cursor < size and not self.slots.containsKey((pool, cursor)):
-            cursor += 1
-        found = ("cursor", *self._use(pool, cursor)) if cursor < size else None
-        self.pools.updateValue((pool,), (size, cursor))
-        return found
-
-    def _use(self, pool: str, place: int) -> tuple:
-        seq, call, text = self.slots.getValue((pool, place))
-        self.slots.removeKey((pool, place))
-        return seq, call, text
-
-    def _next_of(self, call: str) -> tuple | None:
-        if not isinstance(call, str) or not self.by_id.containsKey((call,)):
+        size, cursor = own.head["pools"][pool]
+        got = None
+        while cursor < size and got is None:
+            got = use(cursor)
+            cursor += got is None
+        own.head["pools"][pool][1] = cursor
+        return None if got is None else ("cursor", *got)
+
+    @staticmethod
+    def _next_of(own: _Own, call: str) -> tuple | None:
+        left = own.part("i", call) if isinstance(call, str) else {}
+        if call not in left:
             return None
-        seqs, texts = (list(x) for x in self.by_id.getValue((call,)))
-        seq, text = seqs.pop(0), texts.pop(0)
-        if seqs:
-            self.by_id.updateValue((call,), (seqs, texts))
-        else:
-            self.by_id.removeKey((call,))
+        seq, text = left[call].pop(0)
+        if not left[call]:
+            del left[call]
         return "id", seq, call, text
 
     @staticmethod
@@ -163,7 +235,7 @@ class Session(StatefulProcessor):
         return "live"
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in (self.queues, self.slots, self.pools, self.by_id, self.overrides, self.points, self.fork_state, self.timer):
+        for state in (self.heads, self.pages, self.overrides, self.timer):
             state.clear()
         return iter(())
 
@@ -171,8 +243,12 @@ class Session(StatefulProcessor):
         pass
 
 
-def _pool(rows: pd.DataFrame) -> pd.Series:
-    return ("result:" + rows.tool.fillna("").astype(str)).where(rows.kind == "result", ANSWERS)
+def _pool(kind: str, tool) -> str:
+    return f"result:{_text(tool) or ''}" if kind == "result" else ANSWERS
+
+
+def _item(pool: str, name) -> str:
+    return f"{name}@{pool}"
 
 
 def _text(v) -> str | None:
@@ -215,4 +291,6 @@ def serve_sessions(asked: DataFrame, known: DataFrame, fork: bool = False, idle:
     asked.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     idle_ms = None if idle is None else int(idle * 1000)
     mode = "none" if idle is None else "processingTime"
-    return asked.groupBy("rec").transformWithStateInPandas(Session(fork, idle_ms), OUT, "append", mode, known.groupBy("rec"))
+    shard = F.col("rec") if idle is not None else F.pmod(F.xxhash64("rec"), F.lit(SHARDS))  # a timer is of one recording
+    dealt = lambda d: d.withColumn("shard", shard).groupBy("shard")
+    return dealt(asked).transformWithStateInPandas(Session(fork, idle_ms), OUT, "append", mode, dealt(known))
