@@ -22,6 +22,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many tasks as shuffles have: a file's rows of one row group are read by one task, whatever work follows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_keys(counts: DataFrame, keys: list[str], total: int, k: str = "k") -> DataFrame | None:
     """Of the rows of counts (keys and how many rows each has, in k), those that are hot, with the splits that they need; None: none is."""
     least = max(total // HOT_SHARE, HOT_ROWS)
