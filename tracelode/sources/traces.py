@@ -73,11 +73,19 @@ def read_entries(spark: SparkSession, paths: str | list[str], strict: bool = Tru
     a line that is no object, an entry without id and a file without header raise; else they are left out.
     """
     d, files = _numbered(spark, paths)
-    d = d.where(F.trim("value") != "").withColumn("raw", F.try_parse_json("value"))
-    is_object = F.substring(F.ltrim("value"), 1, 1) == "{"
+    d = d.where(F.trim("value") != "").withColumns({"raw": F.try_parse_json("value"), "is_object": _is_object()})
+    return _entries(_beside(d, files, ["trace"], "lines"), strict)
+
+
+def _is_object() -> Column:
+    return F.substring(F.ltrim("value"), 1, 1) == "{"
+
+
+def _entries(d: DataFrame, strict: bool) -> DataFrame:
+    """Entries of lines (trace, line, raw, is_object, header: the line of the trace's header)."""
     d = d.withColumn("type", F.coalesce(_got("$.type"), F.lit("unknown"))).withColumn("id", _got("$.id"))
-    d = _beside(d, files, ["trace"], "lines").where(F.col("header").isNull() | (F.col("line") != F.col("header")))
-    fault = F.when(F.col("raw").isNull(), "invalid JSON").when(~is_object, "not an object").when(F.col("id").isNull(), "entry without id").when(F.col("header").isNull(), "no session header")
+    d = d.where(F.col("header").isNull() | (F.col("line") != F.col("header")))
+    fault = F.when(F.col("raw").isNull(), "invalid JSON").when(~F.col("is_object"), "not an object").when(F.col("id").isNull(), "entry without id").when(F.col("header").isNull(), "no session header")
     if strict:
         told = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), fault)
         d = d.withColumn("id", F.when(fault.isNotNull(), F.raise_error(told)).otherwise(F.col("id")))
@@ -90,6 +98,35 @@ def read_entries(spark: SparkSession, paths: str | list[str], strict: bool = Tru
     )
 
 
+def write_sessions(lines: DataFrame, at: str) -> None:
+    """Write lines (rec, line, value) of many sessions, each beginning with its header, to a folder: whole sessions one after the other, a file for each task and not for each session."""
+    lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec").sortWithinPartitions("rec", "line").select("value").write.option("maxRecordsPerFile", 0).text(at)
+
+
+def read_sessions(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
+    """Entries as read_entries() gives them, of files with many sessions: each session entry begins a trace of its own.
+
+    A trace is named by its file, its header's id and line (file#id@line); lines are numbered from its header. Files are split: what a
+    split begins within is told by the last header of the splits before it.
+    """
+    d = spark.read.option("lineSep", "\n").text(paths)
+    d = d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    d = d.withColumn("raw", F.try_parse_json("value"))
+    head = lambda at: F.when(_got("$.type") == "session", F.struct(at.alias("at"), F.coalesce(_got("$.id"), F.lit("")).alias("session")))
+    splits = cut(d.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.max(head(F.col("place"))).alias("last")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
+    last = F.when(F.col("last").isNotNull(), F.struct((F.col("last.at") - F.col("first") + F.col("start")).alias("at"), F.col("last.session").alias("session")))
+    splits = splits.withColumn("last", last).withColumn("begun", F.last("last", ignorenulls=True).over(before))
+    d = _beside(d, splits.select("file", "block", "first", "start", "begun", "n"), ["file", "block"], "n").withColumn("at", F.col("place") - F.col("first") + F.col("start"))
+    within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.where(F.trim("value") != "").select("file", "block", "at", "raw", _is_object().alias("is_object"), "begun", head(F.col("at")).alias("own"))
+    d = d.withColumn("head", F.coalesce(F.last("own", ignorenulls=True).over(within), "begun"))
+    trace = F.concat("file", F.when(F.col("head").isNotNull(), F.concat(F.lit("#"), "head.session", F.lit("@"), F.col("head.at").cast("string"))).otherwise(""))
+    line = F.when(F.col("head").isNotNull(), F.col("at") - F.col("head.at") + 1).otherwise(F.col("at")).cast("int")
+    return _entries(d.select(trace.alias("trace"), line.alias("line"), "raw", "is_object", F.when(F.col("head").isNotNull(), F.lit(1)).alias("header")), strict)
+
+
 def _peek(lines: Iterator[str]) -> tuple[str | None, str | None, str | None, str | None]:
     """id and cwd of the first header, the last name that the trace was given before a user spoke, and the first user's text, of a trace's lines."""
     head, name, said = None, None, None
