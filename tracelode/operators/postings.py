@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..plans.lineage import cut
+from ..plans.spread import dealt
 from .search import BONUS, UNKNOWN_IDF
 
 #: Terms that a filter on postings lists; more are joined by a broadcast or, where the vocabulary is large, a shuffle.
@@ -24,7 +25,8 @@ LISTED_TERMS = 1000
 
 def write_postings(docs: DataFrame, doc: str, text: str, at: str) -> None:
     """Write the index of docs to a folder: terms (term, df, idf) and postings (term, doc, tf, idf, norm). What was there is replaced."""
-    found = docs.select(F.col(doc).alias("doc"), F.explode(terms(F.col(text))).alias("term"))
+    own = dealt(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+    found = own.select("doc", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null")  # outer: texts are split once
     tf = cut(found.groupBy("doc", "term").agg(F.count("*").alias("tf")))
     n = tf.select("doc").distinct().count()
     idf = cut(tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1))

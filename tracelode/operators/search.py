@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, terms
 from ..plans.lineage import cut
-from ..plans.spread import before_in_order
+from ..plans.spread import before_in_order, dealt
 
 #: Weight of a term that no document has.
 UNKNOWN_IDF = 0.5
@@ -21,10 +21,11 @@ BONUS = 0.3
 def _document_frequency(docs: DataFrame, text: str) -> DataFrame:
     """term, df, idf. Each document sends a term once, and an empty one to be counted itself; partial counts shrink them before the shuffle.
 
-    Texts are read once: the table, as large as the vocabulary, is cut.
+    Texts are read once and dealt over tasks: the table, as large as the vocabulary, is cut.
     """
-    own = docs.select(F.array_distinct(terms(F.col(text))).alias("terms"))
-    own = own.select(F.explode(F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(""))))).alias("term"))
+    own = dealt(docs.select(text)).select(F.array_distinct(terms(F.col(text))).alias("terms"))
+    # Outer, as else Spark filters by the size of what is exploded, and splits each text once more for it.
+    own = own.select(F.explode_outer(F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(""))))).alias("term")).where("term is not null")
     df = cut(own.groupBy("term").agg(F.count("*").alias("df")))
     whole = df.where("term = ''").first()
     n = whole.df if whole else 0
@@ -36,10 +37,6 @@ def term_statistics(docs: DataFrame, text: str) -> DataFrame:
     return _document_frequency(docs, text).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _within(term: str) -> Column:
-    return F.exists("terms", lambda w: w.contains(term))
-
-
 def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int | None = 10) -> DataFrame:
     """Documents by cosine of TF-IDF with the query's terms, plus a bonus for terms found inside words; 4 places, ties by document.
 
@@ -51,16 +48,16 @@ def search(docs: DataFrame, doc: str, text: str, query: list[str], limit: int |
     # A term that a document has, or that is inside its words, is in its text: only such texts are split.
     low = F.lower(F.col(text))
     has = [low.contains(term) for term in query] or [F.lit(False)]
-    found = docs.where(functools.reduce(lambda a, b: a | b, has)).select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms"))
-    inside = [_within(term).cast("int") for term in query if len(term) > 3] or [F.lit(0)]
-    found = found.withColumn("inside", sum(inside[1:], inside[0]))
-    found = found.where((F.col("inside") > 0) | F.arrays_overlap("terms", F.array(*[F.lit(t) for t in query])))
-    tf = found.select("doc", "inside", F.explode("terms").alias("term")).groupBy("doc", "inside", "term").agg(F.count("*").alias("tf"))
+    found = dealt(docs.where(functools.reduce(lambda a, b: a | b, has)).select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+    # What is inside a document's words is told after they are counted: a filter on the list of them would split each text once more for each term.
+    tf = found.select("doc", F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    inside = [F.max(F.col("term").contains(term).cast("int")) for term in query if len(term) > 3] or [F.lit(0)]
     wanted = F.col("term").isin(*query)
     weight = F.col("tf") * F.col("idf")
-    scored = tf.join(idf, "term").groupBy("doc", "inside").agg(
-        F.sum(F.when(wanted, weight * F.col("idf")).otherwise(0.0)).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"), F.count_if(wanted).cast("long").alias("matched")
-    )
+    scored = tf.join(idf, "term").groupBy("doc").agg(
+        F.sum(F.when(wanted, weight * F.col("idf")).otherwise(0.0)).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"), F.count_if(wanted).cast("long").alias("matched"),
+        sum(inside[1:], inside[0]).alias("inside"),
+    ).where("inside > 0 OR matched > 0")
     known = [r.idf for r in idf.where(wanted).collect()]  # at most the query's terms
     q = math.sqrt(sum(x * x for x in known) + (len(query) - len(known)) * UNKNOWN_IDF**2)
     b = F.col("inside") * BONUS
