@@ -104,3 +104,27 @@ def test_each_command_is_run_once(spark):
     assert asked == ["bad", "x"] and got == {("p", 0), ("q", 0), ("q", 127)}
     with pytest.raises(ValueError, match="more than 1"):
         carry_out.run_validators(v, "name", port, most=1)
+
+
+def test_texts_in_one_row_group_are_split_by_many_tasks(spark, tmp_path):
+    """Their terms are the work, so it isn't left to the one task that reads them."""
+    from tracelode.operators import index, postings, search
+
+    at = str(tmp_path / "docs")
+    spark.range(400).selectExpr("id AS doc", "concat('token word', id % 7, ' license') AS text").coalesce(1).write.parquet(at)
+    docs, tasks = spark.read.parquet(at), []
+    for module in (search, postings, index):
+        was = module.dealt
+        try:
+            module.dealt = lambda d, was=was: tasks.append((out := was(d)).select(F.spark_partition_id()).distinct().count()) or out
+            if module is search:
+                want = search.search(docs, "doc", "text", ["token", "license"]).collect()
+            elif module is postings:
+                postings.write_postings(docs, "doc", "text", str(tmp_path / "p"))
+                assert postings.search_postings(spark, str(tmp_path / "p"), ["token", "license"]).collect() == want
+            else:
+                index.update(docs, "doc", "text", str(tmp_path / "i"))
+                assert index.search_index(spark, str(tmp_path / "i"), ["token", "license"]).collect() == want
+        finally:
+            module.dealt = was
+    assert tasks == [4, 4, 4, 4]

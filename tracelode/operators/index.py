@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..plans.lineage import cut
+from ..plans.spread import dealt
 from .search import BONUS, UNKNOWN_IDF
 
 #: A term that each document with terms has once more, so that its frequency is their number; search never finds it.
@@ -106,8 +107,9 @@ def update(docs: DataFrame, doc: str, text: str, at: str) -> int:
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     here, left = changed.where("digest IS NOT NULL").select("doc", "digest"), changed.where("known").select("doc")
     texts = d.where("doc IS NOT NULL") if span[1] < 0 else d.join(here, "doc", "left_semi")
-    own = texts.select("doc", terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    own = own.select("doc", F.explode(F.concat("terms", F.array(F.lit(ANY)))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    own = dealt(texts).select("doc", terms(F.col("text")).alias("terms"))
+    listed = F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(ANY))))
+    own = own.select("doc", F.explode_outer(listed).alias("term")).where("term IS NOT NULL").groupBy("doc", "term").agg(F.count("*").alias("tf"))
     generation = span[1] + 1
     came = _put(own, at, "by_doc", generation, spread=False)
     change = came.select("term", F.lit(1).alias("one"))
