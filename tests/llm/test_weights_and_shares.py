@@ -68,3 +68,31 @@ def test_documents_are_spread_where_joins_shuffle(spark, monkeypatch):
         assert stand.count() == 400
         dealt = [r[1] for r in stand.repartition(4, *keys).groupBy(F.spark_partition_id()).count().collect()]
         assert len(dealt) == 4 and max(dealt) < 200
+
+
+def test_the_driver_gets_the_sums_of_few_tasks(spark, monkeypatch):
+    rows, gathered = _rows(600, 3), []
+    stats = spark.createDataFrame([(i, quality.statistics([t.encode()])[0].tolist()) for i, t, _ in rows], "id long, x array<double>")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "id long, y int")
+    kind = type(stats)
+    collect = kind.collect
+
+    def counted(self):
+        got = collect(self)
+        gathered.append(sum(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray))))
+        return got
+
+    plain = quality.fit(stats, labels)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(kind, "collect", counted)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spread = quality.fit(stats, labels)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < max(gathered) < 2 << 20  # those of 64 tasks were 46 MB
+    x = np.array([quality.statistics([t.encode()])[0] for _, t, _ in rows])
+    assert spread.score(x) == pytest.approx(plain.score(x), abs=1e-6)

@@ -24,6 +24,7 @@ item. An empty benchmark hits nothing. Columns other than the named ones are ign
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,10 @@ def _bit_table(marks: DataFrame) -> tuple[Column, int]:
     size = min(max(1 << (marks.count() // 4).bit_length(), BIT_WORDS), MOST_BIT_WORDS)
     place = F.pmod("fp", F.lit(64 * size))
     word = marks.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(pmod(fp, {64 * size}) & 63 AS int))").alias("bit"))
-    found = dict(word.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect())  # MOST_BIT_WORDS rows at most
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(size))), ",").cast("array<bigint>"), size
+    got = word.groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()  # MOST_BIT_WORDS rows at most, as batches of numbers
+    found = np.zeros(size, np.int64)
+    found[got["k"].to_numpy()] = got["bits"].to_numpy()
+    return F.split(F.lit(",".join(map(str, found.tolist()))), ",").cast("array<bigint>"), size
 
 
 def _may_meet(bits: tuple[Column, int], fp: Column) -> Column:

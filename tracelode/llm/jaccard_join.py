@@ -319,9 +319,9 @@ class _Join:
             .groupBy(F.shiftright("k", 5).alias("at"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 31 AS int))")).alias("bits"))
         )
-        got = words.toPandas()  # at most FILTER_BITS / 32 rows
+        got = words.toArrow()  # at most FILTER_BITS / 32 rows, as batches of numbers: an object for each would take some 200 bytes
         flat = np.zeros(FILTER_BITS // 32, np.uint32)
-        flat[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+        flat[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
         shared = self.spark.sparkContext.broadcast(flat.view(np.uint8))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         sets = self.texts.mapInArrow(_sets(self.n, shared), "sig binary, grams array<bigint>").join(wanted, "sig", "left_semi")

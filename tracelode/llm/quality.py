@@ -2,8 +2,8 @@
 
 Statistics of the whole text (shares of character classes, word and line repetition, lengths) are
 standardised and mapped to cosines of random projections, which approximate a Gaussian kernel.
-Each partition sums its rows' normal equations; the driver adds these sums, of fixed size, and
-solves for the ridge weights. A held-back fold gives an isotonic (pool-adjacent-violators) map from
+Each partition sums its rows' normal equations; a tree of tasks adds these sums, of fixed size, so that the
+driver gets those of a few tasks only, and solves for the ridge weights. A held-back fold gives an isotonic (pool-adjacent-violators) map from
 raw scores to probabilities, from counts in a fixed number of bins.
 
 Only ``FIT_ROWS`` labelled rows, give or take what a hash does, are fitted on, chosen by hash of id and statistics; every row is scored.
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ FIT_ROWS = 200_000
 #: Random features, ridge penalty (for standardised targets), bins of the calibration.
 FEATURES, RIDGE, BINS = 300, 1.0, 1000
 THRESHOLD = 0.3
+#: Partitions whose normal equations (a third of a MB) one task adds, so the driver gets those of a 16th of the partitions.
+_BRANCH = 16
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!", b"?", b"|", b"#", b"$%&*@^~", b"\"'`", b"()[]{}<>", b"=+-_/\\:;", b" ", b"\n\r", b"\t\x0b\x0c", bytes(range(128, 256))]
 _OF_BYTE = np.zeros((256, len(_CLASSES)))
@@ -125,8 +128,11 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "x"])
 
 
+_HALF = np.triu_indices(FEATURES + 1)  # of a symmetric matrix
+
+
 def _sums(shared):
-    """One row for each partition: the sums of its rows' outer products and of its targets."""
+    """One row for each partition: the sums of its rows' outer products (a half of the matrix) and of its targets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, gram, target = shared.value, np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
@@ -134,11 +140,32 @@ def _sums(shared):
             f, w = model.features(_vectors(b, 0)), b.column(2).to_numpy()
             gram += f.T @ (f * w[:, None])
             target += f.T @ (b.column(1).to_numpy() * w)
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([target.tobytes()])], ["gram", "target"])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.r_[gram[_HALF], target].tobytes()])], ["part", "sums"])
 
     return run
 
 
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each group of _BRANCH partitions, which are added in their order, so that a run gives the same sums again."""
+    found: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for part, sums in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            found.setdefault(part // _BRANCH, []).append((part, sums))
+    total = [sum(np.frombuffer(x) for _, x in sorted(own)).tobytes() for own in found.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(total, pa.binary())], ["part", "sums"])
+
+
+def _normal_equations(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over rows (x, y, w), of at most some hundred partitions."""
+    sums = rows.mapInArrow(_sums(shared), "part int, sums binary").repartition(F.floor(F.col("part") / _BRANCH))
+    got = sorted((r.part, r.sums) for r in sums.mapInArrow(_add_sums, "part int, sums binary").collect())
+    total = sum((np.frombuffer(x) for _, x in got), np.zeros(len(_HALF[0]) + FEATURES + 1))
+    gram = np.zeros((FEATURES + 1, FEATURES + 1))
+    gram[_HALF] = total[: len(_HALF[0])]
+    return gram + np.triu(gram, 1).T, total[len(_HALF[0]) :]
+
+
 def _raw_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +210,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         model.scale[r.k] = max(r.s, 1e-6)
     back = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)) == 0
     shared = spark.sparkContext.broadcast(model)
-    rows = known.where(~back).select("x", "y", "w").mapInArrow(_sums(shared), "gram binary, target binary").collect()  # one of fixed size for each of 64 partitions at most
-    gram = sum((np.frombuffer(r.gram).reshape(FEATURES + 1, -1) for r in rows), np.zeros((FEATURES + 1, FEATURES + 1)))
-    target = sum((np.frombuffer(r.target) for r in rows), np.zeros(FEATURES + 1))
+    gram, target = _normal_equations(known.where(~back).select("x", "y", "w"), shared)
     penalty = RIDGE * np.eye(FEATURES + 1) / FEATURES
     penalty[-1, -1] = 0
     model.weights = np.linalg.lstsq(gram + penalty, target, rcond=None)[0]
