@@ -82,3 +82,25 @@ def test_counters_are_summed_by_a_tree(spark, monkeypatch):
     many = jaccard_join._Join(docs.repartition(20), "doc_id", "text", 3, 0.8, 1 << 12)
     kept = lambda j: sorted((r.gram, bytes(r.sig), r.n, r.pos) for r in j.posted.collect())
     assert kept(one) == kept(many) and kept(one)
+
+
+def test_postings_that_cannot_be_hot_are_dealt_once(spark, monkeypatch):
+    written, real = [], jaccard_join.cut_table
+
+    def counted(df):
+        written.append(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(jaccard_join, "cut_table", counted)
+    texts = _near_copies(60, 6)
+    docs = spark.createDataFrame(rows(texts), DOCS).repartition(5)
+    found = lambda: sorted((r.id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, n=3, threshold=0.8).collect())
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 1000)
+    once = found()
+    assert [c for c in written if "k" in c] == [] and "sig" not in written[0]  # no table of met n-grams, and no signature in each row
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1 << 30)
+    written.clear()
+    assert found() == once and any("k" in c for c in written)
+    monkeypatch.setattr(spread, "HOT_ROWS", 10)  # some are hot as well
+    assert found() == once

@@ -19,7 +19,8 @@ verified doesn't come up again in the later one.
 
 Whatever holds more than a fixed part of a join's rows (an n-gram, a leader, a hub of links, a class
 of copies) is dealt over several tasks, the other side's row repeated for each; there are fewer such
-keys than that part's inverse, so their list is bounded. Counters are summed by a tree of tasks.
+keys than that part's inverse, so their list is bounded. An n-gram has no more postings than its counter says, so those of
+small counters are known not to be hot and are dealt once. Counters are summed by a tree of tasks.
 
 A group of many near copies shares its n-grams, and all its pairs are links, so listing pairs
 would be quadratic. For components that isn't needed: each posted n-gram names a leader (the member
@@ -48,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.spread import components
+from ..plans.spread import HOT_ROWS, HOT_SHARE, components
 from .common import arrow_limits, cut, cut_table, drop_table, hot_keys, split_join
 
 #: Hashed counters of n-grams (4 bytes each, so the broadcast is 8 MB at any size of input); a parameter. With T n-grams in all,
@@ -157,13 +158,13 @@ def _overlap_needed(t: Fraction, a: int, b: int) -> int:
 
 
 def _postings(n: int, t: Fraction, counts) -> Callable:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-    names = ["gram", "sig", "n", "pos"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["gram", "own", "n", "pos", "most"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, frequency, done = _WordHashes(), counts.value, set()
         for b in batches:
-            grams, sigs, sizes, lengths = [], [], [], []
+            grams, owns, sizes, lengths, most = [], [], [], [], []
             for text in b.column(0).to_pylist():
                 s = ngram_set(text or b"", n, seen)
                 if not len(s):
@@ -175,17 +176,19 @@ def _postings(n: int, t: Fraction, counts) -> Callable:
                     done.add(sig)
                 prefix = len(s) - (-(-t.numerator * len(s) // t.denominator)) + 1
                 f = frequency[s & (len(frequency) - 1)]
-                grams.append(s[np.lexsort((s, f))[:prefix]])
-                sigs.append(sig)
+                first = np.lexsort((s, f))[:prefix]
+                grams.append(s[first])
+                most.append(f[first])
+                owns.append(xxhash.xxh64_intdigest(sig, 42))  # as xxhash64() has it
                 sizes.append(len(s))
                 lengths.append(prefix)
-            if not sigs:
+            if not owns:
                 continue
             k = np.array(lengths)
             at = np.repeat(np.arange(len(k)), k)
             pos = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
-            cols = [np.concatenate(grams), None, np.array(sizes)[at], pos]
-            arrays = [pa.array(sigs, pa.binary()).take(pa.array(at)) if c is None else pa.array(c.astype(np.int64)).cast(kind) for c, kind in zip(cols, kinds, strict=True)]
+            cols = [np.concatenate(grams), np.array(owns, np.uint64).view(np.int64)[at], np.array(sizes)[at], pos, np.concatenate(most)]
+            arrays = [pa.array(c.astype(np.int64)).cast(kind) for c, kind in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
@@ -249,27 +252,43 @@ class _Join:
         self.classes = cut(self.rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("k")))
         counts = _summed(first.where("chunk is not null").select("chunk", "part", "counts"), counters)
         shared = spark.sparkContext.broadcast(counts)
-        posted = self.texts.select("body").mapInArrow(_postings(n, self.t, shared), "gram long, sig binary, n int, pos int")
+        posted = self.texts.select("body").mapInArrow(_postings(n, self.t, shared), "gram long, own long, n int, pos int, most long")
         posted, at = cut_table(posted)
-        # N-grams of one class only join nothing: what is left after them is small.
-        own = F.xxhash64("sig")
-        met = posted.groupBy("gram").agg(F.min(own).alias("s0"), F.max(own).alias("s1"), F.count("*").alias("k")).where("s0 <> s1").select("gram", "k")
-        met, met_at = cut_table(met)
-        hot = hot_keys(met, ["gram"], met.agg(F.sum("k")).first()[0] or 0)
-        rest = split_join(posted, met.drop("k"), ["gram"], hot, by=["sig"]).groupBy("gram", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-        # Only rows whose neighbour by size passes the length filter have any partner. Hot n-grams are not sorted by size; all their rows stay.
-        rest = rest.withColumn("splits", F.lit(None).cast("int")) if hot is None else rest.join(F.broadcast(hot), "gram", "left")
-        slot = F.pmod(own, F.coalesce("splits", F.lit(1)))
-        by_size = Window.partitionBy("gram", slot).orderBy("n", "sig")
-        rest = rest.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
-        p, q = self.t.numerator, self.t.denominator
-        near = (F.col("below") * q >= F.col("n") * p) | (F.col("n") * q >= F.col("above") * p)
-        rest = rest.where(F.col("splits").isNotNull() | near).drop("below", "above", "splits")
-        rest = rest.join(first.where("n > 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in (*_PARTS, *_PARITY)]), "sig")
+        # An n-gram has no more rows than its counter says, so only those of large counters may be hot; all others are dealt once.
+        limit = max(posted.count() // HOT_SHARE, HOT_ROWS)
+        rest = self._near(posted.where(F.col("most") <= limit).drop("most").repartition("gram"))
+        often, met_at = posted.where(F.col("most") > limit).drop("most"), None
+        if not often.isEmpty():
+            # N-grams of one class only join nothing: what is left after them is small.
+            met = often.groupBy("gram").agg(F.min("own").alias("s0"), F.max("own").alias("s1"), F.count("*").alias("k")).where("s0 <> s1").select("gram", "k")
+            met, met_at = cut_table(met)
+            hot = hot_keys(met, ["gram"], met.agg(F.sum("k")).first()[0] or 0)
+            found = split_join(often, met.drop("k"), ["gram"], hot, by=["own"]).groupBy("gram", "own").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+            if hot is None:
+                rest = rest.union(self._near(found.repartition("gram")))
+            else:  # hot n-grams are not sorted by size; all their rows stay
+                found = found.join(F.broadcast(hot), "gram", "left")
+                cool, spread = (found.where(x).drop("splits") for x in ("splits is null", "splits is not null"))
+                rest = rest.union(self._near(cool.repartition("gram"))).union(spread)
+        # Rows carry a hash of their class so far, which takes a third of its signature's room; should two classes have the same, both get the row.
+        known = first.where("n > 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in (*_PARTS, *_PARITY)])
+        rest = rest.join(known.withColumn("own", F.xxhash64("sig")), "own").drop("own")
         self.posted, self.at = cut_table(rest)
         self.hot = hot_keys(self.posted.groupBy("gram").agg(F.count("*").alias("k")), ["gram"], self.posted.count())
         drop_table(spark, at)
-        drop_table(spark, met_at)
+        if met_at is not None:
+            drop_table(spark, met_at)
+
+    def _near(self, posted: DataFrame) -> DataFrame:
+        """A row of each class and n-gram (none of them hot), of n-grams of several classes, if a neighbour by size passes the length filter: only such rows have any partner."""
+        by_size = Window.partitionBy("gram").orderBy("n", "own")
+        every = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rest = posted.withColumn("before", F.lag("own").over(by_size)).withColumn("s0", F.min("own").over(every)).withColumn("s1", F.max("own").over(every))
+        rest = rest.where((F.col("s0") != F.col("s1")) & ~F.col("own").eqNullSafe(F.col("before"))).drop("before", "s0", "s1")
+        rest = rest.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+        p, q = self.t.numerator, self.t.denominator
+        near = (F.col("below") * q >= F.col("n") * p) | (F.col("n") * q >= F.col("above") * p)
+        return rest.where(near).drop("below", "above")
 
     def pairs_with_leaders(self) -> DataFrame:
         """Each class with the leader of each of its n-grams, if the filters let the pair pass."""
