@@ -72,3 +72,37 @@ def test_empty_and_bad(spark):
             byte_bpe.decode_ids(spark.createDataFrame([(1, bad)], "id long, token_ids array<int>")).collect()
     with pytest.raises(ValueError, match="every byte"):
         byte_bpe.Vocabulary([b"a"], "a")
+
+
+def test_tables_are_not_in_plans(spark):
+    # Plans are kept by the driver as text, some for each query: what folding reads isn't spelled out there, nor copied into rows.
+    d = spark.range(5).selectExpr("id AS doc_id", "concat_ws(' ', 'some words', id, reverse(sha2(cast(id AS string), 256))) AS text")
+    plan = byte_bpe.decode_ids(byte_bpe.encode_texts(d))._jdf.queryExecution()
+    assert len(plan.executedPlan().toString()) < 1_000_000
+    rows = plan.optimizedPlan().toString().split("\n")
+    held = [r for r in rows if "scalar-subquery" in r]
+    assert held and not any("AS tables" in r for r in held)
+
+
+def test_ranks_of_displaced_rows():
+    rng = random.Random(5)
+    # Rows of all sizes: some that fit nowhere between the others.
+    pairs = {(a, b): rng.randrange(1 << 17) for a in range(300) for b in rng.sample(range(400), rng.choice((1, 1, 2, 30, 399)))}
+    base, cells = byte_bpe.displaced(pairs, 400)
+    for a in range(400):
+        for b in range(400):
+            at = base[a] + b
+            own = cells[at] ^ a << 18 if at < len(cells) else 1 << 18
+            assert (own if own < 1 << 18 else None) == pairs.get((a, b))
+    assert byte_bpe.displaced({}, 3)[0].tolist() == [0, 0, 0, 0]
+
+
+def test_words_with_the_signs_of_packed_entries(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "DIRECT_WORDS", 0)
+    vocabulary = byte_bpe.read_ranks()
+    own = byte_bpe.Vocabulary(vocabulary.pieces, r"\S+|\s+")
+    texts = ["ab ab cd cd ef ef gh gh " * 3, "ab\x0264\x01cd", "ab\x02", "\x01ab\x02", "\x01", "ab\x02397\x01cd"]
+    texts += [f"{a}\x02{' '.join(map(str, _library(own).encode_ordinary(a)))}\x01{b}" for a in ("ab", "cd", "ef", "gh") for b in ("ab", "cd", "ef", "gh")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.token_ids for r in byte_bpe.encode_texts(d, vocabulary=own).orderBy("id").collect()]
+    assert got == [_library(own).encode_ordinary(t) for t in texts]

@@ -1,17 +1,19 @@
 """Byte-level BPE by folding ranked merges over byte arrays in Spark's higher-order functions.
 
 A text is cut into words by the vocabulary's pattern. A word is an array of symbols, at first its bytes,
-with the rank of each pair of neighbours from a literal map (pairs of symbols to rank, dealt into buckets so that
-a look-up reads a few entries). A fold takes the leftmost pair of lowest rank, merges it and looks up
+with the rank of each pair of neighbours from a literal map (the pairs of each left symbol as a row of ranks, all rows laid
+over each other in one array, so that a look-up reads two numbers). A fold takes the leftmost pair of lowest rank, merges it and looks up
 the two pairs that this makes, until no pair has a rank. The frequent words of the whole corpus, counted over all of it, are
 folded once each and go into further literals, of bounded size; the others are folded where they stand. So no text
 leaves its task and nothing but distinct words and their counts is shuffled. These only save work: ids don't depend on them.
 
+Literals come into the plan as results of subqueries, so they are in Spark's binary form and plans as text, which the driver keeps, don't spell them out.
+
 A word of many bytes is first cut between bytes that stand next to each other in no piece, which no merge can cross. In a
 part that is still long, all occurrences of the pair are merged in one step where that equals merging one by one: no pair
 on the way may rank lower than it, and no other pair of symbols may have its rank. So runs of one character take a few steps.
 
-Ids are decoded by concatenating the binary pieces that they stand for, cut out of one binary literal.
+Ids are decoded by concatenating the pieces that they stand for, from a literal that has each byte as a character.
 
 Defined results: null text is empty and has no ids; null ids decode to null. Texts of any length are encoded whole; the
 time for a part that is neither cut nor repetitive grows with the square of its length. Rows that repeat an id are
@@ -22,30 +24,36 @@ their names. An id outside the vocabulary raises an error when decoded. The patt
 from __future__ import annotations
 
 import base64
-import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 from pathlib import Path
 
-import xxhash
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, drop_table
+from .common import cut, cut_table, drop_table, quoted
 
-#: Frequent words whose ids are kept, at most, and bytes of each of them: with their ids some 3 MB, 10 MB at most. Of these, words in literal maps; the others are
-#: packed, a string for some words, which takes a tenth of the memory and longer to read.
-CACHED_WORDS, CACHED_BYTES, DIRECT_WORDS = 1 << 17, 32, 1 << 13
-#: Signs that begin an entry of packed words, part a word from its ids, and part buckets; words with one of them are not packed.
-_ENTRY, _IDS, _BUCKET = "\x01", "\x02", "\x03"
+#: Frequent words whose ids are kept, at most, and bytes of each of them. Those that are very frequent are in maps, the others packed, a string for some words,
+#: which takes less memory and longer to read.
+CACHED_WORDS, CACHED_BYTES, DIRECT_WORDS = 1 << 20, 24, 1 << 13
+#: Signs that begin an entry of packed words, and part a word from its ids; words with one of them are not packed.
+_ENTRY, _IDS = "\x01", "\x02"
+#: Parts pieces; no Latin-1 character.
+_PIECE = "\u0100"
 #: Parts of this many symbols or more are tried with all occurrences of a pair at once.
 LONG = 64
 _NONE = (1 << 31) - 1
 #: Bits of a symbol or rank, and of a place, in a cell of the fold; a cell without a rank is _DONE or more.
 _BITS, _PLACE_BITS = 18, 27
 _MOST = (1 << _BITS) - 1
-_CELLS, _IDS_TYPE = "array<bigint>", "array<int>"
+_REST = (1 << (_BITS + _PLACE_BITS)) - 1
+_IDS_TYPE = "array<int>"
 _DONE = _MOST << (_BITS + _PLACE_BITS)
+#: Places that are tried for a row of ranks, and how many more where none of them fits.
+_TRIES = (64, 1 << 12, 1 << 18)
 #: Where the characters that stand for symbols begin, in a part that is merged all at once.
 _FIRST = 0x10000
 
@@ -102,43 +110,66 @@ def read_ranks(path: str | None = None, pattern: str | None = None) -> Vocabular
     return Vocabulary([ranks[i] for i in range(len(ranks))], pattern)
 
 
-def _let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
-    """body of value, of type kind. The value is computed once however often body names it.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it: the start and the end of an aggregation of nothing."""
+    return F.aggregate(F.array().cast(_IDS_TYPE), value, lambda x, _: x, body)
 
-    An aggregation of one element; taking the element of a transformed array would ask for the type of all that is nested in it, for each row.
-    """
-    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
+
+def _lets(values: list[Column], body: Callable[..., Column]) -> Column:
+    """body of all values, each bound by itself."""
+    return body() if not values else _let(values[0], lambda x: _lets(values[1:], lambda *more: body(x, *more)))
+
+
+def _joined(*arrays: Column) -> Column:
+    """Arrays one after the other."""
+    return F.flatten(F.array(*arrays))
 
 
 def _bucket(key: Column, buckets: int) -> Column:
-    """Spark's hash of a long, or of a text, is XXH64 of its bytes with this seed."""
     return F.xxhash64(key).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def _literal_map(entries: Iterable[tuple[bytes, str, str]], size: int, kind: str) -> tuple[Column, int]:
-    """An array of maps as a literal, and its length: bucket b holds the entries (what is hashed, key, value as JSON) with that hash. Entries are few."""
-    buckets = 1 << max((size // 3).bit_length(), 1)  # about three entries each
-    parts = [""] * buckets
-    for hashed, key, value in entries:
-        parts[xxhash.xxh64_intdigest(hashed, 42) & (buckets - 1)] += f",{json.dumps(key)}:{value}"
-    # Folded into one literal when the plan is optimised.
-    return F.from_json(F.lit("[" + ",".join(f"{{{p[1:]}}}" for p in parts) + "]"), f"array<map<string,{kind}>>"), buckets
+def displaced(pairs: dict[tuple[int, int], int], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of pairs as rows of their left symbols laid over each other in one array: base by symbol, and the array.
+
+    The entry of (a, b) is at base[a] + b and holds a and the rank, so that an entry of another row is told by its a.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), rank in pairs.items():
+        rows.setdefault(a, []).append((b, rank))
+    size = 1 << (4 * len(pairs) + 1).bit_length()
+    base, used, end, rng = np.zeros(symbols + 1, np.int64), np.zeros(size, bool), size, np.random.default_rng(0)
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        b = np.array([b for b, _ in row], np.int64)
+        width = int(b.max()) + 1
+        tries = np.zeros(0, np.int64)
+        for n in _TRIES if width < size else ():
+            tries = rng.integers(0, size - width, n)
+            for x in b.tolist():
+                tries = tries[~used[tries + x]]
+            if len(tries):
+                break
+        if len(tries):
+            base[a] = tries[0]
+            used[tries[0] + b] = True
+        else:  # behind all others
+            base[a], end = end, end + width
+    cells = np.full(end, _MOST << _BITS, np.int64)
+    for (a, b), rank in pairs.items():
+        cells[base[a] + b] = a << _BITS | rank
+    return base.astype(np.int32), cells
 
 
-def _cell(rank: Column, place: Column, symbol: Column) -> Column:
-    return F.shiftleft(rank, _BITS + _PLACE_BITS).bitwiseOR(F.shiftleft(place, _BITS)).bitwiseOR(symbol)
+def _cell(rank: Column, rest: Column) -> Column:
+    return F.shiftleft(rank, _BITS + _PLACE_BITS).bitwiseOR(rest)
 
 
 def _rank_of(cell: Column) -> Column:
     return F.shiftright(cell, _BITS + _PLACE_BITS)
 
 
-def _place(cell: Column) -> Column:
-    return F.shiftright(cell, _BITS).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-
-
 def _symbol(cell: Column) -> Column:
-    return cell.bitwiseAND(F.lit(_MOST).cast("long"))
+    return cell.bitwiseAND(F.lit(_MOST).cast("long")).cast("int")
 
 
 class Codec:
@@ -146,88 +177,102 @@ class Codec:
 
     def __init__(self, spark, vocabulary: Vocabulary):
         self.spark, self.vocabulary = spark, vocabulary
-        pairs = vocabulary.pairs()
-        keyed = (((a << _BITS) | b, r) for (a, b), r in pairs.items())
-        ranks, self.buckets = _literal_map(((k.to_bytes(8, "little"), str(k), str(r)) for k, r in keyed), len(pairs), "int")
-        self.ranks = ranks.cast("array<map<bigint,int>>")
-        self.byte_ids = self._numbers(vocabulary.id_of[bytes([b])] for b in range(256))
-        near = bytearray(1 << 16)
-        for p in vocabulary.pieces:
-            for a, b in zip(p, p[1:], strict=False):
-                near[a << 8 | b] = 1
-        self.near = self._numbers(near)
-        starts = [0]
-        for p in vocabulary.pieces:
-            starts.append(starts[-1] + len(p))
-        self.starts, self.blob = self._numbers(starts), F.lit(b"".join(vocabulary.pieces))
+        #: A symbol that stands before all others and is in no pair.
+        self.front = len(vocabulary.pieces)
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        """One row with what folding reads: base and ranks of pairs, symbols of bytes, bytes that are neighbours in a piece, signs of symbols."""
+        base, ranks = displaced(self.vocabulary.pairs(), self.front)
+        near = np.zeros(1 << 16, np.int32)
+        for p in self.vocabulary.pieces:
+            own = np.frombuffer(p, np.uint8).astype(np.int32)
+            near[own[:-1] << 8 | own[1:]] = 1
+        signs = [chr(_FIRST + i) for i in range(self.front)]
+        arrays = {"base": base, "ranks": ranks, "byte_ids": np.array([self.vocabulary.id_of[bytes([b])] for b in range(256)], np.int32), "near": near, "signs": signs}
+        return self.spark.createDataFrame(pa.table({n: pa.array([x]) for n, x in arrays.items()}))
 
     @staticmethod
-    def _numbers(values) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-
-    def tables(self, more: dict[str, Column] | None = None) -> Column:
-        """All literals that encoding reads. Bound once for a row, so that a plan holds one of each however often expressions read them."""
-        own = {"ranks": self.ranks, "byte_ids": self.byte_ids, "near": self.near, "signs": self.signs} | (more or {})
-        return F.struct(*[c.alias(n) for n, c in own.items()])
+    def bound(docs: DataFrame, tables: list[DataFrame], keep: list[Column], use: Column, body: Callable[[dict[str, Column], Column], Column], name: str) -> DataFrame:
+        """keep and, by that name, body of the columns of tables, of one row each, and of the column use. The tables are literals in the plan that runs, in Spark's binary form and named once.
+
+        A subquery can't stand in a higher-order function, so it is a column at first; the optimiser puts it where that is read,
+        as long as no other column of that step is read twice.
+        """
+        own = [f"tables{k}" for k in range(len(tables))]
+        held = docs.select(*keep, use.alias("used"), *[t.select(F.struct("*")).scalar().alias(n) for t, n in zip(tables, own, strict=True)])
+        names = [n for t in tables for n in t.columns]
+        fields = lambda *x: _lets([v[n] for v, t in zip(x, tables, strict=True) for n in t.columns], lambda *y: body(dict(zip(names, y, strict=True)), F.col("used")))
+        return held.select(*[F.col(quoted(n)) for n in held.columns[: len(keep)]], _lets([F.col(n) for n in own], fields).alias(name))
 
     def words(self, text: Column) -> Column:
         # (?U): white space as Unicode has it.
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.vocabulary.pattern), F.lit(0))
 
-    def _rank(self, t: Column, a: Column, b: Column) -> Column:
-        """The rank of a pair of symbols (longs); a null symbol makes none."""
-        key = F.shiftleft(a, _BITS).bitwiseOR(b)
-        return F.coalesce(_let(key, "bigint", lambda k: F.get(t["ranks"], _bucket(k, self.buckets))[k].cast("long")), F.lit(_MOST).cast("long"))
-
-    def _cells(self, t: Column, sym: Column) -> Column:
-        """Symbols (longs) as cells: the rank of the pair that begins here, the place, the symbol, in one number. The least cell is the leftmost pair of lowest rank."""
-        return F.transform(sym, lambda a, i: _cell(self._rank(t, a, F.get(sym, i + 1)), i.cast("long"), a))
-
-    def _merge_one(self, t: Column, cells: Column, low: Column) -> Column:
-        """The pair that begins at place low.at (from 1) becomes the symbol low.m."""
-        at, m = low["at"], low["m"]
-        own = F.get(cells, at - 1)
-        left = F.transform(F.slice(cells, F.greatest(at - 1, F.lit(1)), F.least(at - 1, F.lit(1))), lambda x: _cell(self._rank(t, _symbol(x), m), _place(x), _symbol(x)))
-        merged = F.array(_cell(self._rank(t, m, _symbol(F.get(cells, at + 1))), _place(own), m))
-        return F.flatten(F.array(F.slice(cells, F.lit(1), F.greatest(at - 2, F.lit(0))), left, merged, F.slice(cells, at + 2, F.size(cells))))
-
-    def _merge_all(self, t: Column, cells: Column, low: Column) -> Column:
-        """Every occurrence of that pair, from the left, becomes the symbol low.m; null where merging one by one might go another way."""
-        at, m = low["at"], low["m"]
-        sign = lambda x: F.get(t["signs"], x.cast("int"))
+    def _rank(self, t: dict[str, Column], a: Column, b: Column) -> Column:
+        """The rank of a pair of symbols; a null symbol makes none."""
+        # What isn't of this row differs in a, so that more than a rank is left; least() passes over null.
+        return F.least(F.get(t["ranks"], F.get(t["base"], a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), _BITS)), F.lit(_MOST).cast("long"))
+
+    def _cells(self, t: dict[str, Column], sym: Column) -> Column:
+        """Symbols as cells: the rank of the pair that begins here, the place (from 1), the symbol, in one number; before them the front.
+
+        The least cell is the leftmost pair of lowest rank.
+        """
+        cell = lambda a, i: _cell(self._rank(t, a, F.get(sym, i + 1)), F.shiftleft((i + 2).cast("long"), _BITS).bitwiseOR(a.cast("long")))
+        return _joined(F.array(F.lit(_DONE | self.front).cast("long")), F.transform(sym, cell))
+
+    def _merge_one(self, t: dict[str, Column], cells: Column, x: Column, at: Column, m: Column, behind: Callable[[Column], Column] = lambda c: c) -> Column:
+        """The pair of the cell x, at place at, becomes the symbol m; behind of the cells after it."""
+        left = lambda c: _cell(self._rank(t, _symbol(c), m), c.bitwiseAND(F.lit(_REST)))
+        merged = _cell(self._rank(t, m, _symbol(F.get(cells, at + 1))), x.bitwiseAND(F.lit(_REST - _MOST)).bitwiseOR(m.cast("long")))
+        both = F.array(_let(F.get(cells, at - 2), left), merged)
+        return _joined(F.slice(cells, F.lit(1), at - 2), both, behind(F.slice(cells, at + 2, F.size(cells))))
+
+    def _merge_all(self, t: dict[str, Column], cells: Column, at: Column, m: Column) -> Column:
+        """Every occurrence of that pair, from the left, becomes the symbol m; null where merging one by one might go another way."""
+        sign = lambda x: F.get(t["signs"], x)
         a, b = _symbol(F.get(cells, at - 1)), _symbol(F.get(cells, at))
         same = ~F.exists(cells, lambda x: (_rank_of(x) == m) & (_symbol(x) != a))
-        # With the same left symbol and rank, the right one is the same too.
+        # With the same left symbol and rank, the right one is the same too. The front has no sign.
         text = F.replace(F.array_join(F.transform(cells, lambda x: sign(_symbol(x))), ""), F.concat(sign(a), sign(b)), sign(m))
-        merged = _let(F.transform(F.split(text, ""), lambda c: (F.ascii(c) - _FIRST).cast("long")), _CELLS, lambda x: self._cells(t, x))
+        merged = _let(F.transform(F.split(text, ""), lambda c: F.ascii(c) - _FIRST), lambda x: self._cells(t, x))
         allowed = same & (self._rank(t, m, a) > m)
-        return F.when(allowed, _let(merged, _CELLS, lambda x: F.when(_rank_of(F.array_min(x)) > m, x)))
+        return F.when(allowed, _let(merged, lambda x: F.when(_rank_of(F.array_min(x)) > m, x)))
 
-    def _fold(self, t: Column, sym: Column) -> Column:
-        """The symbols that are left when no pair has a rank."""
-        def step(cells: Column, _: Column) -> Column:
-            low = lambda x: F.struct(F.array_position(cells, x).cast("int").alias("at"), _rank_of(x).alias("m"))
-            return _let(F.array_min(cells), _CELLS, lambda x: F.when(x >= _DONE, cells).otherwise(_let(low(x), _CELLS, lambda y: self._merge_one(t, cells, y))))
+    @staticmethod
+    def _symbols(cells: Column) -> Column:
+        return F.transform(F.slice(cells, F.lit(2), F.size(cells)), _symbol)
 
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(sym), F.lit(2))), self._cells(t, sym), step, lambda cells: F.transform(cells, lambda x: _symbol(x).cast("int")))
+    @staticmethod
+    def _lowest(cells: Column, place: Callable[[Column], Column], done: Column, merge: Callable[[Column, Column, Column], Column]) -> Column:
+        """merge of the least cell, its place and its rank; done if there is no pair."""
+        low = lambda x: _lets([place(x), _rank_of(x).cast("int")], lambda at, m: merge(x, at, m))
+        return _let(F.array_min(cells), lambda x: F.when(x >= _DONE, done).otherwise(low(x)))
 
-    def _fold_all(self, t: Column, sym: Column) -> Column:
+    def _fold(self, t: dict[str, Column], sym: Column) -> Column:
+        """The symbols that are left when no pair has a rank."""
+        # Cells keep the place that they have just now: looking for a cell takes longer than telling those behind, which are few.
+        place = lambda x: F.shiftright(x, _BITS).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+        behind = lambda c: F.transform(c, lambda x: x - F.lit(1 << _BITS))
+        step = lambda cells, _: self._lowest(cells, place, cells, lambda x, at, m: self._merge_one(t, cells, x, at, m, behind))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(sym), F.lit(2))), self._cells(t, sym), step, self._symbols)
+
+    def _fold_all(self, t: dict[str, Column], sym: Column) -> Column:
         """The same, all occurrences of a pair at once where that may be."""
         def step(s: Column, _: Column) -> Column:
-            cells = s["cells"]
-            low = lambda x: F.struct(F.array_position(cells, x).cast("int").alias("at"), _rank_of(x).alias("m"))
-            merged = lambda y: F.coalesce(self._merge_all(t, cells, y), self._merge_one(t, cells, y))
             state = lambda c, done: F.struct(c.alias("cells"), F.lit(done).alias("done"))
-            new = _let(F.array_min(cells), f"struct<cells:{_CELLS},done:boolean>", lambda x: F.when(x >= _DONE, state(cells, True)).otherwise(state(_let(low(x), _CELLS, merged), False)))
-            return F.when(s["done"], s).otherwise(new)
+            place = lambda c: lambda x: F.array_position(c, x).cast("int")
+            merged = lambda c: self._lowest(c, place(c), state(c, True), lambda x, at, m: state(F.coalesce(self._merge_all(t, c, at, m), self._merge_one(t, c, x, at, m)), False))
+            return F.when(s["done"], s).otherwise(_let(s["cells"], merged))
 
         # Steps by the dozens: each step that is passed over copies the cells.
         steps = F.sequence(F.lit(1), F.lit(LONG))
         start = F.struct(self._cells(t, sym).alias("cells"), F.lit(False).alias("done"))
         many = lambda s, _: F.when(s["done"], s).otherwise(F.aggregate(steps, s, step))
-        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(sym) / LONG).cast("int")), start, many, lambda s: F.transform(s["cells"], lambda x: _symbol(x).cast("int")))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(sym) / LONG).cast("int")), start, many, lambda s: self._symbols(s["cells"]))
 
-    def _fold_long(self, t: Column, sym: Column, codes: Column) -> Column:
+    def _fold_long(self, t: dict[str, Column], sym: Column, codes: Column) -> Column:
         """The same for many bytes: parts that no merge crosses by themselves."""
         parted = lambda i: (i == 0) | (F.get(t["near"], F.get(codes, i - 1) * 256 + F.get(codes, i)) == 0)
         places = F.filter(F.sequence(F.lit(0), F.size(sym) - 1), parted)
@@ -235,29 +280,24 @@ class Codec:
         def parts(p: Column) -> Column:
             end = lambda i: F.coalesce(F.get(p, i + 1), F.size(sym))
             fold = lambda x: F.when(F.size(x) < LONG, self._fold(t, x)).otherwise(self._fold_all(t, x))
-            return F.flatten(F.transform(p, lambda at, i: _let(F.slice(sym, at + 1, end(i) - at), _IDS_TYPE, fold)))
+            return F.flatten(F.transform(p, lambda at, i: _let(F.slice(sym, at + 1, end(i) - at), fold)))
 
-        return _let(places, _IDS_TYPE, parts)
+        return _let(places, parts)
 
-    def fold_word(self, t: Column, word: Column) -> Column:
+    def fold_word(self, t: dict[str, Column], word: Column) -> Column:
         """The ids of a word that isn't empty."""
         # As Latin-1 every byte is a character.
-        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
-        symbols = lambda c: F.transform(c, lambda x: F.get(t["byte_ids"], x).cast("long"))
-        short = lambda c: _let(symbols(c), _IDS_TYPE, lambda s: self._fold(t, s))
-        long = lambda c: _let(symbols(c), _IDS_TYPE, lambda s: self._fold_long(t, s, c))
-        return _let(codes, _IDS_TYPE, lambda c: F.when(F.size(c) < LONG, short(c)).otherwise(long(c)))
-
-    @property
-    def signs(self) -> Column:
-        return F.split(F.lit("".join(chr(_FIRST + i) for i in range(len(self.vocabulary.pieces)))), "")
+        signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        symbols = lambda s: F.transform(s, lambda c: F.get(t["byte_ids"], F.ascii(c)))
+        long = lambda s: _lets([symbols(s), F.transform(s, F.ascii)], lambda sym, codes: self._fold_long(t, sym, codes))
+        return _let(signs, lambda s: F.when(F.size(s) < LONG, _let(symbols(s), lambda sym: self._fold(t, sym))).otherwise(long(s)))
 
     def _counted(self, docs: DataFrame, text_col: str, most: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-        """The most frequent words of docs (w, level, ids as text), and how many each level of frequency has, from the top."""
+        """The most frequent words of docs (w, level, ids), and how many each level of frequency has, from the top."""
         spark = self.spark
         words = docs.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.octet_length("w").between(2, CACHED_BYTES))
         level = F.floor(F.log(F.col("k")) * 16).cast("int")
-        counts, at = cut_table(words.groupBy("w").agg(F.count("*").alias("k")).where((F.col("k") > 1) & ~F.col("w").rlike(f"[{_ENTRY}{_IDS}{_BUCKET}]")).withColumn("level", level))
+        counts, at = cut_table(words.groupBy("w").agg(F.count("*").alias("k")).where((F.col("k") > 1) & ~F.col("w").rlike(f"[{_ENTRY}{_IDS}]")).withColumn("level", level))
         levels, total = [], 0
         for level, n in sorted(counts.groupBy("level").agg(F.count("*")).collect(), reverse=True):  # some hundred levels
             total += n
@@ -266,55 +306,59 @@ class Codec:
             levels.append((level, total))
         least = levels[-1][0] if levels else 1 << 30
         own = counts.where(F.col("level") >= least).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "w")
-        ids = _let(self.tables(), "string", lambda t: F.array_join(self.fold_word(t, F.col("w")).cast("array<string>"), " "))
-        own = cut(own.select("w", "level", ids.alias("ids")))
+        own = cut(self.bound(own, [self.tables], [F.col("w"), F.col("level")], F.col("w"), self.fold_word, "ids"))
         drop_table(spark, at)
         return own, levels
 
-    def frequent(self, docs: DataFrame, text_col: str, most: int) -> dict[str, tuple[Column, int]]:
-        """Literals of words with their ids, and their numbers of buckets: maps of the very frequent words, and of pieces that merging doesn't make; the others packed."""
+    @staticmethod
+    def _dealt(entries: DataFrame, buckets: int, bucket: Callable[[Column], Column], name: str) -> DataFrame:
+        """Entries (w, e) as one row with an array of what bucket makes of each bucket's sorted entries."""
+        own = entries.select(_bucket(F.col("w"), buckets).alias("b"), "e")
+        empty = own.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(None).cast(own.schema["e"].dataType).alias("e"))
+        found = own.unionByName(empty).groupBy("b").agg(F.sort_array(F.collect_list("e")).alias("es"))  # nulls aren't listed
+        rows = found.agg(F.sort_array(F.collect_list(F.struct("b", "es"))).alias("all"))  # CACHED_WORDS in all
+        return rows.select(F.transform("all", lambda x: bucket(x["es"])).alias(name))
+
+    def frequent(self, docs: DataFrame, text_col: str, most: int) -> dict[str, tuple[DataFrame, int]]:
+        """Words with their ids, and numbers of buckets: maps of the very frequent words and of those pieces that merging doesn't make; the others packed."""
         own, levels = self._counted(docs, text_col, most)
-        direct = max((n, level) for level, n in [*levels, (1 << 30, 0)] if n <= DIRECT_WORDS)[1]
-        top = {r.w: f"[{r.ids.replace(' ', ',')}]" for r in own.where(F.col("level") >= direct).collect()}  # DIRECT_WORDS at most
-        top |= {w: json.dumps(ids) for w, ids in self.vocabulary.unreachable().items()}
-        maps = _literal_map(((w.encode(), w, ids) for w, ids in top.items()), len(top), "array<int>")
-        buckets = 1 << ((levels[-1][1] if levels else 0) // 8).bit_length()
-        entries = own.where(F.col("level") < direct).groupBy(_bucket(F.col("w"), buckets).alias("b")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("w", F.lit(_IDS), "ids"))), _ENTRY).alias("all"))
-        packed = [_ENTRY] * buckets
-        for b, text in entries.collect():  # a few words each, CACHED_WORDS in all
-            packed[b] = f"{_ENTRY}{text}{_ENTRY}"
-        return {"known": maps, "packed": (F.split(F.lit(_BUCKET.join(packed)), _BUCKET), buckets)}
-
-    def encode(self, docs: DataFrame, text_col: str, most: int = CACHED_WORDS) -> Column:
-        """The ids of a text column of docs."""
+        n, direct = max((n, level) for level, n in [*levels, (1 << 30, 0)] if n <= DIRECT_WORDS)
+        apart = self.vocabulary.unreachable()
+        odd = self.spark.createDataFrame(list(apart.items()), "w string, ids array<int>")
+        top = own.where(F.col("level") >= direct).join(odd, "w", "left_anti").select("w", "ids").unionByName(odd)
+        rest = own.where(F.col("level") < direct).select("w", F.concat(F.lit(_ENTRY), "w", F.lit(_IDS), F.array_join(F.col("ids").cast("array<string>"), " ")).alias("e"))
+        buckets = 1 << ((n + len(apart)) // 3).bit_length()  # some three words each
+        more = 1 << ((levels[-1][1] - n if levels else 0) // 8).bit_length()
+        known = self._dealt(top.select("w", F.struct("w", "ids").alias("e")), buckets, F.map_from_entries, "known")
+        packed = self._dealt(rest, more, lambda es: F.concat(F.array_join(es, ""), F.lit(_ENTRY)), "packed")
+        return {"known": (known, buckets), "packed": (packed, more)}
+
+    def encode(self, docs: DataFrame, keep: list[Column], text_col: str, most: int = CACHED_WORDS) -> DataFrame:
+        """keep of docs, and token_ids, the ids of its text column."""
         found = self.frequent(docs, text_col, most)
+        bucket = lambda t, n, w: F.get(t[n], _bucket(w, found[n][1]))
 
-        def packed(t: Column, w: Column) -> Column:
-            bucket = F.get(t["packed"], _bucket(w, found["packed"][1]))
-            ids = F.substring_index(F.call_function("substring_index", bucket, F.concat(F.lit(_ENTRY), w, F.lit(_IDS)), F.lit(-1)), _ENTRY, 1)
-            # Empty: what is behind the word's entry is the bucket's beginning, as there is none.
-            return _let(ids, _IDS_TYPE, lambda x: F.when(x != "", F.split(x, " ").cast("array<int>")))
+        def packed(t: dict[str, Column], w: Column) -> Column:
+            behind = F.call_function("substring_index", bucket(t, "packed", w), F.concat(F.lit(_ENTRY), w, F.lit(_IDS)), F.lit(-1))
+            # Empty: what is behind the word's entry is the bucket's beginning, as there is none. Only a word with that sign could be found across entries.
+            ids = lambda x: F.when((x != "") & ~F.contains(w, F.lit(_IDS)), F.split(x, " ").cast(_IDS_TYPE))
+            return _let(F.substring_index(behind, _ENTRY, 1), ids)
 
-        of_word = lambda t, w: F.coalesce(F.get(t["known"], _bucket(w, found["known"][1]))[w], packed(t, w), self.fold_word(t, w))
-        tables = self.tables({n: c for n, (c, _) in found.items()})
-        return _let(tables, _IDS_TYPE, lambda t: F.flatten(F.transform(self.words(F.col(text_col)), lambda w: of_word(t, w))))
+        of_word = lambda t, w: F.coalesce(bucket(t, "known", w)[w], packed(t, w), self.fold_word(t, w))
+        ids = lambda t, text: F.flatten(F.transform(self.words(text), lambda w: of_word(t, w)))
+        return self.bound(docs, [self.tables, *(rows for rows, _ in found.values())], keep, F.col(text_col), ids, "token_ids")
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for."""
-        def piece(t: Column, i: Column) -> Column:
-            known = lambda c: F.coalesce(c, F.raise_error(F.lit("an id outside the vocabulary")).cast("int"))
-            begin, end = known(F.get(t["starts"], i)), known(F.get(t["starts"], i + 1))
-            return F.substring(t["blob"], begin + 1, end - begin).cast("string")
-
-        # Strings are joined byte by byte, so pieces needn't be whole characters.
-        tables = F.struct(self.starts.alias("starts"), self.blob.alias("blob"))
-        return _let(tables, "string", lambda t: F.array_join(F.transform(ids, lambda i: piece(t, i)), "")).cast("binary")
+        # As Latin-1, so that pieces are strings though they needn't be whole characters. A literal: folded when the plan is optimised.
+        pieces = F.split(F.lit(_PIECE.join(p.decode("latin-1") for p in self.vocabulary.pieces)), _PIECE)
+        piece = lambda i: F.coalesce(F.get(pieces, i), F.raise_error(F.lit("an id outside the vocabulary")).cast("string"))
+        return F.encode(F.array_join(F.transform(ids, piece), ""), "ISO-8859-1")
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary | None = None, most: int = CACHED_WORDS) -> DataFrame:
     """Per row of docs: id, token_ids."""
-    codec = Codec(docs.sparkSession, vocabulary or read_ranks())
-    return docs.select(F.col(id_col).alias("id"), codec.encode(docs, text_col, most).alias("token_ids"))
+    return Codec(docs.sparkSession, vocabulary or read_ranks()).encode(docs, [F.col(id_col).alias("id")], text_col, most)
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "token_ids", vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -114,7 +114,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import decode_ids, encode_texts
 
     found = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
-    ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ")
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return found.select(
         F.col("id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
