@@ -33,3 +33,21 @@ def test_an_empty_index_and_a_pushed_filter(spark, tmp_path):
     assert [r.doc for r in found.collect()] == [17]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "w00017" in plan.split("PushedFilters")[1]
+
+
+def test_disk_of_writing_and_ids_of_several_texts(spark, tmp_path, monkeypatch):
+    """Counts are put down once, compressed, and nothing uncompressed is cut; ids that several texts have, null ids and rare terms give the rows of a search over texts."""
+    cuts = []
+    monkeypatch.setattr(postings, "cut", lambda df: cuts.append(df.columns) or df.checkpoint())
+    docs = [(k, f"w{k % 7} token tokenLists r{k}") for k in range(60)]
+    postings.write_postings(spark.createDataFrame(docs, "id long, t string"), "id", "t", str(tmp_path / "one"))
+    assert cuts == [] and not (tmp_path / "one" / "counts").exists()
+    for frequent in (1 << 18, 8, 0):
+        monkeypatch.setattr(search, "FREQUENT", frequent)
+        d = spark.createDataFrame([*docs, (3, "deploy token"), (3, "token again"), (60, "a b"), (61, None)], "id long, t string")
+        postings.write_postings(d, "id", "t", str(tmp_path / "some"))
+        joined = d.groupBy("id").agg(F.concat_ws(" ", F.collect_list("t")).alias("t"))
+        for query in (["token"], ["deploy", "r17"]):
+            want = [tuple(r) for r in search.search(joined, "id", "t", query, None).collect()]
+            assert [tuple(r) for r in postings.search_postings(spark, str(tmp_path / "some"), query, None).collect()] == want, (frequent, query)
+    assert cuts and all(c == ["doc"] for c in cuts)

@@ -147,10 +147,19 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
+def camel_split(text: Column) -> Column:
+    """text with a blank where camel case and acronyms are split."""
+    return F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+
+
+def words(split: Column) -> Column:
+    """Words of what camel_split() gives, of any length and in their own case. The class is that of ASCII letters and digits, which Java tells by a table."""
+    return F.split(split, r"\P{Alnum}+")
+
+
 def terms(text: Column) -> Column:
     """Lower-case search terms of two characters or more; camel case and acronyms are split."""
-    split = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.transform(F.filter(F.split(split, "[^A-Za-z0-9]+"), lambda w: F.length(w) > 1), lambda w: F.lower(w))
+    return F.transform(F.filter(words(camel_split(text)), lambda w: F.length(w) > 1), lambda w: F.lower(w))
 
 
 def slug(name: Column, longest: int = 64) -> Column:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import estimated_tokens, terms
+from ..functions.text import camel_split, estimated_tokens, terms, words
 from ..plans.lineage import cut
 from ..plans.spread import before_in_order, dealt
 
@@ -16,6 +16,61 @@ from ..plans.spread import before_in_order, dealt
 UNKNOWN_IDF = 0.5
 #: Bonus of a query term found inside a document's words.
 BONUS = 0.3
+#: Terms whose inverse frequencies are sent to every task, the most frequent ones; few rows have one of the others, and these are joined by a shuffle.
+FREQUENT = 1 << 18
+#: Documents whose texts a task splits and counts: between these two, and as many tasks as shuffles have where that is possible.
+TASK_TEXTS = 512, 4096
+#: What stands for a document in a list of its words; no word is like it.
+_MARK = " "
+
+
+def term_rows(texts: DataFrame, whole: str | None = None) -> DataFrame:
+    """doc, term for each term of texts (doc, text), and the term whole once more for each text that has terms.
+
+    Words become rows before they are filtered and lowered, as functions over lists of words are interpreted for each of them.
+    """
+    split = texts.select("doc", camel_split(F.col("text")).alias("text"))
+    found = words(F.col("text"))
+    if whole is not None:
+        found = F.concat(found, F.array(F.when(F.col("text").rlike("[A-Za-z0-9]{2}"), _MARK)))
+    # Outer, as else Spark filters by the size of what is exploded, and splits each text once more for it.
+    rows = split.select("doc", F.explode_outer(found).alias("term"))
+    if whole is None:
+        return rows.where(F.length("term") > 1).select("doc", F.lower("term").alias("term"))
+    marks = F.col("term") == _MARK
+    return rows.where(marks | (F.length("term") > 1)).select("doc", F.when(marks, whole).otherwise(F.lower("term")).alias("term"))
+
+
+def term_counts(texts: DataFrame, repeated: DataFrame | None, documents: int, whole: str | None = None) -> DataFrame:
+    """doc, term, tf of texts (doc, text), of about so many documents. repeated: the ids (doc) that several texts have, null maybe one of them, if any.
+
+    Texts are dealt by document, so that a document's terms are counted where they are split and only texts are shuffled. Texts of an
+    id that has several, maybe very many, are dealt anyhow instead, and their counts are shuffled.
+    """
+    fewest, most = (math.ceil((documents + 1) / size) for size in reversed(TASK_TEXTS))
+    tasks = max(min(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), most), fewest)
+    counts = lambda own: term_rows(own, whole).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    if repeated is None:
+        return counts(texts.repartition(tasks, "doc"))
+    several = repeated.withColumnRenamed("doc", "several")
+    is_one = F.col("doc").eqNullSafe(F.col("several"))
+    return counts(texts.join(several, is_one, "left_anti").repartition(tasks, "doc")).unionByName(counts(dealt(texts.join(several, is_one, "left_semi"))))
+
+
+def with_idf(rows: DataFrame, idf: DataFrame) -> DataFrame:
+    """rows with the idf of their terms, from idf (term, df, idf), which has all of them. Rows of frequent terms, nearly all, stay where they are."""
+    sizes = {r.bits: r.terms for r in idf.groupBy(F.length(F.bin("df")).alias("bits")).agg(F.count("*").alias("terms")).collect()}  # 63 rows at most
+    least, listed = 64, 0
+    for bits in sorted(sizes, reverse=True):
+        if (listed := listed + sizes[bits]) > FREQUENT:
+            break
+        least = bits
+    frequent = F.length(F.bin("df")) >= least
+    known = F.broadcast(idf.where(frequent).select("term", "idf"))
+    if listed <= FREQUENT:
+        return rows.join(known, "term")
+    rest = idf.where(~frequent).select("term", "idf")
+    return rows.join(known, "term").unionByName(rows.join(known.select("term"), "term", "left_anti").join(rest, "term"))
 
 
 def _document_frequency(docs: DataFrame, text: str) -> DataFrame:
