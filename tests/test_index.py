@@ -1,6 +1,7 @@
 """An index that follows its documents: the same as one written anew after any edits, and what an update reads and writes."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,30 @@ def test_empty_tables_null_ids_and_string_ids(spark, tmp_path):
     assert [tuple(r) for r in index.search_index(spark, at, ["deploy"]).collect()] == [("x", 1.0, 1)]
     assert index.update(none, "id", "t", at) == 2
     assert index.search_index(spark, at, ["deploy"]).count() == 0 and index.frequencies(spark, at).count() == 0
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 2])
+def test_stored_terms_stay_where_they_are(spark, tmp_path, monkeypatch, sent):
+    """Terms are counted where texts are split, and stored rows by document are shuffled for an update only where more documents changed than are sent to tasks."""
+    monkeypatch.setattr(index, "SENT", sent)
+    monkeypatch.setattr(index, "LISTED", 1)
+    monkeypatch.setattr(search, "TASK_TEXTS", (8, 4096))
+    written, put = {}, index._put
+
+    def noted(rows, at, part, generation, **how):
+        written[part, generation] = rows._jdf.queryExecution().executedPlan().toString()
+        return put(rows, at, part, generation, **how)
+
+    monkeypatch.setattr(index, "_put", noted)
+    at, docs = str(tmp_path), {k: [f"w{k} token tokenLists r{k % 5}"] for k in range(30)} | {40: ["token", "lists again"], 41: [None]}
+    index.update(_frame(spark, docs), "id", "t", at)
+    assert written["by_doc", 0].count("Generate") == 2  # ids of several texts have a path of their own
+    docs |= {k: [f"w{k} token changed"] for k in range(20)}
+    del docs[29], docs[40]
+    assert index.update(_frame(spark, docs), "id", "t", at) == 22
+    dealt_by = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", written["by_doc", 1])
+    assert dealt_by and (len(dealt_by) == 1) == (sent > 2) and not any("term" in keys for keys in dealt_by)
+    _same(spark, at, docs)
+    index.compacted(spark, at)
+    assert ("ShuffledHashJoin" in written["by_doc", 2]) == (sent == 2) and "SortMergeJoin" not in written["by_doc", 2]
+    _same(spark, at, docs)

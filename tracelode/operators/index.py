@@ -19,15 +19,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
 from ..plans.lineage import cut
-from ..plans.spread import dealt
-from .search import BONUS, UNKNOWN_IDF
+from .search import BONUS, UNKNOWN_IDF, term_counts, with_idf
 
 #: A term that each document with terms has once more, so that its frequency is their number; search never finds it.
 ANY = ""
 #: Documents or terms that a filter lists, so that files and row groups without them are passed over; more are joined.
 LISTED = 1000
+#: Documents or terms that are sent to every task, so that stored rows stay where they are; with more, rows are shuffled.
+SENT = 1_000_000
 _SORTED = {"documents": ["doc"], "by_term": ["term", "doc"], "by_doc": ["doc", "term"], "gone": ["doc"], "frequencies": ["term"]}
 
 
@@ -47,12 +47,21 @@ def _part(spark: SparkSession, at: str, part: str, span: tuple[int, int, int]) -
     return spark.read.parquet(f"{at}/{part}").where(F.col("generation").between(span[0], span[1]))
 
 
+def _keyed(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with keys (all different, a row of few bytes each); rows aren't sorted for it, and are shuffled for many keys only."""
+    sent = keys.limit(SENT + 1).count() <= SENT
+    return rows.join(F.broadcast(keys) if sent else keys.hint("shuffle_hash"), key, how)
+
+
 def _live(spark: SparkSession, at: str, part: str, span: tuple[int, int, int], which: Column | None = None) -> DataFrame:
-    """Rows of a part, of those that a filter leaves, whose document has not gone since."""
+    """Rows of a part, of those that a filter leaves, whose document has not gone since. None has gone since the last generation."""
     rows = _part(spark, at, part, span)
-    gone = _part(spark, at, "gone", span).groupBy("doc").agg(F.max("generation").alias("__gone"))
     rows = rows if which is None else rows.where(which)
-    return rows.join(gone, "doc", "left").where("__gone IS NULL OR generation >= __gone").drop("__gone", "generation")
+    if span[0] == span[1]:
+        return rows.drop("generation")
+    gone = _part(spark, at, "gone", span).groupBy("doc").agg(F.max("generation").alias("__gone"))
+    before = _keyed(rows.where(F.col("generation") < span[1]), gone, "doc", "left").where("__gone IS NULL OR generation >= __gone")
+    return before.drop("__gone", "generation").unionByName(rows.where(F.col("generation") == span[1]).drop("generation"))
 
 
 def _of(spark: SparkSession, at: str, part: str, span: tuple[int, int, int], keys: DataFrame, key: str) -> DataFrame:
@@ -60,7 +69,7 @@ def _of(spark: SparkSession, at: str, part: str, span: tuple[int, int, int], key
     few = [r[0] for r in keys.select(key).limit(LISTED + 1).collect()]
     if len(few) <= LISTED:
         return _live(spark, at, part, span, F.col(key).isin(*few) if few else F.lit(False))
-    return _live(spark, at, part, span).join(keys.select(key), key, "left_semi")
+    return _keyed(_live(spark, at, part, span), keys.select(key), key, "left_semi")
 
 
 def _put(rows: DataFrame, at: str, part: str, generation: int, spread: bool = True) -> DataFrame:
@@ -104,12 +113,10 @@ def update(docs: DataFrame, doc: str, text: str, at: str) -> int:
     count = changed.count()
     if not count and span[1] >= 0:
         return 0
-    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     here, left = changed.where("digest IS NOT NULL").select("doc", "digest"), changed.where("known").select("doc")
-    texts = d.where("doc IS NOT NULL") if span[1] < 0 else d.join(here, "doc", "left_semi")
-    own = dealt(texts).select("doc", terms(F.col("text")).alias("terms"))
-    listed = F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(ANY))))
-    own = own.select("doc", F.explode_outer(listed).alias("term")).where("term IS NOT NULL").groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    several = changed.where("substring_index(digest, '/', -1) <> '1'").select("doc")  # the end of a digest is how many texts it is of
+    own = term_counts(d if span[1] < 0 else _keyed(d, here.select("doc"), "doc", "left_semi"), None if several.isEmpty() else several, count, ANY)
     generation = span[1] + 1
     came = _put(own, at, "by_doc", generation, spread=False)
     change = came.select("term", F.lit(1).alias("one"))
@@ -129,7 +136,7 @@ def compacted(spark: SparkSession, at: str) -> None:
     span = _commits(spark, at)
     if span[0] == span[1] or span[1] < 0:
         return
-    by_doc = _put(_live(spark, at, "by_doc", span).select("doc", "term", "tf"), at, "by_doc", span[1] + 1)
+    by_doc = _put(_live(spark, at, "by_doc", span).select("doc", "term", "tf"), at, "by_doc", span[1] + 1, spread=False)
     documents = _put(_live(spark, at, "documents", span), at, "documents", span[1] + 1)
     totals = _part(spark, at, "frequencies", span).groupBy("term").agg(F.sum("change").alias("change")).where("change > 0")
     _put(totals, at, "frequencies", span[1] + 1, spread=False)
@@ -167,7 +174,7 @@ def search_index(spark: SparkSession, at: str, query: list[str], limit: int | No
     hit = cut(idf.where(functools.reduce(lambda a, b: a | b, holds, wanted)))
     known = [r.idf for r in hit.where(wanted).select("idf").collect()]  # at most the query's terms
     found = cut(_of(spark, at, "by_term", span, hit, "term").select("doc").distinct())
-    own = _of(spark, at, "by_doc", span, found, "doc").join(idf.select("term", "idf"), "term")
+    own = with_idf(_of(spark, at, "by_doc", span, found, "doc").where(F.col("term") != ANY), idf)
     weight = F.col("tf") * F.col("idf")
     inside = [F.max(h.cast("int")) for h in holds] or [F.lit(0)]
     scored = own.groupBy("doc").agg(
